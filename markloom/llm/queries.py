@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, store
+from . import pieces, quality, store
 
 DOCUMENTS = "documents"
 
@@ -19,6 +19,15 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and its verdict under cutoffs certified on the labels."""
+    return quality.apply(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op2_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts through the content-addressed store and back."""
     folder = store.write(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
@@ -31,8 +40,8 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_store": op2_store, "op8_pieces": op8_pieces}
+    return {"op1_quality": op1_quality, "op2_store": op2_store, "op8_pieces": op8_pieces}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_quality": quality.sql()}
