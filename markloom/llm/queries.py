@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, quality, store
+from . import fingerprints, langid, mixing, pieces, quality, spans, store
 
 DOCUMENTS = "documents"
 
@@ -34,14 +34,34 @@ def op2_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_digests(spark, folder)
 
 
+def op3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that repeat in runs, removed from every document."""
+    return spans.dedup(_documents(spark, sf_dir)).drop("kept")
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from two thirds of the documents."""
+    return langid.identify(_documents(spark, sf_dir))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every time a document is due in the mixture of sources."""
+    return mixing.schedule(_documents(spark, sf_dir)).drop("copy")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint against its edited text's and the next document's."""
+    return fingerprints.compare(_documents(spark, sf_dir))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts through the agenda encoder and the library's decoder."""
     return pieces.encode(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_store": op2_store, "op8_pieces": op8_pieces}
+    return {f.__name__: f for f in (op1_quality, op2_store, op3_spans, op5_langid, op6_mixing, op7_fingerprints, op8_pieces)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality": quality.sql()}
+    return {"op1_quality": quality.sql(), "op3_spans": spans.sql(), "op6_mixing": mixing.sql()}
