@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, mixing, pieces, quality, spans, store
+from . import fingerprints, hpylm, langid, mixing, pieces, quality, spans, store
 
 DOCUMENTS = "documents"
 
@@ -39,6 +39,11 @@ def op3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup(_documents(spark, sf_dir)).drop("kept")
 
 
+def op4_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a model of the training documents."""
+    return hpylm.score(_documents(spark, sf_dir))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from two thirds of the documents."""
     return langid.identify(_documents(spark, sf_dir))
@@ -60,7 +65,7 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_store, op3_spans, op5_langid, op6_mixing, op7_fingerprints, op8_pieces)}
+    return {f.__name__: f for f in (op1_quality, op2_store, op3_spans, op4_hpylm, op5_langid, op6_mixing, op7_fingerprints, op8_pieces)}
 
 
 def oracle_sql() -> dict:
