@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, hpylm, langid, mixing, pieces, quality, spans, store
+from . import fingerprints, hpylm, langid, mixing, pieces, quality, spans, store, suffixes
 
 DOCUMENTS = "documents"
 
@@ -64,8 +64,13 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document in strings of 100 bytes that also start earlier."""
+    return suffixes.dedup(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_store, op3_spans, op4_hpylm, op5_langid, op6_mixing, op7_fingerprints, op8_pieces)}
+    return {f.__name__: f for f in (op1_quality, op2_store, op3_spans, op4_hpylm, op5_langid, op6_mixing, op7_fingerprints, op8_pieces, op9_suffixes)}
 
 
 def oracle_sql() -> dict:
