@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, hpylm, langid, mixing, pieces, quality, spans, store, suffixes
+from . import fingerprints, hpylm, jaccard, langid, mixing, pieces, quality, spans, store, suffixes
 
 DOCUMENTS = "documents"
 
@@ -69,8 +69,13 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(_documents(spark, sf_dir))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates."""
+    return jaccard.join(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_store, op3_spans, op4_hpylm, op5_langid, op6_mixing, op7_fingerprints, op8_pieces, op9_suffixes)}
+    return {f.__name__: f for f in (op1_quality, op2_store, op3_spans, op4_hpylm, op5_langid, op6_mixing, op7_fingerprints, op8_pieces, op9_suffixes, op10_jaccard)}
 
 
 def oracle_sql() -> dict:
