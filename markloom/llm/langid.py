@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import pieces, ragged, utf8
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
-PER_LANG, SAMPLE, STRETCH = 400, 20_000, 768
+PER_LANG, SAMPLE, STRETCH, LEAST = 400, 20_000, 768, 0.3
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = True
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -140,29 +140,45 @@ def train(docs: DataFrame) -> Network | None:
     return fit([r.text for r in sample], [r.lang for r in sample])
 
 
+def decide(column: pa.Array, net: Network | None) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and scores of whole texts."""
+    data, offsets = utf8(column)
+    n = len(column)
+    lang, score = np.full(n, "und", object), np.zeros(n)
+    if net is not None and len(data):
+        x, row, length = windows_of(data, offsets)
+        p = net.probabilities(x) * length[:, None]
+        total = np.zeros((n, p.shape[1]))
+        some = np.flatnonzero(np.diff(offsets) > 0)
+        total[some] = np.add.reduceat(p, np.searchsorted(row, some), axis=0) / np.diff(offsets)[some][:, None]
+        good = has_letter(data, offsets)
+        lang[good] = np.array(net.langs, object)[total.argmax(axis=1)[good]]
+        score[good] = np.clip(total.max(axis=1)[good], 0, 1)
+    return lang, score
+
+
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """One row per row of docs (doc_id, text), see RESULT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=1_000_000):
-            data, offsets = utf8(batch.column("text"))
-            n = batch.num_rows
-            lang, score = np.full(n, "und", object), np.zeros(n)
-            if net is not None and len(data):
-                x, row, length = windows_of(data, offsets)
-                p = net.probabilities(x) * length[:, None]
-                total = np.zeros((n, p.shape[1]))
-                some = np.flatnonzero(np.diff(offsets) > 0)
-                total[some] = np.add.reduceat(p, np.searchsorted(row, some), axis=0) / np.diff(offsets)[some][:, None]
-                good = has_letter(data, offsets)
-                best = total.argmax(axis=1)
-                lang[good] = np.array(net.langs, object)[best[good]]
-                score[good] = np.clip(total.max(axis=1)[good], 0, 1)
+            lang, score = decide(batch.column("text"), net)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, RESULT)
 
 
+def accepted(docs: DataFrame, net: Network | None, least: float = LEAST) -> DataFrame:
+    """Rows of docs, with docs' columns, whose text has a language with a score of at least `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, limit=1_000_000):
+            lang, score = decide(batch.column("text"), net)
+            yield batch.filter(pa.array((lang != "und") & (score >= least), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learns from the rows that are not held out and predicts all rows."""
     return predict(docs, train(docs.where(~held_out())))
