@@ -142,9 +142,11 @@ def _postings(width: int):
 
 
 def room(na: np.ndarray, i: np.ndarray, nb: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether sets that share their shingle i and j can have enough in common."""
-    most = np.minimum(i, j) + 1 + np.minimum(na - i, nb - j) - 1
-    return (most >= needed(na, nb)) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
+    """Whether sets whose first common shingle is i of one and j of the other can have enough in common.
+
+    A linked pair passes at its first common shingle, so no link is lost where later ones do not pass.
+    """
+    return (np.minimum(na - i, nb - j) >= needed(na, nb)) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
 
 
 FOUND = "kind int, bucket int, token long, x long, y long, n int, pos int"
@@ -184,48 +186,62 @@ def _meet(group: pa.Table) -> pa.Table:
     )
 
 
+class Bitmaps:
+    """Parity bitmaps of a list's sets, rows of a matrix for each width, and the same folded to half the width."""
+
+    def __init__(self, bits: list[bytes]):
+        self.width = np.array([len(x) for x in bits], np.int64)
+        self.row = np.zeros(len(bits), np.int64)
+        self.full: dict[int, np.ndarray] = {}
+        self.half: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.row[own] = np.arange(len(own))
+            m = np.frombuffer(b"".join(bits[k] for k in own), np.uint8).reshape(len(own), w)
+            self.full[w], self.half[w] = m, m[:, : w // 2] ^ m[:, w // 2 :]
+
+    def differ(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Bits in which set i and sets j, of the same width or twice it, differ: no more than their shingles do."""
+        w = int(self.width[i])
+        own = self.full[w][self.row[i]]
+        out = np.zeros(len(j), np.int64)
+        same = self.width[j] == w
+        for pick, of in ((same, self.full.get(w)), (~same, self.half.get(2 * w))):
+            if pick.any():
+                out[pick] = np.bitwise_count(of[self.row[j[pick]]] ^ own).sum(axis=1)
+        return out
+
+
 def _across(group: pa.Table) -> pa.Table:
-    """Pairs of a list's sets in different components; blocks of like sizes and positions are skipped together."""
+    """Pairs of a list's sets in different components that nothing rules out.
+
+    Sets too large and, in numpy, all with too little room or too many different bits are skipped as blocks.
+    """
     token, node, label = (group.column(c).to_numpy() for c in ("token", "x", "label"))
     n, pos = group.column("n").to_numpy().astype(np.int64), group.column("pos").to_numpy().astype(np.int64)
     order = np.lexsort((pos, n, token))
-    token, node, label, n, pos = token[order], node[order], label[order], n[order], pos[order]
-    edges = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-    out = [np.empty((2, 0), np.int64)]
-    held = 0
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if (label[a:b] == label[a]).all():
-            continue
-        reach = a + np.searchsorted(n[a:b], (5 * n[a:b]) // 4, "right")  # larger sets are skipped as a block
-        for i in range(a, b - 1):
-            s = slice(i + 1, int(reach[i - a]))
-            if s.start >= s.stop:
-                continue
-            j = s.start + np.flatnonzero((label[s] != label[i]) & room(n[s], pos[s], n[i], pos[i]))
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(token[order]) != 0)), len(token))
+    mixed = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) if (label[order[a:b]] != label[order[a]]).any()]
+    out, held = [np.empty((2, 0), np.int64)], 0
+    bits = group.column("bits").to_pylist() if mixed else []
+    for a, b in mixed:
+        own = order[a:b]
+        ln, lp, ll, lx = n[own], pos[own], label[own], node[own]
+        maps = Bitmaps([bits[k] for k in own])
+        reach = np.searchsorted(ln, (5 * ln) // 4, "right")
+        for i in range(len(own) - 1):
+            j = np.arange(i + 1, int(reach[i]))
+            j = j[(ll[j] != ll[i]) & room(ln[j], lp[j], ln[i], lp[i])]
             if len(j):
-                out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
+                j = j[maps.differ(i, j) <= ln[i] + ln[j] - 2 * needed(ln[i], ln[j])]
+                out.append(np.stack([np.minimum(lx[i], lx[j]), np.maximum(lx[i], lx[j])]))
                 held += len(j)
                 if held > 1_000_000:
-                    out = [np.unique(np.concatenate(out, axis=1), axis=1)]
-                    held = 0
+                    out, held = [np.unique(np.concatenate(out, axis=1), axis=1)], 0
     pairs = np.unique(np.concatenate(out, axis=1), axis=1)
     return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], ["x", "y"])
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops pairs whose bitmaps show that too much differs."""
-    for batch in batches:
-        keep = []
-        for na, nb, p, q in zip(*(batch.column(c).to_pylist() for c in ("nx", "ny", "bx", "by"))):
-            a, b = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
-            while len(a) > len(b):
-                a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-            while len(b) > len(a):
-                b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-            keep.append(int(np.bitwise_count(a ^ b).sum()) <= na + nb - 2 * int(needed(na, nb)))
-        yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among pairs; rows with the same x in a row share its set, and neighbours in y their differences."""
     z = zstandard.ZstdDecompressor()
@@ -284,11 +300,9 @@ def join(docs: DataFrame) -> DataFrame:
     texts = table(keyed.mapInArrow(_packed, "d long, c int, z binary").join(wanted, ["d", "c"]).select("node", "z").dropDuplicates(["node"]), "texts")
     near = table(_links(star, texts), "near")
     labels = components(near)
+    maps = some.select(F.col("node").alias("x"), "bits").dropDuplicates(["x"])
     placed = entries.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-    pairs = placed.groupBy("bucket").applyInArrow(_across, "x long, y long").distinct()
-    maps = some.select("node", F.col("n").cast("int").alias("n"), "bits").dropDuplicates(["node"])
-    side = lambda c: maps.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
-    close = pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_apart, "x long, y long")
+    close = placed.drop("y").join(maps, "x").groupBy("bucket").applyInArrow(_across, "x long, y long").distinct()
     more = table(_links(close, texts), "more")
     labels = components(near.unionAll(more))
     least = first.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
