@@ -37,7 +37,7 @@ from .hpylm import pack, unpack
 from .suffixes import _packed
 
 CELLS, SLICES = 1 << 20, 256
-LEAST_BITS, MOST_BITS = 64, 8192
+LEAST_BITS, MOST_BITS, LONG_LIST = 64, 8192, 32
 NULL_ID = -(2**63)
 
 
@@ -149,7 +149,7 @@ def room(na: np.ndarray, i: np.ndarray, nb: np.ndarray, j: np.ndarray) -> np.nda
     return (np.minimum(na - i, nb - j) >= needed(na, nb)) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
 
 
-FOUND = "kind int, bucket int, token long, x long, y long, n int, pos int"
+FOUND = "kind int, bucket int, token long, x long, y long, n int, pos int, size int"
 
 
 def _meet(group: pa.Table) -> pa.Table:
@@ -181,6 +181,7 @@ def _meet(group: pa.Table) -> pa.Table:
             pa.array(np.concatenate([pairs[1], np.zeros(k, np.int64)]), mask=~none),
             pa.array(np.concatenate([np.zeros(m, np.int64), n[rest]]).astype(np.int32), mask=none),
             pa.array(np.concatenate([np.zeros(m, np.int64), pos[rest]]).astype(np.int32), mask=none),
+            pa.array(np.concatenate([np.zeros(m, np.int64), sizes[rest]]).astype(np.int32), mask=none),
         ],
         [c.split()[0] for c in FOUND.split(", ")],
     )
@@ -215,7 +216,8 @@ class Bitmaps:
 def _across(group: pa.Table) -> pa.Table:
     """Pairs of a list's sets in different components that nothing rules out.
 
-    Sets too large and, in numpy, all with too little room or too many different bits are skipped as blocks.
+    Sets too large and, in numpy, all with too little room or too many different bits are skipped as blocks. In
+    long lists a pair is left to the list of its first common shingle: what stands before in both is compared.
     """
     token, node, label = (group.column(c).to_numpy() for c in ("token", "x", "label"))
     n, pos = group.column("n").to_numpy().astype(np.int64), group.column("pos").to_numpy().astype(np.int64)
@@ -223,17 +225,22 @@ def _across(group: pa.Table) -> pa.Table:
     edges = np.append(np.flatnonzero(np.append(True, np.diff(token[order]) != 0)), len(token))
     mixed = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) if (label[order[a:b]] != label[order[a]]).any()]
     out, held = [np.empty((2, 0), np.int64)], 0
-    bits = group.column("bits").to_pylist() if mixed else []
+    bits, earlier = group.column("bits").to_pylist() if mixed else [], group.column("earlier")
     for a, b in mixed:
         own = order[a:b]
         ln, lp, ll, lx = n[own], pos[own], label[own], node[own]
         maps = Bitmaps([bits[k] for k in own])
+        before = [np.frombuffer(earlier[k].as_py(), np.uint64) for k in own] if b - a > LONG_LIST else None
         reach = np.searchsorted(ln, (5 * ln) // 4, "right")
         for i in range(len(own) - 1):
             j = np.arange(i + 1, int(reach[i]))
             j = j[(ll[j] != ll[i]) & room(ln[j], lp[j], ln[i], lp[i])]
             if len(j):
                 j = j[maps.differ(i, j) <= ln[i] + ln[j] - 2 * needed(ln[i], ln[j])]
+                if before is not None and len(before[i]) and len(j):
+                    counts = np.array([len(before[k]) for k in j])
+                    hit = np.isin(np.concatenate([before[k] for k in j]), before[i])
+                    j = j[np.bincount(np.repeat(np.arange(len(j)), counts), weights=hit, minlength=len(j)) == 0]
                 out.append(np.stack([np.minimum(lx[i], lx[j]), np.maximum(lx[i], lx[j])]))
                 held += len(j)
                 if held > 1_000_000:
@@ -300,9 +307,11 @@ def join(docs: DataFrame) -> DataFrame:
     texts = table(keyed.mapInArrow(_packed, "d long, c int, z binary").join(wanted, ["d", "c"]).select("node", "z").dropDuplicates(["node"]), "texts")
     near = table(_links(star, texts), "near")
     labels = components(near)
-    maps = some.select(F.col("node").alias("x"), "bits").dropDuplicates(["x"])
+    maps = some.select(F.col("node").alias("x"), "bits", "prefix").dropDuplicates(["x"])
     placed = entries.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-    close = placed.drop("y").join(maps, "x").groupBy("bucket").applyInArrow(_across, "x long, y long").distinct()
+    earlier = F.when(F.col("size") > LONG_LIST, F.substring(F.col("prefix"), F.lit(1), F.col("pos") * 8)).otherwise(F.lit(b""))
+    placed = placed.drop("y", "kind").join(maps, "x").withColumn("earlier", earlier).drop("prefix")
+    close = placed.groupBy("bucket").applyInArrow(_across, "x long, y long").distinct()
     more = table(_links(close, texts), "more")
     labels = components(near.unionAll(more))
     least = first.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
