@@ -158,7 +158,7 @@ def binary_rows(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 class SpanCache:
     """Ids of spans already encoded, by the spans' hashes. It only saves time: past `limit` spans it starts anew."""
 
-    def __init__(self, limit: int = 1_500_000):
+    def __init__(self, limit: int = 700_000):
         self.limit = limit
         self._clear()
 

@@ -2,7 +2,7 @@
 
 The hash of each 5-word shingle (A-Z lowered; fewer words: all of them as one) is drawn once; its top bits
 choose a bin and each bin keeps its least hash. Empty bins are filled by optimal densification: bin i asks
-bins h(i, 1), h(i, 2), ... of a fixed hash until one was not empty. Of every bin the low bits are packed; the
+the bins in an order of its own, fixed by a hash, until one was not empty. Of every bin the low bits are packed; the
 share m of equal entries then estimates likeness as (m - 2**-b) / (1 - 2**-b), which takes away chance matches.
 
 Null and empty texts and texts without words have the empty fingerprint; two of those are alike (1), one of
@@ -26,6 +26,8 @@ from .common import LOWER, mix, prefix_hash, ragged, span_hash, utf8, words
 BINS, BITS, SHINGLE = 512, 4, 5
 _STEP = 0x9E3779B97F4A7C15
 _NONE = np.uint64(2**64 - 1)
+#: _ORDER[i, j]: how many bins an empty bin i asks before bin j.
+_ORDER = np.argsort(np.argsort(mix(np.arange(1, BINS * BINS + 1, dtype=np.uint64)).reshape(BINS, BINS), axis=1), axis=1).astype(np.int16)
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -57,16 +59,11 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     np.minimum.at(least, row * BINS + (h >> shift).astype(np.int64), h)
     least = least.reshape(n, BINS)
     full = least != _NONE
-    filled, some = least.copy(), full.any(axis=1)
-    left = ~full & some[:, None]
-    attempt = 1
-    while left.any():
-        source = (mix(np.arange(BINS, dtype=np.uint64) * np.uint64(0x100000001B3) + np.uint64(_STEP * (attempt + 64) & 2**64 - 1)) % np.uint64(BINS)).astype(np.int64)
-        found = left & full[:, source]
-        filled[found] = least[:, source][found]
-        left &= ~found
-        attempt += 1
-    out = ((filled >> np.uint64(17)) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    some = full.any(axis=1)
+    for r in np.flatnonzero(some & ~full.all(axis=1)):
+        there, empty = np.flatnonzero(full[r]), np.flatnonzero(~full[r])
+        least[r, empty] = least[r, there[_ORDER[empty][:, there].argmin(axis=1)]]
+    out = ((least >> np.uint64(17)) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     out[~some] = 255
     return out
 

@@ -8,8 +8,7 @@ more. In each pass the source's documents come in a permutation of blocks (doc_i
 block, of documents, both in order of an MD5; the last pass stops once its quota is reached, so its last
 document may exceed it by a part. `at` is the place in the mixture, the share of the source's quota before it.
 
-Token counts are words. A null source is a source of its own. Sources without words get no weight and are
-not scheduled; documents without words are scheduled with their source. Rows that repeat both doc_id and text are one
+Token counts are words, and one for a document without words. A null source is a source of its own. Rows that repeat both doc_id and text are one
 document; its rows are returned as often as it is scheduled, each. A null doc_id is block -1. An empty table
 gives an empty schedule. Only the named columns are read.
 """
@@ -71,7 +70,7 @@ def exponent(sizes: dict[str, int], target_entropy: float | None = None, limit:
 def light(docs: DataFrame) -> DataFrame:
     """doc_id, source, copy (hash of the text), n_tokens: one row for each document."""
     text = F.coalesce("text", F.lit(""))
-    n = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+    n = F.greatest(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(1)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64(text).alias("copy"), n.alias("n_tokens"))
     return rows.groupBy("doc_id", "copy", "n_tokens").agg(F.min("source").alias("source")).select("doc_id", "source", "copy", "n_tokens")
 
@@ -125,7 +124,7 @@ def sql(limit: float = REPEATS) -> str:
     """Schedule without hash columns in DuckDB SQL over documents, at a repetition limit and with the covering budget."""
     return f"""
 with recursive raw as (select doc_id, coalesce(text, '') as t, min(source) as source, coalesce('=' || min(source), '-') as s from documents group by doc_id, t),
-d as (select doc_id, source, s, t, len([x for x in regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+') if x <> ''])::bigint as n_tokens from raw),
+d as (select doc_id, source, s, t, greatest(len([x for x in regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+') if x <> '']), 1)::bigint as n_tokens from raw),
 sizes as (select * from (select s, sum(n_tokens)::bigint as size from d group by s) where size > 0),
 ends as (select max(size)::double as big, min(size)::double as small from sizes),
 b(i, low, high) as (

@@ -125,7 +125,7 @@ def _anchor_rows(bits: int):
     """Buckets 0.. hold intervals by their anchor's hash; those below 0 intervals already known to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=4_000_000):
+        for batch in pieces(batches, limit=1_500_000):
             data, offsets = utf8(batch.column("text"))
             doc, left, right, anchor, gram, span = anchors(data, offsets)
             if not len(doc):
@@ -178,7 +178,7 @@ def _meet(group: pa.Table) -> pa.Table:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in pieces(batches):
         body = pa.array([z.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != "text"), body], [*(n for n in batch.schema.names if n != "text"), "z"])
 
@@ -186,7 +186,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _snippets(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in pieces(batches, "z"):
             rows = []
             for d, c, body, open_ in zip(*(batch.column(n).to_pylist() for n in ("d", "c", "z", "open"))):
                 data = z.decompress(body)
@@ -211,7 +211,7 @@ def _refine(group: pa.Table) -> pa.Table:
     k = 0
     while k < len(edges) - 1:
         j = k + 1
-        while j < len(edges) - 1 and offsets[edges[j + 1]] - offsets[edges[k]] < 2_000_000:
+        while j < len(edges) - 1 and offsets[edges[j + 1]] - offsets[edges[k]] < 400_000:
             j += 1
         rows = slice(edges[k], edges[j])
         offs = offsets[edges[k] : edges[j] + 1]
@@ -251,7 +251,7 @@ def repeated(keyed: DataFrame) -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch], keep: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in pieces(batches, "z", 1_000_000):
         n_bytes, removed, spans, hashes, kept = [], [], [], [], []
         for body, codes in zip(batch.column("z").to_pylist(), batch.column("codes")):
             data = z.decompress(body)

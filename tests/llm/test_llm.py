@@ -256,7 +256,7 @@ def test_mixing_against_sql(spark, docs):
     db.register("documents", docs.toPandas())
     found = mixing.schedule(docs).drop("copy")
     columns = sorted(found.columns)
-    want = db.execute(f"select {', '.join(columns)} from ({mixing.sql()})").fetchall()
+    want = db.execute(f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({mixing.sql()})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in found.select(*columns).collect()))) == sorted(map(repr, want))
     times = Counter(r["doc_id"] for r in found.collect())
     assert set(times) == {r[0] for r in ROWS}
