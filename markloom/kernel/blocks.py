@@ -49,6 +49,7 @@ class Block:
     lines: list = field(default_factory=list)  # (text, place in the document)
     parent: object = None
     blank: bool = False  # a blank line was last in it
+    open: bool = True
     level: int = 0
     info: str = ""
     fence: str = ""
@@ -226,9 +227,16 @@ class Parser:
             line.skip(1)
 
     def line(self, s: str, at: int) -> None:
+        if s and s[0].isalpha() and (self.tip is self.root or self.tip.kind == "paragraph" and self.tip.parent is self.root):
+            # a letter starts nothing but text
+            if self.tip is self.root:
+                self.tip = self.root.add(Block("paragraph", at))
+            self.tip.lines.append((s[:-1] if s[-1] == "\r" else s, at))
+            self.tip.blank = self.root.blank = False
+            return
         line = Line(s, at)
         b = self.root
-        while b.children and (last := b.children[-1]) in self.open:
+        while b.children and (last := b.children[-1]).open:
             if last.kind not in CONTAINERS:
                 break
             if not self.continues(last, line):
@@ -247,14 +255,6 @@ class Parser:
         if not self.starts(matched, line, leaf):
             self.mark(self.tip, False)
 
-    @property
-    def open(self) -> list[Block]:
-        out, b = [], self.tip
-        while b is not None:
-            out.append(b)
-            b = b.parent
-        return out
-
     def inside(self, leaf: Block, line: Line) -> bool:
         """A line of an open code or HTML block, or its end."""
         if leaf.kind == "html":
@@ -484,7 +484,7 @@ class Parser:
         holder = b
         if b.kind not in ("list",):
             last = b.children[-1] if b.children else None
-            holder = last if last is not None and last.kind == "list" and last in self.open else b
+            holder = last if last is not None and last.kind == "list" and last.open else b
         same = holder.kind == "list" and holder.ordered == ordered and holder.mark == mark
         if not same and self.depth(b) >= DEEPEST:
             return None
@@ -558,7 +558,7 @@ class Parser:
             p.lines = p.lines[n:]
 
     def finish(self, b: Block) -> None:
-        parent = b.parent
+        parent, b.open = b.parent, False
         if b.kind == "paragraph":
             self.strip_references(b)
             if b.lines:

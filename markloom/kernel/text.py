@@ -11,8 +11,6 @@ SAFE_SCHEMES = ("ftp", "geo", "http", "https", "irc", "ircs", "mailto", "matrix"
 DISALLOWED_TAGS = ("title", "textarea", "style", "xmp", "iframe", "noembed", "noframes", "script", "plaintext")
 LONGEST_SCHEME = 16
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_TEXT = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"})
-_ATTR = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"})
 _ENTITY = re.compile(r"&(?:#[xX]([0-9a-fA-F]{1,6})|#([0-9]{1,7})|([A-Za-z][A-Za-z0-9]{0,47}));")
 _UNESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
 _DISALLOWED = re.compile(rf"<(?=/?(?:{'|'.join(DISALLOWED_TAGS)})(?:[ \t\n\r>/]|\Z))", re.I)
@@ -20,11 +18,11 @@ _FRONT = re.compile(r"\A(-{3}|\+{3})[ \t]*\r?\n((?:.*?\n)??)\1[ \t]*(?:\r?\n|\Z)
 
 
 def escape_text(s: str) -> str:
-    return s.translate(_TEXT)
+    return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 
 
 def escape_attr(s: str) -> str:
-    return s.translate(_ATTR)
+    return escape_text(s).replace("'", "&#39;")
 
 
 def _decoded(m: re.Match) -> str:
