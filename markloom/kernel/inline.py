@@ -98,7 +98,7 @@ def literals(s: str) -> dict[int, tuple[int, str]]:
         else:
             url = url.rstrip(".-")
             name, _, domain = url.partition("@")
-            if "." not in domain or domain.startswith(".") or m[0][len(url) :][:1] in ("-", "_") or (a and s[a - 1] == "/"):
+            if "." not in domain or domain.startswith(".") or m[0][len(url) :][:1] in ("-", "_"):
                 continue
         out[a] = (a + len(url), kind)
         at = a + len(url)
