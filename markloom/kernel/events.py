@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .blocks import Block, Parser, split_row
 from .inline import parse_inline
-from .mdx import byte_offsets, diagnostics, segments
+from .mdx import byte_offsets, diagnostics, expression_end, segments, tag_at
 from .options import DEFAULT, Options
 from .render import parse_blocks
 from .text import front_matter
@@ -49,9 +49,58 @@ def inline_events(s: str, opts: Options = DEFAULT, refs: dict | None = None, not
     return out
 
 
+def split_mdx(s: str, found: list[dict]) -> list[dict]:
+    """Takes expressions and tags out of text events."""
+    out = []
+    for e in found:
+        if e["kind"] != "Text":
+            out.append(e)
+            continue
+        begin, i, end = e["start"], e["start"], e["end"]
+        part = s[:end]
+        while i < end:
+            stop, kind = None, None
+            if part[i] == "{":
+                stop, kind = expression_end(part, i), "MdxExpression"
+            elif part[i] == "<" and (tag := tag_at(part, i)):
+                stop, kind = tag.end, "MdxJsxClose" if tag.closing else "MdxJsxSelfClose" if tag.empty else "MdxJsxOpen"
+            if stop is None:
+                i += 1
+                continue
+            if begin < i:
+                out.append(e | {"start": begin, "end": i})
+            out.append({"layer": "inline", "kind": kind, "start": i, "end": stop, "text": part[i:stop]})
+            begin = i = stop
+        if begin < end:
+            out.append(e | {"start": begin, "end": end})
+    return out
+
+
+def promoted(s: str, found: list[dict]) -> list[dict]:
+    """A container's paragraph of one tag or expression alone becomes a flow event."""
+    out, depth, k = [], 0, 0
+    while k < len(found):
+        kind = found[k]["kind"]
+        if kind == "ParagraphStart" and depth:
+            end = next(i for i in range(k, len(found)) if found[i]["kind"] == "ParagraphEnd")
+            rest = [e for e in found[k + 1 : end] if not (e["kind"] == "SoftBreak" or e["kind"] == "Text" and not s[e["start"] : e["end"]].strip(" \t\r\n\f"))]
+            if len(rest) == 1 and rest[0]["kind"].startswith("Mdx"):
+                name = rest[0]["kind"].removeprefix("Mdx")
+                out.append(rest[0] | {"layer": "mdx", "kind": "Flow" + name})
+                k = end + 1
+                continue
+        if kind in ("BlockQuoteStart", "ListItemStart", "DefinitionDescriptionStart"):
+            depth += 1
+        elif kind in ("BlockQuoteEnd", "ListItemEnd", "DefinitionDescriptionEnd"):
+            depth -= 1
+        out.append(found[k])
+        k += 1
+    return out
+
+
 class _Blocks:
-    def __init__(self, parser: Parser, opts: Options, inline: bool):
-        self.p, self.o, self.inline, self.out = parser, opts, inline, []
+    def __init__(self, parser: Parser, opts: Options, inline: bool, mdx: bool = False):
+        self.p, self.o, self.inline, self.mdx, self.out = parser, opts, inline, mdx, []
 
     def add(self, kind: str, **more) -> None:
         self.out.append({"layer": "block", "kind": kind} | more)
@@ -68,7 +117,8 @@ class _Blocks:
                 a, b = next(p for p in reversed(starts) if p[0] <= k)
                 return b + k - a
 
-            for e in inline_events(s, self.o, self.p.refs, self.p.notes if self.o.footnotes else None):
+            found = inline_events(s, self.o, self.p.refs, self.p.notes if self.o.footnotes else None)
+            for e in split_mdx(s, found) if self.mdx else found:
                 e["start"], e["end"] = place(e["start"]), place(max(e["end"] - 1, e["start"])) + (e["end"] > e["start"])
                 self.out.append(e)
             return
@@ -199,9 +249,10 @@ def mdx_events(s: str | None, strict: bool = False) -> list[dict]:
             continue
         root, p = parsed[k]
         p.refs = refs
-        w = _Blocks(p, opts, True)
+        w = _Blocks(p, opts, True, True)
         for b in root.children:
             w.walk(b)
+        w.out = promoted(x.text, w.out)
         for e in w.out:
             for f in ("start", "end"):
                 if e.get(f) is not None:

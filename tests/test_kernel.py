@@ -237,3 +237,12 @@ def test_mdx_events():
     assert link["url"] == "/u" and link["start"] == 19
     with pytest.raises(ValueError):
         events.mdx_events("<A>", strict=True)
+
+
+def test_mdx_inline_events():
+    kinds = lambda s: [(e["kind"], e.get("text")) for e in events.mdx_events(s) if e["kind"].startswith(("Mdx", "Flow"))]
+    assert kinds("Hello {user.name}!") == [("MdxExpression", "{user.name}")]
+    assert kinds('Read <Badge>it</Badge> and <Icon name="b" />.') == [("MdxJsxOpen", "<Badge>"), ("MdxJsxClose", "</Badge>"), ("MdxJsxSelfClose", '<Icon name="b" />')]
+    assert kinds("> <Card />\n>\n> {x}\n>\n> a {y}") == [("FlowJsxSelfClose", "<Card />"), ("FlowExpression", "{x}"), ("MdxExpression", "{y}")]
+    assert kinds("Broken {user and <Badge prop=") == []
+    assert kinds("`{literal}` \\{escaped\\}") == []
