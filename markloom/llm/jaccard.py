@@ -313,7 +313,7 @@ def join(docs: DataFrame) -> DataFrame:
     placed = placed.drop("y", "kind").join(maps, "x").withColumn("earlier", earlier).drop("prefix")
     close = placed.groupBy("bucket").applyInArrow(_across, "x long, y long").distinct()
     more = table(_links(close, texts), "more")
-    labels = components(near.unionAll(more))
+    labels = components(more, labels)
     least = first.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = least.groupBy("label").agg(F.min("least").alias("component"))
     of = least.select("node", "label").join(lowest, "label").select("node", "component")
