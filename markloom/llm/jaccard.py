@@ -123,7 +123,8 @@ def _postings(width: int):
         for batch in pieces(batches, column="prefix", limit=4_000_000):
             lists = batch.column("prefix").to_pylist()
             sizes = np.array([len(x) // 8 for x in lists], np.int64)
-            token = np.frombuffer(b"".join(lists), np.uint64)
+            # prefixes hold the least hashes, so these are mixed once more to be dealt evenly
+            token = mix(np.frombuffer(b"".join(lists), np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             own = np.repeat(np.arange(len(lists), dtype=np.uint32), sizes)
             pos = ragged(np.zeros(len(sizes), np.int64), sizes).astype(np.uint32)
             order = np.argsort(token, kind="stable")
