@@ -23,6 +23,9 @@ LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one under the warehouse where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,16 +38,16 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cuts lineage: writes df as Parquet to the shared folder and reads it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Removes the files of a table() that is no longer needed."""
-    spark = df.sparkSession
+def clear_tables(spark: SparkSession) -> None:
+    """Removes what table() has written from this process; results that read it can no longer be computed."""
     jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SpanCache, mix, pieces, powers, shared_folder, utf8, words
+from .common import SpanCache, mix, pieces, powers, shared_folder, table, utf8, words
 
 WINDOW, MASK_BITS, LEAST, MOST = 16, 10, 128, 8192
 DIGEST = 16
@@ -150,8 +150,7 @@ def _documents(raw: DataFrame, folder: str) -> None:
     """Recipes in ascending doc_id order, with the number of ids before each document."""
     docs = raw.where("kind = 'document'").select("doc_id", F.col("key").alias("row"), F.col("n").alias("n_tokens"), "root", F.col("payload").alias("recipe"))
     order = ["doc_id", "row"]
-    docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}-parts")
-    parts = raw.sparkSession.read.schema(docs.schema.add("part", "integer")).parquet(f"{folder}-parts")
+    parts = table(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "parts")
     sums = parts.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
