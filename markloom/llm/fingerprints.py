@@ -185,4 +185,4 @@ def compare(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bounds, firsts = _bounds(docs, parts)
     dealt = docs.mapInArrow(_deal(bounds, firsts), "shard long, halo boolean, doc_id long, tie binary, z binary")
-    return dealt.repartition(parts, "shard").sortWithinPartitions("shard", "halo", "doc_id", "tie").mapInArrow(_neighbours, RESULT)
+    return dealt.repartitionById(parts, F.col("shard").cast("int")).sortWithinPartitions("shard", "halo", "doc_id", "tie").mapInArrow(_neighbours, RESULT)
