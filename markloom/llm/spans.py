@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
+
 SPAN, LONG, LEAST = 3, 160, 40
 BLANK = r"[ \t\x0B\x0C\r]+"
 CUTS = ",;:|aents"
-SENTENCE = rf"[\s\S]*?(?:[.!?]{BLANK}|\n)|[\s\S]+"
-PIECE = rf"[\s\S]*?[{CUTS}]{BLANK}|[\s\S]+"
+STOP, PIECE_STOP, MARK = rf"[.!?]{BLANK}|\n", rf"[{CUTS}]{BLANK}", "\x01"
+SENTENCE, PIECE = rf"[\s\S]*?(?:{STOP})|[\s\S]+", rf"[\s\S]*?{PIECE_STOP}|[\s\S]+"
 
 
 def let(value: Column, f) -> Column:
@@ -30,11 +32,20 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def _cut(text: Column, stop: str, piece: str) -> Column:
+    """Array of the text's parts, cut behind each match of stop; joined they are the text.
+
+    A mark is put behind the stops and the text split there, which Java does much faster than matching the
+    parts; a text that has the mark itself is matched.
+    """
+    marked = F.filter(F.split(F.regexp_replace(text, f"({stop})", f"$1{MARK}"), MARK), lambda s: s != "")
+    return F.when(F.instr(text, MARK) > 0, F.regexp_extract_all(text, F.lit(piece), F.lit(0))).otherwise(marked)
+
+
 def sentences(text: Column) -> Column:
     """Array of sentences; joined they are the text."""
-    whole = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    cut = lambda s: F.when(F.length(s) > LONG, F.regexp_extract_all(s, F.lit(PIECE), F.lit(0))).otherwise(F.array(s))
-    return F.flatten(F.transform(whole, cut))
+    cut = lambda s: F.when(F.length(s) > LONG, _cut(s, PIECE_STOP, PIECE)).otherwise(F.array(s))
+    return F.flatten(F.transform(_cut(text, STOP, SENTENCE), cut))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -70,7 +81,7 @@ def runs(keyed: DataFrame) -> DataFrame:
 
 def repeated(keyed: DataFrame) -> DataFrame:
     """d, c, at (sorted positions of runs that are not the first of their kind)."""
-    found = runs(keyed)
+    found = table(runs(keyed), "runs")
     shared = found.groupBy("h", "g").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("h", "g", "first")
     later = found.where("not again").join(shared, ["h", "g"]).where("d > first").select("d", "c", "pos")
     return later.unionAll(found.where("again").select("d", "c", "pos")).groupBy("d", "c").agg(F.sort_array(F.collect_set("pos")).alias("at"))

@@ -46,7 +46,7 @@ def corpus(seed=1, n=60):
         elif k % 5 == 3:
             t = t[: len(t) // 2] + passage + t[len(t) // 2 :]
         texts.append(t)
-    texts += ["", None, "   \n\t", "one", "a b c d", "ab " * 400, "é" * 300, "👍🏽 ok  \x00 end", "".join(sentence() for _ in range(400)), "### $$ 12 34"]
+    texts += ["", None, "   \n\t", "one", "a b c d", "ab " * 400, "é" * 300, "👍🏽 ok  \x00 end", "a b c d e f. \x01 g h i j k l! m n o\x01 p q r\n" * 5, "".join(sentence() for _ in range(400)), "### $$ 12 34"]
     langs = ["de", "en", None]
     return [(3 * k + 1, t, langs[k % 3], f"s{min(k % 7, 3)}", len(t or ""), 0.5) for k, t in enumerate(texts)]
 
