@@ -6,6 +6,7 @@ hashes of the word's bytes, mixed; two different words get the same hash with a
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -51,6 +52,15 @@ def clear_tables(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives memory that is free inside this worker back to the machine, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with every C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that column has at most limit bytes in each; a longer row stands alone."""
     for batch in batches:
@@ -64,6 +74,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+    release()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +172,7 @@ def binary_rows(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 class SpanCache:
     """Ids of spans already encoded, by the spans' hashes. It only saves time: past `limit` spans it starts anew."""
 
-    def __init__(self, limit: int = 700_000):
+    def __init__(self, limit: int = 250_000):
         self.limit = limit
         self._clear()
 
