@@ -7,8 +7,8 @@ shingle among the first n - ceil(0.8 n) + 1 of both, so index lists hold those o
 * Equal sets are one node. Their answers are the same.
 * Each list, sorted by size, is a row of blocks; a pair is skipped, a block at a time, where sizes or the two
   positions of the shared shingle leave no room for enough common shingles.
-* First each list's sets are checked against the list's leader only (the node of the least hash, so that a
-  group of near copies has few leaders). Sets found similar to the leader take over its component.
+* First each list's sets are checked against the list's leader only (the one with the fewest rarer shingles, so
+  most like the original of a group of near copies, and of these the least hash, so that a group has few leaders). Sets found similar to the leader take over its component.
 * Then all pairs of a list that still lie in different components are candidates; parity bitmaps (an exact
   bound on the difference) drop most, the others are checked. Within a component nothing is checked again, so
   groups of copies cost a star, not all their pairs, and no link between components is missed.
@@ -159,7 +159,7 @@ def _meet(group: pa.Table) -> pa.Table:
     parts = [unpack(b) for b in group.column("body").to_pylist()]
     token, pos = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int64)
     node, n = np.concatenate([p[3][p[1]] for p in parts]), np.concatenate([p[4][p[1]] for p in parts]).astype(np.int64)
-    order = np.lexsort((mix(node.view(np.uint64)), token))
+    order = np.lexsort((mix(node.view(np.uint64)), pos, token))
     token, pos, node, n = token[order], pos[order], node[order], n[order]
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
