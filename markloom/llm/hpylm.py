@@ -8,9 +8,9 @@ restaurant given all others, by the exact conditional of their number of tables
 numbers) up to `EXACT` customers, and beyond by seating them in order, in growing blocks. After `BURN` sweeps
 `SAMPLES` seatings are kept and their predictive probabilities averaged.
 
-Words are dealt to buckets by hash, so a word's whole hierarchy sits in one bucket; while sampling, a
-restaurant's other tables are taken as the bucket's times the number of buckets, and the exact sums over all
-buckets are used for prediction, so probabilities of a seating sum to 1. Words with over 1/`HOT` of all
+Words are dealt to `1 << BITS` buckets by hash, so a word's whole hierarchy sits in one bucket. After each sweep
+the customers and tables of every restaurant are summed over all buckets; the next sweep and prediction use
+these exact sums, so probabilities of a seating sum to 1. Words with over 1/`HOT` of all
 training tokens (at most `HOT` of them) are scored where the texts are read, the others in their buckets, where
 counts for each text and context meet the bucket's seatings. Words are known by 52 bits of a hash.
 
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, mix, pieces, prefix_hash, span_hash, table, utf8, words
 
 CONTEXTS, BURN, SAMPLES, EXACT, HOT = 4096, 4, 4, 24, 1000
+BITS = 8  # of the bucket's number; results depend on it, so it is not taken from the session
 THETA, DISCOUNT = (20.0, 5.0, 2.0), (0.7, 0.8, 0.85)  # root, last byte, last bytes
 END = np.uint64(0x5EED_0E4D_0000_0000)
 LOW = np.uint64(CONTEXTS - 1)
@@ -132,28 +133,41 @@ class Hierarchy:
         self.up1, self.up0 = up1, up0
         self.ctx2, self.ctx1 = (keys & LOW).astype(np.int64), (self.keys1 & np.uint64(255)).astype(np.int64)
 
-    def sample(self, scale: int, seed: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        rng = np.random.default_rng(seed)
-        t2, t1, t0 = np.ones(len(self.keys), np.int64), np.ones(len(self.keys1), np.int64), np.ones(len(self.keys0), np.int64)
-        known = [stirling(d, EXACT) for d in DISCOUNT]
-        out = []
-        for sweep in range(BURN + SAMPLES):
-            s2 = scale * np.bincount(self.ctx2, weights=t2, minlength=CONTEXTS)
-            s1 = scale * np.bincount(self.ctx1, weights=t1, minlength=256)
-            m1 = s2.reshape(256, -1).sum(1)
-            s0, m0, uniform = scale * t0.sum(), s1.sum(), 1 / (scale * len(t0) + 1)
-            c1 = np.bincount(self.up1, weights=t2, minlength=len(t1))
-            c0 = np.bincount(self.up0, weights=t1, minlength=len(t0))
-            p0 = (c0 - DISCOUNT[0] * t0 + (THETA[0] + DISCOUNT[0] * s0) * uniform) / (THETA[0] + m0)
-            pull1 = (THETA[1] + DISCOUNT[1] * s1[self.ctx1]) * p0[self.up0]
-            p1 = (c1 - DISCOUNT[1] * t1 + pull1) / (THETA[1] + m1[self.ctx1])
-            t2 = seat(self.c2, (THETA[2] + DISCOUNT[2] * s2[self.ctx2]) * p1[self.up1], DISCOUNT[2], known[2], rng)
-            t1 = seat(np.bincount(self.up1, weights=t2, minlength=len(t1)).astype(np.int64), pull1, DISCOUNT[1], known[1], rng)
-            c0 = np.bincount(self.up0, weights=t1, minlength=len(t0)).astype(np.int64)
-            t0 = seat(c0, np.full(len(c0), (THETA[0] + DISCOUNT[0] * s0) * uniform), DISCOUNT[0], known[0], rng)
-            if sweep >= BURN:
-                out.append((t2, t1, t0))
-        return out
+    def start(self) -> list[np.ndarray]:
+        return [np.ones(len(k), np.int64) for k in (self.keys, self.keys1, self.keys0)]
+
+    def sums(self, c2: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        """Customers of the contexts, tables of every restaurant and the number of words, to be added over all buckets."""
+        t2, t1, t0 = tables
+        of = lambda at, x, n: np.bincount(at, weights=x, minlength=n)
+        return np.concatenate([of(self.ctx2, c2, CONTEXTS), of(self.ctx2, t2, CONTEXTS), of(self.ctx1, t1, 256), [t0.sum(), len(t0)]])
+
+    def pulls(self, tables: list[np.ndarray], sums: np.ndarray) -> list[np.ndarray]:
+        """Weights of a new table at each level, given the tables of all buckets."""
+        t2, t1, t0 = tables
+        s2, s1, s0, v = sums[CONTEXTS : 2 * CONTEXTS], sums[2 * CONTEXTS : -2], sums[-2], sums[-1]
+        m1, m0 = s2.reshape(256, -1).sum(1), s1.sum()
+        c1 = np.bincount(self.up1, weights=t2, minlength=len(t1))
+        c0 = np.bincount(self.up0, weights=t1, minlength=len(t0))
+        pull0 = np.full(len(t0), (THETA[0] + DISCOUNT[0] * s0) / (v + 1))
+        p0 = (c0 - DISCOUNT[0] * t0 + pull0) / (THETA[0] + m0)
+        pull1 = (THETA[1] + DISCOUNT[1] * s1[self.ctx1]) * p0[self.up0]
+        p1 = (c1 - DISCOUNT[1] * t1 + pull1) / (THETA[1] + m1[self.ctx1])
+        return [(THETA[2] + DISCOUNT[2] * s2[self.ctx2]) * p1[self.up1], pull1, pull0]
+
+    def reseat(self, c2: np.ndarray, pulls: list[np.ndarray], known: list[np.ndarray], rng: np.random.Generator) -> list[np.ndarray]:
+        t2 = seat(c2, pulls[0], DISCOUNT[2], known[2], rng)
+        t1 = seat(np.bincount(self.up1, weights=t2, minlength=len(self.keys1)).astype(np.int64), pulls[1], DISCOUNT[1], known[1], rng)
+        t0 = seat(np.bincount(self.up0, weights=t1, minlength=len(self.keys0)).astype(np.int64), pulls[2], DISCOUNT[0], known[0], rng)
+        return [t2, t1, t0]
+
+    def sample(self, scale: int, seed: int) -> list[list[np.ndarray]]:
+        """All sweeps over this bucket as one of `scale` equal ones."""
+        rng, known, tables, out = np.random.default_rng(seed), [stirling(d, EXACT) for d in DISCOUNT], self.start(), []
+        for _ in range(BURN + SAMPLES):
+            tables = self.reseat(self.c2, self.pulls(tables, scale * self.sums(self.c2, tables)), known, rng)
+            out.append(tables)
+        return out[BURN:]
 
 
 class Totals:
@@ -208,31 +222,72 @@ def _count(bits: int):
     return run
 
 
-def _seatings(bits: int):
-    def run(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
-        parts = [unpack(b) for b in group.column("body").to_pylist()]
-        keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        counts = np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.uint32)
-        tree = Hierarchy(keys, counts)
-        kept = tree.sample(1 << bits, zlib.crc32(bucket.to_bytes(4, "little")))
-        flat = [np.bincount(tree.ctx2, weights=tree.c2, minlength=CONTEXTS), [tree.c2.sum(), len(tree.keys0)]]
-        for t2, t1, t0 in kept:
-            flat += [np.bincount(tree.ctx2, weights=t2, minlength=CONTEXTS), np.bincount(tree.ctx1, weights=t1, minlength=256), [t0.sum()]]
-        body = pack(keys, counts, *[x.astype(np.uint32) for t in kept for x in t], np.concatenate(flat))
-        by_word = np.bincount(tree.up0[tree.up1], weights=tree.c2)
-        top = np.argsort(-by_word, kind="stable")[:HOT]
-        return pa.table([pa.array([bucket], pa.int32()), pa.array([body], pa.binary()), pa.array([tree.keys0[top].view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([by_word[top].astype(np.int64).tolist()], pa.list_(pa.int64()))], ["bucket", "body", "top", "top_counts"])
+def _opened(group: pa.Table) -> pa.Table:
+    """A bucket with one table to a dish, and its share of the sums."""
+    bucket = group.column("bucket")[0].as_py()
+    parts = [unpack(b) for b in group.column("body").to_pylist()]
+    keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.uint32)
+    tree = Hierarchy(keys, counts)
+    tables = tree.start()
+    body = pack(keys, counts, *[t.astype(np.uint32) for t in tables])
+    return pa.table([pa.array([bucket], pa.int32()), pa.array([body], pa.binary()), pa.array([pack(tree.sums(tree.c2, tables))], pa.binary())], ["bucket", "body", "sums"])
+
+
+def _swept(sweep: int, shipped):
+    """One sweep of every bucket, given the sums over all of them; seatings from BURN on are kept behind the last one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [stirling(d, EXACT) for d in DISCOUNT]
+        for batch in batches:
+            for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
+                keys, counts, *tables = unpack(body)
+                tree = Hierarchy(keys, counts)
+                rng = np.random.default_rng([zlib.crc32(bucket.to_bytes(4, "little")), sweep])
+                last = tree.reseat(tree.c2, tree.pulls([t.astype(np.int64) for t in tables[-3:]], shipped.value), known, rng)
+                body = pack(keys, counts, *(tables if sweep > BURN else []), *[t.astype(np.uint32) for t in last])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([body], pa.binary()), pa.array([pack(tree.sums(tree.c2, last))], pa.binary())], ["bucket", "body", "sums"])
 
     return run
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
     for batch in batches:
-        for body in batch.column("body").to_pylist():
-            flat = unpack(body)[-1]
-            i = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(flat[i])], ["i", "v"])
+        for body in batch.column("sums").to_pylist():
+            total = unpack(body)[0] if total is None else total + unpack(body)[0]
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+
+
+def sums(state: DataFrame) -> np.ndarray:
+    """The sums over all buckets; a fixed number of values, all whole numbers, so that their order does not matter."""
+    out = np.zeros(2 * CONTEXTS + 256 + 2)
+    for r in state.select("sums").mapInArrow(_added, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each bucket's most frequent words and their counts."""
+    for batch in batches:
+        for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
+            tree = Hierarchy(*unpack(body)[:2])
+            by_word = np.bincount(tree.up0[tree.up1], weights=tree.c2)
+            top = np.argsort(-by_word, kind="stable")[:HOT]
+            yield pa.RecordBatch.from_arrays([pa.array([tree.keys0[top].view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([by_word[top].astype(np.int64).tolist()], pa.list_(pa.int64()))], ["top", "top_counts"])
+
+
+def sampled(counts: DataFrame) -> tuple[DataFrame, list[np.ndarray]]:
+    """bucket, body (pairs, counts and the kept seatings), and the sums of each kept seating."""
+    spark = counts.sparkSession
+    state = table(counts.groupBy("bucket").applyInArrow(_opened, "bucket int, body binary, sums binary"), "seatings")
+    found = [sums(state)]
+    for sweep in range(BURN + SAMPLES):
+        shipped = spark.sparkContext.broadcast(found[-1])
+        state = table(state.select("bucket", "body").mapInArrow(_swept(sweep, shipped), "bucket int, body binary, sums binary"), "seatings")
+        found.append(sums(state))
+    return state.select("bucket", "body"), found[-SAMPLES:]
 
 
 class Bucket:
@@ -323,16 +378,14 @@ def _parts(totals: Totals):
 def score(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text), see RESULT; log10 probabilities of whole texts."""
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = max(4, (parts - 1).bit_length())
+    bits = BITS
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     counts = docs.where("not held_out").select("text").mapInArrow(_count(bits), "bucket int, body binary")
-    made = counts.groupBy("bucket").applyInArrow(_seatings(bits), "bucket int, body binary, top array<long>, top_counts array<long>")
-    model = table(made, "seatings")
-    sums = model.select("body").mapInArrow(_sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
-    totals = Totals([(r["i"], r["v"]) for r in sums.collect()])
+    model, kept = sampled(counts)
+    totals = Totals(list(enumerate(np.concatenate([kept[0][:CONTEXTS], [kept[0][:CONTEXTS].sum(), kept[0][-1]], *[x[CONTEXTS:-1] for x in kept]]))))
     frequent = F.filter(F.arrays_zip("top", "top_counts"), lambda x: x["top_counts"] * HOT > totals.n)
-    found = model.select(F.explode(frequent).alias("x")).select("x.top", "x.top_counts").collect()  # fewer than HOT words
+    tops = model.mapInArrow(_tops, "top array<long>, top_counts array<long>")
+    found = tops.select(F.explode(frequent).alias("x")).select("x.top", "x.top_counts").collect()  # fewer than HOT words
     hot = np.array(sorted(r["top"] for r in found), np.int64).view(np.uint64)
     hot_counts = np.array([r["top_counts"] for r in sorted(found, key=lambda r: np.uint64(r["top"] % 2**64))], np.int64)
     hot = np.sort(hot)

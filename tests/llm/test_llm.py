@@ -226,6 +226,18 @@ def test_predictions_of_a_seating_sum_to_one():
         assert known.sum() + unknown.sum() == pytest.approx(1)
 
 
+def test_scores_do_not_depend_on_shuffle_partitions(spark, docs):
+    found = []
+    for parts in ("3", "70"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found.append({k: r["score"] for k, r in by_id(hpylm.score(docs)).items()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == pytest.approx(found[1], rel=1e-12)
+
+
 def test_stirling_numbers():
     s = np.exp(hpylm.stirling(0.5, 4))
     assert s[2, 1] == pytest.approx(0.5) and s[3, 2] == pytest.approx(1.5) and s[4, 4] == pytest.approx(1)
