@@ -1,18 +1,19 @@
 """A hierarchical Pitman-Yor language model of words.
 
-A word (A-Z lowered) is drawn in the restaurant of what precedes it: `CONTEXTS` restaurants for the last bytes
-of the word before, whose parents are 256 restaurants for its last byte, whose parent is one root restaurant
-over a uniform choice of the V known words and one unknown. Customers of a restaurant sit at tables of its
-dish; every table sends one customer to the parent. Gibbs sweeps re-seat all customers of a dish in a
-restaurant given all others, by the exact conditional of their number of tables (generalised Stirling
-numbers) up to `EXACT` customers, and beyond by seating them in order, in growing blocks. After `BURN` sweeps
-`SAMPLES` seatings are kept and their predictive probabilities averaged.
-
-Words are dealt to `1 << BITS` buckets by hash, so a word's whole hierarchy sits in one bucket. After each sweep
-the customers and tables of every restaurant are summed over all buckets; the next sweep and prediction use
-these exact sums, so probabilities of a seating sum to 1. Words with over 1/`HOT` of all
-training tokens (at most `HOT` of them) are scored where the texts are read, the others in their buckets, where
-counts for each text and context meet the bucket's seatings. Words are known by 52 bits of a hash.
+A word (A-Z lowered) is drawn in the restaurant of the whole word before it, so restaurants grow with the data.
+Its parents are shorter contexts: `CONTEXTS` restaurants for the last bytes of the word before, 256 for its last
+byte, and one root restaurant over a uniform choice of the V known words and one unknown. Customers of a
+restaurant sit at tables of its dish; every table sends one customer to the parent. Gibbs sweeps re-seat all
+customers of a dish in a restaurant given all others, by the exact conditional of their number of tables
+(generalised Stirling numbers) up to `EXACT` customers, and beyond by seating them in order, in growing blocks.
+After `BURN` sweeps `SAMPLES` seatings are kept and their predictive probabilities averaged.
+
+Pairs (word, word before) are dealt to `1 << BITS` buckets by the word's hash, so a word's whole hierarchy sits in
+one bucket. After each sweep the tables of every restaurant are summed over all buckets: those of the shorter
+contexts in a table of fixed size, those of whole words in groups of contexts (`1 << GROUP_BITS`), which answer each
+bucket's list of contexts. The next sweep and prediction use these exact sums, so probabilities of a seating sum
+to 1. Pairs of held-out texts take part with no customers, so that every pair is priced once, in its bucket; prices
+meet the texts by a hash of the pair. Words are known by 52 bits of a hash.
 
 The start of a text is a context of its own; the end is a token. Null and empty texts have the end alone.
 Training takes the rows whose crc32 of doc_id (as text) modulo 7 is not 2; a null doc_id trains. Without training
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, mix, pieces, prefix_hash, span_hash, table, utf8, words
 
-CONTEXTS, BURN, SAMPLES, EXACT, HOT = 4096, 4, 4, 24, 1000
-BITS = 8  # of the bucket's number; results depend on it, so it is not taken from the session
-THETA, DISCOUNT = (20.0, 5.0, 2.0), (0.7, 0.8, 0.85)  # root, last byte, last bytes
+CONTEXTS, BURN, SAMPLES, EXACT = 4096, 4, 4, 24
+BITS, GROUP_BITS, ROOM = 8, 5, 2_000_000  # results depend on BITS, so it is not taken from the session
+THETA, DISCOUNT = (20.0, 5.0, 2.0, 2.0), (0.7, 0.8, 0.85, 0.9)  # root, last byte, last bytes, whole word
 END = np.uint64(0x5EED_0E4D_0000_0000)
 LOW = np.uint64(CONTEXTS - 1)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -67,8 +68,8 @@ def unpack(body: bytes) -> list[np.ndarray]:
     return out
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all tokens (52 bits of word, 8 of the last byte before it, 4 of the bytes before that), and where each text starts."""
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all tokens (52 bits of word, 8 of the last byte before it, 4 of the bytes before that), the whole words before them (52 bits), and where each text starts."""
     data, offsets = utf8(column)
     data = LOWER[data]
     starts, ends, first = words(data, offsets)
@@ -87,7 +88,24 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     context = np.zeros(n + rows, np.uint64)
     context[1:] = before[:-1]
     context[at[:-1]] = 0
-    return (out & ~LOW) | context, at
+    whole = np.zeros(n + rows, np.int64)
+    whole[1:] = (out[:-1] >> np.uint64(12)).view(np.int64)
+    whole[at[:-1]] = 0
+    return (out & ~LOW) | context, whole, at
+
+
+def grouped(keys: np.ndarray, whole: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, and the sums of their counts."""
+    order = np.lexsort((whole, keys))
+    keys, whole = keys[order], whole[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (whole[1:] != whole[:-1])
+    first = np.flatnonzero(new)
+    return keys[first], whole[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+
+
+def pair(keys: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return mix(keys ^ mix(whole.view(np.uint64)))
 
 
 def stirling(d: float, n: int) -> np.ndarray:
@@ -155,6 +173,10 @@ class Hierarchy:
         p1 = (c1 - DISCOUNT[1] * t1 + pull1) / (THETA[1] + m1[self.ctx1])
         return [(THETA[2] + DISCOUNT[2] * s2[self.ctx2]) * p1[self.up1], pull1, pull0]
 
+    def inner(self, c2: np.ndarray, tables: list[np.ndarray], pulls: list[np.ndarray], sums: np.ndarray) -> np.ndarray:
+        """Probability of each pair's word after its shorter context."""
+        return (c2 - DISCOUNT[2] * tables[0] + pulls[0]) / (THETA[2] + sums[:CONTEXTS][self.ctx2])
+
     def reseat(self, c2: np.ndarray, pulls: list[np.ndarray], known: list[np.ndarray], rng: np.random.Generator) -> list[np.ndarray]:
         t2 = seat(c2, pulls[0], DISCOUNT[2], known[2], rng)
         t1 = seat(np.bincount(self.up1, weights=t2, minlength=len(self.keys1)).astype(np.int64), pulls[1], DISCOUNT[1], known[1], rng)
@@ -173,12 +195,12 @@ class Hierarchy:
 class Totals:
     """Sums over all buckets: customers and tables of every restaurant in every kept seating."""
 
-    def __init__(self, rows: list[tuple[int, float]]):
+    def __init__(self, rows: list[tuple[int, float]], customers: list[np.ndarray] | None = None):
         size = CONTEXTS + 256 + 1
         flat = np.zeros(CONTEXTS + 2 + SAMPLES * size)
         for i, v in rows:
             flat[i] = v
-        self.customers = flat[:CONTEXTS]
+        self.customers = customers or [flat[:CONTEXTS]] * SAMPLES
         self.n, self.v = int(flat[CONTEXTS]), int(flat[CONTEXTS + 1])
         self.tables = [(s[:CONTEXTS], s[CONTEXTS:-1], s[-1]) for s in flat[CONTEXTS + 2 :].reshape(SAMPLES, size)]
 
@@ -188,7 +210,7 @@ class Totals:
         c1, c0, ctx1 = t2.reshape(256, -1).sum(1), t1.sum(), ctx2 >> 4
         p0 = (e0 + (THETA[0] + DISCOUNT[0] * t0) / (self.v + 1)) / (THETA[0] + c0)
         p1 = (e1 + (THETA[1] + DISCOUNT[1] * t1[ctx1]) * p0) / (THETA[1] + c1[ctx1])
-        return (e2 + (THETA[2] + DISCOUNT[2] * t2[ctx2]) * p1) / (THETA[2] + self.customers[ctx2])
+        return (e2 + (THETA[2] + DISCOUNT[2] * t2[ctx2]) * p1) / (THETA[2] + self.customers[s][ctx2])
 
 
 def _emit(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -200,53 +222,154 @@ def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else np.array([0, len(keys)])
 
 
-def _count(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+def _rows(rows: list[tuple[int, int, bytes, bytes | None]]) -> pa.Table:
+    """bucket, kind (0: all pairs, 1: seatings, 2 and up: to a group of contexts, below 0: a group's answer), body, sums."""
+    b, k, body, sums = zip(*rows)
+    return pa.table([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(body, pa.binary()), pa.array(sums, pa.binary())], ["bucket", "kind", "body", "sums"])
 
-        def rows() -> pa.RecordBatch:
-            at = _buckets(keys, bits)
-            return _emit([(b, pack(keys[at[b] : at[b + 1]], counts[at[b] : at[b + 1]].astype(np.uint32))) for b in range(1 << bits) if at[b] < at[b + 1]])
 
-        for batch in pieces(batches, limit=2_000_000):
-            k, n = np.unique(tokens(batch.column("text"))[0], return_counts=True)
-            both = np.concatenate([keys, k])
-            keys, where = np.unique(both, return_inverse=True)
-            counts = np.bincount(where, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-            if len(keys) > 1_500_000:
-                yield rows()
-                keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        if len(keys):
+ROW = "bucket int, kind int, body binary, sums binary"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of pairs in rows that train; pairs of the others count 0."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def rows() -> pa.RecordBatch:
+        keys, whole, counts = grouped(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        at = _buckets(keys, BITS)
+        return _emit([(b, pack(keys[at[b] : at[b + 1]], whole[at[b] : at[b + 1]], counts[at[b] : at[b + 1]].astype(np.uint32))) for b in range(1 << BITS) if at[b] < at[b + 1]])
+
+    for batch in pieces(batches, limit=2_000_000):
+        keys, whole, at = tokens(batch.column("text"))
+        held.append((keys, whole, np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), np.diff(at))))
+        if sum(len(x[0]) for x in held) > ROOM:
             yield rows()
+    if held:
+        yield rows()
 
-    return run
+
+def _asked(bucket: int, whole: np.ndarray, want: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """Shares of the values of sorted contexts, one message to a group of contexts."""
+    cut = np.searchsorted(whole >> (52 - GROUP_BITS), np.arange((1 << GROUP_BITS) + 1))
+    parts = [(g, slice(cut[g], cut[g + 1])) for g in range(1 << GROUP_BITS) if cut[g] < cut[g + 1]]
+    return [(bucket, 2 + g, pack(whole[i].view(np.uint64), want[i], *[v[i].astype(np.int32) for v in values]), None) for g, i in parts]
+
+
+def _met(group: pa.Table) -> pa.Table:
+    """Sums of a group's contexts over all buckets, for each bucket's contexts that it wants."""
+    kind = group.column("kind")[0].as_py()
+    parts = [unpack(b) for b in group.column("body").to_pylist()]
+    one, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    totals = [np.bincount(where, weights=np.concatenate([p[k] for p in parts]), minlength=len(one)).astype(np.int64) for k in range(2, len(parts[0]))]
+    ends = np.cumsum([len(p[0]) for p in parts])
+    return _rows([(b, 1 - kind, pack(*[t[where[end - len(p[0]) : end][p[1]]] for t in totals]), None) for b, p, end in zip(group.column("bucket").to_pylist(), parts, ends)])
+
+
+def _split(group: pa.Table) -> tuple[int, dict[int, list[np.ndarray]], list[np.ndarray]]:
+    """The bucket, its bodies by kind, and the groups' answers put together."""
+    found = dict(zip(group.column("kind").to_pylist(), group.column("body").to_pylist()))
+    answers = [unpack(found[k]) for k in sorted((k for k in found if k < 0), reverse=True)]
+    return group.column("bucket")[0].as_py(), {k: unpack(b) for k, b in found.items() if k >= 0}, [np.concatenate(x) for x in zip(*answers)]
+
+
+def _level(tree: Hierarchy, c2: np.ndarray, tables: list[np.ndarray], n: int) -> bytes:
+    return pack(np.append(tree.sums(c2, tables), n))
 
 
 def _opened(group: pa.Table) -> pa.Table:
-    """A bucket with one table to a dish, and its share of the sums."""
+    """A bucket's pairs, and one table to each that has customers.
+
+    Only pairs of two customers or more can change; of the others their number in each shorter context is kept.
+    """
     bucket = group.column("bucket")[0].as_py()
-    parts = [unpack(b) for b in group.column("body").to_pylist()]
-    keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    counts = np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.uint32)
-    tree = Hierarchy(keys, counts)
-    tables = tree.start()
-    body = pack(keys, counts, *[t.astype(np.uint32) for t in tables])
-    return pa.table([pa.array([bucket], pa.int32()), pa.array([body], pa.binary()), pa.array([pack(tree.sums(tree.c2, tables))], pa.binary())], ["bucket", "body", "sums"])
+    keys, whole, counts = grouped(*(np.concatenate(x) for x in zip(*(unpack(b) for b in group.column("body").to_pylist()))))
+    rows = [(bucket, 0, pack(keys, whole, counts.astype(np.uint32)), None)]
+    train = counts > 0
+    if train.any():
+        keys, whole, counts = keys[train], whole[train], counts[train]
+        inner, up = np.unique(keys, return_inverse=True)
+        number = np.unique(inner >> np.uint64(12), return_inverse=True)[1].astype(np.uint64)
+        many = counts > 1
+        ones = np.bincount(up[~many], minlength=len(inner))
+        mine, at = np.unique(whole[many], return_inverse=True)
+        tree = Hierarchy((number << np.uint64(12)) | (inner & LOW), np.bincount(up))
+        tables = tree.start()
+        body = [tree.keys, ones.astype(np.uint32), up[many].astype(np.uint64), at.astype(np.uint32), counts[many].astype(np.uint32), mine.view(np.uint64), np.zeros(len(mine), np.int64)]
+        body += [np.ones(int(many.sum()), np.uint32), *[t.astype(np.uint32) for t in tables]]
+        rows.append((bucket, 1, pack(*body), _level(tree, tree.c2, tables, counts.sum())))
+        contexts, n = np.unique(whole, return_counts=True)
+        rows += _asked(bucket, contexts, np.isin(contexts, mine), n)
+    return _rows(rows)
 
 
 def _swept(sweep: int, shipped):
-    """One sweep of every bucket, given the sums over all of them; seatings from BURN on are kept behind the last one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [stirling(d, EXACT) for d in DISCOUNT]
-        for batch in batches:
-            for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
-                keys, counts, *tables = unpack(body)
-                tree = Hierarchy(keys, counts)
-                rng = np.random.default_rng([zlib.crc32(bucket.to_bytes(4, "little")), sweep])
-                last = tree.reseat(tree.c2, tree.pulls([t.astype(np.int64) for t in tables[-3:]], shipped.value), known, rng)
-                body = pack(keys, counts, *(tables if sweep > BURN else []), *[t.astype(np.uint32) for t in last])
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([body], pa.binary()), pa.array([pack(tree.sums(tree.c2, last))], pa.binary())], ["bucket", "body", "sums"])
+    """One sweep of a bucket, given the sums over all of them; seatings from BURN on are kept behind the last one."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket, found, answers = _split(group)
+        keys, ones, up, at, counts, mine, outer, *tables = found[1]
+        known, sums = [stirling(d, EXACT) for d in DISCOUNT], shipped.value
+        rng = np.random.default_rng([zlib.crc32(bucket.to_bytes(4, "little")), sweep])
+        t3, *inner = [t.astype(np.int64) for t in tables[-4:]]
+        up, outer = up.astype(np.int64), outer + (answers[0] if answers else 0)
+        customers = lambda t: (ones + np.bincount(up, weights=t, minlength=len(keys))).astype(np.int64)
+        tree = Hierarchy(keys, customers(t3))
+        pulls = tree.pulls(inner, sums[:-1])
+        pull = (THETA[3] + DISCOUNT[3] * outer[at]) * tree.inner(tree.c2, inner, pulls, sums)[up]
+        new = seat(counts.astype(np.int64), pull, DISCOUNT[3], known[3], rng)
+        c2 = customers(new)
+        inner = tree.reseat(c2, pulls, known, rng)
+        body = [keys, ones, up.astype(np.uint64), at, counts, mine, outer, *(tables if sweep > BURN else []), *[t.astype(np.uint32) for t in (new, *inner)]]
+        rows = [(bucket, 1, pack(*body), _level(tree, c2, inner, int(ones.sum()) + int(counts.sum())))]
+        change = np.bincount(at, weights=new - t3, minlength=len(mine)).astype(np.int64)
+        return _rows(rows + _asked(bucket, mine.view(np.int64), np.ones(len(mine), bool), change))
+
+    return run
+
+
+def _seated(static: list[np.ndarray], state: list[np.ndarray] | None) -> list[np.ndarray]:
+    """Tables of all pairs in each kept seating."""
+    counts = static[2]
+    out = [np.minimum(counts, 1).astype(np.int64) for _ in range(SAMPLES)]
+    for s, t in enumerate(out):
+        if state is not None:
+            t[counts > 1] = state[7 + 4 * s]
+    return out
+
+
+def _closed(group: pa.Table) -> pa.Table:
+    """All contexts of a bucket's pairs, with its share of their customers and tables."""
+    bucket, found, _ = _split(group)
+    contexts, at = np.unique(found[0][1], return_inverse=True)
+    shares = [np.bincount(at, weights=x, minlength=len(contexts)) for x in (found[0][2], *_seated(found[0], found.get(1)))]
+    return _rows(_asked(bucket, contexts, np.ones(len(contexts), bool), *shares))
+
+
+def _priced(shipped):
+    """Log10 probabilities of a bucket's pairs and their words' training counts, dealt by the hash of the pair."""
+
+    def run(group: pa.Table) -> pa.Table:
+        _, found, (customers, *outer) = _split(group)
+        keys, whole, counts = found[0]
+        at = np.unique(whole, return_inverse=True)[1]
+        body, c2 = None, None
+        if 1 in found:
+            train = counts > 0
+            inner, up = np.unique(keys[train], return_inverse=True)
+            kept = [found[1][8 + 4 * s : 11 + 4 * s] for s in range(SAMPLES)]
+            body = pack(inner, np.bincount(up, weights=counts[train]).astype(np.uint32), *[t for k in kept for t in k])
+            c2 = [np.bincount(up, weights=t[train]) for t in _seated(found[0], found[1])]
+        bucket = Bucket(body, shipped.value, c2)
+        p = np.zeros(len(keys))
+        for t3, t, below in zip(_seated(found[0], found.get(1)), outer, bucket.each(keys)):
+            p += (counts - DISCOUNT[3] * t3 + (THETA[3] + DISCOUNT[3] * t[at]) * below) / (THETA[3] + customers[at])
+        names = pair(keys, whole)
+        order = np.argsort(names)
+        names, logs, known = names[order], np.log10(p / SAMPLES)[order].astype(np.float32), bucket.known(keys)[order].astype(np.uint32)
+        cut = _buckets(names, BITS)
+        return pa.Table.from_batches([_emit([(b, pack(names[cut[b] : cut[b + 1]], logs[cut[b] : cut[b + 1]], known[cut[b] : cut[b + 1]])) for b in range(1 << BITS) if cut[b] < cut[b + 1]])])
 
     return run
 
@@ -262,89 +385,85 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sums(state: DataFrame) -> np.ndarray:
     """The sums over all buckets; a fixed number of values, all whole numbers, so that their order does not matter."""
-    out = np.zeros(2 * CONTEXTS + 256 + 2)
-    for r in state.select("sums").mapInArrow(_added, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+    out = np.zeros(2 * CONTEXTS + 256 + 3)
+    for r in state.where("kind = 1").select("sums").mapInArrow(_added, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         out[r["i"]] = r["v"]
     return out
 
 
-def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each bucket's most frequent words and their counts."""
-    for batch in batches:
-        for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
-            tree = Hierarchy(*unpack(body)[:2])
-            by_word = np.bincount(tree.up0[tree.up1], weights=tree.c2)
-            top = np.argsort(-by_word, kind="stable")[:HOT]
-            yield pa.RecordBatch.from_arrays([pa.array([tree.keys0[top].view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([by_word[top].astype(np.int64).tolist()], pa.list_(pa.int64()))], ["top", "top_counts"])
-
-
-def sampled(counts: DataFrame) -> tuple[DataFrame, list[np.ndarray]]:
-    """bucket, body (pairs, counts and the kept seatings), and the sums of each kept seating."""
-    spark = counts.sparkSession
-    state = table(counts.groupBy("bucket").applyInArrow(_opened, "bucket int, body binary, sums binary"), "seatings")
-    found = [sums(state)]
+def _answered(asked: DataFrame) -> DataFrame:
+    return asked.where("kind > 1").groupBy("kind").applyInArrow(_met, ROW)
+
+
+def priced(counts: DataFrame) -> tuple[DataFrame, Totals]:
+    """bucket (of the pair's hash), body (pairs, log10 probabilities, words' counts), and the sums of the kept seatings."""
+    ship = counts.sparkSession.sparkContext.broadcast
+    state = table(counts.groupBy("bucket").applyInArrow(_opened, ROW), "pairs")
+    static, found = state.where("kind = 0"), [sums(state)]
     for sweep in range(BURN + SAMPLES):
-        shipped = spark.sparkContext.broadcast(found[-1])
-        state = table(state.select("bucket", "body").mapInArrow(_swept(sweep, shipped), "bucket int, body binary, sums binary"), "seatings")
+        met = state.where("kind = 1").unionAll(_answered(state))
+        state = table(met.groupBy("bucket").applyInArrow(_swept(sweep, ship(found[-1])), ROW), "seatings")
         found.append(sums(state))
-    return state.select("bucket", "body"), found[-SAMPLES:]
+    kept, model = found[-SAMPLES:], static.unionAll(state.where("kind = 1"))
+    flat = np.concatenate([np.zeros(CONTEXTS), kept[0][[-1, -2]], *[x[CONTEXTS:-2] for x in kept]])
+    totals = Totals(list(enumerate(flat)), [x[:CONTEXTS] for x in kept])
+    closed = model.groupBy("bucket").applyInArrow(_closed, ROW)
+    met = model.unionAll(_answered(closed)).groupBy("bucket").applyInArrow(_priced(ship(totals)), "bucket int, body binary")
+    return met, totals
 
 
 class Bucket:
-    """A bucket's seatings, read to predict."""
+    """A bucket's seatings of shorter contexts, read to predict. c2: their customers in each seating, where they differ."""
 
-    def __init__(self, body: bytes | None, totals: Totals):
+    def __init__(self, body: bytes | None, totals: Totals, c2: list[np.ndarray] | None = None):
         a = unpack(body) if body is not None else [np.empty(0, np.uint64), np.empty(0, np.uint32)] + [np.empty(0, np.uint32)] * (3 * SAMPLES)
         self.tree, self.totals = Hierarchy(a[0], a[1]), totals
+        self.c2 = c2 or [self.tree.c2] * SAMPLES
         self.kept = [tuple(x.astype(np.float64) for x in a[2 + 3 * s : 5 + 3 * s]) for s in range(SAMPLES)]
         self.words = np.bincount(self.tree.up0[self.tree.up1], weights=self.tree.c2, minlength=len(self.tree.keys0)) if len(a[0]) else np.empty(0)
 
-    def scores(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each key: the word's training count, the averaged probability."""
-        tree = self.tree
+    @staticmethod
+    def _find(among: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(among, k), max(len(among) - 1, 0))
+        return at, (among[at] == k) if len(among) else np.zeros(len(k), bool)
 
-        def find(among: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(among, k), max(len(among) - 1, 0))
-            return at, (among[at] == k) if len(among) else np.zeros(len(k), bool)
+    @staticmethod
+    def _pick(values: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return np.where(at[1], values[at[0]], 0.0) if len(values) else np.zeros(len(at[1]))
 
-        at2, at1, at0 = find(tree.keys, keys), find(tree.keys1, keys >> np.uint64(4)), find(tree.keys0, keys >> np.uint64(12))
-        pick = lambda values, at: np.where(at[1], values[at[0]], 0.0) if len(values) else np.zeros(len(keys))
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """For each key the word's training count."""
+        return self._pick(self.words, self._find(self.tree.keys0, keys >> np.uint64(12)))
+
+    def each(self, keys: np.ndarray) -> Iterator[np.ndarray]:
+        """For each key its probability, in one seating after the other."""
+        tree, pick = self.tree, self._pick
+        at2, at1, at0 = self._find(tree.keys, keys), self._find(tree.keys1, keys >> np.uint64(4)), self._find(tree.keys0, keys >> np.uint64(12))
         ctx2 = (keys & LOW).astype(np.int64)
-        p = np.zeros(len(keys))
         for s, (t2, t1, t0) in enumerate(self.kept):
             c1 = np.bincount(tree.up1, weights=t2, minlength=len(t1)) if len(t1) else t1
             c0 = np.bincount(tree.up0, weights=t1, minlength=len(t0)) if len(t0) else t0
-            p += self.totals.predict(s, ctx2, pick(tree.c2 - DISCOUNT[2] * t2, at2), pick(c1 - DISCOUNT[1] * t1, at1), pick(c0 - DISCOUNT[0] * t0, at0))
-        return pick(self.words, at0), p / SAMPLES
-
-
-def _texts(bits: int, hot: np.ndarray, hot_counts: np.ndarray, hot_logs: np.ndarray, n: int, v: int):
-    """Rows for buckets 0.. hold the other words of the texts; those below 0 what is already known of every text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for batch in pieces(batches, limit=3_000_000):
-            keys, at = tokens(batch.column("text"))
-            m = batch.num_rows
-            doc = np.repeat(np.arange(m), np.diff(at))
-            word = keys >> np.uint64(12)
-            place = np.minimum(np.searchsorted(hot, word), max(len(hot) - 1, 0))
-            is_hot = (hot[place] == word) if len(hot) else np.zeros(len(word), bool)
-            h, d = place[is_hot], doc[is_hot]
-            score = np.bincount(d, weights=hot_logs[h, (keys[is_hot] & LOW).astype(np.int64)], minlength=m) if len(h) else np.zeros(m)
-            base = np.bincount(d, weights=np.log10((hot_counts[h] + 1) / (n + v + 1)), minlength=m) if len(h) else np.zeros(m)
-            ids = batch.column("doc_id")
-            known = pack(np.diff(at), np.bincount(d, minlength=m).astype(np.int64), base, score, batch.column("held_out").to_numpy(zero_copy_only=False), np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), np.array([row]))
-            rows = [(-1 - (row + (row >> 40)) % (1 << bits), known)]
-            keys, doc = keys[~is_hot], doc[~is_hot].astype(np.uint32)
-            order = np.argsort(keys, kind="stable")
-            keys, doc = keys[order], doc[order]
-            cut = _buckets(keys, bits)
-            rows += [(b, pack(keys[cut[b] : cut[b + 1]], doc[cut[b] : cut[b + 1]], np.array([row]))) for b in range(1 << bits) if cut[b] < cut[b + 1]]
-            yield _emit(rows)
-            row += m
+            yield self.totals.predict(s, ctx2, pick(self.c2[s] - DISCOUNT[2] * t2, at2), pick(c1 - DISCOUNT[1] * t1, at1), pick(c0 - DISCOUNT[0] * t0, at0))
 
-    return run
+    def scores(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key: the word's training count, the averaged probability."""
+        return self.known(keys), sum(self.each(keys)) / SAMPLES
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows for buckets 0.. hold the pairs of the texts; those below 0 what is already known of every text."""
+    row = TaskContext.get().partitionId() << 40
+    for batch in pieces(batches, limit=3_000_000):
+        keys, whole, at = tokens(batch.column("text"))
+        m = batch.num_rows
+        ids = batch.column("doc_id")
+        known = pack(np.diff(at), batch.column("held_out").to_numpy(zero_copy_only=False), np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), np.array([row]))
+        rows = [(-1 - (row + (row >> 40)) % (1 << BITS), known)]
+        names, doc, n = grouped(pair(keys, whole), np.repeat(np.arange(m), np.diff(at)), np.ones(len(keys), np.int64))
+        cut = _buckets(names, BITS)
+        rows += [(b, pack(names[cut[b] : cut[b + 1]], doc[cut[b] : cut[b + 1]].astype(np.uint32), n[cut[b] : cut[b + 1]].astype(np.uint32), np.array([row]))) for b in range(1 << BITS) if cut[b] < cut[b + 1]]
+        yield _emit(rows)
+        row += m
 
 
 PART = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -358,18 +477,20 @@ def _parts(totals: Totals):
         out = []
         if texts.num_rows and texts.column("bucket")[0].as_py() < 0:
             for body in texts.column("body").to_pylist():
-                n, known, base, score, held, ids, none, row = unpack(body)
-                out.append(pa.table([pa.array(row[0] + np.arange(len(n))), pa.array(ids, mask=none), pa.array(held), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], names))
+                n, held, ids, none, row = unpack(body)
+                zero = np.zeros(len(n))
+                out.append(pa.table([pa.array(row[0] + np.arange(len(n))), pa.array(ids, mask=none), pa.array(held), pa.array(n), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], names))
         elif texts.num_rows:
-            bucket = Bucket(model.column("body")[0].as_py() if model.num_rows else None, totals)
+            prices = [unpack(b) for b in model.column("body").to_pylist()]
+            order = np.argsort(np.concatenate([p[0] for p in prices]))
+            pairs, logs, known = (np.concatenate(x)[order] for x in zip(*prices))
             for body in texts.column("body").to_pylist():
-                keys, doc, row = unpack(body)
-                one, where = np.unique(keys, return_inverse=True)
-                count, p = bucket.scores(one)
+                found, doc, times, row = unpack(body)
+                at = np.searchsorted(pairs, found)
                 rows, d = np.unique(doc, return_inverse=True)
-                add = lambda x, d=d, where=where: np.bincount(d, weights=x[where])
-                m = len(rows)
-                out.append(pa.table([pa.array(row[0] + rows.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(np.zeros(m, np.int64)), pa.array(add((count > 0).astype(float)).astype(np.int64)), pa.array(add(np.log10((count + 1) / (totals.n + totals.v + 1)))), pa.array(add(np.log10(p)))], names))
+                add = lambda x, d=d, times=times: np.bincount(d, weights=times * x)
+                m, count = len(rows), known[at].astype(np.float64)
+                out.append(pa.table([pa.array(row[0] + rows.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(np.zeros(m, np.int64)), pa.array(add(count > 0).astype(np.int64)), pa.array(add(np.log10((count + 1) / (totals.n + totals.v + 1)))), pa.array(add(logs[at].astype(np.float64)))], names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in kinds], names)
 
     return run
@@ -377,39 +498,9 @@ def _parts(totals: Totals):
 
 def score(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text), see RESULT; log10 probabilities of whole texts."""
-    spark = docs.sparkSession
-    bits = BITS
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    counts = docs.where("not held_out").select("text").mapInArrow(_count(bits), "bucket int, body binary")
-    model, kept = sampled(counts)
-    totals = Totals(list(enumerate(np.concatenate([kept[0][:CONTEXTS], [kept[0][:CONTEXTS].sum(), kept[0][-1]], *[x[CONTEXTS:-1] for x in kept]]))))
-    frequent = F.filter(F.arrays_zip("top", "top_counts"), lambda x: x["top_counts"] * HOT > totals.n)
-    tops = model.mapInArrow(_tops, "top array<long>, top_counts array<long>")
-    found = tops.select(F.explode(frequent).alias("x")).select("x.top", "x.top_counts").collect()  # fewer than HOT words
-    hot = np.array(sorted(r["top"] for r in found), np.int64).view(np.uint64)
-    hot_counts = np.array([r["top_counts"] for r in sorted(found, key=lambda r: np.uint64(r["top"] % 2**64))], np.int64)
-    hot = np.sort(hot)
-    logs = np.zeros((len(hot), CONTEXTS))
-
-    def predict_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
-                mine = [k for k in hot.tolist() if (k << 12) >> (64 - bits) == number]
-                if mine:
-                    b = Bucket(body, totals)
-                    for k in mine:
-                        p = b.scores((np.uint64(k) << np.uint64(12)) | np.arange(CONTEXTS, dtype=np.uint64))[1]
-                        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.log10(p).tobytes()], pa.binary())], ["k", "p"])
-
-    if len(hot):
-        for r in model.select("bucket", "body").mapInArrow(predict_hot, "k long, p binary").toLocalIterator():
-            logs[np.searchsorted(hot, np.uint64(r["k"]))] = np.frombuffer(r["p"])
-    shipped = spark.sparkContext.broadcast((hot, hot_counts, logs.astype(np.float32)))  # at most HOT x CONTEXTS numbers
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _texts(bits, *shipped.value, totals.n, totals.v)(batches)
-
-    rows = docs.mapInArrow(texts, "bucket int, body binary")
-    met = rows.groupBy("bucket").cogroup(model.select("bucket", "body").groupBy("bucket")).applyInArrow(_parts(totals), PART)
+    model, totals = priced(docs.select("text", "held_out").mapInArrow(_count, "bucket int, body binary"))
+    rows = docs.mapInArrow(_texts, "bucket int, body binary")
+    met = rows.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_parts(totals), PART)
     out = met.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out")], *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -226,6 +226,20 @@ def test_predictions_of_a_seating_sum_to_one():
         assert known.sum() + unknown.sum() == pytest.approx(1)
 
 
+def test_whole_words_before_are_contexts(spark):
+    """The words before end in the same four bytes, so that only the whole word tells what follows."""
+    rng = random.Random(7)
+    heads = [f"{h}{k}tail" for k in range(40) for h in "ab"]
+    follows = {h: f"w{i}" for i, h in enumerate(heads)}
+    text = lambda: " ".join(f"{h} {follows[h]}" for h in rng.choices(heads, k=200))
+    rows = [(k, text(), "en", "s", 0, 0.5) for k in range(1, 60)]
+    held = [r for r in hpylm.score(spark.createDataFrame(rows, SCHEMA)).collect() if r["held_out"]]
+    assert held
+    # half the tokens are free choices of 80, the other half follow from the word before
+    per_token = sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert per_token > -1.15
+
+
 def test_scores_do_not_depend_on_shuffle_partitions(spark, docs):
     found = []
     for parts in ("3", "70"):
