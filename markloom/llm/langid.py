@@ -169,10 +169,16 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, net: Network | None, least: float = LEAST) -> DataFrame:
-    """Rows of docs, with docs' columns, whose text has a language with a score of at least `least`."""
+    """Rows of docs, with docs' columns, whose text has a language with a score of at least `least`.
+
+    Where nothing could be learned no language can be told, and every text with a letter passes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=1_000_000):
+            if net is None:
+                yield batch.filter(pa.array(has_letter(*utf8(batch.column("text"))), pa.bool_()))
+                continue
             lang, score = decide(batch.column("text"), net)
             yield batch.filter(pa.array((lang != "und") & (score >= least), pa.bool_()))
 

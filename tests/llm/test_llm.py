@@ -274,6 +274,13 @@ def test_language_on_held_out_texts(spark):
     assert all(0 <= r["score"] <= 1 for r in found.values())
 
 
+def test_texts_pass_where_nothing_could_be_learned(spark):
+    rows = spark.createDataFrame([(1, "plain words", None, "s", 11, 0.5), (2, "12 34", None, "s", 5, 0.5), (3, "", None, "s", 0, 0.5), (4, "straße", None, "s", 6, 0.5), (5, None, None, "s", 0, 0.5)], SCHEMA)
+    net = langid.train(rows)
+    assert net is None
+    assert sorted(r["doc_id"] for r in langid.accepted(rows, net).collect()) == [1, 4]
+
+
 # mixing
 
 
