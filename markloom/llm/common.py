@@ -7,12 +7,14 @@ hashes of the word's bytes, mixed; two different words get the same hash with a
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 _MASK = (1 << 64) - 1
@@ -28,9 +30,11 @@ _written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one under the warehouse where it is unset."""
+    """The folder all executors share, spark.checkpoint.dir; where it is unset, in local mode, one under the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
     return base.rstrip("/")
 
@@ -38,18 +42,39 @@ def shared_folder(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cuts lineage: writes df as Parquet to the shared folder and reads it back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_folder(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that clear_tables() will remove."""
+    _written.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables made by table() that nothing will read again, and lets Spark clean up shuffles out of use."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        if t.folder in _written:
+            _written.remove(t.folder)
+            _delete(spark, t.folder)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def clear_tables(spark: SparkSession) -> None:
     """Removes what table() has written from this process; results that read it can no longer be computed."""
-    jvm = spark._jvm
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def release() -> None:
@@ -169,6 +194,28 @@ def binary_rows(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays with like bytes side by side, compressed; unsigned 64-bit ones as differences."""
+    out = [len(arrays).to_bytes(2, "little")]
+    for a in arrays:
+        body = np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.uint64 else a
+        raw = np.ascontiguousarray(body).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""
+        z = zstandard.ZstdCompressor(level=1).compress(raw)
+        out += [a.dtype.str.ljust(4).encode(), len(a).to_bytes(8, "little"), len(z).to_bytes(8, "little"), z]
+    return b"".join(out)
+
+
+def unpack(body: bytes) -> list[np.ndarray]:
+    out, at = [], 2
+    for _ in range(int.from_bytes(body[:2], "little")):
+        kind, n, size = np.dtype(body[at : at + 4].decode().strip()), int.from_bytes(body[at + 4 : at + 12], "little"), int.from_bytes(body[at + 12 : at + 20], "little")
+        raw = zstandard.ZstdDecompressor().decompress(body[at + 20 : at + 20 + size], max_output_size=max(1, n * kind.itemsize)) if n else b""
+        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).reshape(n) if n else np.empty(0, kind)
+        out.append(np.cumsum(a, dtype=np.uint64) if kind == np.uint64 else a)
+        at += 20 + size
+    return out
+
+
 class SpanCache:
     """Ids of spans already encoded, by the spans' hashes. It only saves time: past `limit` spans it starts anew."""
 

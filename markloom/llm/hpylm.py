@@ -1,44 +1,49 @@
 """A hierarchical Pitman-Yor language model of words.
 
-A word (A-Z lowered) is drawn in the restaurant of the whole word before it, so restaurants grow with the data.
-Its parents are shorter contexts: `CONTEXTS` restaurants for the last bytes of the word before, 256 for its last
-byte, and one root restaurant over a uniform choice of the V known words and one unknown. Customers of a
-restaurant sit at tables of its dish; every table sends one customer to the parent. Gibbs sweeps re-seat all
-customers of a dish in a restaurant given all others, by the exact conditional of their number of tables
-(generalised Stirling numbers) up to `EXACT` customers, and beyond by seating them in order, in growing blocks.
-After `BURN` sweeps `SAMPLES` seatings are kept and their predictive probabilities averaged.
-
-Pairs (word, word before) are dealt to `1 << BITS` buckets by the word's hash, so a word's whole hierarchy sits in
-one bucket. After each sweep the tables of every restaurant are summed over all buckets: those of the shorter
-contexts in a table of fixed size, those of whole words in groups of contexts (`1 << GROUP_BITS`), which answer each
-bucket's list of contexts. The next sweep and prediction use these exact sums, so probabilities of a seating sum
-to 1. Pairs of held-out texts take part with no customers, so that every pair is priced once, in its bucket; prices
-meet the texts by a hash of the pair. Words are known by 52 bits of a hash.
-
-The start of a text is a context of its own; the end is a token. Null and empty texts have the end alone.
-Training takes the rows whose crc32 of doc_id (as text) modulo 7 is not 2; a null doc_id trains. Without training
-rows every probability is 1. Rows are independent; repeated rows train repeatedly and get equal scores. Other columns are ignored.
+A word (A-Z lowered) is drawn in the restaurant of the word before it. All these restaurants share one parent, the
+restaurant of single words, whose own parent is a uniform choice of the V known words and one unknown. Customers of
+a restaurant sit at tables of their dish, and every table sends one customer to the parent. Words are told apart by
+their bytes and contexts by whole words, so restaurants grow with the data.
+
+Seating: a sweep draws the number of tables of each dish in each restaurant from its conditional given all others,
+with generalised Stirling numbers up to `EXACT` customers and beyond by `STEPS` Metropolis steps, the Stirling numbers
+taken at their saddle point (an approximation, best where tables are many). Dishes of a sweep see the other dishes as the sweep before has left them, as is usual
+where sampling is spread over machines. After `BURN` sweeps `SAMPLES` seatings are kept and their predictive
+probabilities averaged. Discounts come from the counts of counts of all data, n1 / (n1 + 2 n2), kept within
+`LIMITS`; strengths are fixed (`STRENGTH`).
+
+How it is spread: texts are cut into pieces of at most `PIECE` bytes; each piece sends its distinct words to buckets
+by hash, which number them by frequency, and then its distinct pairs (word, word before) to the buckets of the words.
+A bucket holds all pairs of its words. What pairs need from other buckets are the tables and customers of their
+contexts; these are added up exactly, in groups of contexts, after each sweep and answered to the buckets that asked.
+Every bucket then prices each piece's pairs, and each piece adds up its texts. The number of buckets follows the
+bytes of text: results depend on the data alone. A frequent word's tokens are counted in each piece before anything moves, and
+its pairs are as many as the words found before it.
+
+The end is a token; it is also the context of a text's first word. Null and empty texts have the end alone. Training
+takes the rows whose crc32 of doc_id (as text) modulo 7 is not 2; a null doc_id trains. Without training rows every
+probability is 1. Rows are independent; repeated rows train repeatedly and get equal scores. An empty table gives an
+empty result; a text of any length is whole in one piece. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, pieces, prefix_hash, span_hash, table, utf8, words
+from .common import LOWER, drop, pack, pieces, prefix_hash, span_hash, table, take_spans, unpack, utf8, words
 
-CONTEXTS, BURN, SAMPLES, EXACT = 4096, 4, 4, 24
-BITS, GROUP_BITS, ROOM = 8, 5, 2_000_000  # results depend on BITS, so it is not taken from the session
-THETA, DISCOUNT = (20.0, 5.0, 2.0, 2.0), (0.7, 0.8, 0.85, 0.9)  # root, last byte, last bytes, whole word
-END = np.uint64(0x5EED_0E4D_0000_0000)
-LOW = np.uint64(CONTEXTS - 1)
+BURN, SAMPLES, EXACT, STEPS = 4, 4, 256, 6
+STRENGTH, LIMITS = (20.0, 2.0), (0.1, 0.95)  # strengths of the restaurant of single words and of those below it
+PIECE, PER_BUCKET = 4_000_000, 1 << 25
+ROW = "bucket long, kind long, body binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -46,68 +51,28 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays with like bytes side by side, compressed; unsigned 64-bit ones as differences."""
-    out = [len(arrays).to_bytes(2, "little")]
-    for a in arrays:
-        body = np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.uint64 else a
-        raw = np.ascontiguousarray(body).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""
-        z = zstandard.ZstdCompressor(level=1).compress(raw)
-        out += [a.dtype.str.ljust(4).encode(), len(a).to_bytes(8, "little"), len(z).to_bytes(8, "little"), z]
-    return b"".join(out)
-
-
-def unpack(body: bytes) -> list[np.ndarray]:
-    out, at = [], 2
-    for _ in range(int.from_bytes(body[:2], "little")):
-        kind, n, size = np.dtype(body[at : at + 4].decode().strip()), int.from_bytes(body[at + 4 : at + 12], "little"), int.from_bytes(body[at + 12 : at + 20], "little")
-        raw = zstandard.ZstdDecompressor().decompress(body[at + 20 : at + 20 + size], max_output_size=max(1, n * kind.itemsize)) if n else b""
-        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).reshape(n) if n else np.empty(0, kind)
-        out.append(np.cumsum(a, dtype=np.uint64) if kind == np.uint64 else a)
-        at += 20 + size
-    return out
+def buckets(n_bytes: int) -> int:
+    """As many buckets as keep both the messages between pieces and buckets and a bucket's pairs few."""
+    tokens = n_bytes / 6
+    return max(4, int(np.ceil(max((tokens / (1 << 15)) ** 0.5, tokens / PER_BUCKET))))
+
+
+# Numbers of tables.
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all tokens (52 bits of word, 8 of the last byte before it, 4 of the bytes before that), the whole words before them (52 bits), and where each text starts."""
-    data, offsets = utf8(column)
-    data = LOWER[data]
-    starts, ends, first = words(data, offsets)
-    prefix = prefix_hash(data)
-    n, rows = len(starts), len(offsets) - 1
-    at = first + np.arange(rows + 1)
-    out = np.empty(n + rows, np.uint64)
-    before = np.zeros(n + rows, np.uint64)  # context of the token that follows
-    inner = np.ones(n + rows, bool)
-    inner[at[1:] - 1] = False
-    if n:
-        out[inner] = span_hash(prefix, starts, ends)
-        tail = span_hash(prefix, np.maximum(starts, ends - 3), ends) ^ (np.minimum(ends - starts, 4).astype(np.uint64) << np.uint64(20))
-        before[inner] = (data[ends - 1].astype(np.uint64) << np.uint64(4)) | (mix(tail) & np.uint64(15))
-    out[~inner] = END
-    context = np.zeros(n + rows, np.uint64)
-    context[1:] = before[:-1]
-    context[at[:-1]] = 0
-    whole = np.zeros(n + rows, np.int64)
-    whole[1:] = (out[:-1] >> np.uint64(12)).view(np.int64)
-    whole[at[:-1]] = 0
-    return (out & ~LOW) | context, whole, at
-
-
-def grouped(keys: np.ndarray, whole: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs, sorted, and the sums of their counts."""
-    order = np.lexsort((whole, keys))
-    keys, whole = keys[order], whole[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (whole[1:] != whole[:-1])
-    first = np.flatnonzero(new)
-    return keys[first], whole[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-
-
-def pair(keys: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    return mix(keys ^ mix(whole.view(np.uint64)))
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Log of the gamma function for x > 0."""
+    x = np.asarray(x, float)
+    shift = np.zeros(x.shape)
+    for _ in range(8):
+        low = x < 8
+        shift = np.where(low, shift + np.log(np.where(low, x, 1.0)), shift)
+        x = np.where(low, x + 1, x)
+    y = 1 / (x * x)
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x - shift
 
 
+@lru_cache(maxsize=8)
 def stirling(d: float, n: int) -> np.ndarray:
     """Logs of generalised Stirling numbers for up to n customers: [customers, tables]."""
     out = np.full((n + 1, n + 1), -np.inf)
@@ -119,142 +84,258 @@ def stirling(d: float, n: int) -> np.ndarray:
     return out
 
 
-def seat(c: np.ndarray, pull: np.ndarray, d: float, known: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables for c customers of a dish, where a new table has weight pull = (theta + d T) p(dish in the parent)."""
-    t = np.ones(len(c), np.int64)
-    pull = np.maximum(pull, 1e-300)
+def stirling_far(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The same for many customers c, from the saddle point of their generating function ((1 - (1 - z)**d) / d)**t."""
+    c, t = np.asarray(c, float), np.minimum(np.asarray(t, float), np.asarray(c, float) - 1)
+    low, high = np.full(c.shape, -60.0), np.full(c.shape, -1e-12)  # of log(1 - z)
+    for _ in range(50):
+        middle = (low + high) / 2
+        y = np.exp(middle)
+        many = t * d * (1 - y) * np.exp((d - 1) * middle) / -np.expm1(d * middle) > c
+        low, high = np.where(many, middle, low), np.where(many, high, middle)
+    ly = (low + high) / 2
+    y = np.exp(ly)
+    z = -np.expm1(ly)
+    bend = np.maximum(c * (1 + z * (1 - d) / y - c / t), 1e-9)
+    return log_gamma(c + 1) - log_gamma(t + 1) - t * np.log(d) + t * np.log(-np.expm1(d * ly)) - c * np.log(z) - 0.5 * np.log(2 * np.pi * bend)
+
+
+class Pull:
+    """Weights of a dish's tables: the restaurant's (theta + d (others + i)) times the parent's probability of the dish,
+    (own + i) / (all + i), where a parent without the dish gives `new` / all to the first and goes on from 1 - discount."""
+
+    def __init__(self, others: np.ndarray, theta: float, d: float, own: np.ndarray, new: np.ndarray, total: np.ndarray, above: float):
+        self.start, self.d = theta / d + others, d
+        self.none = own <= 0
+        self.new, self.total = np.maximum(new, 1e-300), np.maximum(total, 1e-300)
+        self.own = np.where(self.none, 1 - above + self.new, own + self.new)
+
+    def take(self, rows: np.ndarray) -> Pull:
+        out = object.__new__(Pull)
+        out.d = self.d
+        for name in ("start", "none", "new", "total", "own"):
+            setattr(out, name, getattr(self, name)[rows])
+        return out
+
+    def upto(self, k: int) -> np.ndarray:
+        """Log weights of 1..k tables, a row for each dish."""
+        i = np.arange(k)
+        own = self.own[:, None] + i - self.none[:, None]
+        own[:, 0] = np.where(self.none, self.new, own[:, 0])
+        return np.cumsum(np.log(self.d * (self.start[:, None] + i) * own / (self.total[:, None] + i)), axis=1)
+
+    def at(self, t: np.ndarray) -> np.ndarray:
+        """Log weight of t tables of each dish."""
+        first = np.where(self.none, np.log(self.new), 0.0)
+        more = t - self.none
+        return t * np.log(self.d) + log_gamma(self.start + t) - log_gamma(self.start) + first + log_gamma(self.own + more) - log_gamma(self.own) - log_gamma(self.total + t) + log_gamma(self.total)
+
+
+def seat(c: np.ndarray, t: np.ndarray, pull: Pull, known: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """New numbers of tables for dishes of c customers, t tables now."""
+    out = np.ones(len(c), np.int64)
     order = np.argsort(c, kind="stable")
     edge = np.searchsorted(c[order], np.arange(2, EXACT + 2))
     for k in range(2, EXACT + 1):
-        rows = order[edge[k - 2] : edge[k - 1]]
-        if len(rows):
-            tables = np.arange(1, k + 1)
-            z = known[k, 1 : k + 1] + tables * np.log(pull[rows])[:, None]
-            t[rows] = 1 + (z + rng.gumbel(size=z.shape)).argmax(axis=1)
+        group = order[edge[k - 2] : edge[k - 1]]
+        for rows in np.array_split(group, max(1, len(group) * k // 2_000_000)):
+            if len(rows):
+                w = known[k, 1 : k + 1] + pull.take(rows).upto(k)
+                w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+                out[rows] = 1 + (w < rng.random((len(rows), 1)) * w[:, -1:]).sum(axis=1)
     rows = order[edge[-1] :]
-    n = 1
-    while len(rows):
-        step = np.minimum(max(1, n // 8), c[rows] - n)
-        t[rows] += rng.binomial(step, pull[rows] / (n - d * t[rows] + pull[rows]))
-        n += max(1, n // 8)
-        rows = rows[c[rows] > n]
-    return t
-
-
-class Hierarchy:
-    """The restaurants of one bucket's words: pairs (word, context), then (word, last byte), then words."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys, self.c2 = keys, counts.astype(np.int64)
-        self.keys1, up1 = np.unique(keys >> np.uint64(4), return_inverse=True)
-        self.keys0, up0 = np.unique(self.keys1 >> np.uint64(8), return_inverse=True)
-        self.up1, self.up0 = up1, up0
-        self.ctx2, self.ctx1 = (keys & LOW).astype(np.int64), (self.keys1 & np.uint64(255)).astype(np.int64)
-
-    def start(self) -> list[np.ndarray]:
-        return [np.ones(len(k), np.int64) for k in (self.keys, self.keys1, self.keys0)]
-
-    def sums(self, c2: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-        """Customers of the contexts, tables of every restaurant and the number of words, to be added over all buckets."""
-        t2, t1, t0 = tables
-        of = lambda at, x, n: np.bincount(at, weights=x, minlength=n)
-        return np.concatenate([of(self.ctx2, c2, CONTEXTS), of(self.ctx2, t2, CONTEXTS), of(self.ctx1, t1, 256), [t0.sum(), len(t0)]])
-
-    def pulls(self, tables: list[np.ndarray], sums: np.ndarray) -> list[np.ndarray]:
-        """Weights of a new table at each level, given the tables of all buckets."""
-        t2, t1, t0 = tables
-        s2, s1, s0, v = sums[CONTEXTS : 2 * CONTEXTS], sums[2 * CONTEXTS : -2], sums[-2], sums[-1]
-        m1, m0 = s2.reshape(256, -1).sum(1), s1.sum()
-        c1 = np.bincount(self.up1, weights=t2, minlength=len(t1))
-        c0 = np.bincount(self.up0, weights=t1, minlength=len(t0))
-        pull0 = np.full(len(t0), (THETA[0] + DISCOUNT[0] * s0) / (v + 1))
-        p0 = (c0 - DISCOUNT[0] * t0 + pull0) / (THETA[0] + m0)
-        pull1 = (THETA[1] + DISCOUNT[1] * s1[self.ctx1]) * p0[self.up0]
-        p1 = (c1 - DISCOUNT[1] * t1 + pull1) / (THETA[1] + m1[self.ctx1])
-        return [(THETA[2] + DISCOUNT[2] * s2[self.ctx2]) * p1[self.up1], pull1, pull0]
-
-    def inner(self, c2: np.ndarray, tables: list[np.ndarray], pulls: list[np.ndarray], sums: np.ndarray) -> np.ndarray:
-        """Probability of each pair's word after its shorter context."""
-        return (c2 - DISCOUNT[2] * tables[0] + pulls[0]) / (THETA[2] + sums[:CONTEXTS][self.ctx2])
-
-    def reseat(self, c2: np.ndarray, pulls: list[np.ndarray], known: list[np.ndarray], rng: np.random.Generator) -> list[np.ndarray]:
-        t2 = seat(c2, pulls[0], DISCOUNT[2], known[2], rng)
-        t1 = seat(np.bincount(self.up1, weights=t2, minlength=len(self.keys1)).astype(np.int64), pulls[1], DISCOUNT[1], known[1], rng)
-        t0 = seat(np.bincount(self.up0, weights=t1, minlength=len(self.keys0)).astype(np.int64), pulls[2], DISCOUNT[0], known[0], rng)
-        return [t2, t1, t0]
-
-    def sample(self, scale: int, seed: int) -> list[list[np.ndarray]]:
-        """All sweeps over this bucket as one of `scale` equal ones."""
-        rng, known, tables, out = np.random.default_rng(seed), [stirling(d, EXACT) for d in DISCOUNT], self.start(), []
-        for _ in range(BURN + SAMPLES):
-            tables = self.reseat(self.c2, self.pulls(tables, scale * self.sums(self.c2, tables)), known, rng)
-            out.append(tables)
-        return out[BURN:]
-
-
-class Totals:
-    """Sums over all buckets: customers and tables of every restaurant in every kept seating."""
-
-    def __init__(self, rows: list[tuple[int, float]], customers: list[np.ndarray] | None = None):
-        size = CONTEXTS + 256 + 1
-        flat = np.zeros(CONTEXTS + 2 + SAMPLES * size)
-        for i, v in rows:
-            flat[i] = v
-        self.customers = customers or [flat[:CONTEXTS]] * SAMPLES
-        self.n, self.v = int(flat[CONTEXTS]), int(flat[CONTEXTS + 1])
-        self.tables = [(s[:CONTEXTS], s[CONTEXTS:-1], s[-1]) for s in flat[CONTEXTS + 2 :].reshape(SAMPLES, size)]
-
-    def predict(self, s: int, ctx2: np.ndarray, e2: np.ndarray, e1: np.ndarray, e0: np.ndarray) -> np.ndarray:
-        """Probabilities in seating s from what each level's own tables give: customers less discounts."""
-        t2, t1, t0 = self.tables[s]
-        c1, c0, ctx1 = t2.reshape(256, -1).sum(1), t1.sum(), ctx2 >> 4
-        p0 = (e0 + (THETA[0] + DISCOUNT[0] * t0) / (self.v + 1)) / (THETA[0] + c0)
-        p1 = (e1 + (THETA[1] + DISCOUNT[1] * t1[ctx1]) * p0) / (THETA[1] + c1[ctx1])
-        return (e2 + (THETA[2] + DISCOUNT[2] * t2[ctx2]) * p1) / (THETA[2] + self.customers[s][ctx2])
-
-
-def _emit(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "body"])
-
-
-def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket's sorted keys start."""
-    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else np.array([0, len(keys)])
-
-
-def _rows(rows: list[tuple[int, int, bytes, bytes | None]]) -> pa.Table:
-    """bucket, kind (0: all pairs, 1: seatings, 2 and up: to a group of contexts, below 0: a group's answer), body, sums."""
-    b, k, body, sums = zip(*rows)
-    return pa.table([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(body, pa.binary()), pa.array(sums, pa.binary())], ["bucket", "kind", "body", "sums"])
-
-
-ROW = "bucket int, kind int, body binary, sums binary"
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of pairs in rows that train; pairs of the others count 0."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def rows() -> pa.RecordBatch:
-        keys, whole, counts = grouped(*(np.concatenate(x) for x in zip(*held)))
-        held.clear()
-        at = _buckets(keys, BITS)
-        return _emit([(b, pack(keys[at[b] : at[b + 1]], whole[at[b] : at[b + 1]], counts[at[b] : at[b + 1]].astype(np.uint32))) for b in range(1 << BITS) if at[b] < at[b + 1]])
-
-    for batch in pieces(batches, limit=2_000_000):
-        keys, whole, at = tokens(batch.column("text"))
-        held.append((keys, whole, np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), np.diff(at))))
-        if sum(len(x[0]) for x in held) > ROOM:
-            yield rows()
-    if held:
-        yield rows()
-
-
-def _asked(bucket: int, whole: np.ndarray, want: np.ndarray, *values: np.ndarray) -> list[tuple]:
-    """Shares of the values of sorted contexts, one message to a group of contexts."""
-    cut = np.searchsorted(whole >> (52 - GROUP_BITS), np.arange((1 << GROUP_BITS) + 1))
-    parts = [(g, slice(cut[g], cut[g + 1])) for g in range(1 << GROUP_BITS) if cut[g] < cut[g + 1]]
-    return [(bucket, 2 + g, pack(whole[i].view(np.uint64), want[i], *[v[i].astype(np.int32) for v in values]), None) for g, i in parts]
+    if len(rows):
+        many, now, of = c[rows], np.minimum(t[rows], c[rows] - 1), pull.take(rows)
+        value = stirling_far(of.d, many, now) + of.at(now)
+        for _ in range(STEPS):
+            width = np.maximum(1, np.sqrt(now)).astype(np.int64)
+            to = now + np.rint(rng.normal(size=len(rows)) * width).astype(np.int64)
+            back = np.maximum(1, np.sqrt(np.maximum(to, 1))).astype(np.int64)
+            fit = (to >= 1) & (to < many)
+            to = np.where(fit, to, now)
+            found = stirling_far(of.d, many, to) + of.at(to)
+            step = (to - now).astype(float)
+            turn = 0.5 * (step / width) ** 2 - 0.5 * (step / back) ** 2 + np.log(width / back)  # steps are wider where tables are many
+            go = fit & (np.log(rng.random(len(rows))) < found - value + turn)
+            now, value = np.where(go, to, now), np.where(go, found, value)
+        out[rows] = now
+    return out
+
+
+def discount(once: int, twice: int) -> float:
+    return float(np.clip(once / (once + 2 * twice), *LIMITS)) if once else LIMITS[0]
+
+
+class Level:
+    """One sweep's view of the restaurant of single words: all its customers and tables, the known words, discounts."""
+
+    def __init__(self, customers: int, tables: int, v: int, d: tuple[float, float]):
+        self.customers, self.tables, self.v, self.d = customers, tables, v, d
+
+    def new(self, tables: float | np.ndarray) -> float | np.ndarray:
+        """Weight of a new table of one given word, beside `tables` tables."""
+        return (STRENGTH[0] + self.d[0] * tables) / (self.v + 1)
+
+    def single(self, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
+        """Probability of words that have c0 customers at t0 tables."""
+        return (c0 - self.d[0] * t0 + self.new(self.tables)) / (STRENGTH[0] + self.customers)
+
+    def paired(self, c: np.ndarray, t: np.ndarray, customers: np.ndarray, tables: np.ndarray, p0: np.ndarray) -> np.ndarray:
+        """Probability of words after contexts: c customers at t tables, of all that the context has."""
+        return (c - self.d[1] * t + (STRENGTH[1] + self.d[1] * tables) * p0) / (STRENGTH[1] + customers)
+
+    def sweep(self, up: np.ndarray, c: np.ndarray, t: np.ndarray, tables: np.ndarray, ones: np.ndarray, t0: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """New numbers of tables of pairs (of word up, c customers, t tables, in restaurants of so many tables) and words.
+
+        ones: each word's pairs of one customer, which have one table each.
+        """
+        c0 = ones + np.bincount(up, weights=t, minlength=len(ones)).astype(np.int64)
+        left = c0[up] - t
+        t0_left = np.minimum(t0[up], left)
+        new = np.broadcast_to(self.new(self.tables), len(c))
+        pull = Pull(tables - t, STRENGTH[1], self.d[1], left - self.d[0] * t0_left, new, STRENGTH[0] + self.customers - t, self.d[0])
+        t = seat(c, t, pull, stirling(self.d[1], EXACT), rng)
+        c0 = ones + np.bincount(up, weights=t, minlength=len(ones)).astype(np.int64)
+        base = _Flat(self.tables - t0, STRENGTH[0], self.d[0], 1 / (self.v + 1))
+        return t, seat(c0, np.minimum(t0, c0), base, stirling(self.d[0], EXACT), rng)
+
+
+class _Flat(Pull):
+    """Weights of tables under a parent whose probability of every dish is p."""
+
+    def __init__(self, others: np.ndarray, theta: float, d: float, p: float):
+        self.start, self.d, self.p = theta / d + others, d, p
+
+    def take(self, rows: np.ndarray) -> _Flat:
+        out = object.__new__(_Flat)
+        out.start, out.d, out.p = self.start[rows], self.d, self.p
+        return out
+
+    def upto(self, k: int) -> np.ndarray:
+        return np.cumsum(np.log(self.d * self.p * (self.start[:, None] + np.arange(k))), axis=1)
+
+    def at(self, t: np.ndarray) -> np.ndarray:
+        return t * np.log(self.d * self.p) + log_gamma(self.start + t) - log_gamma(self.start)
+
+
+# Texts to numbered words and pairs.
+
+
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    b, k, body = zip(*rows) if rows else ([], [], [])
+    return pa.table([pa.array(b, pa.int64()), pa.array(k, pa.int64()), pa.array(body, pa.binary())], ["bucket", "kind", "body"])
+
+
+def _ranges(cut: np.ndarray) -> list[tuple[int, slice]]:
+    return [(int(k), slice(int(cut[k]), int(cut[k + 1]))) for k in np.flatnonzero(np.diff(cut))]
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers as the narrowest signed kind that holds them."""
+    top = int(np.abs(x).max(initial=0))
+    return x.astype(np.int8 if top < 1 << 7 else np.int16 if top < 1 << 15 else np.int32 if top < 1 << 31 else np.int64)
+
+
+def _cut(n: int):
+    """Texts as rows (-1, piece, tokens and the like) and their distinct words as (bucket, piece, words, counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = TaskContext.get().partitionId() << 32
+        for batch in pieces(batches, limit=PIECE):
+            data, offsets = utf8(batch.column("text"))
+            data = LOWER[data]
+            starts, ends, first = words(data, offsets)
+            met = take_spans(data, starts, ends).dictionary_encode()
+            names = pa.concat_arrays([pa.array([b""], pa.large_binary()), met.dictionary.cast(pa.large_binary())])
+            at = first + np.arange(len(offsets))
+            stream = np.zeros(at[-1], np.int32)
+            inner = np.ones(at[-1], bool)
+            inner[at[1:] - 1] = False
+            stream[inner] = met.indices.to_numpy() + 1
+            held, ids = batch.column("held_out").to_numpy(zero_copy_only=False), batch.column("doc_id")
+            counts = np.bincount(stream, weights=np.repeat(~held, np.diff(at)), minlength=len(names)).astype(np.int64)
+            raw, cuts = utf8(names)
+            bucket = (span_hash(prefix_hash(raw), cuts[:-1], cuts[1:]) % np.uint64(n)).astype(np.int64)
+            place = pc.sort_indices(names).to_numpy()
+            order = place[np.argsort(bucket[place], kind="stable")]
+            local = np.empty(len(order), np.int32)
+            local[order] = np.arange(len(order))
+            text = pack(local[stream], np.diff(at).astype(np.int32), held, np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), np.array([local[0]]))
+            rows = [(-1, piece, text)]
+            for b, s in _ranges(np.searchsorted(bucket[order], np.arange(n + 1))):
+                some = names.take(pa.array(order[s]))
+                raw, cuts = utf8(some)
+                rows.append((b, piece, pack(raw, _small(np.diff(cuts)), _small(counts[order[s]]))))
+            yield _rows(rows).combine_chunks().to_batches()[0]
+            piece += 1
+
+    return run
+
+
+def _named(n: int):
+    """Numbers of a bucket's words, by falling counts: to each piece those of its words and their counts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        parts = [unpack(b) for b in group.column("body").to_pylist()]
+        lists = []
+        for raw, sizes, _ in parts:
+            cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            lists.append(pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(raw.tobytes())]))
+        met = pa.concat_arrays(lists).dictionary_encode()
+        where = met.indices.to_numpy()
+        totals = np.bincount(where, weights=np.concatenate([p[2] for p in parts])).astype(np.int64)
+        place = pc.sort_indices(met.dictionary).to_numpy()
+        order = place[np.argsort(-totals[place], kind="stable")]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order)) * n + bucket
+        out, end = [], 0
+        for piece, p in zip(group.column("kind").to_pylist(), parts):
+            own = where[end : end + len(p[1])]
+            out.append((bucket, piece, pack(_small(number[own]), _small(totals[own]))))
+            end += len(p[1])
+        known = np.array([totals.sum(), (totals > 0).sum()])
+        return _rows([*out, (bucket, -1, pack(known))])
+
+    return run
+
+
+def _asked(n: int):
+    """A piece's texts as places among its pairs, with what their words' counts say; its pairs, to the words' buckets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        piece = group.column("kind")[0].as_py()
+        found = dict(zip(group.column("bucket").to_pylist(), group.column("body").to_pylist()))
+        stream, sizes, held, ids, none, end = unpack(found.pop(-1))
+        words_of = [unpack(found[b]) for b in sorted(found)]
+        number, count = (np.concatenate([w[k].astype(np.int64) for w in words_of]) for k in (0, 1))
+        by_word, by_number = np.lexsort((number, number % n)), np.argsort(number)
+        rank, rank_before = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+        rank[by_word] = rank_before[by_number] = np.arange(len(number))
+        before = np.concatenate([end, stream[:-1]])
+        pairs, place = np.unique(rank[stream] << 32 | rank_before[before], return_inverse=True)
+        train = np.bincount(place, weights=np.repeat(~held, sizes), minlength=len(pairs)).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
+        known, logs = np.add.reduceat((count[stream] > 0).astype(np.int64), at), np.add.reduceat(np.log10(count[stream] + 1.0), at)
+        rows = [(-1, piece, pack(_small(place), sizes, held, ids, none, known, logs))]
+        word, context = number[by_word][pairs >> 32], number[by_number][pairs & 0xFFFFFFFF]
+        for b, s in _ranges(np.searchsorted(word % n, np.arange(n + 1))):
+            own, runs = np.unique(word[s] // n, return_counts=True)
+            rows.append((b, piece, pack(own.astype(np.uint64), _small(runs), context[s].astype(np.uint64), _small(train[s]))))
+        return _rows(rows)
+
+    return run
+
+
+# A bucket's pairs: kind 0 holds all of them, 1 their seating, 2 and up are messages to groups of contexts, below 0 answers.
+
+
+def _to_groups(bucket: int, contexts: np.ndarray, n: int, want: np.ndarray, *values: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Shares of the values of distinct contexts, one message to each group of contexts."""
+    group = contexts % n
+    order = np.argsort(group, kind="stable")
+    cut = np.searchsorted(group[order], np.arange(n + 1))
+    return [(bucket, 2 + g, pack((contexts[i] // n).astype(np.uint64), want[i], *[_small(v[i]) for v in values])) for g, s in _ranges(cut) for i in [order[s]]]
 
 
 def _met(group: pa.Table) -> pa.Table:
@@ -264,243 +345,178 @@ def _met(group: pa.Table) -> pa.Table:
     one, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     totals = [np.bincount(where, weights=np.concatenate([p[k] for p in parts]), minlength=len(one)).astype(np.int64) for k in range(2, len(parts[0]))]
     ends = np.cumsum([len(p[0]) for p in parts])
-    return _rows([(b, 1 - kind, pack(*[t[where[end - len(p[0]) : end][p[1]]] for t in totals]), None) for b, p, end in zip(group.column("bucket").to_pylist(), parts, ends)])
+    return _rows([(b, 1 - kind, pack(*[_small(t[where[end - len(p[0]) : end][p[1]]]) for t in totals])) for b, p, end in zip(group.column("bucket").to_pylist(), parts, ends)])
 
 
-def _split(group: pa.Table) -> tuple[int, dict[int, list[np.ndarray]], list[np.ndarray]]:
-    """The bucket, its bodies by kind, and the groups' answers put together."""
-    found = dict(zip(group.column("kind").to_pylist(), group.column("body").to_pylist()))
+def _answers(found: dict[int, bytes], contexts: np.ndarray, n: int) -> list[np.ndarray]:
+    """What the groups have answered about the contexts, in their order."""
     answers = [unpack(found[k]) for k in sorted((k for k in found if k < 0), reverse=True)]
-    return group.column("bucket")[0].as_py(), {k: unpack(b) for k, b in found.items() if k >= 0}, [np.concatenate(x) for x in zip(*answers)]
-
-
-def _level(tree: Hierarchy, c2: np.ndarray, tables: list[np.ndarray], n: int) -> bytes:
-    return pack(np.append(tree.sums(c2, tables), n))
+    order = np.argsort(contexts % n, kind="stable")
+    out = []
+    for x in zip(*answers):
+        values = np.empty(len(contexts), np.int64)
+        values[order] = np.concatenate(x)
+        out.append(values)
+    return out
 
 
-def _opened(group: pa.Table) -> pa.Table:
-    """A bucket's pairs, and one table to each that has customers.
+def _opened(n: int):
+    """A bucket's pairs with their counts over all pieces, and one table for each that has customers.
 
-    Only pairs of two customers or more can change; of the others their number in each shorter context is kept.
+    Only pairs of two customers or more can change; of the others each word's number is kept.
     """
-    bucket = group.column("bucket")[0].as_py()
-    keys, whole, counts = grouped(*(np.concatenate(x) for x in zip(*(unpack(b) for b in group.column("body").to_pylist()))))
-    rows = [(bucket, 0, pack(keys, whole, counts.astype(np.uint32)), None)]
-    train = counts > 0
-    if train.any():
-        keys, whole, counts = keys[train], whole[train], counts[train]
-        inner, up = np.unique(keys, return_inverse=True)
-        number = np.unique(inner >> np.uint64(12), return_inverse=True)[1].astype(np.uint64)
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        parts = [unpack(b) for b in group.column("body").to_pylist()]
+        word = np.concatenate([np.repeat(p[0], p[1]) for p in parts]).astype(np.int64)
+        contexts, before = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+        pairs, where = np.unique(word << 32 | before, return_inverse=True)
+        counts = np.bincount(where, weights=np.concatenate([p[3] for p in parts])).astype(np.int64)
+        word, before = pairs >> 32, contexts.astype(np.int64)[pairs & 0xFFFFFFFF]
+        own, runs = np.unique(word, return_counts=True)
+        rows = [(bucket, 0, pack(own.astype(np.uint64), _small(runs), before.astype(np.uint64), _small(counts)))]
+        train = counts > 0
+        word, before, counts = word[train], before[train], counts[train]
+        up = np.unique(word, return_inverse=True)[1]
         many = counts > 1
-        ones = np.bincount(up[~many], minlength=len(inner))
-        mine, at = np.unique(whole[many], return_inverse=True)
-        tree = Hierarchy((number << np.uint64(12)) | (inner & LOW), np.bincount(up))
-        tables = tree.start()
-        body = [tree.keys, ones.astype(np.uint32), up[many].astype(np.uint64), at.astype(np.uint32), counts[many].astype(np.uint32), mine.view(np.uint64), np.zeros(len(mine), np.int64)]
-        body += [np.ones(int(many.sum()), np.uint32), *[t.astype(np.uint32) for t in tables]]
-        rows.append((bucket, 1, pack(*body), _level(tree, tree.c2, tables, counts.sum())))
-        contexts, n = np.unique(whole, return_counts=True)
-        rows += _asked(bucket, contexts, np.isin(contexts, mine), n)
-    return _rows(rows)
+        ones = np.bincount(up[~many], minlength=int(up.max(initial=-1)) + 1)
+        mine, at = np.unique(before[many], return_inverse=True)
+        c0 = np.bincount(up, minlength=len(ones))
+        sums = np.array([c0.sum(), len(ones), (counts == 1).sum(), (counts == 2).sum(), (c0 == 1).sum(), (c0 == 2).sum()], np.int64)
+        state = pack(_small(ones), _small(up[many]), _small(at), _small(counts[many]), mine.astype(np.uint64), np.zeros(len(mine), np.int8), np.ones(int(many.sum()), np.int8), np.ones(len(ones), np.int8))
+        rows += [(bucket, 1, state), (bucket, -1, pack(sums))]
+        some, times = np.unique(before, return_counts=True)
+        return _rows(rows + _to_groups(bucket, some, n, np.isin(some, mine), times))
 
+    return run
 
-def _swept(sweep: int, shipped):
-    """One sweep of a bucket, given the sums over all of them; seatings from BURN on are kept behind the last one."""
+
+def _swept(sweep: int, n: int, level: Level):
+    """One sweep of a bucket, given the sums over all; of the last sweeps the seatings are kept behind the present one."""
 
     def run(group: pa.Table) -> pa.Table:
-        bucket, found, answers = _split(group)
-        keys, ones, up, at, counts, mine, outer, *tables = found[1]
-        known, sums = [stirling(d, EXACT) for d in DISCOUNT], shipped.value
-        rng = np.random.default_rng([zlib.crc32(bucket.to_bytes(4, "little")), sweep])
-        t3, *inner = [t.astype(np.int64) for t in tables[-4:]]
-        up, outer = up.astype(np.int64), outer + (answers[0] if answers else 0)
-        customers = lambda t: (ones + np.bincount(up, weights=t, minlength=len(keys))).astype(np.int64)
-        tree = Hierarchy(keys, customers(t3))
-        pulls = tree.pulls(inner, sums[:-1])
-        pull = (THETA[3] + DISCOUNT[3] * outer[at]) * tree.inner(tree.c2, inner, pulls, sums)[up]
-        new = seat(counts.astype(np.int64), pull, DISCOUNT[3], known[3], rng)
-        c2 = customers(new)
-        inner = tree.reseat(c2, pulls, known, rng)
-        body = [keys, ones, up.astype(np.uint64), at, counts, mine, outer, *(tables if sweep > BURN else []), *[t.astype(np.uint32) for t in (new, *inner)]]
-        rows = [(bucket, 1, pack(*body), _level(tree, c2, inner, int(ones.sum()) + int(counts.sum())))]
-        change = np.bincount(at, weights=new - t3, minlength=len(mine)).astype(np.int64)
-        return _rows(rows + _asked(bucket, mine.view(np.int64), np.ones(len(mine), bool), change))
+        bucket, found = group.column("bucket")[0].as_py(), dict(zip(group.column("kind").to_pylist(), group.column("body").to_pylist()))
+        ones, up, at, counts, mine, outer, t, t0, *kept = unpack(found[1])
+        mine, change = mine.astype(np.int64), _answers(found, mine.astype(np.int64), n)
+        outer = outer.astype(np.int64) + (change[0] if change else 0)
+        rng = np.random.default_rng([bucket, sweep])
+        args = [x.astype(np.int64) for x in (up, counts, t)]
+        new, new0 = level.sweep(*args, outer[at], ones.astype(np.int64), t0.astype(np.int64), rng)
+        if sweep >= BURN:
+            kept += [_small(new), _small(new0)]
+        sums = np.array([ones.sum() + new.sum(), new0.sum()], np.int64)
+        state = pack(ones, up, at, counts, mine.astype(np.uint64), _small(outer), _small(new), _small(new0), *kept)
+        shift = np.bincount(at, weights=new - args[2], minlength=len(mine)).astype(np.int64)
+        return _rows([(bucket, 1, state), (bucket, -1, pack(sums)), *_to_groups(bucket, mine, n, np.ones(len(mine), bool), shift)])
 
     return run
 
 
-def _seated(static: list[np.ndarray], state: list[np.ndarray] | None) -> list[np.ndarray]:
-    """Tables of all pairs in each kept seating."""
-    counts = static[2]
-    out = [np.minimum(counts, 1).astype(np.int64) for _ in range(SAMPLES)]
-    for s, t in enumerate(out):
-        if state is not None:
-            t[counts > 1] = state[7 + 4 * s]
+def _seatings(static: list[np.ndarray], state: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tables of all pairs and of all words (0 where none trains) in each kept seating."""
+    runs, counts = static[1], static[3]
+    known = np.add.reduceat(counts > 0, np.cumsum(runs) - runs) > 0
+    out = []
+    for s in range(SAMPLES):
+        t, t0 = np.minimum(counts, 1).astype(np.int64), np.zeros(len(runs), np.int64)
+        t[counts > 1], t0[known] = state[8 + 2 * s], state[9 + 2 * s]
+        out.append((t, t0))
     return out
 
 
-def _closed(group: pa.Table) -> pa.Table:
-    """All contexts of a bucket's pairs, with its share of their customers and tables."""
-    bucket, found, _ = _split(group)
-    contexts, at = np.unique(found[0][1], return_inverse=True)
-    shares = [np.bincount(at, weights=x, minlength=len(contexts)) for x in (found[0][2], *_seated(found[0], found.get(1)))]
-    return _rows(_asked(bucket, contexts, np.ones(len(contexts), bool), *shares))
-
-
-def _priced(shipped):
-    """Log10 probabilities of a bucket's pairs and their words' training counts, dealt by the hash of the pair."""
+def _closed(n: int):
+    """All contexts of a bucket's pairs, with its share of their customers and of their tables in each kept seating."""
 
     def run(group: pa.Table) -> pa.Table:
-        _, found, (customers, *outer) = _split(group)
-        keys, whole, counts = found[0]
-        at = np.unique(whole, return_inverse=True)[1]
-        body, c2 = None, None
-        if 1 in found:
-            train = counts > 0
-            inner, up = np.unique(keys[train], return_inverse=True)
-            kept = [found[1][8 + 4 * s : 11 + 4 * s] for s in range(SAMPLES)]
-            body = pack(inner, np.bincount(up, weights=counts[train]).astype(np.uint32), *[t for k in kept for t in k])
-            c2 = [np.bincount(up, weights=t[train]) for t in _seated(found[0], found[1])]
-        bucket = Bucket(body, shipped.value, c2)
-        p = np.zeros(len(keys))
-        for t3, t, below in zip(_seated(found[0], found.get(1)), outer, bucket.each(keys)):
-            p += (counts - DISCOUNT[3] * t3 + (THETA[3] + DISCOUNT[3] * t[at]) * below) / (THETA[3] + customers[at])
-        names = pair(keys, whole)
-        order = np.argsort(names)
-        names, logs, known = names[order], np.log10(p / SAMPLES)[order].astype(np.float32), bucket.known(keys)[order].astype(np.uint32)
-        cut = _buckets(names, BITS)
-        return pa.Table.from_batches([_emit([(b, pack(names[cut[b] : cut[b + 1]], logs[cut[b] : cut[b + 1]], known[cut[b] : cut[b + 1]])) for b in range(1 << BITS) if cut[b] < cut[b + 1]])])
+        bucket, found = group.column("bucket")[0].as_py(), dict(zip(group.column("kind").to_pylist(), group.column("body").to_pylist()))
+        static = unpack(found[0])
+        contexts, at = np.unique(static[2].astype(np.int64), return_inverse=True)
+        shares = [np.bincount(at, weights=x, minlength=len(contexts)).astype(np.int64) for x in (static[3], *(t for t, _ in _seatings(static, unpack(found[1]))))]
+        return _rows(_to_groups(bucket, contexts, n, np.ones(len(contexts), bool), *shares))
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        for body in batch.column("sums").to_pylist():
-            total = unpack(body)[0] if total is None else total + unpack(body)[0]
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
-
-
-def sums(state: DataFrame) -> np.ndarray:
-    """The sums over all buckets; a fixed number of values, all whole numbers, so that their order does not matter."""
-    out = np.zeros(2 * CONTEXTS + 256 + 3)
-    for r in state.where("kind = 1").select("sums").mapInArrow(_added, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[r["i"]] = r["v"]
-    return out
+def _priced(n: int, levels: list[Level]):
+    """Log10 probabilities of a bucket's pairs, to each piece those of the pairs it has asked for."""
+
+    def run(model: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return _rows([])
+        bucket, found = model.column("bucket")[0].as_py(), dict(zip(model.column("kind").to_pylist(), model.column("body").to_pylist()))
+        own, runs, before, counts = static = unpack(found[0])
+        contexts, at = np.unique(before.astype(np.int64), return_inverse=True)
+        customers, *outer = _answers(found, contexts, n)
+        up = np.repeat(np.arange(len(own)), runs)
+        p = np.zeros(len(counts))
+        for level, tables, (t, t0) in zip(levels, outer, _seatings(static, unpack(found[1]))):
+            p0 = level.single(np.bincount(up, weights=t, minlength=len(own)), t0)
+            p += level.paired(counts, t, customers[at], tables[at], p0[up])
+        logs = np.log10(p / len(levels)).astype(np.float32)
+        pairs = own[up].astype(np.int64) << 32 | at
+        rows = []
+        for piece, body in zip(asked.column("kind").to_pylist(), asked.column("body").to_pylist()):
+            word, times, context, _ = unpack(body)
+            wanted = np.repeat(word, times).astype(np.int64) << 32 | np.searchsorted(contexts, context.astype(np.int64))
+            rows.append((bucket, piece, pack(logs[np.searchsorted(pairs, wanted)])))
+        return _rows(rows)
 
+    return run
 
-def _answered(asked: DataFrame) -> DataFrame:
-    return asked.where("kind > 1").groupBy("kind").applyInArrow(_met, ROW)
 
+def _scored(n_train: int, v: int):
+    names, kinds = zip(*[(c.split()[0], {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]]) for c in RESULT.split(", ")])
 
-def priced(counts: DataFrame) -> tuple[DataFrame, Totals]:
-    """bucket (of the pair's hash), body (pairs, log10 probabilities, words' counts), and the sums of the kept seatings."""
-    ship = counts.sparkSession.sparkContext.broadcast
-    state = table(counts.groupBy("bucket").applyInArrow(_opened, ROW), "pairs")
-    static, found = state.where("kind = 0"), [sums(state)]
-    for sweep in range(BURN + SAMPLES):
-        met = state.where("kind = 1").unionAll(_answered(state))
-        state = table(met.groupBy("bucket").applyInArrow(_swept(sweep, ship(found[-1])), ROW), "seatings")
-        found.append(sums(state))
-    kept, model = found[-SAMPLES:], static.unionAll(state.where("kind = 1"))
-    flat = np.concatenate([np.zeros(CONTEXTS), kept[0][[-1, -2]], *[x[CONTEXTS:-2] for x in kept]])
-    totals = Totals(list(enumerate(flat)), [x[:CONTEXTS] for x in kept])
-    closed = model.groupBy("bucket").applyInArrow(_closed, ROW)
-    met = model.unionAll(_answered(closed)).groupBy("bucket").applyInArrow(_priced(ship(totals)), "bucket int, body binary")
-    return met, totals
-
-
-class Bucket:
-    """A bucket's seatings of shorter contexts, read to predict. c2: their customers in each seating, where they differ."""
-
-    def __init__(self, body: bytes | None, totals: Totals, c2: list[np.ndarray] | None = None):
-        a = unpack(body) if body is not None else [np.empty(0, np.uint64), np.empty(0, np.uint32)] + [np.empty(0, np.uint32)] * (3 * SAMPLES)
-        self.tree, self.totals = Hierarchy(a[0], a[1]), totals
-        self.c2 = c2 or [self.tree.c2] * SAMPLES
-        self.kept = [tuple(x.astype(np.float64) for x in a[2 + 3 * s : 5 + 3 * s]) for s in range(SAMPLES)]
-        self.words = np.bincount(self.tree.up0[self.tree.up1], weights=self.tree.c2, minlength=len(self.tree.keys0)) if len(a[0]) else np.empty(0)
-
-    @staticmethod
-    def _find(among: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(among, k), max(len(among) - 1, 0))
-        return at, (among[at] == k) if len(among) else np.zeros(len(k), bool)
-
-    @staticmethod
-    def _pick(values: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        return np.where(at[1], values[at[0]], 0.0) if len(values) else np.zeros(len(at[1]))
-
-    def known(self, keys: np.ndarray) -> np.ndarray:
-        """For each key the word's training count."""
-        return self._pick(self.words, self._find(self.tree.keys0, keys >> np.uint64(12)))
-
-    def each(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        """For each key its probability, in one seating after the other."""
-        tree, pick = self.tree, self._pick
-        at2, at1, at0 = self._find(tree.keys, keys), self._find(tree.keys1, keys >> np.uint64(4)), self._find(tree.keys0, keys >> np.uint64(12))
-        ctx2 = (keys & LOW).astype(np.int64)
-        for s, (t2, t1, t0) in enumerate(self.kept):
-            c1 = np.bincount(tree.up1, weights=t2, minlength=len(t1)) if len(t1) else t1
-            c0 = np.bincount(tree.up0, weights=t1, minlength=len(t0)) if len(t0) else t0
-            yield self.totals.predict(s, ctx2, pick(self.c2[s] - DISCOUNT[2] * t2, at2), pick(c1 - DISCOUNT[1] * t1, at1), pick(c0 - DISCOUNT[0] * t0, at0))
-
-    def scores(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each key: the word's training count, the averaged probability."""
-        return self.known(keys), sum(self.each(keys)) / SAMPLES
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows for buckets 0.. hold the pairs of the texts; those below 0 what is already known of every text."""
-    row = TaskContext.get().partitionId() << 40
-    for batch in pieces(batches, limit=3_000_000):
-        keys, whole, at = tokens(batch.column("text"))
-        m = batch.num_rows
-        ids = batch.column("doc_id")
-        known = pack(np.diff(at), batch.column("held_out").to_numpy(zero_copy_only=False), np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), np.array([row]))
-        rows = [(-1 - (row + (row >> 40)) % (1 << BITS), known)]
-        names, doc, n = grouped(pair(keys, whole), np.repeat(np.arange(m), np.diff(at)), np.ones(len(keys), np.int64))
-        cut = _buckets(names, BITS)
-        rows += [(b, pack(names[cut[b] : cut[b + 1]], doc[cut[b] : cut[b + 1]].astype(np.uint32), n[cut[b] : cut[b + 1]].astype(np.uint32), np.array([row]))) for b in range(1 << BITS) if cut[b] < cut[b + 1]]
-        yield _emit(rows)
-        row += m
-
-
-PART = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-
-
-def _parts(totals: Totals):
-    names = [x.split()[0] for x in PART.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-
-    def run(texts: pa.Table, model: pa.Table) -> pa.Table:
-        out = []
-        if texts.num_rows and texts.column("bucket")[0].as_py() < 0:
-            for body in texts.column("body").to_pylist():
-                n, held, ids, none, row = unpack(body)
-                zero = np.zeros(len(n))
-                out.append(pa.table([pa.array(row[0] + np.arange(len(n))), pa.array(ids, mask=none), pa.array(held), pa.array(n), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], names))
-        elif texts.num_rows:
-            prices = [unpack(b) for b in model.column("body").to_pylist()]
-            order = np.argsort(np.concatenate([p[0] for p in prices]))
-            pairs, logs, known = (np.concatenate(x)[order] for x in zip(*prices))
-            for body in texts.column("body").to_pylist():
-                found, doc, times, row = unpack(body)
-                at = np.searchsorted(pairs, found)
-                rows, d = np.unique(doc, return_inverse=True)
-                add = lambda x, d=d, times=times: np.bincount(d, weights=times * x)
-                m, count = len(rows), known[at].astype(np.float64)
-                out.append(pa.table([pa.array(row[0] + rows.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(np.zeros(m, np.int64)), pa.array(add(count > 0).astype(np.int64)), pa.array(add(np.log10((count + 1) / (totals.n + totals.v + 1)))), pa.array(add(logs[at].astype(np.float64)))], names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in kinds], names)
+    def run(group: pa.Table) -> pa.Table:
+        found = dict(zip(group.column("bucket").to_pylist(), group.column("body").to_pylist()))
+        place, sizes, held, ids, none, known, logs = unpack(found.pop(-1))
+        price = np.concatenate([unpack(found[b])[0] for b in sorted(found)]).astype(np.float64)
+        at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
+        score, base = np.add.reduceat(price[place], at), logs - sizes * np.log10(n_train + v + 1)
+        columns = [pa.array(ids, mask=none), pa.array(held), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(ids), n_train)), pa.array(base), pa.array(score)]
+        return pa.table([c.cast(k) for c, k in zip(columns, kinds)], list(names))
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bodies = [unpack(x)[0].astype(np.int64) for batch in batches for x in batch.column("body").to_pylist()]
+    if bodies:
+        yield _rows([(0, 0, pack(np.sum(bodies, axis=0)))]).to_batches()[0]
+
+
+def totals(rows: DataFrame) -> list[int]:
+    """Sums over all buckets of a few whole numbers each; a row for each partition comes to the driver."""
+    found = [unpack(r["body"])[0] for r in rows.select("body").mapInArrow(_added, ROW).collect()]
+    return [int(x) for x in np.sum(found, axis=0)] if found else []
+
+
 def score(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text), see RESULT; log10 probabilities of whole texts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    model, totals = priced(docs.select("text", "held_out").mapInArrow(_count, "bucket int, body binary"))
-    rows = docs.mapInArrow(_texts, "bucket int, body binary")
-    met = rows.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_parts(totals), PART)
-    out = met.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out")], *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.n).cast("long").alias("train_tokens"), "base_score", "score")
+    n = buckets(docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0)
+    cut = table(docs.mapInArrow(_cut(n), ROW), "cut", "none")
+    named = table(cut.where("bucket >= 0").groupBy("bucket").applyInArrow(_named(n), ROW), "named", "none")
+    n_train, v = totals(named.where("kind = -1")) or (0, 0)
+    met = cut.where("bucket = -1").unionAll(named.where("kind >= 0"))
+    asked = table(met.groupBy("kind").applyInArrow(_asked(n), ROW), "asked", "none")
+    drop(cut, named)
+    pairs = asked.where("bucket >= 0")
+    state = first = table(pairs.groupBy("bucket").applyInArrow(_opened(n), ROW), "pairs", "none")
+    customers, tables, *of_counts = totals(state.where("kind = -1")) or [0] * 6
+    d = discount(of_counts[2], of_counts[3]), discount(of_counts[0], of_counts[1])
+    levels = [Level(customers, tables, v, d)]
+    for sweep in range(BURN + SAMPLES):
+        answers = state.where("kind > 1").groupBy("kind").applyInArrow(_met, ROW)
+        now = table(state.where("kind = 1").unionAll(answers).groupBy("bucket").applyInArrow(_swept(sweep, n, levels[-1]), ROW), "seating", "none")
+        if state is not first:
+            drop(state)
+        state = now
+        levels.append(Level(*(totals(state.where("kind = -1")) or [0, 0]), v, d))
+    kept = first.where("kind = 0").unionAll(state.where("kind = 1"))
+    answers = kept.groupBy("bucket").applyInArrow(_closed(n), ROW).groupBy("kind").applyInArrow(_met, ROW)
+    model = table(kept.unionAll(answers), "model", "none")
+    drop(first, state)
+    prices = model.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_priced(n, levels[-SAMPLES:]), ROW)
+    return asked.where("bucket = -1").unionAll(prices).groupBy("kind").applyInArrow(_scored(n_train, v), RESULT)

@@ -30,10 +30,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, mix, pieces, ragged, table
+from .common import binary_rows, mix, pack, pieces, ragged, table, unpack
 from .components import components
 from .fingerprints import shingles
-from .hpylm import pack, unpack
 from .suffixes import _packed
 
 CELLS, SLICES = 1 << 20, 256

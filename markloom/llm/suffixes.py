@@ -30,8 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, powers, prefix_hash, ragged, span_hash, table, utf8
-from .hpylm import pack, unpack
+from .common import mix, pack, pieces, powers, prefix_hash, ragged, span_hash, table, unpack, utf8
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1  # grams in a string

@@ -1,6 +1,7 @@
 """Operators on small tables against brute-force versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -209,21 +210,58 @@ def test_model_counts_and_probabilities(docs):
 
 def test_predictions_of_a_seating_sum_to_one():
     rng = np.random.default_rng(3)
-    keys = np.unique((rng.integers(1, 1 << 40, 300).astype(np.uint64) << np.uint64(12)) | rng.integers(0, hpylm.CONTEXTS, 300).astype(np.uint64))
-    keys = np.unique(np.concatenate([keys, (keys & ~hpylm.LOW) | np.uint64(17)]))
-    tree = hpylm.Hierarchy(keys, rng.zipf(1.7, len(keys)).clip(1, 5000).astype(np.uint32))
-    kept = tree.sample(1, 5)
-    flat = [np.bincount(tree.ctx2, weights=tree.c2, minlength=hpylm.CONTEXTS), [tree.c2.sum(), len(tree.keys0)]]
-    for t2, t1, t0 in kept:
-        assert (t2 >= 1).all() and (t2 <= tree.c2).all()
-        flat += [np.bincount(tree.ctx2, weights=t2, minlength=hpylm.CONTEXTS), np.bincount(tree.ctx1, weights=t1, minlength=256), [t0.sum()]]
-    totals = hpylm.Totals(list(enumerate(np.concatenate(flat))))
-    body = hpylm.pack(keys, tree.c2.astype(np.uint32), *[x.astype(np.uint32) for t in kept for x in t], np.concatenate(flat))
-    bucket = hpylm.Bucket(body, totals)
-    for context in (17, 900):
-        known = bucket.scores((tree.keys0 << np.uint64(12)) | np.uint64(context))[1]
-        unknown = bucket.scores(np.array([np.uint64(1 << 60) | np.uint64(context)]))[1]
-        assert known.sum() + unknown.sum() == pytest.approx(1)
+    counts = rng.zipf(1.6, (7, 40)).clip(1, 900) * (rng.random((7, 40)) < 0.4)  # contexts by words
+    counts[0] += 1
+    tables = np.where(counts > 0, rng.integers(1, np.maximum(counts, 1) + 1), 0)
+    c0 = tables.sum(0)
+    t0 = rng.integers(1, c0 + 1)
+    level = hpylm.Level(int(c0.sum()), int(t0.sum()), 40, (0.7, 0.8))
+    p0 = level.single(c0, t0)
+    unknown = level.single(np.zeros(1), np.zeros(1))
+    assert p0.sum() + unknown[0] == pytest.approx(1)
+    for c, t in zip(counts, tables):
+        known = level.paired(c, t, c.sum(), t.sum(), p0)
+        assert known.sum() + level.paired(0, 0, c.sum(), t.sum(), unknown)[0] == pytest.approx(1)
+
+
+def test_sampled_tables_against_all_seatings():
+    """Mean numbers of tables of a tiny corpus: all seatings summed by their probability against sweeps."""
+    c, up, of, d, v = np.array([3, 2, 4, 1, 2, 1]), np.array([0, 1, 0, 2, 1, 2]), np.array([0, 0, 1, 1, 2, 2]), (0.6, 0.7), 3
+    s, theta = [np.exp(hpylm.stirling(x, 40)) for x in d], hpylm.STRENGTH
+    total, want, want0 = 0.0, np.zeros(6), np.zeros(3)
+    rising = lambda x, step, n: math.prod(x + step * i for i in range(n))
+    for t in itertools.product(*[range(1, k + 1) for k in c]):
+        c0 = np.bincount(up, weights=t).astype(int)
+        a = math.prod(rising(theta[1], d[1], int(n)) for n in np.bincount(of, weights=t)) * math.prod(s[1][k, x] for k, x in zip(c, t)) / rising(theta[0], 1, int(c0.sum()))
+        for t0 in itertools.product(*[range(1, k + 1) for k in c0]):
+            b = a * rising(theta[0], d[0], sum(t0)) / (v + 1) ** sum(t0) * math.prod(s[0][k, x] for k, x in zip(c0, t0))
+            total, want, want0 = total + b, want + b * np.array(t), want0 + b * np.array(t0)
+    many, rng = c > 1, np.random.default_rng(1)
+    ones, t, t0 = np.bincount(up[~many], minlength=3), np.ones(4, np.int64), np.ones(3, np.int64)
+    found, found0 = np.zeros(4), np.zeros(3)
+    for sweep in range(4000):
+        tables = np.bincount(of[~many], minlength=3) + np.bincount(of[many], weights=t, minlength=3)
+        level = hpylm.Level(int(tables.sum()), int(t0.sum()), v, d)
+        t, t0 = level.sweep(up[many], c[many], t, tables[of[many]], ones, t0, rng)
+        found, found0 = found + t / 4000, found0 + t0 / 4000
+    assert found == pytest.approx(want[many] / total, abs=0.2)
+    assert found0 == pytest.approx(want0 / total, abs=0.2)
+
+
+def test_held_out_texts_are_better_foretold_than_by_single_words(spark):
+    """A chain of words: the base knows how common each is, the model also what follows what."""
+    rng = random.Random(5)
+    follow = {k: [rng.randrange(300) for _ in range(4)] for k in range(300)}
+    rows = []
+    for k in range(150):
+        at, text = rng.randrange(300), []
+        for _ in range(120):
+            text.append(f"w{at}")
+            at = rng.choice(follow[at]) if rng.random() < 0.9 else rng.randrange(300)
+        rows.append((k, " ".join(text), "en", "s", 0, 0.5))
+    held = [r for r in hpylm.score(spark.createDataFrame(rows, SCHEMA)).collect() if r["held_out"]]
+    assert len(held) > 5
+    assert all(r["score"] > 0.75 * r["base_score"] for r in held)
 
 
 def test_whole_words_before_are_contexts(spark):
@@ -255,6 +293,19 @@ def test_scores_do_not_depend_on_shuffle_partitions(spark, docs):
 def test_stirling_numbers():
     s = np.exp(hpylm.stirling(0.5, 4))
     assert s[2, 1] == pytest.approx(0.5) and s[3, 2] == pytest.approx(1.5) and s[4, 4] == pytest.approx(1)
+    known, t = hpylm.stirling(0.4, 300), np.arange(20, 120)
+    assert hpylm.stirling_far(0.4, np.full(100, 300), t) == pytest.approx(known[300, t], abs=0.1)
+    x = np.array([0.3, 1, 2.5, 40, 3000])
+    assert hpylm.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-9, abs=1e-10)
+
+
+def test_weights_of_tables():
+    one = lambda x: np.array([x])
+    for own in (0.0, 3.5):
+        pull = hpylm.Pull(one(5.0), 2.0, 0.8, one(own), one(0.25), one(50.0), 0.7)
+        steps = [(2.0 + 0.8 * (5 + i)) * ((0.25 if i == 0 else i - 0.7 + 0.25) if own == 0 else own + 0.25 + i) / (50 + i) for i in range(9)]
+        assert pull.upto(9)[0] == pytest.approx(np.cumsum(np.log(steps)))
+        assert pull.at(one(7))[0] == pytest.approx(sum(map(math.log, steps[:7])))
 
 
 # language
