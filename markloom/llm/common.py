@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -49,6 +50,21 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def tables(df: DataFrame, name: str, parts: dict[str, Column], codec: str = "zstd") -> list[DataFrame]:
+    """The same for several tables made in one pass: rows go to the first part whose condition they meet."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    part = F.coalesce(*[F.when(c, F.lit(k)) for k, c in parts.items()])
+    df.withColumn("_part", part).write.partitionBy("_part").option("compression", codec).parquet(path)
+    out = []
+    for k in parts:
+        _written.append(f"{path}/_part={k}")
+        there = spark._jvm.org.apache.hadoop.fs.Path(_written[-1])
+        some = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+        out.append(spark.read.schema(df.schema).parquet(_written[-1]) if some else spark.createDataFrame([], df.schema))
+        out[-1].folder = _written[-1]
+    return out
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that clear_tables() will remove."""
     _written.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
@@ -60,10 +76,10 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop(*tables: DataFrame) -> None:
-    """Removes tables made by table() that nothing will read again, and lets Spark clean up shuffles out of use."""
-    spark = tables[0].sparkSession
-    for t in tables:
+def drop(*some: DataFrame) -> None:
+    """Removes tables made here that nothing will read again, and lets Spark clean up shuffles out of use."""
+    spark = some[0].sparkSession
+    for t in some:
         if t.folder in _written:
             _written.remove(t.folder)
             _delete(spark, t.folder)

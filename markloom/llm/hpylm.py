@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop, pack, pieces, prefix_hash, span_hash, table, take_spans, unpack, utf8, words
+from .common import LOWER, drop, pack, pieces, prefix_hash, span_hash, table, tables, take_spans, unpack, utf8, words
 
 BURN, SAMPLES, EXACT, STEPS = 4, 4, 256, 6
 STRENGTH, LIMITS = (20.0, 2.0), (0.1, 0.95)  # strengths of the restaurant of single words and of those below it
@@ -327,7 +327,9 @@ def _asked(n: int):
     return run
 
 
-# A bucket's pairs: kind 0 holds all of them, 1 their seating, 2 and up are messages to groups of contexts, below 0 answers.
+# A bucket's pairs: kind 0 holds all of them, 1 their seating, 2 and up are messages to groups of contexts, below 0
+# answers, and from ASKED on the places of a piece's pairs among them.
+ASKED = 1 << 62
 
 
 def _to_groups(bucket: int, contexts: np.ndarray, n: int, want: np.ndarray, *values: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -373,6 +375,8 @@ def _opened(n: int):
         contexts, before = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
         pairs, where = np.unique(word << 32 | before, return_inverse=True)
         counts = np.bincount(where, weights=np.concatenate([p[3] for p in parts])).astype(np.int64)
+        ends = np.cumsum([len(p[2]) for p in parts])
+        asks = [(bucket, ASKED + k, pack(where[end - len(p[2]) : end].astype(np.uint64))) for k, p, end in zip(group.column("kind").to_pylist(), parts, ends)]
         word, before = pairs >> 32, contexts.astype(np.int64)[pairs & 0xFFFFFFFF]
         own, runs = np.unique(word, return_counts=True)
         rows = [(bucket, 0, pack(own.astype(np.uint64), _small(runs), before.astype(np.uint64), _small(counts)))]
@@ -385,7 +389,7 @@ def _opened(n: int):
         c0 = np.bincount(up, minlength=len(ones))
         sums = np.array([c0.sum(), len(ones), (counts == 1).sum(), (counts == 2).sum(), (c0 == 1).sum(), (c0 == 2).sum()], np.int64)
         state = pack(_small(ones), _small(up[many]), _small(at), _small(counts[many]), mine.astype(np.uint64), np.zeros(len(mine), np.int8), np.ones(int(many.sum()), np.int8), np.ones(len(ones), np.int8))
-        rows += [(bucket, 1, state), (bucket, -1, pack(sums))]
+        rows += [*asks, (bucket, 1, state), (bucket, -1, pack(sums))]
         some, times = np.unique(before, return_counts=True)
         return _rows(rows + _to_groups(bucket, some, n, np.isin(some, mine), times))
 
@@ -441,10 +445,8 @@ def _closed(n: int):
 def _priced(n: int, levels: list[Level]):
     """Log10 probabilities of a bucket's pairs, to each piece those of the pairs it has asked for."""
 
-    def run(model: pa.Table, asked: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return _rows([])
-        bucket, found = model.column("bucket")[0].as_py(), dict(zip(model.column("kind").to_pylist(), model.column("body").to_pylist()))
+    def run(group: pa.Table) -> pa.Table:
+        bucket, found = group.column("bucket")[0].as_py(), dict(zip(group.column("kind").to_pylist(), group.column("body").to_pylist()))
         own, runs, before, counts = static = unpack(found[0])
         contexts, at = np.unique(before.astype(np.int64), return_inverse=True)
         customers, *outer = _answers(found, contexts, n)
@@ -454,13 +456,7 @@ def _priced(n: int, levels: list[Level]):
             p0 = level.single(np.bincount(up, weights=t, minlength=len(own)), t0)
             p += level.paired(counts, t, customers[at], tables[at], p0[up])
         logs = np.log10(p / len(levels)).astype(np.float32)
-        pairs = own[up].astype(np.int64) << 32 | at
-        rows = []
-        for piece, body in zip(asked.column("kind").to_pylist(), asked.column("body").to_pylist()):
-            word, times, context, _ = unpack(body)
-            wanted = np.repeat(word, times).astype(np.int64) << 32 | np.searchsorted(contexts, context.astype(np.int64))
-            rows.append((bucket, piece, pack(logs[np.searchsorted(pairs, wanted)])))
-        return _rows(rows)
+        return _rows([(bucket, k - ASKED, pack(logs[unpack(body)[0]])) for k, body in found.items() if k >= ASKED])
 
     return run
 
@@ -500,23 +496,23 @@ def score(docs: DataFrame) -> DataFrame:
     named = table(cut.where("bucket >= 0").groupBy("bucket").applyInArrow(_named(n), ROW), "named", "none")
     n_train, v = totals(named.where("kind = -1")) or (0, 0)
     met = cut.where("bucket = -1").unionAll(named.where("kind >= 0"))
-    asked = table(met.groupBy("kind").applyInArrow(_asked(n), ROW), "asked", "none")
+    texts, pairs = tables(met.groupBy("kind").applyInArrow(_asked(n), ROW), "asked", {"texts": F.col("bucket") < 0, "pairs": F.lit(True)}, "none")
     drop(cut, named)
-    pairs = asked.where("bucket >= 0")
-    state = first = table(pairs.groupBy("bucket").applyInArrow(_opened(n), ROW), "pairs", "none")
-    customers, tables, *of_counts = totals(state.where("kind = -1")) or [0] * 6
-    d = discount(of_counts[2], of_counts[3]), discount(of_counts[0], of_counts[1])
-    levels = [Level(customers, tables, v, d)]
+    parts = {"static": F.col("kind") == 0, "asks": F.col("kind") >= ASKED, "state": F.lit(True)}
+    static, asks, state = tables(pairs.groupBy("bucket").applyInArrow(_opened(n), ROW), "pairs", parts, "none")
+    drop(pairs)
+    customers, seated, *of_counts = totals(state.where("kind = -1")) or [0] * 6
+    d = discount(*of_counts[2:]), discount(*of_counts[:2])
+    levels = [Level(customers, seated, v, d)]
     for sweep in range(BURN + SAMPLES):
         answers = state.where("kind > 1").groupBy("kind").applyInArrow(_met, ROW)
         now = table(state.where("kind = 1").unionAll(answers).groupBy("bucket").applyInArrow(_swept(sweep, n, levels[-1]), ROW), "seating", "none")
-        if state is not first:
-            drop(state)
+        drop(state)
         state = now
         levels.append(Level(*(totals(state.where("kind = -1")) or [0, 0]), v, d))
-    kept = first.where("kind = 0").unionAll(state.where("kind = 1"))
-    answers = kept.groupBy("bucket").applyInArrow(_closed(n), ROW).groupBy("kind").applyInArrow(_met, ROW)
-    model = table(kept.unionAll(answers), "model", "none")
-    drop(first, state)
-    prices = model.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_priced(n, levels[-SAMPLES:]), ROW)
-    return asked.where("bucket = -1").unionAll(prices).groupBy("kind").applyInArrow(_scored(n_train, v), RESULT)
+    kept = static.unionAll(state.where("kind = 1"))
+    answers = table(kept.groupBy("bucket").applyInArrow(_closed(n), ROW).groupBy("kind").applyInArrow(_met, ROW), "closed", "none")
+    model = kept.unionAll(answers).unionAll(asks)
+    prices = table(model.groupBy("bucket").applyInArrow(_priced(n, levels[-SAMPLES:]), ROW), "prices", "none")
+    drop(static, state, answers, asks)
+    return texts.unionAll(prices).groupBy("kind").applyInArrow(_scored(n_train, v), RESULT)
