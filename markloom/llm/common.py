@@ -232,46 +232,64 @@ def unpack(body: bytes) -> list[np.ndarray]:
     return out
 
 
-class SpanCache:
-    """Ids of spans already encoded, by the spans' hashes. It only saves time: past `limit` spans it starts anew."""
-
-    def __init__(self, limit: int = 250_000):
-        self.limit = limit
-        self._clear()
+class _Known:
+    """Spans' hashes in ascending order and the ids of each."""
 
-    def _clear(self) -> None:
+    def __init__(self) -> None:
         self.keys = np.empty(0, np.uint64)
         self.starts = np.empty(0, np.int64)
         self.sizes = np.empty(0, np.int64)
-        self.parts: list[np.ndarray] = [np.empty(0, np.int32)]
-        self.used = 0
+        self.ids = np.empty(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys are, and which of them are there."""
+        at = np.searchsorted(self.keys, keys)
+        there = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        there[inside] = self.keys[at[inside]] == keys[inside]
+        return at, there
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[at]
+        return self.ids[ragged(self.starts[at], sizes)], sizes
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds keys in ascending order that are not there."""
+        at = np.searchsorted(self.keys, keys)
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.keys, self.starts, self.sizes = np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+        self.ids = np.concatenate([self.ids, ids])
+
+
+class SpanCache:
+    """Ids of spans already encoded, by the spans' hashes; it only saves time.
+
+    There are two generations: when the young one holds over `limit` spans it becomes the old one, and what is
+    asked for again moves to the young one, so that frequent spans are never encoded again.
+    """
+
+    def __init__(self, limit: int = 500_000):
+        self.limit = limit
+        self.young, self.old = _Known(), _Known()
 
     def get(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """All spans' ids, one span after another, and each span's number of ids.
 
         encode(spans: binary array) -> (ids, offsets) is called once with the distinct spans that are not known.
         """
+        if not len(starts):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         hashes = span_hash(prefix_hash(data), starts, ends)
         keys, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.limit:
-            self._clear()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        new = one[~known]
-        if len(new):
-            ids, offs = encode(take_spans(data, starts[new], ends[new]))
-            self.keys = np.concatenate([self.keys, keys[~known]])
-            self.starts = np.concatenate([self.starts, self.used + offs[:-1]])
-            self.sizes = np.concatenate([self.sizes, np.diff(offs)])
-            self.parts = [np.concatenate([*self.parts, ids])]
-            self.used += len(ids)
-            order = np.argsort(self.keys, kind="stable")
-            self.keys, self.starts, self.sizes = self.keys[order], self.starts[order], self.sizes[order]
-            at = np.searchsorted(self.keys, keys)
-        if not len(which):
-            return np.empty(0, np.int32), np.empty(0, np.int64)
-        at = at[which]
-        sizes = self.sizes[at]
-        return self.parts[0][ragged(self.starts[at], sizes)], sizes
+        if len(self.young.keys) > self.limit:
+            self.young, self.old = _Known(), self.young
+        young = self.young.find(keys)[1]
+        at, old = self.old.find(keys)
+        old &= ~young
+        if old.any():
+            self.young.add(keys[old], *self.old.take(at[old]))
+        new = ~young & ~old
+        if new.any():
+            ids, offs = encode(take_spans(data, starts[one[new]], ends[one[new]]))
+            self.young.add(keys[new], ids, np.diff(offs))
+        return self.young.take(self.young.find(keys)[0][which])

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,9 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SpanCache, mix, pieces, powers, shared_folder, table, utf8, words
+from .common import LOWER, SpanCache, mix, new_folder, pieces, powers, table, utf8, words
 
 WINDOW, MASK_BITS, LEAST, MOST = 16, 10, 128, 8192
+MARKS = ".,;:!?"
 DIGEST = 16
 ROW = "kind string, key binary, doc_id long, n long, payload binary, root binary"
 
@@ -39,7 +39,9 @@ ROW = "kind string, key binary, doc_id long, n long, payload binary, root binary
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, each distinct word encoded once.
 
-    Valid where the tokenizer's normaliser and splitter work on each run of non-white characters alone.
+    Valid where the tokenizer's normaliser and splitter work on each run of non-white characters alone. Where it
+    lowers letters, words differ by case no more (but for texts with "<|", which may hold special tokens); where it
+    also parts letters from punctuation, one mark at a word's end is a word of its own.
     """
 
     def __init__(self, path: str):
@@ -49,6 +51,9 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.cache = SpanCache()
+        ids = lambda *words: [i for w in words for i in self.library.encode(w, add_special_tokens=False).ids]
+        self.lowers = all(ids(x) == ids(x.lower()) for x in ("Word", "wORD'S", "ÀbC", "A\u0301Z", "1A-B"))
+        self.parts = all(ids(w + m) == ids(w, m) for w in ("word", "it's", "x1y", "wörd", "a--b") for m in MARKS)
 
     def fresh(self, spans: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.library.encode_batch_fast(spans.cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
@@ -58,7 +63,14 @@ class WordEncoder:
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text's, and where each text starts."""
         data, offsets = utf8(column)
+        if self.lowers and b"<|" not in data.tobytes():
+            data = LOWER[data]
         starts, ends, first = words(data, offsets)
+        if self.parts:
+            before, last = data[np.maximum(ends - 2, 0)] | 32, data[ends - 1]
+            cut = (ends - starts > 1) & (before >= ord("a")) & (before <= ord("z")) & np.isin(last, np.frombuffer(MARKS.encode(), np.uint8))
+            first = first + np.concatenate([[0], np.cumsum(cut)])[first]
+            starts, ends = np.sort(np.concatenate([starts, ends[cut] - 1])), np.sort(np.concatenate([ends, ends[cut] - 1]))
         ids, sizes = self.cache.get(data, starts, ends, self.fresh)
         totals = np.concatenate([[0], np.cumsum(sizes)])[first]
         at = totals + np.arange(len(offsets))
@@ -137,7 +149,7 @@ def _rows(tokenizer: str, end: int):
 def write(docs: DataFrame, tokenizer: str, end: int = 1, folder: str | None = None) -> str:
     """Writes all texts of docs (doc_id, text) to a new store and returns its folder."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark, "store")
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_rows(tokenizer, end), ROW)
     once = rows.dropDuplicates(["kind", "key"])
     once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/raw")
