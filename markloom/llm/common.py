@@ -65,6 +65,21 @@ def tables(df: DataFrame, name: str, parts: dict[str, Column], codec: str = "zst
     return out
 
 
+NULL_ID = -(2**63)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """d, c, text of docs (doc_id, text), none of them null: rows are told apart by d and c.
+
+    d is the doc_id, the least number for null. c is 0 where the doc_id is the row's own, and else a 64-bit hash of
+    the text, so that only rows that share both doc_id and text are one.
+    """
+    key, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    own = docs.select(key.alias("d")).where("d is not null").groupBy("d").count().where("count > 1").isEmpty()
+    c = F.when(key.isNotNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text)) if own else F.xxhash64(text)
+    return docs.select(F.coalesce(key, F.lit(NULL_ID)).alias("d"), c.alias("c"), text.alias("text"))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that clear_tables() will remove."""
     _written.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
@@ -78,7 +93,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 def drop(*some: DataFrame) -> None:
     """Removes tables made here that nothing will read again, and lets Spark clean up shuffles out of use."""
-    spark = some[0].sparkSession
+    spark = SparkSession.active()
     for t in some:
         if t.folder in _written:
             _written.remove(t.folder)

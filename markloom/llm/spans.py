@@ -1,16 +1,16 @@
 """Substring dedup by sliding spans of sentences, in DataFrame expressions.
 
-A text is cut into sentences after each line feed and after . ! or ? with white space behind it. A sentence
-of over `LONG` characters is cut further at places its words decide (after a word that ends in one of
-`CUTS`), so that a passage without stops is cut alike wherever it stands. Every run of `SPAN` consecutive
-sentences is hashed (64 + 32 bits, white space at sentences' ends left out); runs meet by hash over all
-documents. The first run (smallest doc_id, then position) stays; every sentence covered by a run that is not
-the first of its kind is removed.
-
-Null and empty texts have no sentences; a text of fewer than `SPAN` sentences has no run and stays. Runs of
-fewer than `LEAST` characters are left alone. Rows that share a doc_id are told apart by a hash of their text
-and are all as early as the first; repeats between them stay. A null doc_id counts as the smallest. Other
-columns are ignored; an empty table gives an empty result.
+A text is cut into sentences after each line feed, after . ! ? , ; : with white space behind it, and after a word of
+which the last letters end in `ENDS` (any script; `SIGNS` cut without white space). What stands next to a place decides
+whether it is a cut, whatever the length of the sentence around it, so a passage is cut alike wherever it stands.
+Every run of `SPAN` consecutive sentences is hashed (64 + 32 bits, white space at sentences' ends left out); runs meet
+by hash over all documents. The first run (smallest doc_id, then position) stays; every sentence covered by a run that
+is not the first of its kind is removed.
+
+Null and empty texts have no sentences; a text of fewer than `SPAN` sentences has no run and stays. Texts are whole in
+one row, whatever their length. Rows that share a doc_id are told apart by a hash of their text and are all as early
+as the first; repeats between them stay, and rows that repeat both are treated alike. A null doc_id counts as the
+smallest. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import NULL_ID, drop, keyed, table
 
-SPAN, LONG, LEAST = 3, 160, 40
+SPAN = 4
 BLANK = r"[ \t\x0B\x0C\r]+"
-CUTS = ",;:|aents"
-STOP, PIECE_STOP, MARK = rf"[.!?]{BLANK}|\n", rf"[{CUTS}]{BLANK}", "\x01"
-SENTENCE, PIECE = rf"[\s\S]*?(?:{STOP})|[\s\S]+", rf"[\s\S]*?{PIECE_STOP}|[\s\S]+"
+#: The last of a word's seven letters after which a sentence is cut, and signs of scripts without blanks.
+ENDS, SIGNS = "nsNSнситаςνנהםنةया다는", "。！？，、；：的是了のはを"
+STOP, MARK = rf"[.!?,;:]{BLANK}|\n|\p{{L}}{{6}}[{ENDS}]{BLANK}|[{SIGNS}]", "\x01"
+SENTENCE = rf"[\s\S]*?(?:{STOP})|[\s\S]+"
 
 
 def let(value: Column, f) -> Column:
@@ -32,40 +33,25 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _cut(text: Column, stop: str, piece: str) -> Column:
-    """Array of the text's parts, cut behind each match of stop; joined they are the text.
+def sentences(text: Column) -> Column:
+    """Array of sentences; joined they are the text.
 
     A mark is put behind the stops and the text split there, which Java does much faster than matching the
     parts; a text that has the mark itself is matched.
     """
-    marked = F.filter(F.split(F.regexp_replace(text, f"({stop})", f"$1{MARK}"), MARK), lambda s: s != "")
-    return F.when(F.instr(text, MARK) > 0, F.regexp_extract_all(text, F.lit(piece), F.lit(0))).otherwise(marked)
-
-
-def sentences(text: Column) -> Column:
-    """Array of sentences; joined they are the text."""
-    cut = lambda s: F.when(F.length(s) > LONG, _cut(s, PIECE_STOP, PIECE)).otherwise(F.array(s))
-    return F.flatten(F.transform(_cut(text, STOP, SENTENCE), cut))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id as given, d (never null), c (a hash that tells rows of one doc_id apart) and text (never null)."""
-    text = F.coalesce("text", F.lit(""))
-    key = F.col("doc_id").cast("long")
-    return docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(-(2**63))).alias("d"), F.hash(text).alias("c"), text.alias("text"))
+    marked = F.filter(F.split(F.regexp_replace(text, f"({STOP})", f"$1{MARK}"), MARK), lambda s: s != "")
+    return F.when(F.instr(text, MARK) > 0, F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))).otherwise(marked)
 
 
-def runs(keyed: DataFrame) -> DataFrame:
-    """d, c, pos, h, g, again (an equal run stands earlier in the document): each run with enough characters."""
+def runs(rows: DataFrame) -> DataFrame:
+    """d, c, pos, h, g, again (an equal run stands earlier in the document): each run of rows (d, c, text)."""
 
     def of(k: Column) -> Column:
         def run(i: Column) -> Column:
             part = [F.get(k, i + j) for j in range(SPAN)]
-            size = sum((F.length(p) for p in part[1:]), F.length(part[0]))
-            return F.struct(F.xxhash64(*part).alias("h"), F.hash(*part).alias("g"), i.alias("pos"), size.alias("n"))
+            return F.struct(F.xxhash64(*part).alias("h"), F.hash(*part).alias("g"), i.alias("pos"))
 
-        made = F.when(F.size(k) >= SPAN, F.transform(F.sequence(F.lit(0), F.size(k) - SPAN), run))
-        return F.array_sort(F.filter(made, lambda r: r["n"] >= LEAST))
+        return F.array_sort(F.when(F.size(k) >= SPAN, F.transform(F.sequence(F.lit(0), F.size(k) - SPAN), run)))
 
     def marked(r: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
@@ -76,21 +62,25 @@ def runs(keyed: DataFrame) -> DataFrame:
         return F.transform(r, one)
 
     core = F.transform(sentences(F.col("text")), lambda s: F.trim(F.translate(s, "\t\n\x0b\x0c\r", "     ")))
-    return keyed.select("d", "c", F.explode(let(core, lambda k: let(of(k), marked))).alias("r")).select("d", "c", "r.*")
+    return rows.select("d", "c", F.explode(let(core, lambda k: let(of(k), marked))).alias("r")).select("d", "c", "r.*")
 
 
-def repeated(keyed: DataFrame) -> DataFrame:
+def repeated(rows: DataFrame) -> DataFrame:
     """d, c, at (sorted positions of runs that are not the first of their kind)."""
-    found = table(runs(keyed), "runs")
-    shared = found.groupBy("h", "g").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("h", "g", "first")
+    found = table(runs(rows), "runs")
+    shared = table(found.groupBy("h", "g").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("h", "g", "first"), "shared")
+    drop()
     later = found.where("not again").join(shared, ["h", "g"]).where("d > first").select("d", "c", "pos")
-    return later.unionAll(found.where("again").select("d", "c", "pos")).groupBy("d", "c").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    both = later.unionAll(found.where("again").select("d", "c", "pos"))
+    out = table(both.groupBy("d", "c").agg(F.sort_array(F.collect_set("pos")).alias("at")), "repeated")
+    drop(found, shared)
+    return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, kept (the remaining text), n_sentences, n_removed, n_bytes, kept_sha256 for every row of docs (doc_id, text)."""
-    keyed = _keyed(docs)
-    met = keyed.join(repeated(keyed), ["d", "c"], "left")
+    rows = keyed(docs)
+    met = rows.join(repeated(rows), ["d", "c"], "left").select(F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id"), "text", "at")
 
     def cut(s: Column) -> Column:
         at = F.col("at")
@@ -113,15 +103,14 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def sql() -> str:
     """The same, without the kept text, in DuckDB SQL over documents with distinct doc_ids."""
-    chars = "'[ \\t\\n\\x0B\\x0C\\r]+'"
+    part = [f"k{j}" for j in range(SPAN)]
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
-w as (select doc_id, t, regexp_extract_all(t, '{SENTENCE}') as w from d),
-s as (select doc_id, t, flatten([case when length(x) > {LONG} then regexp_extract_all(x, '{PIECE}') else [x] end for x in w]) as s from w),
+s as (select doc_id, t, regexp_extract_all(t, '{SENTENCE}') as s from d),
 k as (select doc_id, s, [trim(translate(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')) for x in s] as k from s),
-r as (select doc_id, i - 1 as pos, k[i] as a, k[i + 1] as b, k[i + 2] as c from (select doc_id, k, unnest(range(1, len(k) - {SPAN - 2})) as i from k)),
-n as (select *, row_number() over (partition by a, b, c order by doc_id, pos) as n from r where length(a) + length(b) + length(c) >= {LEAST}),
-x as (select distinct doc_id, pos + o as pos from n, (values (0), (1), (2)) v(o) where n > 1),
+r as (select doc_id, i - 1 as pos, {', '.join(f'k[i + {j}] as {p}' for j, p in enumerate(part))} from (select doc_id, k, unnest(range(1, len(k) - {SPAN - 2})) as i from k)),
+n as (select *, row_number() over (partition by {', '.join(part)} order by doc_id, pos) as n from r),
+x as (select distinct doc_id, pos + o as pos from n, (values {', '.join(f'({j})' for j in range(SPAN))}) v(o) where n > 1),
 g as (select doc_id, list(pos) as gone from x group by doc_id),
 l as (select s.doc_id, t, s, coalesce(gone, []) as gone from s left join g using (doc_id)),
 f as (select doc_id, t, s, gone, array_to_string([s[i] for i in range(1, len(s) + 1) if not list_contains(gone, i - 1)], '') as kept from l)

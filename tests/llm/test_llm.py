@@ -172,25 +172,45 @@ def test_crc_of_parts():
 # spans
 
 
-def test_spans_against_brute_force(docs):
+def brute_spans(rows):
+    import regex
+
     seen, want = set(), {}
-    for doc_id, text, *_ in sorted(ROWS):
-        whole = re.findall(spans.SENTENCE, text or "")
-        cut = [p for s in whole for p in (re.findall(spans.PIECE, s) if len(s) > spans.LONG else [s])]
+    for doc_id, text, *_ in sorted(rows):
+        cut = regex.findall(spans.SENTENCE, text or "")
         core = [s.translate({9: " ", 10: " ", 11: " ", 12: " ", 13: " "}).strip(" ") for s in cut]
         gone = set()
         for i in range(len(core) - spans.SPAN + 1):
             run = tuple(core[i : i + spans.SPAN])
-            if sum(map(len, run)) >= spans.LEAST:
-                if run in seen:
-                    gone |= set(range(i, i + spans.SPAN))
-                seen.add(run)
+            if run in seen:
+                gone |= set(range(i, i + spans.SPAN))
+            seen.add(run)
         want[doc_id] = (len(cut), len(gone), "".join(s for i, s in enumerate(cut) if i not in gone))
+    return want
+
+
+def test_spans_against_brute_force(docs):
+    want = brute_spans(ROWS)
     found = by_id(spans.dedup(docs))
     assert {k: (r["n_sentences"], r["n_removed"], r["kept"]) for k, r in found.items()} == want
     assert sum(r[1] for r in want.values()) > 100
 
 
+def test_passages_planted_inside_sentences_are_found(spark):
+    """51 words that start and stop inside sentences of any length, which differ around them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) + rng.choice(["", "n", "s", ",", "."])
+    passage = " ".join(word() for _ in range(51))
+    rows = []
+    for k in range(12):
+        around = [" ".join(f"{word().strip('.')}{k}" for _ in range(rng.randint(0, 60))) for _ in range(2)]
+        rows.append((k, f"{around[0]} {passage} {around[1]}", "en", "s", 0, 0.5))
+    found = by_id(spans.dedup(spark.createDataFrame(rows, SCHEMA)))
+    middle = " ".join(passage.split()[20:31])
+    assert middle in found[0]["kept"] and found[0]["n_removed"] == 0
+    assert all(middle not in found[k]["kept"] and f"{k}" in found[k]["kept"] for k in range(1, 12) if len(rows[k][1]) > len(passage) + 9)
+
+
 # language model
 
 
