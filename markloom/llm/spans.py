@@ -1,7 +1,7 @@
 """Substring dedup by sliding spans of sentences, in DataFrame expressions.
 
-A text is cut into sentences after each line feed, after . ! ? , ; : with white space behind it, and after a word of
-which the last letters end in `ENDS` (any script; `SIGNS` cut without white space). What stands next to a place decides
+A text is cut into sentences after each line feed, after . ! ? , ; : with white space behind it, and after a word of six
+letters or more that ends in one of `ENDS` (`SIGNS` cut without white space). What stands next to a place decides
 whether it is a cut, whatever the length of the sentence around it, so a passage is cut alike wherever it stands.
 Every run of `SPAN` consecutive sentences is hashed (64 + 32 bits, white space at sentences' ends left out); runs meet
 by hash over all documents. The first run (smallest doc_id, then position) stays; every sentence covered by a run that
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, drop, keyed, table
 
-SPAN = 4
+SPAN = 5
 BLANK = r"[ \t\x0B\x0C\r]+"
-#: The last of a word's seven letters after which a sentence is cut, and signs of scripts without blanks.
-ENDS, SIGNS = "nsNSнситаςνנהםنةया다는", "。！？，、；：的是了のはを"
-STOP, MARK = rf"[.!?,;:]{BLANK}|\n|\p{{L}}{{6}}[{ENDS}]{BLANK}|[{SIGNS}]", "\x01"
+#: The last of a word's six letters after which a sentence is cut, and signs of scripts without blanks.
+ENDS, SIGNS = "nstNSTнситαςνנהםنةया다는", "。！？，、；：的是了のはを"
+STOP, MARK = rf"[.!?,;:]{BLANK}|\n|\p{{L}}{{5}}[{ENDS}]{BLANK}|[{SIGNS}]", "\x01"
 SENTENCE = rf"[\s\S]*?(?:{STOP})|[\s\S]+"
 
 
