@@ -4,18 +4,20 @@ Base: a text of fewer than 50 words, or with over half its words in repeated 3-w
 rule is an integer measure (per mille) and a fixed ladder of cutoffs from loose to strict; a document is
 rejected by a rule when its measure exceeds the cutoff chosen for its stratum (language).
 
-Choosing: labelled documents that pass the base are the holdout; equal texts of a stratum count once, as
-good if any copy is labelled good. For each stratum and rule the ladder is walked from its loose end. A
-cutoff is certified when the exact binomial tail P(Bin(n, a) <= k) is at most delta / (strata * rules), where n is the
-number of good holdouts, k those it would reject and a = alpha / rules; the walk ends at the first that is
-not (fixed-sequence testing, so a walk needs no further correction). With probability 1 - delta no stratum
-loses more than a share alpha of its good documents. Among certified cutoffs the one with the most bad less
-`price` times good holdouts rejected is taken, the looser of equals, and none unless that is positive.
+Choosing: labelled documents that pass the base are the holdout; equal texts of a stratum count once, as good if any
+copy is labelled good. The rules' ladders are walked together from their loose ends, so step j is one vector of cutoffs
+(a ladder that has ended keeps its last cutoff). A step is certified when the exact binomial tail P(Bin(n, alpha) <= k) is
+at most delta * n / N, where n is the number of good holdouts of the stratum, N of all strata and k the number of good
+ones that any rule would reject; the walk ends at the first step that is not (fixed-sequence testing, so a walk needs no
+further correction; the strata share delta by their sizes, a weighted Bonferroni correction). With probability 1 - delta
+no stratum loses more than a share alpha of its good documents. Among certified steps the one with the most bad less
+`price` times good holdouts rejected is taken, the looser of equals, and none unless that is positive. A stratum that has
+half of the good holdouts needs about 183 of them where none is rejected, one that has a tenth 262.
 
 Null and empty texts have no words and fail the base. A null lang is a stratum of its own. A stratum without
 enough good labels certifies nothing and rejects nothing. doc_ids labelled more than once count as good if
 any label is good; null labels and labels of unknown documents are ignored. Rows that repeat give repeated rows;
-other columns are ignored.
+other columns are ignored; an empty table gives an empty result. A text is whole in one row, whatever its length.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ RULES = {
     "capitals": ("n_capitals", "word_chars", [900, 800, 700, 600, 500, 400, 300, 250, 200]),
 }
 
+STEPS = max(len(cuts) for _, _, cuts in RULES.values())
+
 
 def let(value: Column, f) -> Column:
     """f(value), with value computed once for all the lambdas in f."""
@@ -118,42 +122,50 @@ def binomial_tail(k: Column, n: Column, a: float) -> Column:
     return F.when(k >= n * a, 1.0).otherwise(F.least(F.lit(1.0), top * total))
 
 
+def ladder(rule: str) -> list[int]:
+    """The rule's cutoff at each step."""
+    cuts = RULES[rule][2]
+    return cuts + cuts[-1:] * (STEPS - len(cuts))
+
+
+def first_step(rule: str) -> Column:
+    """The first step at which the rule rejects, STEPS where none does."""
+    m = measure(rule)
+    return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in ladder(rule)]), lambda c: c >= m))
+
+
 def choose(found: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, price: int = PRICE) -> DataFrame:
-    """stratum and, for each rule, cut_<rule> (null: the rule is off). found: measures(); labels: doc_id, quality."""
+    """stratum, n_good (its good holdouts), step (null: none is taken), k_good (good holdouts rejected at the step)."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("good"))
     held = found.where("not base_failed").join(known, "doc_id")
-    once = held.groupBy("stratum", "copy").agg(F.max("good").alias("good"), *[F.max(measure(r)).alias(r) for r in RULES])
-    ladder = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(j).alias("step"), F.lit(c).cast("long").alias("cut")) for r, (_, _, cuts) in RULES.items() for j, c in enumerate(cuts)]))
-    over = lambda good: [F.sum(((F.col("good") == good) & (F.col(r) > c)).cast("long")).alias(f"{r}_{j}_{good}") for r, (_, _, cuts) in RULES.items() for j, c in enumerate(cuts)]
-    sums = once.groupBy("stratum").agg(F.sum("good").alias("n"), *over(1), *over(0))
-    pick = lambda good: F.coalesce(*[F.when((F.col("s.rule") == r) & (F.col("s.step") == j), F.col(f"{r}_{j}_{good}")) for r, (_, _, cuts) in RULES.items() for j in range(len(cuts))])
-    long = sums.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(1)))).withColumn("s", ladder).select("stratum", "n", "strata", "s.*", pick(1).alias("k"), pick(0).alias("caught"))
-    walk = Window.partitionBy("stratum", "rule").orderBy("step")
-    passed = binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) <= delta / (F.col("strata") * len(RULES))
-    certified = long.withColumn("passed", passed).withColumn("certified", F.min("passed").over(walk)).where("certified")
-    gain = certified.withColumn("gain", F.col("caught") - price * F.col("k")).where("gain > 0")
-    best = gain.groupBy("stratum", "rule").agg(F.max(F.struct("gain", (-F.col("step")).alias("loose"), "cut"))["cut"].alias("cut"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES])
+    once = held.groupBy("stratum", "copy").agg(F.max("good").alias("good"), F.min(F.least(*[first_step(r) for r in RULES])).alias("first"))
+    of = lambda good, j: F.sum(((F.col("good") == good) & (F.col("first") <= j)).cast("long"))
+    sums = once.groupBy("stratum").agg(F.sum("good").cast("long").alias("n_good"), F.array(*[F.struct(F.lit(j).alias("step"), of(1, j).alias("k"), of(0, j).alias("caught")) for j in range(STEPS)]).alias("s"))
+    total = F.sum("n_good").over(Window.partitionBy(F.lit(1)))  # a row for each stratum
+    steps = sums.withColumn("total", total).select("stratum", "n_good", "total", F.explode("s").alias("s")).select("stratum", "n_good", "total", "s.*")
+    passed = (F.col("n_good") > 0) & (binomial_tail(F.col("k"), F.col("n_good"), alpha) <= delta * F.col("n_good") / F.col("total"))
+    walk = Window.partitionBy("stratum").orderBy("step")
+    certified = steps.withColumn("ok", F.min(passed).over(walk)).withColumn("gain", F.when(F.col("ok"), F.col("caught") - price * F.col("k")))
+    best = F.max(F.when(F.col("gain") > 0, F.struct("gain", (-F.col("step")).alias("loose"), "k")))
+    return certified.groupBy("stratum", "n_good").agg(best.alias("b")).select("stratum", "n_good", (-F.col("b.loose")).alias("step"), F.col("b.k").alias("k_good"))
 
 
 def apply(docs: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:
-    """One row per row of docs (doc_id, text, lang): counts, base_failed, kept, and the rules that rejected it."""
+    """One row per row of docs (doc_id, text, lang): counts, base_failed, kept, the rules that rejected it, and its
+    stratum's evidence: good holdouts, the step certified (null: none) and the good holdouts rejected at it."""
     found = table(measures(docs), "measures")
-    cuts = choose(found, labels, **limits)
-    out = found.join(cuts, "stratum", "left")
-    hit = {r: F.coalesce(measure(r) > F.col(f"cut_{r}"), F.lit(False)) for r in RULES}
-    none = ~F.col("base_failed")
-    for h in hit.values():
-        none = none & ~h
-    names = F.array_join(F.filter(F.array(*[F.when(h, F.lit(r)) for r, h in hit.items()]), lambda x: x.isNotNull()), ",")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", none.alias("kept"), "n_capitals", "n_lines", names.alias("rejected_by"))
+    out = found.join(choose(found, labels, **limits), "stratum", "left")
+    hit = {r: F.coalesce(first_step(r) <= F.col("step"), F.lit(False)) for r in RULES}
+    out = out.withColumn("hits", F.filter(F.array(*[F.when(h, F.lit(r)) for r, h in hit.items()]), lambda x: x.isNotNull()))
+    kept = ~F.col("base_failed") & (F.size("hits") == 0)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_capitals", "n_lines", F.array_join("hits", ",").alias("rejected_by"), F.coalesce("n_good", F.lit(0)).alias("n_good"), "step", "k_good")
 
 
 def sql(alpha: float = ALPHA, delta: float = DELTA, price: int = PRICE) -> str:
     """The same in DuckDB SQL over documents and labels."""
-    a, m = alpha / len(RULES), len(RULES)
-    ladder = ", ".join(f"('{r}', {j}, {c})" for r, (_, _, cuts) in RULES.items() for j, c in enumerate(cuts))
-    value = "case rule " + " ".join(f"when '{r}' then 1000 * {t} // greatest({b}, 1)" for r, (t, b, _) in RULES.items()) + " end"
+    of = {r: f"(1000 * {t} // greatest({b}, 1))" for r, (t, b, _) in RULES.items()}
+    first = {r: f"len([c for c in {ladder(r)} if c >= {m}])" for r, m in of.items()}
+    hits = ", ".join(f"case when {f} <= step then '{r}' end" for r, f in first.items())
     return f"""
 with d as (select row_number() over () as r, doc_id, coalesce('=' || lang, '-') as stratum, coalesce(text, '') as t from documents),
 w as (select r, doc_id, stratum, t, [x for x in regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+') if x <> ''] as ws,
@@ -165,17 +177,16 @@ f as (select w.r, doc_id, stratum, t, len(ws)::bigint as n_words, coalesce(list_
   coalesce(rep.n, 0)::bigint as n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g'))::bigint as n_capitals, len(ls)::bigint as n_lines
   from w left join rep using (r)),
 b as (select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed from f),
-rules as (select * from (values {ladder}) x(rule, step, cut)),
 known as (select doc_id, max(quality) as good from labels where quality is not null group by doc_id),
-one as (select stratum, t, rule, max(good) as good, max({value}) as v from b join known using (doc_id), (select distinct rule from rules) where not base_failed group by all),
-tot as (select stratum, rule, sum(good) as n, count(distinct rule) from one group by stratum, rule),
-st as (select count(distinct stratum) as strata from one),
-k as (select stratum, rule, step, cut, n, sum(case when good = 1 and v > cut then 1 else 0 end) as k, sum(case when good = 0 and v > cut then 1 else 0 end) as caught
-  from one join rules using (rule) join tot using (stratum, rule) group by all),
-p as (select k.*, case when k >= n * {a!r} then 1.0 else list_sum([
-  exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({a!r}) + (n - i) * ln(1 - {a!r})) for i in range(0, k::bigint + 1)]) end as p from k),
-c as (select *, bool_and(p <= {delta!r} / (strata * {m})) over (partition by stratum, rule order by step) as ok, caught - {price} * k as gain from p, st),
-best as (select stratum, rule, arg_max(cut, gain * 1000 - step) as cut from c where ok and gain > 0 group by stratum, rule),
-hits as (select r, string_agg(rule, ',' order by array_position({list(RULES)!r}, rule)) as by_rule from b join best using (stratum) where {value} > cut group by r)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and by_rule is null as kept, n_capitals, n_lines, coalesce(by_rule, '') as rejected_by
-from b left join hits using (r)"""
+one as (select stratum, t, max(good) as good, min(least({', '.join(first.values())})) as first from b join known using (doc_id) where not base_failed group by all),
+tot as (select stratum, sum(good)::bigint as n from one group by stratum),
+k as (select stratum, step, n, sum(case when good = 1 and first <= step then 1 else 0 end)::bigint as k, sum(case when good = 0 and first <= step then 1 else 0 end)::bigint as caught
+  from one join tot using (stratum), range({STEPS}) x(step) group by all),
+p as (select k.*, case when k >= n * {alpha!r} then 1.0 else list_sum([
+  exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r})) for i in range(0, k::bigint + 1)]) end as p from k),
+c as (select *, bool_and(n > 0 and p <= {delta!r} * n / (select sum(n) from tot)) over (partition by stratum order by step) as ok, caught - {price} * k as gain from p),
+best as (select stratum, arg_max(step, gain * 1000 - step) as step, arg_max(k, gain * 1000 - step) as k_good from c where ok and gain > 0 group by stratum),
+f2 as (select b.*, coalesce(n, 0) as n_good, step, k_good from b left join tot using (stratum) left join best using (stratum)),
+h as (select *, list_filter([{hits}], lambda x: x is not null) as hits from f2)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and len(hits) = 0 as kept, n_capitals, n_lines,
+  array_to_string(hits, ',') as rejected_by, n_good, step::int as step, k_good from h"""
