@@ -30,14 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, mix, pack, pieces, ragged, table, unpack
+from .common import NULL_ID, binary_rows, keyed, mix, pack, pieces, ragged, table, unpack
 from .components import components
 from .fingerprints import shingles
 from .suffixes import _packed
 
 CELLS, SLICES = 1 << 20, 256
 LEAST_BITS, MOST_BITS, LONG_LIST = 64, 8192, 32
-NULL_ID = -(2**63)
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -287,14 +286,13 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     width = max(4, (parts - 1).bit_length())
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.hash(text).alias("c"), text.alias("text"))
-    ranks = spark.sparkContext.broadcast(sketch(keyed))  # CELLS bytes
+    given = keyed(docs)
+    ranks = spark.sparkContext.broadcast(sketch(given))  # CELLS bytes
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _profiles(ranks.value)(batches)
 
-    found = table(keyed.mapInArrow(profiles, "d long, c int, n long, node long, prefix binary, bits binary"), "profiles")
+    found = table(given.mapInArrow(profiles, "d long, c long, n long, node long, prefix binary, bits binary"), "profiles")
     some = found.where("n > 0")
     first = some.groupBy("node").agg(F.min("d").alias("least"), F.min_by("c", F.struct("d", "c")).alias("c"))
     one = some.select("node", "n", "prefix").dropDuplicates(["node"])
@@ -304,7 +302,7 @@ def join(docs: DataFrame) -> DataFrame:
     entries = lists.where("kind = 1")
     named = lists.select(F.explode(F.array("x", "y")).alias("node")).where("node is not null").distinct()
     wanted = first.join(named, "node").select(F.col("least").alias("d"), "c", "node")
-    texts = table(keyed.mapInArrow(_packed, "d long, c int, z binary").join(wanted, ["d", "c"]).select("node", "z").dropDuplicates(["node"]), "texts")
+    texts = table(given.mapInArrow(_packed, "d long, c long, z binary").join(wanted, ["d", "c"]).select("node", "z").dropDuplicates(["node"]), "texts")
     near = table(_links(star, texts), "near")
     labels = components(near)
     maps = some.select(F.col("node").alias("x"), "bits", "prefix").dropDuplicates(["x"])

@@ -114,10 +114,10 @@ def schedule(docs: DataFrame, **how) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """Rows of docs, with docs' columns, each as often as the schedule has it."""
-    times = schedule(docs, **how).groupBy("doc_id", "copy").agg(F.count("*").alias("times")).select(F.col("doc_id").alias("_d"), F.col("copy").alias("_c"), F.col("times").alias("_t"))
-    rows = docs.select(*docs.columns, F.col("doc_id").cast("long").alias("_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
-    met = rows.join(times, F.col("_k").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_c")))
-    return met.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_t").cast("int")))).select(*docs.columns)
+    times = schedule(docs, **how).groupBy("doc_id", "copy").agg(F.count("*").cast("int").alias("times"))
+    rows = docs.select(F.struct(*[docs[f"`{n}`"] for n in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    met = rows.join(times, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("copy")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def sql(limit: float = REPEATS) -> str:

@@ -15,8 +15,8 @@ matches end with their document. Three steps keep what moves between machines sm
 
 Gram and span hashes have 64 bits each (40 choose the anchor). Null and empty texts have nothing to remove. A
 null doc_id comes first; rows that share a doc_id come in the order of a hash of their text, and rows that
-also share the text are one document whose result each of them gets. Other columns are ignored, but for those asked to be kept; an
-empty table gives an empty result.
+also share the text are one document whose result each of them gets. A text of any length is whole in one row. Other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pack, pieces, powers, prefix_hash, ragged, span_hash, table, unpack, utf8
+from .common import NULL_ID, keyed, mix, pack, pieces, powers, prefix_hash, ragged, span_hash, table, unpack, utf8
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1  # grams in a string
@@ -112,11 +112,6 @@ def bucket_pointers(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     return pointer
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.hash(text).alias("c"), text.alias("text"))
-
-
 def _emit(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "body"])
 
@@ -193,7 +188,7 @@ def _snippets(bits: int):
                 for x in open_:
                     start, more = x["code"] >> 16, x["code"] >> 8 & 255
                     rows.append((x["gram"] % 2**64 >> (64 - bits), x["gram"], d, c, start, data[start : start + more + LENGTH]))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["bucket", "gram", "d", "c", "start", "bytes"])
 
     return run
@@ -235,17 +230,17 @@ def _refine(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate(x)) for x in out], ["d", "c", "code"])
 
 
-def repeated(keyed: DataFrame) -> DataFrame:
-    """d, c, code of every repeated interval of starts; keyed: d, c, text."""
-    spark = keyed.sparkSession
+def repeated(given: DataFrame) -> DataFrame:
+    """d, c, code of every repeated interval of starts in rows (d, c, text)."""
+    spark = given.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = max(4, (parts - 1).bit_length())
-    rows = keyed.mapInArrow(_anchor_rows(bits), "bucket int, body binary")
-    met = table(rows.groupBy("bucket").applyInArrow(_meet, "d long, c int, code long, gram long"), "intervals")
+    rows = given.mapInArrow(_anchor_rows(bits), "bucket int, body binary")
+    met = table(rows.groupBy("bucket").applyInArrow(_meet, "d long, c long, code long, gram long"), "intervals")
     needs = met.where("gram is not null").groupBy("d", "c").agg(F.collect_set(F.struct("code", "gram")).alias("open"))
-    texts = keyed.mapInArrow(_packed, "d long, c int, z binary").join(needs, ["d", "c"])
-    snippets = texts.mapInArrow(_snippets(bits), "bucket int, gram long, d long, c int, start long, bytes binary")
-    more = snippets.groupBy("bucket").applyInArrow(_refine, "d long, c int, code long")
+    texts = given.mapInArrow(_packed, "d long, c long, z binary").join(needs, ["d", "c"])
+    snippets = texts.mapInArrow(_snippets(bits), "bucket int, gram long, d long, c long, start long, bytes binary")
+    more = snippets.groupBy("bucket").applyInArrow(_refine, "d long, c long, code long")
     return met.where("gram is null").select("d", "c", "code").unionAll(more)
 
 
@@ -275,18 +270,17 @@ def _cut(batches: Iterator[pa.RecordBatch], keep: bool, names: list[str]) -> Ite
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *out, *more], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep else [])])
 
 
-def dedup(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text).
 
-    With keep, those columns come first and `kept` last, the remaining bytes as text; a character that lost
-    some of its bytes is left out of it.
+    With whole, a struct `row` with all columns of docs takes doc_id's place and `kept` comes last, the remaining bytes
+    as text; a character that lost some of its bytes is left out of it.
     """
-    names = ["doc_id", *(keep or ())]
-    keyed = _keyed(docs)
-    gone = repeated(keyed).groupBy("d", "c").agg(F.collect_list("code").alias("codes")).select(F.col("d").alias("_d"), F.col("c").alias("_c"), "codes")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(*[F.col(n) for n in names], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.hash(text).alias("_c"), text.alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    met = rows.mapInArrow(_packed, kinds + ", z binary").join(gone, ["_d", "_c"], "left")
-    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
-    return met.mapInArrow(lambda it: _cut(it, keep is not None, names), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep is not None else ""))
+    rows = keyed(docs, whole)
+    gone = repeated(rows.select("d", "c", "text")).groupBy("d", "c").agg(F.collect_list("code").alias("codes"))
+    first = "row" if whole else "doc_id"
+    kind = f"row {docs.schema.simpleString()}" if whole else "doc_id long"
+    rows = rows if whole else rows.withColumn("doc_id", F.when(F.col("d") != NULL_ID, F.col("d")))
+    met = rows.select("d", "c", first, "text").mapInArrow(_packed, f"d long, c long, {kind}, z binary").join(gone, ["d", "c"], "left")
+    out = f"{kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if whole else "")
+    return met.mapInArrow(lambda it: _cut(it, whole, [first]), out)

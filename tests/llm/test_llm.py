@@ -94,6 +94,25 @@ def test_null_ids_and_repeated_rows(spark):
     assert [r["component_id"] for r in same] == [None, None, None]
 
 
+CLASHING = ["z", "kept", "n_removed", "n_bytes", "codes", "d", "c", "row", "key", "copy", "times", "s", "bucket", "body", "stratum", "n_words", "held_out", "label", "node", "shard", "halo", "tie", "h", "g", "at", "step", "good"]
+
+
+@pytest.mark.parametrize("name", ["quality", "store", "spans", "hpylm", "langid", "mixing", "fingerprints", "pieces", "suffixes", "jaccard"])
+def test_other_columns_of_any_name_are_ignored(spark, name):
+    plain = spark.createDataFrame(ROWS[:12], SCHEMA)
+    more = plain.selectExpr("*", *[f"{k} as `{n}`" for k, n in enumerate(CLASHING)])
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    run = {
+        "quality": lambda d: quality.apply(d, labels),
+        "store": lambda d: store.read_digests(spark, store.write(d, tokenizers_files.path("word_bpe_49k.json"))),
+        "spans": spans.dedup, "hpylm": hpylm.score, "langid": langid.identify, "mixing": mixing.schedule, "fingerprints": fingerprints.compare,
+        "pieces": lambda d: pieces.encode(d, tokenizers_files.path("piece_bpe_32k.model")), "suffixes": suffixes.dedup, "jaccard": jaccard.join,
+    }[name]
+    a, b = run(plain), run(more)
+    assert a.columns == b.columns
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
 # quality rules
 
 

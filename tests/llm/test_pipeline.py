@@ -71,3 +71,13 @@ def test_extra_columns_with_clashing_names(spark):
         assert out.count() > 0
         if name != "encoded":
             assert out.columns == docs.columns, name
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_with_names_that_operators_use_themselves(spark, stage):
+    names = ["z", "kept", "n_removed", "n_bytes", "codes", "_d", "_c", "_k", "_t", "_h", "_kept", "row", "key", "copy", "times", "d", "c", "s", "bucket", "body"]
+    docs = spark.createDataFrame(rows()[:20], SCHEMA).selectExpr("*", *[f"{k} as `{n}`" for k, n in enumerate(names)])
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, "")
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert found and all([r[n] for n in names] == list(range(len(names))) for r in found)
