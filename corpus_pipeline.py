@@ -27,20 +27,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document with the smallest doc_id of each group of near duplicates; of repeated rows one."""
     groups = jaccard.join(docs)
     keep = table(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count(), "keep")
-    ids = keep.select(F.col("doc_id").alias("_kept"))
-    out = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.select(F.struct(*[docs[f"`{n}`"] for n in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    out = rows.join(keep.select("doc_id"), F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
     return out if keep.where("count > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that stand earlier in the corpus; a document of which only white space is left goes."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    done = suffixes.dedup(docs.select(*docs.columns), keep=others)
+    done = suffixes.dedup(docs, whole=True)
     new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
     left = done.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
-    return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return left.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
