@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_documents(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".md", ".mdx", ".markdown")) -> DataFrame:
     """doc_id (the path), text, is_mdx of every document under a folder, one row a file."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{','.join(suffixes)}}}").option("wholetext", "true").text(path)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{','.join(suffixes)}}}").text(path, wholetext=True)
     rows = rows.select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
     return rows.withColumn("is_mdx", F.col("doc_id").endswith(".mdx"))
 

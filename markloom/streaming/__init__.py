@@ -9,9 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import udf
 
 
-def stream_documents(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """doc_id (the path) and text of files as they come into a folder."""
-    rows = spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").text(path)
+def stream_documents(spark: SparkSession, path: str, files_per_trigger: int = 1000, suffixes: tuple[str, ...] = (".md", ".mdx", ".markdown")) -> DataFrame:
+    """doc_id (the path) and text of files as they come into a folder, one row a file."""
+    rows = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{','.join(suffixes)}}}").text(path, wholetext=True)
     return rows.select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
 
 
