@@ -22,6 +22,7 @@ _ATTRIBUTE = r"(?:\s+[A-Za-z_:][A-Za-z0-9_.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*
 OPEN_TAG = rf"<{_TAG_NAME}{_ATTRIBUTE}*\s*/?>"
 CLOSE_TAG = rf"</{_TAG_NAME}\s*>"
 _HTML = re.compile(rf"{OPEN_TAG}|{CLOSE_TAG}|<!-->|<!--->|<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<![A-Za-z][^>]*>|<!\[CDATA\[[\s\S]*?\]\]>")
+_ENDS = (("<!--", "-->"), ("<?", "?>"), ("<![CDATA[", "]]>"), ("<!", ">"))
 _URI = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>\x00-\x1f]*)>")
 _EMAIL = re.compile(r"<([A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*)>")
 _TICKS = re.compile(r"`+")
@@ -153,6 +154,7 @@ class Inline:
         self.literals = literals(s) if opts.autolink_literals and ("@" in s or "www." in s.lower() or "://" in s) else {}
         self.marks = "*_" + ("~" if opts.strikethrough or opts.subscript else "") + ("^" if opts.superscript else "") + ("=" if opts.highlight else "")
         self.n_marks = 0
+        self.missing: set[str] = set()
 
     def text(self, a: int, b: int) -> None:
         if a < b:
@@ -200,7 +202,7 @@ class Inline:
                 if m := pattern.match(s, i):
                     self.items.append(["auto", i, m.end(), m[1], kind == "email"])
                     return m.end()
-            if self.o.allow_html and (m := _HTML.match(s, i)):
+            if self.o.allow_html and not self.endless(i) and (m := _HTML.match(s, i)):
                 self.items.append(["html", i, m.end(), m[0]])
                 return m.end()
         elif c == "$" and self.o.math:
@@ -243,6 +245,15 @@ class Inline:
         self.text(i, i + 1)
         return i + 1
 
+    def endless(self, i: int) -> bool:
+        """Whether the markup that opens at i has no end; an end that is missing once is not looked for again."""
+        for opening, end in _ENDS:
+            if self.s.startswith(opening, i):
+                if end not in self.missing and self.s.find(end, i) < 0:
+                    self.missing.add(end)
+                return end in self.missing
+        return False
+
     def usable(self, c: str, size: int) -> bool:
         if c == "~":
             return size == 2 and self.o.strikethrough or size == 1 and self.o.subscript
