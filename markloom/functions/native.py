@@ -33,12 +33,12 @@ def needs_attr_escape(c: Column | str) -> Column:
 
 def slug(c: Column | str) -> Column:
     """A heading's id from its source, before repeats are told apart."""
+    c = F.col(c) if isinstance(c, str) else c
     s = F.regexp_replace(c, r"[*~\x60\[\]!#]", "")
     s = F.translate(s, UPPER, LOWER)
     s = F.regexp_replace(s, r"[ \t\n\r]+", "-")
     s = F.regexp_replace(s, r"[\x00-\x7F&&[^a-z0-9_\-]]", "")
-    s = F.regexp_replace(s, r"^-+|-+$", "")
-    return F.when(s == "", "heading").otherwise(s)
+    return F.coalesce(F.nullif(F.trim(s, F.lit("-")), F.lit("")), F.when(c.isNotNull(), F.lit("heading")))
 
 
 def heading_ids(df: DataFrame, doc: str = "doc_id", seq: str = "seq", base: str = "slug", out: str = "id") -> DataFrame:
