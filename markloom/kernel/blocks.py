@@ -188,10 +188,17 @@ class Parser:
         self.notes: dict[str, Block] = {}
         self.labels: dict[str, str] = {}
         self.comments: list[tuple[int, int]] = []
+        self.unended = -1
+
+    def raw(self, b: Block) -> str:
+        """Lines of code or HTML, each with its line feed; a line that ends with the document has none."""
+        text = "".join(x + "\n" for x, _ in b.lines)
+        return text[:-1] if b.lines and b.lines[-1][1] >= self.unended >= 0 else text
 
     def parse(self, s: str) -> Block:
         self.root = self.tip = Block("document")
         at = 0
+        self.unended = s.rfind("\n") + 1 if s and s[-1] != "\n" else -1  # where a line without a line feed starts
         for part in s.split("\n") if s else []:
             if at == len(s) and part == "":
                 break

@@ -189,7 +189,7 @@ class Writer:
         self.write("<hr />\n")
 
     def b_code(self, b: Block) -> None:
-        code = "".join(x + "\n" for x, _ in b.lines)
+        code = self.p.raw(b)
         if b.fence and self.renderer is not None:
             word, _, meta = re.match(r"([^ \t\n\r\f]*)([ \t\n\r\f]*)([\s\S]*)", b.info).groups()
             try:
@@ -204,7 +204,7 @@ class Writer:
         self.write(f"<pre><code{kind}>", T.escape_text(code), "</code></pre>\n")
 
     def b_html(self, b: Block) -> None:
-        self.write(self.html("".join(x + "\n" for x, _ in b.lines)))
+        self.write(self.html(self.p.raw(b)))
 
     def b_quote(self, b: Block) -> None:
         flags = self.first_in_item, self.need_line, self.loose_line

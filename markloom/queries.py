@@ -28,7 +28,9 @@ TEMPLATES: dict[str, tuple[str, str, str, object, str]] = {
     "heading_no_ids": ("nation", "n_nationkey", "'### ' || n_name", "commonmark", "'<h3>' || n_name || '</h3>' || N"),
     "thematic_break": ("part", "p_partkey", "P || N || N || '* * *' || N || S", None, "'<p>' || P || '</p>' || N || '<hr />' || N || '<p>' || S || '</p>' || N"),
     "fenced_code": ("part", "p_partkey", "'```sql x' || N || P || ' < ' || S || N || '```'", None, "'<pre><code class=\"language-sql\">' || P || ' &lt; ' || S || N || '</code></pre>' || N"),
-    "indented_code": ("part", "p_partkey", "'    ' || P || N || N || '    ' || S", None, "'<pre><code>' || P || N || N || S || N || '</code></pre>' || N"),
+    "indented_code": ("part", "p_partkey", "'    ' || P || N || N || '    ' || S", None, "'<pre><code>' || P || N || N || S || '</code></pre>' || N"),
+    "indented_code_ended": ("part", "p_partkey", "'    ' || P || N || '      ' || S || N", None, "'<pre><code>' || P || N || '  ' || S || N || '</code></pre>' || N"),
+    "unclosed_fence": ("part", "p_partkey", "'~~~' || N || P || N || S", None, "'<pre><code>' || P || N || S || '</code></pre>' || N"),
     "indented_code_off": ("part", "p_partkey", "'    ' || P", {"indented_code_blocks": False}, "'<p>' || P || '</p>' || N"),
     "blockquote": ("part", "p_partkey", "'> ' || P || N || '> ' || N || '> - ' || S", None, "'<blockquote>' || N || '<p>' || P || '</p>' || N || '<ul>' || N || '<li>' || S || '</li>' || N || '</ul>' || N || '</blockquote>' || N"),
     "lazy_continuation": ("part", "p_partkey", "'> ' || P || N || S", None, "'<blockquote>' || N || '<p>' || P || N || S || '</p>' || N || '</blockquote>' || N"),
@@ -37,8 +39,9 @@ TEMPLATES: dict[str, tuple[str, str, str, object, str]] = {
     "loose_list": ("part", "p_partkey", "'* ' || P || N || N || '* ' || S", None, "'<ul>' || N || '<li>' || N || '<p>' || P || '</p>' || N || '</li>' || N || '<li>' || N || '<p>' || S || '</p>' || N || '</li>' || N || '</ul>' || N"),
     "ordered_list": ("part", "p_partkey", "(S + 1) || '. ' || P || N || (S + 2) || '. z'", None, "'<ol start=\"' || (S + 1) || '\">' || N || '<li>' || P || '</li>' || N || '<li>z</li>' || N || '</ol>' || N"),
     "task_list": ("part", "p_partkey", "'- [x] ' || P || N || '- [ ] ' || S", None, "'<ul>' || N || '<li><input type=\"checkbox\" checked=\"\" disabled=\"\" /> ' || P || '</li>' || N || '<li><input type=\"checkbox\" disabled=\"\" /> ' || S || '</li>' || N || '</ul>' || N"),
-    "html_block_trusted": ("part", "p_partkey", "'<div>' || N || P || N || '</div>'", {"render_policy": "trusted"}, "'<div>' || N || P || N || '</div>' || N"),
-    "html_block_untrusted": ("part", "p_partkey", "'<div>' || P || '</div>'", None, "'&lt;div&gt;' || P || '&lt;/div&gt;' || N"),
+    "html_block_trusted": ("part", "p_partkey", "'<div>' || N || P || N || '</div>'", {"render_policy": "trusted"}, "'<div>' || N || P || N || '</div>'"),
+    "html_block_ended": ("part", "p_partkey", "'<div>' || N || P || N || N || S", {"render_policy": "trusted"}, "'<div>' || N || P || N || '<p>' || S || '</p>' || N"),
+    "html_block_untrusted": ("part", "p_partkey", "'<div>' || P || '</div>'", None, "'&lt;div&gt;' || P || '&lt;/div&gt;'"),
     "disallowed_html": ("part", "p_partkey", "'a <b>' || P || '</b> <script>'", {"render_policy": "trusted"}, "'<p>a <b>' || P || '</b> &lt;script></p>' || N"),
     "table": ("part", "p_partkey", "'| a | b |' || N || '|:--|--:|' || N || '| ' || P || ' | ' || S || ' |'", None, "'<table>' || N || '<thead>' || N || '<tr>' || N || '<th align=\"left\">a</th>' || N || '<th align=\"right\">b</th>' || N || '</tr>' || N || '</thead>' || N || '<tbody>' || N || '<tr>' || N || '<td align=\"left\">' || P || '</td>' || N || '<td align=\"right\">' || S || '</td>' || N || '</tr>' || N || '</tbody>' || N || '</table>' || N"),
     "merged_cells": ("part", "p_partkey", "'a|b' || N || '-|-' || N || '| ' || P || ' ||'", {"merged_table_cells": True}, "'<table>' || N || '<thead>' || N || '<tr>' || N || '<th>a</th>' || N || '<th>b</th>' || N || '</tr>' || N || '</thead>' || N || '<tbody>' || N || '<tr>' || N || '<td colspan=\"2\">' || P || '</td>' || N || '</tr>' || N || '</tbody>' || N || '</table>' || N"),

@@ -208,7 +208,7 @@ def test_renderer_of_fenced_code():
 
     assert to_html("```a b c\n1\n```", DEFAULT, own) == "<x>a|b c|1\n</x>"
     assert to_html("```boom\n1\n```", DEFAULT, own) == '<pre><code class="language-boom">1\n</code></pre>\n'
-    assert to_html("    1", DEFAULT, own) == "<pre><code>1\n</code></pre>\n"
+    assert to_html("    1\n", DEFAULT, own) == "<pre><code>1\n</code></pre>\n"
 
 
 def test_urls():
@@ -283,3 +283,37 @@ def test_mdx_inline_events():
     assert kinds("> <Card />\n>\n> {x}\n>\n> a {y}") == [("FlowJsxSelfClose", "<Card />"), ("FlowExpression", "{x}"), ("MdxExpression", "{y}")]
     assert kinds("Broken {user and <Badge prop=") == []
     assert kinds("`{literal}` \\{escaped\\}") == []
+
+
+@pytest.mark.parametrize(
+    ("source", "html"),
+    [
+        ("<p>x", "<p>x"),
+        ("<p>x\n", "<p>x\n"),
+        ("<!-- a\nb -->", "<!-- a\nb -->"),
+        ("> <p>x", "<blockquote>\n<p>x</blockquote>\n"),
+        ("    x", "<pre><code>x</code></pre>\n"),
+        ("    x\n\n", "<pre><code>x\n</code></pre>\n"),
+        ("```\nx", "<pre><code>x</code></pre>\n"),
+        ("```\nx\n```", "<pre><code>x\n</code></pre>\n"),
+        ("```", "<pre><code></code></pre>\n"),
+        ("- a\n\n      x", "<ul>\n<li>\n<p>a</p>\n<pre><code>x</code></pre>\n</li>\n</ul>\n"),
+        ("x", "<p>x</p>\n"),
+        ("# x", '<h1 id="x">x</h1>\n'),
+        ("> x", "<blockquote>\n<p>x</p>\n</blockquote>\n"),
+    ],
+)
+def test_documents_without_a_last_line_feed(source, html):
+    assert to_html(source, DEFAULT.with_(render_policy="trusted")) == html
+
+
+@pytest.mark.parametrize("part", ["<![CDATA[", "<!--", "<?x", "<!x", "<a ", "[", "*a", "`", "![a](", "&am"])
+def test_openings_without_an_end_take_linear_time(part):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        to_html("a " + part * (n // len(part)), DEFAULT.with_(render_policy="trusted"))
+        took.append(time.process_time() - start)
+    assert took[1] < 12 * took[0] + 0.3
