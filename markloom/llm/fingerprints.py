@@ -7,7 +7,8 @@ share m of equal entries then estimates likeness as (m - 2**-b) / (1 - 2**-b), w
 
 Null and empty texts and texts without words have the empty fingerprint; two of those are alike (1), one of
 them and any other is not (0). Equal texts have equal fingerprints. Repeated rows and ties in doc_id are
-ordered by a hash of the text; a null doc_id comes first. Other columns are ignored; an empty table gives none.
+ordered by a hash of the text; a null doc_id comes first. A text of any length is whole in one row. Other columns are
+ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, mix, prefix_hash, ragged, span_hash, utf8, words
 
 BINS, BITS, SHINGLE = 512, 4, 5
+ROWS = 2000  # that a task compares at once at most, as each has bins whatever its length
 _STEP = 0x9E3779B97F4A7C15
 _NONE = np.uint64(2**64 - 1)
 #: _ORDER[i, j]: how many bins an empty bin i asks before bin j.
@@ -52,7 +54,13 @@ def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 def fingerprints(column: pa.Array) -> np.ndarray:
     """Low bits of each bin, rows of BINS bytes; a text without shingles has 255 everywhere."""
     h, at = shingles(column)
-    n = len(column)
+    if len(column) > ROWS:
+        return np.concatenate([_binned(h[at[k] : at[min(k + ROWS, len(column))]], at[k : k + ROWS + 1] - at[k]) for k in range(0, len(column), ROWS)])
+    return _binned(h, at)
+
+
+def _binned(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    n = len(at) - 1
     least = np.full(n * BINS, _NONE, np.uint64)
     shift = np.uint64(64 - (BINS.bit_length() - 1))
     row = np.repeat(np.arange(n), np.diff(at))
@@ -171,7 +179,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _compare(items, text)
                 items, size, closed = [], 0, True
                 continue
-            if size > 1_000_000:
+            if size > 1_000_000 or len(items) >= ROWS:
                 yield _compare(items, text)
                 items, size = [], 0
             items.append((d, text))

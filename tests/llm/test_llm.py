@@ -406,7 +406,7 @@ def test_fingerprints_against_exact_likeness(docs):
     found = by_id(fingerprints.compare(docs))
     alone = by_id(fingerprints.fingerprint(docs))
     likeness = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    spread = lambda a, b: 0.05 + 1.6 / max(1, min(512, len(a | b))) ** 0.5  # noqa: E731  few shingles say little
+    spread = lambda a, b: 0.05 + 1.6 / max(1, min(512, len(a | b))) ** 0.5  # noqa: E731  few shingles say little; their mean is tested below
     for k, (r, t) in enumerate(zip(rows, texts)):
         after = texts[(k + 1) % len(texts)]
         edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
@@ -421,6 +421,31 @@ def test_fingerprints_against_exact_likeness(docs):
     assert all(len(x) == 1 for x in same.values())
 
 
+@pytest.mark.parametrize(("size", "common"), [(4, 2), (12, 6), (40, 32), (400, 200), (3000, 2400)])
+def test_likeness_is_right_on_average(size, common):
+    """Densified estimates over many pairs of random sets: their mean within four standard errors of the likeness."""
+    import pyarrow as pa
+
+    rng, pairs = random.Random(size), 240 if size < 1000 else 40
+    texts = []
+    for k in range(pairs):
+        both = [f"w{rng.getrandbits(60)}" for _ in range(common + 4)]  # `common` shingles
+        for _ in range(2):
+            texts.append(" ".join([*both, *(f"v{rng.getrandbits(60)}" for _ in range(size - common))]))
+    prints = fingerprints.fingerprints(pa.array(texts))
+    found = np.array([float(fingerprints.likeness(prints[i : i + 1], prints[i + 1 : i + 2])[0]) for i in range(0, len(prints), 2)])
+    exact = common / (2 * size - common)
+    assert abs(found.mean() - exact) < 4 * found.std() / pairs**0.5 + 0.01
+
+
+def test_many_short_texts_take_little_memory():
+    import pyarrow as pa
+
+    texts = pa.array(["a b"] * 9000 + [""] * 1000 + ["x y z"])
+    prints = fingerprints.fingerprints(texts)
+    assert (prints[0] == prints[8999]).all() and (prints[9500] == 255).all() and (prints[10_000] == fingerprints.fingerprints(pa.array(["x y z"]))[0]).all()
+
+
 # pieces
 
 
