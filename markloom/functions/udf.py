@@ -59,6 +59,11 @@ def md_link_references(c: Column | str, given: Options | str | dict | None = Non
     return _each(lambda s: events.link_references(s, opts), "array<struct<label:string,url:string,title:string>>")(c)
 
 
+def md_note_definitions(c: Column | str, given: Options | str | dict | None = None) -> Column:
+    opts = options(given)
+    return _each(lambda s: events.note_definitions(s, opts), "array<struct<label:string,start:long>>")(c)
+
+
 def mdx_segments(c: Column | str) -> Column:
     def of(s: str) -> list[dict]:
         found = mdx.segments(s)

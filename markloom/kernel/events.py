@@ -217,6 +217,15 @@ def block_events(s: str | None, opts: Options = DEFAULT, inline: bool = False) -
     return _numbered(s, w.out)
 
 
+def note_definitions(s: str | None, opts: Options = DEFAULT) -> list[dict]:
+    """Definitions of notes that count, the first of each label, and where their bodies start (bytes of UTF-8)."""
+    s = s or ""
+    _, parser = parse_blocks(s, opts)
+    found = sorted(parser.notes.items(), key=lambda x: x[1].start)
+    starts = byte_offsets(s, [b.start for _, b in found])
+    return [{"label": label, "start": at} for (label, _), at in zip(found, starts)]
+
+
 def link_references(s: str | None, opts: Options = DEFAULT) -> list[dict]:
     """Link reference definitions by label; the first of a label is the one that counts."""
     _, parser = parse_blocks(s or "", opts)

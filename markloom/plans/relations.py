@@ -73,6 +73,11 @@ def note_references(docs: DataFrame, options=None, text: str = "text", key: str
     return native.note_ordinals(found, key)
 
 
+def note_definitions(docs: DataFrame, options=None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Definitions of notes: label and start, the first of each label."""
+    return _exploded(docs, udf.md_note_definitions(F.col(text), options if options is not None else {"footnotes": True}), key)
+
+
 def segments(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """MDX segments; in order of seq they are the text."""
     return docs.select(key, F.posexplode(udf.mdx_segments(F.col(text))).alias("seq", "_e")).select(key, "seq", "_e.*")

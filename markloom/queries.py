@@ -30,6 +30,13 @@ TEMPLATES: dict[str, tuple[str, str, str, object, str]] = {
     "fenced_code": ("part", "p_partkey", "'```sql x' || N || P || ' < ' || S || N || '```'", None, "'<pre><code class=\"language-sql\">' || P || ' &lt; ' || S || N || '</code></pre>' || N"),
     "indented_code": ("part", "p_partkey", "'    ' || P || N || N || '    ' || S", None, "'<pre><code>' || P || N || N || S || '</code></pre>' || N"),
     "indented_code_ended": ("part", "p_partkey", "'    ' || P || N || '      ' || S || N", None, "'<pre><code>' || P || N || '  ' || S || N || '</code></pre>' || N"),
+    "nesting_limit": ("part", "p_partkey", "repeat('> ', 35) || P", None, "repeat('<blockquote>' || N, 32) || '<p>' || repeat('&gt; ', 3) || P || '</p>' || N || repeat('</blockquote>' || N, 32)"),
+    "digit_limit": ("part", "p_partkey", "'123456789. ' || P || N || N || 'x' || N || N || '1234567890. ' || S", None, "'<ol start=\"123456789\">' || N || '<li>' || P || '</li>' || N || '</ol>' || N || '<p>x</p>' || N || '<p>1234567890. ' || S || '</p>' || N"),
+    "tick_limit": ("part", "p_partkey", "repeat('`', 32) || P || repeat('`', 32) || ' ' || repeat('`', 33) || S || repeat('`', 33)", None, "'<p><code>' || P || '</code> ' || repeat('`', 33) || S || repeat('`', 33) || '</p>' || N"),
+    "column_limit": ("part", "p_partkey", "repeat('a|', 130) || N || repeat('-|', 130) || N || repeat(P || '|', 129)", None, "'<table>' || N || '<thead>' || N || '<tr>' || N || repeat('<th>a</th>' || N, 128) || '</tr>' || N || '</thead>' || N || '<tbody>' || N || '<tr>' || N || repeat('<td>' || P || '</td>' || N, 128) || '</tr>' || N || '</tbody>' || N || '</table>' || N"),
+    "tab_indent": ("part", "p_partkey", "'-' || chr(9) || P || N || N || chr(9) || chr(9) || S || N", None, "'<ul>' || N || '<li>' || N || '<p>' || P || '</p>' || N || '<pre><code>' || S || N || '</code></pre>' || N || '</li>' || N || '</ul>' || N"),
+    "list_in_quote": ("part", "p_partkey", "'> 1. ' || P || N || '>' || N || '>    ```' || N || '>    ' || S || N || '>    ```' || N || '> 2. *b*' || N", None, "'<blockquote>' || N || '<ol>' || N || '<li>' || N || '<p>' || P || '</p>' || N || '<pre><code>' || S || N || '</code></pre>' || N || '</li>' || N || '<li>' || N || '<p><em>b</em></p>' || N || '</li>' || N || '</ol>' || N || '</blockquote>' || N"),
+    "short_rows": ("part", "p_partkey", "'a|b' || N || '-|-' || N || P || N || '1|2|' || S || N", None, "'<table>' || N || '<thead>' || N || '<tr>' || N || '<th>a</th>' || N || '<th>b</th>' || N || '</tr>' || N || '</thead>' || N || '<tbody>' || N || '<tr>' || N || '<td>' || P || '</td>' || N || '<td></td>' || N || '</tr>' || N || '<tr>' || N || '<td>1</td>' || N || '<td>2</td>' || N || '</tr>' || N || '</tbody>' || N || '</table>' || N"),
     "unclosed_fence": ("part", "p_partkey", "'~~~' || N || P || N || S", None, "'<pre><code>' || P || N || S || '</code></pre>' || N"),
     "indented_code_off": ("part", "p_partkey", "'    ' || P", {"indented_code_blocks": False}, "'<p>' || P || '</p>' || N"),
     "blockquote": ("part", "p_partkey", "'> ' || P || N || '> ' || N || '> - ' || S", None, "'<blockquote>' || N || '<p>' || P || '</p>' || N || '<ul>' || N || '<li>' || S || '</li>' || N || '</ul>' || N || '</blockquote>' || N"),
@@ -226,6 +233,93 @@ def fenced_renderer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("p_partkey", udf.md_to_html("text", None, _upper).alias("html"))
 
 
+def native_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels, escapes, blank lines, breaks and tags of strings made from columns."""
+    p, k = _read(spark, sf_dir, "part"), F.col("p_partkey")
+    label = F.when(k % 3 == 0, F.concat(F.lit("Note_"), "p_size")).when(k % 3 == 1, F.concat(F.lit("a b"), "p_size")).otherwise(F.concat(F.lit("X-"), "p_size"))
+    line = F.when(k % 3 == 0, F.lit(" \t ")).when(k % 3 == 1, F.lit("- - -")).otherwise(F.concat("p_name"))
+    return p.select(
+        "p_partkey", native.footnote_label(label).alias("label"), native.unescape_backslashes(F.concat(F.lit("\\\\*\\a\\["), "p_name")).alias("plain"), native.is_blank_line(line).alias("blank"),
+        native.is_thematic_break(line).alias("is_break"), native.strip_tags(F.concat(F.lit("<a title='>'>"), "p_name", F.lit("</a>"))).alias("stripped"), native.info_language(F.concat(F.lit("sql "), "p_name")).alias("language"),
+        native.info_meta(F.concat(F.lit("sql "), "p_name", F.lit(" "))).alias("meta"),
+    )
+
+
+#: MDX that strict reading objects to, P standing for the part's name: (Markdown in SQL, code, line, column).
+OBJECTIONS = [
+    ("'a' || N || N || '{' || P || N", "UnterminatedExpression", 3, 1),
+    ("'<Card ' || P || N", "UnterminatedJsxTag", 1, 1),
+    ("'<Card 1=2>' || P || N", "InvalidJsxTag", 1, 1),
+    ("P || N || N || '  </B>' || N", "UnexpectedJsxClosingTag", 3, 3),
+    ("'<A>' || N || N || P || N || N || '</B>' || N || '</A>' || N", "MismatchedJsxClosingTag", 5, 1),
+    ("'<A>' || N || N || P || N", "UnclosedJsxTag", 1, 1),
+    ("P || N || N || '  import x from 1' || N", "InvalidEsmPosition", 3, 3),
+]
+
+
+def mdx_objections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each code that strict reading gives, where it stands, over parts."""
+    cases = F.coalesce(*[F.when(F.col("p_partkey") % len(OBJECTIONS) == k, F.expr(_sql(x[0], True))) for k, x in enumerate(OBJECTIONS)])
+    docs = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), cases.alias("text"))
+    return relations.diagnostics(docs).select("doc_id", "code", "line", "column")
+
+
+def _orders_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each order: a heading, a table of its lines, a list of them in a quote, and a note."""
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))), lambda x: x)
+    d = li.groupBy("l_orderkey").agg(rows.alias("r"))
+    row = lambda x: F.concat(F.lit("| *"), x["l_partkey"], F.lit("* | `"), x["l_returnflag"], F.lit("` |\n"))
+    item = lambda x: F.concat(F.lit("> - ["), x["l_partkey"], F.lit("](/p/"), x["l_partkey"], F.lit(")[^n]\n"))
+    parts = [F.lit("# Order "), F.col("l_orderkey"), F.lit("\n\n| part | flag |\n|---|:-:|\n"), F.array_join(F.transform("r", row), ""), F.lit("\n"), F.array_join(F.transform("r", item), ""), F.lit("\n[^n]: see **"), F.size("r"), F.lit("**\n")]
+    return d.select(F.col("l_orderkey").alias("doc_id"), F.concat(*parts).alias("text"))
+
+
+def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents with tables, code, lists in quotes, links and notes, one for each order."""
+    html = relations.rendered(_orders_source(spark, sf_dir), {"footnotes": True})
+    return html.select("doc_id", F.md5("html").alias("html_md5"))
+
+
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of these documents by layer and kind, with subtotals."""
+    found = relations.events(_orders_source(spark, sf_dir), {"footnotes": True})
+    return found.where(F.col("kind").isin("TableRowStart", "TableCellStart", "ListItemStart", "BlockQuoteStart", "HeadingStart", "LinkStart", "Code", "EmphasisStart", "FootnoteRef")).rollup("layer", "kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+def links_in_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range join: links whose places lie between a quote's start and end; a quote's are the events around them."""
+    found = relations.events(_orders_source(spark, sf_dir), {"footnotes": True}).select("doc_id", "seq", "kind", "url")
+    quotes = found.where("kind = 'BlockQuoteStart'").select("doc_id", F.col("seq").alias("first")).join(found.where("kind = 'BlockQuoteEnd'").select("doc_id", F.col("seq").alias("last")), "doc_id")
+    inside = found.where("kind = 'LinkStart'").join(quotes, "doc_id").where("seq > first and seq < last")
+    return inside.groupBy("doc_id").agg(F.count("*").alias("n_links"), F.min("url").alias("least_url"))
+
+
+def documents_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of documents: with links but no code (except), with a heading and a table (intersect), and a semi join."""
+    p = _read(spark, sf_dir, "part")
+    text = F.concat(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("[a](/"), "p_size", F.lit(")\n\n"))).otherwise(""), F.when(F.col("p_partkey") % 3 == 0, F.lit("~~~\nc\n~~~\n\n")).otherwise(""), F.when(F.col("p_partkey") % 5 == 0, F.lit("# h\n\n")).otherwise(""), F.lit("end"))
+    found = relations.events(p.select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+    having = lambda kind: found.where(F.col("kind") == kind).select("doc_id")
+    out = having("LinkStart").exceptAll(having("CodeBlockStart")).withColumn("what", F.lit("links, no code"))
+    both = having("HeadingStart").intersect(having("LinkStart")).withColumn("what", F.lit("heading and link"))
+    some = having("CodeBlockStart").join(having("HeadingStart"), "doc_id", "left_semi").distinct().withColumn("what", F.lit("code under headings"))
+    return out.unionAll(both).unionAll(some)
+
+
+def note_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.note_definitions(_orders_source(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compiler's names in SQL, a scalar and a table function."""
+    from .operators import register
+
+    register(spark)
+    _read(spark, sf_dir, "part").createOrReplaceTempView("_part_texts")
+    return spark.sql("select p_partkey, md_html_gfm(concat('**', p_name, '**')) as html, h.id, h.level from _part_texts, lateral md_headings(concat('## ', p_name)) h")
+
+
 def _upper(language: str | None, meta: str | None, code: str) -> str | None:
     return None if language is None else f"<x-{language} {meta}>{code.strip().upper()}</x-{language}>\n"
 
@@ -238,7 +332,10 @@ def longest_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OUTLINE_SQL = "with n as (select r_regionkey, r_name, n_name, n_nationkey, row_number() over (partition by r_regionkey order by n_nationkey) as k from nation join region on n_regionkey = r_regionkey), h as (select r_regionkey as doc_id, 0 as seq, 1 as level, lower(replace(r_name, ' ', '-')) as id, r_name as text from (select distinct r_regionkey, r_name from n) union all select r_regionkey, k, 2, lower(n_name), n_name from n)"
-_FRONT = {f.__name__: f for f in (native_escape, native_slug, native_heading_ids, native_safe_url, native_filter_html, native_front_matter, native_widths, native_note_ordinals, render_documents, parse_documents, outline, links, code_blocks, events_by_kind, document_events, dangling_references, table_cells, mdx_segments, mdx_diagnostics, mdx_render, mdx_component, mdx_event_kinds, fenced_renderer, longest_outlines)}
+_ORDERS_SQL = """with r as (select l_orderkey as doc_id, l_linenumber as k, l_partkey as p, l_returnflag as f from lineitem),
+h as (select doc_id, count(*) as n, min('/p/' || p) as least, string_agg('<tr>' || chr(10) || '<td><em>' || p || '</em></td>' || chr(10) || '<td align="center"><code>' || f || '</code></td>' || chr(10) || '</tr>' || chr(10), '' order by k, p, f) as cells,
+string_agg('<li><a href="/p/' || p || '">' || p || '</a><sup><a href="#user-content-fn-n" id="user-content-fnref-n" data-footnote-ref>1</a></sup></li>' || chr(10), '' order by k, p, f) as items from r group by doc_id)"""
+_FRONT = {f.__name__: f for f in (native_escape, native_slug, native_heading_ids, native_safe_url, native_filter_html, native_front_matter, native_widths, native_note_ordinals, render_documents, parse_documents, outline, links, code_blocks, events_by_kind, document_events, dangling_references, table_cells, mdx_segments, mdx_diagnostics, mdx_render, mdx_component, mdx_event_kinds, fenced_renderer, longest_outlines, native_scalars, mdx_objections, render_orders, order_events, links_in_quotes, documents_by_content, note_definitions, sql_functions)}
 _ESCAPED = "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _SLUG = r"""regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace({c}, '[*~`\[\]!#]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r]+', '-', 'g'), '[^a-z0-9_\x{{80}}-\x{{10FFFF}}-]', '', 'g'), '^-+|-+$', '', 'g')"""
 _CODES = {"UnclosedJsxTag": "expected a matching closing JSX tag"}
@@ -272,5 +369,13 @@ def oracle_sql() -> dict[str, str]:
         "mdx_diagnostics": f"select p_partkey as doc_id, 'UnclosedJsxTag' as code, '{_CODES['UnclosedJsxTag']}' as message, 8::int as line, 1::int as column from part where p_size % 2 = 0",
         "mdx_render": "select p_partkey as doc_id, '<Card n={' || p_size || '}>' || chr(10) || '<h1 id=\"' || replace(p_name, ' ', '-') || '\">' || p_name || '</h1>' || chr(10) || '</Card>' || chr(10) || case when p_size % 2 = 0 then '<Box>' else '{x}' end || chr(10) as body, 'import A from ''a''' || chr(10) as esm from part",
         "mdx_component": "select p_partkey, 'export function Page() {' || chr(10) || '  return (' || chr(10) || '    <>' || chr(10) || '      <p><em>' || p_name || '</em></p>' || chr(10) || '    </>' || chr(10) || '  );' || chr(10) || '}' || chr(10) as module from part",
+        "native_scalars": "select p_partkey, case p_partkey % 3 when 0 then 'note_' || p_size when 2 then 'x-' || p_size end as label, chr(92) || '*' || chr(92) || 'a[' || p_name as plain, p_partkey % 3 = 0 as blank, p_partkey % 3 = 1 as is_break, p_name as stripped, 'sql' as language, p_name as meta from part",
+        "mdx_objections": "select p_partkey as doc_id, case p_partkey % 7 " + " ".join(f"when {k} then '{x[1]}'" for k, x in enumerate(OBJECTIONS)) + " end as code, case p_partkey % 7 " + " ".join(f"when {k} then {x[2]}" for k, x in enumerate(OBJECTIONS)) + " end::int as line, case p_partkey % 7 " + " ".join(f"when {k} then {x[3]}" for k, x in enumerate(OBJECTIONS)) + ' end::int as "column" from part',
+        "render_orders": _ORDERS_SQL + """ select doc_id, md5('<h1 id="order-' || doc_id || '">Order ' || doc_id || '</h1>' || chr(10) || '<table>' || chr(10) || '<thead>' || chr(10) || '<tr>' || chr(10) || '<th>part</th>' || chr(10) || '<th align="center">flag</th>' || chr(10) || '</tr>' || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10) || cells || '</tbody>' || chr(10) || '</table>' || chr(10) || '<blockquote>' || chr(10) || '<ul>' || chr(10) || items || '</ul>' || chr(10) || '</blockquote>' || chr(10) || '<section data-footnotes class="footnotes">' || chr(10) || '<ol>' || chr(10) || '<li id="user-content-fn-n">' || chr(10) || '<p>see <strong>' || n || '</strong> <a href="#user-content-fnref-n" class="data-footnote-backref" aria-label="Back to reference 1">↩</a></p>' || chr(10) || '</li>' || chr(10) || '</ol>' || chr(10) || '</section>' || chr(10)) as html_md5 from h""",
+        "order_events": _ORDERS_SQL + """, e as (select doc_id, layer, kind, c as n from h, lateral (values ('block', 'HeadingStart', 1), ('block', 'BlockQuoteStart', 1), ('block', 'TableRowStart', n + 1), ('block', 'TableCellStart', 2 * n + 2), ('block', 'ListItemStart', n), ('inline', 'LinkStart', n), ('inline', 'Code', n), ('inline', 'EmphasisStart', n), ('inline', 'FootnoteRef', n)) v(layer, kind, c)) select layer, kind, sum(n)::bigint as n, count(distinct doc_id) as n_docs from e group by rollup (layer, kind)""",
+        "links_in_quotes": _ORDERS_SQL + " select doc_id, n as n_links, least as least_url from h",
+        "documents_by_content": "select p_partkey as doc_id, 'links, no code' as what from part where p_size % 2 = 0 and p_partkey % 3 <> 0 union all select p_partkey, 'heading and link' from part where p_size % 2 = 0 and p_partkey % 5 = 0 union all select p_partkey, 'code under headings' from part where p_partkey % 15 = 0",
+        "note_definitions": "select 'n' as label, count(distinct l_orderkey) as n from lineitem",
+        "sql_functions": "select p_partkey, '<p><strong>' || p_name || '</strong></p>' || chr(10) as html, replace(p_name, ' ', '-') as id, 2 as level from part",
         "fenced_renderer": "select p_partkey, '<x-x y>' || upper(p_name) || '</x-x>' || chr(10) || '<pre><code>b' || chr(10) || '</code></pre>' || chr(10) as html from part",
     }
