@@ -285,7 +285,7 @@ class SpanCache:
     asked for again moves to the young one, so that frequent spans are never encoded again.
     """
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 300_000):
         self.limit = limit
         self.young, self.old = _Known(), _Known()
 
