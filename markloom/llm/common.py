@@ -69,7 +69,7 @@ NULL_ID = -(2**63)
 
 
 def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """d, c, text of docs (doc_id, text), none of them null, and, if asked for, the whole row in a struct `row`.
+    """d, c, text of docs (doc_id, text), none of them null, and, if asked for, the other columns in a struct `row`.
 
     Rows are told apart by d and c.
 
@@ -79,7 +79,7 @@ def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
     key, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
     own = docs.select(key.alias("d")).where("d is not null").groupBy("d").count().where("count > 1").isEmpty()
     c = F.when(key.isNotNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text)) if own else F.xxhash64(text)
-    return docs.select(F.coalesce(key, F.lit(NULL_ID)).alias("d"), c.alias("c"), text.alias("text"), *([F.struct(*[docs[f"`{n}`"] for n in docs.columns]).alias("row")] if whole else []))
+    return docs.select(F.coalesce(key, F.lit(NULL_ID)).alias("d"), c.alias("c"), text.alias("text"), *([F.struct(*[docs[f"`{n}`"] for n in docs.columns if n != "text"]).alias("row")] if whole else []))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

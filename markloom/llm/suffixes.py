@@ -273,13 +273,13 @@ def _cut(batches: Iterator[pa.RecordBatch], keep: bool, names: list[str]) -> Ite
 def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text).
 
-    With whole, a struct `row` with all columns of docs takes doc_id's place and `kept` comes last, the remaining bytes
+    With whole, a struct `row` with all columns of docs but text takes doc_id's place and `kept` comes last, the remaining bytes
     as text; a character that lost some of its bytes is left out of it.
     """
     rows = keyed(docs, whole)
     gone = repeated(rows.select("d", "c", "text")).groupBy("d", "c").agg(F.collect_list("code").alias("codes"))
     first = "row" if whole else "doc_id"
-    kind = f"row {docs.schema.simpleString()}" if whole else "doc_id long"
+    kind = f"row {rows.schema['row'].dataType.simpleString()}" if whole else "doc_id long"
     rows = rows if whole else rows.withColumn("doc_id", F.when(F.col("d") != NULL_ID, F.col("d")))
     met = rows.select("d", "c", first, "text").mapInArrow(_packed, f"d long, c long, {kind}, z binary").join(gone, ["d", "c"], "left")
     out = f"{kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if whole else "")
