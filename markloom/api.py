@@ -44,6 +44,16 @@ def mdx_render(source: str, given: Options | str | Mapping | None = None) -> mdx
     return mdx.render_mdx(source, MDX if given is None else options(given))
 
 
+def mdx_event_stream(source: str, strict: bool = False) -> events.MdxEvents:
+    """Events with their version and the link definitions that they count."""
+    return events.mdx_stream(source, strict)
+
+
+def source_range(event: dict) -> tuple[int, int] | None:
+    """The primary place of an event in bytes, if it has one."""
+    return events.source_range(event)
+
+
 def mdx_events(source: str, strict: bool = False) -> list[dict]:
     return events.mdx_events(source, strict)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,9 +16,37 @@ HEADINGS = "array<struct<level:int,id:string,text:string>>"
 EVENTS = f"array<struct<{','.join(f'`{k}`:{v}' for k, v in events.FIELDS.items())}>>"
 
 
+#: Characters of text whose results are held at once, as an Arrow batch may hold any number of long documents.
+PIECE = 1_000_000
+
+
+def _pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for c in batches:
+        first, held = 0, 0
+        for k, x in enumerate(c):
+            held += 0 if x is None else len(x)
+            if held > PIECE:
+                yield c.iloc[first : k + 1]
+                first, held = k + 1, 0
+        if first < len(c) or not len(c):
+            yield c.iloc[first:]
+
+
 def _each(f: Callable, kind: str):
-    def run(c: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else f(x) for x in c], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for c in _pieces(batches):
+            yield pd.Series([None if x is None else f(x) for x in c], dtype=object)
+
+    return F.pandas_udf(run, kind)
+
+
+def _parts(f: Callable, names: tuple[str, ...], kind: str):
+    """A struct of attributes of f's results."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for c in _pieces(batches):
+            rows = [f(x) for x in c]
+            yield pd.DataFrame({n: [getattr(r, n) for r in rows] for n in names})
 
     return F.pandas_udf(run, kind)
 
@@ -32,21 +61,30 @@ def md_parse(c: Column | str, given: Options | str | dict | None = None, rendere
     """Struct of html, front_matter and headings."""
     opts = options(given) if given is not None else options(None, front_matter=True)
 
-    def run(col: pd.Series) -> pd.DataFrame:
-        rows = [render.compile_document(s, opts, renderer) for s in col]
-        return pd.DataFrame({"html": [r.html for r in rows], "front_matter": [r.front_matter for r in rows], "headings": [r.headings for r in rows]})
-
-    return F.pandas_udf(run, f"html string, front_matter string, headings {HEADINGS}")(c)
+    f = lambda s: render.compile_document(s, opts, renderer)
+    return _parts(f, ("html", "front_matter", "headings"), f"html string, front_matter string, headings {HEADINGS}")(c)
 
 
 def _full(found: list[dict]) -> list[dict]:
     return [{k: e.get(k) for k in events.FIELDS} for e in found]
 
 
-def md_events(c: Column | str, given: Options | str | dict | None = None, inline: bool = True) -> Column:
-    """Events of a document's blocks and their content, places in bytes of UTF-8."""
+def md_events(c: Column | str, given: Options | str | dict | None = None, inline: bool = True, kinds: Collection[str] | None = None) -> Column:
+    """Events of a document's blocks and their content, places in bytes of UTF-8; of some kinds only, where named."""
     opts = options(given)
-    return _each(lambda s: _full(events.block_events(s, opts, inline)), EVENTS)(c)
+    keep = None if kinds is None else frozenset(kinds)
+
+    def of(s: str) -> list[dict]:
+        found = events.block_events(s, opts, inline)
+        return _full(found if keep is None else [e for e in found if e["kind"] in keep])
+
+    return _each(of, EVENTS)(c)
+
+
+def md_event_counts(c: Column | str, given: Options | str | dict | None = None, inline: bool = True) -> Column:
+    """How many events of each kind a document has; counted where they are made."""
+    opts = options(given)
+    return _each(lambda s: dict(Counter(e["kind"] for e in events.block_events(s, opts, inline))), "map<string,int>")(c)
 
 
 def md_inline_events(c: Column | str, given: Options | str | dict | None = None) -> Column:
@@ -85,11 +123,8 @@ def mdx_render(c: Column | str, given: Options | str | dict | None = None) -> Co
     """Struct of body, esm and front_matter."""
     opts = MDX if given is None else options(given)
 
-    def run(col: pd.Series) -> pd.DataFrame:
-        rows = [mdx.render_mdx(s, opts) for s in col]
-        return pd.DataFrame({"body": [r.body for r in rows], "esm": [r.esm for r in rows], "front_matter": [r.front_matter for r in rows]})
-
-    return F.pandas_udf(run, "body string, esm array<string>, front_matter string")(c)
+    f = lambda s: mdx.render_mdx(s, opts)
+    return _parts(f, ("body", "esm", "front_matter"), "body string, esm array<string>, front_matter string")(c)
 
 
 def mdx_component(c: Column | str, name: str, given: Options | str | dict | None = None) -> Column:
@@ -98,6 +133,11 @@ def mdx_component(c: Column | str, name: str, given: Options | str | dict | None
     return _each(lambda s: mdx.render_mdx(s, opts).to_component(name), "string")(c)
 
 
+def mdx_link_references(c: Column | str) -> Column:
+    """Link definitions of an MDX document in the order of their numbers (`def_index` of events)."""
+    return _each(lambda s: events.mdx_stream(s).link_references, "array<struct<label:string,url:string,title:string>>")(c)
+
+
 def mdx_events(c: Column | str) -> Column:
     return _each(lambda s: _full(events.mdx_events(s)), EVENTS)(c)
 

@@ -119,6 +119,11 @@ class Line:
     def bare(self) -> str:
         return self.s[self.i :].lstrip(" \t")
 
+    def spread(self) -> tuple[str, int]:
+        """The rest with its leading white space as spaces, and the place behind that."""
+        bare = self.bare()
+        return " " * self.indent() + bare, self.at + len(self.s) - len(bare)
+
     def place(self) -> int:
         return self.at + self.i
 
@@ -288,7 +293,7 @@ class Parser:
         else:
             self.finish(leaf)
             return False
-        leaf.lines.append((line.rest(), line.place()))
+        leaf.lines.append(line.spread())
         return True
 
     # starts of blocks
@@ -316,7 +321,7 @@ class Parser:
                     b = self.under(b)
                     line.skip(4)
                     code = self.open_block(b, Block("code", line.place()))
-                    code.lines.append((line.rest(), line.place()))
+                    code.lines.append(line.spread())
                     return False
                 if lazy or not self.o.indented_code_blocks:
                     break

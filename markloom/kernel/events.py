@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from .blocks import Block, Parser, split_row
 from .inline import parse_inline
 from .mdx import byte_offsets, diagnostics, expression_end, segments, tag_at
@@ -9,11 +11,15 @@ from .options import DEFAULT, Options
 from .render import parse_blocks
 from .text import front_matter
 
+#: Version of the order and balance of events.
+VERSION = 2
+_PLACES = ("start", "end", "url_start", "url_end")
+
 #: One column for each payload of an event; seq restores the order.
 FIELDS = {
     "seq": "int", "layer": "string", "kind": "string", "level": "int", "tight": "boolean", "list_kind": "string", "list_start": "int",
     "list_delim": "string", "task": "string", "callout": "string", "align": "string", "colspan": "int", "basis_points": "int", "info": "string",
-    "start": "long", "end": "long", "url": "string", "title": "string", "label": "string", "is_email": "boolean", "literal_kind": "string", "text": "string",
+    "spaces": "int", "start": "long", "end": "long", "url": "string", "url_start": "long", "url_end": "long", "def_index": "int", "title": "string", "label": "string", "is_email": "boolean", "literal_kind": "string", "text": "string",
 }
 _INLINE = {
     "text": "Text", "escape": "EscapedChar", "code": "Code", "soft": "SoftBreak", "hard": "HardBreak", "html": "Html", "auto": "Autolink",
@@ -23,9 +29,18 @@ _INLINE = {
 _PAIR = {"em": "Emphasis", "strong": "Strong", "del": "Strikethrough", "sub": "Subscript", "sup": "Superscript", "mark": "Highlight"}
 
 
-def inline_events(s: str, opts: Options = DEFAULT, refs: dict | None = None, notes: dict | None = None) -> list[dict]:
-    """Events of one piece of inline content; start and end are places in it."""
+def numbers(refs: dict | None) -> dict[str, int]:
+    """The number of each label's definition, the `def_index` of events that refer to it."""
+    return {label: k for k, label in enumerate(refs or ())}
+
+
+def inline_events(s: str, opts: Options = DEFAULT, refs: dict | None = None, notes: dict | None = None, index: dict[str, int] | None = None) -> list[dict]:
+    """Events of one piece of inline content; start and end are places in it.
+
+    A link or image by reference has the number of its definition among `refs`, beside the definition's url and title.
+    """
     out = []
+    index = numbers(refs) if index is None else index
     for x in parse_inline(s, opts, refs, notes):
         kind = x[0]
         e = {"layer": "inline", "start": x[1], "end": x[2]}
@@ -37,10 +52,14 @@ def inline_events(s: str, opts: Options = DEFAULT, refs: dict | None = None, not
             e["kind"] = _INLINE[kind]
             if kind in ("link", "image"):
                 e |= {"url": x[3], "title": x[4]}
+                if x[6] is None:
+                    e |= {"url_start": x[5], "url_end": x[5] + len(x[3])}
+                else:
+                    e |= {"kind": e["kind"] + "Ref", "def_index": index[x[6]]}
             elif kind == "auto":
-                e |= {"url": x[3], "is_email": x[4]}
+                e |= {"url": x[3], "is_email": x[4], "url_start": x[1] + 1, "url_end": x[2] - 1}
             elif kind == "literal":
-                e |= {"url": x[3], "literal_kind": x[4]}
+                e |= {"url": x[3], "literal_kind": x[4], "url_start": x[1], "url_end": x[2]}
             elif kind == "note":
                 e["label"] = x[3]
             elif kind in ("escape", "code", "inline_note", "html"):
@@ -101,6 +120,7 @@ def promoted(s: str, found: list[dict]) -> list[dict]:
 class _Blocks:
     def __init__(self, parser: Parser, opts: Options, inline: bool, mdx: bool = False):
         self.p, self.o, self.inline, self.mdx, self.out = parser, opts, inline, mdx, []
+        self.index = numbers(parser.refs)
 
     def add(self, kind: str, **more) -> None:
         self.out.append({"layer": "block", "kind": kind} | more)
@@ -117,9 +137,11 @@ class _Blocks:
                 a, b = next(p for p in reversed(starts) if p[0] <= k)
                 return b + k - a
 
-            found = inline_events(s, self.o, self.p.refs, self.p.notes if self.o.footnotes else None)
+            found = inline_events(s, self.o, self.p.refs, self.p.notes if self.o.footnotes else None, self.index)
             for e in split_mdx(s, found) if self.mdx else found:
-                e["start"], e["end"] = place(e["start"]), place(max(e["end"] - 1, e["start"])) + (e["end"] > e["start"])
+                for a, b in (("start", "end"), ("url_start", "url_end")):
+                    if e.get(a) is not None:
+                        e[a], e[b] = place(e[a]), place(max(e[b] - 1, e[a])) + (e[b] > e[a])
                 self.out.append(e)
             return
         for k, (x, at) in enumerate(lines):
@@ -127,6 +149,10 @@ class _Blocks:
                 self.add("SoftBreak")
             self.add("Text", start=at, end=at + len(x))
 
+    def feed(self, at: int) -> str:
+        """The line feed of a raw line; the text's last line may have none."""
+        return "" if at >= self.p.unended >= 0 else "\n"
+
     def walk(self, b: Block) -> None:
         k = b.kind
         if k == "paragraph":
@@ -138,12 +164,16 @@ class _Blocks:
         elif k == "code":
             self.add("CodeBlockStart", info=b.info if b.fence else None, start=b.start)
             for x, at in b.lines:
-                self.add("Code", start=at, end=at + len(x), text=x)
+                spaces = 0 if b.fence else len(x) - len(x.lstrip(" "))
+                if spaces:
+                    self.add("VirtualSpaces", spaces=spaces)
+                feed = self.feed(at)
+                self.add("Code", start=at, end=at + len(x) - spaces + len(feed), text=x[spaces:] + feed)
             self.add("CodeBlockEnd")
         elif k == "html":
             self.add("HtmlBlockStart")
             for x, at in b.lines:
-                self.add("HtmlBlockText", start=at, end=at + len(x))
+                self.add("HtmlBlockText", start=at, end=at + len(x) + len(self.feed(at)))
             self.add("HtmlBlockEnd")
         elif k == "table":
             self.table(b)
@@ -199,9 +229,9 @@ class _Blocks:
 
 def _numbered(s: str, found: list[dict], layer: str | None = None) -> list[dict]:
     """Adds seq and turns places into byte offsets."""
-    at = sorted({e[k] for e in found for k in ("start", "end") if e.get(k) is not None})
+    at = sorted({e[k] for e in found for k in _PLACES if e.get(k) is not None})
     to = dict(zip(at, byte_offsets(s, at)))
-    return [e | {"seq": k} | {f: to[e[f]] for f in ("start", "end") if e.get(f) is not None} for k, e in enumerate(found)]
+    return [e | {"seq": k} | {f: to[e[f]] for f in _PLACES if e.get(f) is not None} for k, e in enumerate(found)]
 
 
 def block_events(s: str | None, opts: Options = DEFAULT, inline: bool = False) -> list[dict]:
@@ -232,7 +262,38 @@ def link_references(s: str | None, opts: Options = DEFAULT) -> list[dict]:
     return [{"label": k, "url": u, "title": t} for k, (u, t) in parser.refs.items()]
 
 
+@dataclass
+class MdxEvents:
+    """Events of an MDX document, the version of their contract, and the definitions that `def_index` counts."""
+
+    events: list[dict]
+    link_references: list[dict]
+    version: int = VERSION
+
+    def link_reference(self, index: int) -> dict | None:
+        return self.link_references[index] if 0 <= index < len(self.link_references) else None
+
+
+_RANGED = {
+    "HtmlBlockText", "Comment", "Text", "Code", "ThematicBreak", "Html", "MathInline", "MathDisplay", "MdxExpression", "MdxJsxOpen", "MdxJsxClose", "MdxJsxSelfClose",
+}
+
+
+def source_range(event: dict) -> tuple[int, int] | None:
+    """The primary place of an event: a target's for links, images and autolinks; None for starts and ends."""
+    if event.get("url_start") is not None:
+        return event["url_start"], event["url_end"]
+    if event["layer"] == "mdx" or event["kind"] in _RANGED:
+        return event["start"], event["end"]
+    return None
+
+
 def mdx_events(s: str | None, strict: bool = False) -> list[dict]:
+    """The events of `mdx_stream` alone."""
+    return mdx_stream(s, strict).events
+
+
+def mdx_stream(s: str | None, strict: bool = False) -> MdxEvents:
     """Events of an MDX document: front matter, ESM, tags and expressions in flow, and what Markdown holds.
 
     Link references hold for the whole document, the first of a label counts. With strict, a document with
@@ -263,8 +324,8 @@ def mdx_events(s: str | None, strict: bool = False) -> list[dict]:
             w.walk(b)
         w.out = promoted(x.text, w.out)
         for e in w.out:
-            for f in ("start", "end"):
+            for f in _PLACES:
                 if e.get(f) is not None:
                     e[f] += x.start + shift
         out += w.out
-    return _numbered(whole, out)
+    return MdxEvents(_numbered(whole, out), [{"label": k, "url": u, "title": t} for k, (u, t) in refs.items()])

@@ -338,12 +338,12 @@ class Inline:
             self.brackets.pop()
             self.text(i, i + 1)
             return i + 1
-        dest, name, end = found
+        dest, name, place, label, end = found
         self.resolve(b["runs"])
         del self.runs[b["runs"] :]
         kind = "image" if b["image"] else "link"
         start = b["pos"] - b["image"]
-        self.items[b["at"]] = [kind, start, b["pos"] + 1, dest, name]
+        self.items[b["at"]] = [kind, start, b["pos"] + 1, dest, name, place, label]
         for k in range(b["at"] + 1, len(self.items)):
             x = self.items[k]
             if isinstance(x, list) and x[0] == "literal":
@@ -356,19 +356,21 @@ class Inline:
                     other["live"] = False
         return end
 
-    def target(self, b: dict, i: int) -> tuple[str, str | None, int] | None:
+    def target(self, b: dict, i: int) -> tuple | None:
+        """Destination, title, the destination's place, the label of a definition instead, and where the target ends."""
         s = self.s
         if s[i + 1 : i + 2] == "(":
             at = _blank(s, i + 2, " \t")
             if found := destination(s, at):
+                place = at + s.startswith("<", at)
                 dest, at = found
                 after = _blank(s, at)
                 name = title(s, after) if after > at or s[at - 1 : at] == ">" else None
                 end = _blank(s, name[1] if name else after, " \t\n\r")
                 if s[end : end + 1] == ")":
-                    return dest, name[0] if name else None, end + 1
+                    return dest, name[0] if name else None, place, None, end + 1
             if s[at : at + 1] == ")":
-                return "", None, at + 1
+                return "", None, at, None, at + 1
         if not self.refs:
             return None
         m = _LABEL.match(s, i + 1)
@@ -378,8 +380,8 @@ class Inline:
             return None
         if label is own and ("[" in re.sub(r"\\.", "", own) or "]" in re.sub(r"\\.", "", own)):
             return None
-        found = self.refs.get(normalize_label(label)) if len(label) <= 999 and label.strip() else None
-        return (*found, end) if found else None
+        key = normalize_label(label) if len(label) <= 999 and label.strip() else None
+        return (*self.refs[key], None, key, end) if key in self.refs else None
 
     def resolve(self, bottom: int) -> None:
         """Matches closing runs with opening runs at or above bottom."""

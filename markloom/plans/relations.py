@@ -17,9 +17,14 @@ def _exploded(docs: DataFrame, array, key: str, more: tuple[str, ...] = ()) -> D
     return docs.select(key, *more, F.explode(array).alias("_e")).select(key, *more, "_e.*")
 
 
-def events(docs: DataFrame, options=None, text: str = "text", key: str = "doc_id", inline: bool = True) -> DataFrame:
-    """One row for each event of blocks and inline content; seq restores a document's order."""
-    return _exploded(docs, udf.md_events(F.col(text), options, inline), key)
+def events(docs: DataFrame, options=None, text: str = "text", key: str = "doc_id", inline: bool = True, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """One row for each event (of some kinds) of blocks and inline content; seq restores a document's order."""
+    return _exploded(docs, udf.md_events(F.col(text), options, inline, kinds), key)
+
+
+def event_counts(docs: DataFrame, options=None, text: str = "text", key: str = "doc_id", inline: bool = True) -> DataFrame:
+    """Events of each document by kind; a row for each kind that it has."""
+    return docs.select(key, F.explode(udf.md_event_counts(F.col(text), options, inline)).alias("kind", "n"))
 
 
 def headings(docs: DataFrame, options=None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -30,17 +35,18 @@ def headings(docs: DataFrame, options=None, text: str = "text", key: str = "doc_
 
 def links(docs: DataFrame, options=None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Links, images and autolinks with their targets and whether the untrusted policy lets them through."""
-    found = events(docs, options, text, key).where(F.col("kind").isin("LinkStart", "ImageStart", "Autolink", "AutolinkLiteral"))
+    found = events(docs, options, text, key, kinds=("LinkStart", "LinkStartRef", "ImageStart", "ImageStartRef", "Autolink", "AutolinkLiteral"))
     return found.select(key, "seq", "kind", "url", "title", "is_email", native.is_safe_url("url").alias("safe"), "start", "end")
 
 
 def code_blocks(docs: DataFrame, options=None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Code blocks: language, meta, code."""
-    found = events(docs, options, text, key, inline=False).where(F.col("kind").isin("CodeBlockStart", "Code"))
+    found = events(docs, options, text, key, inline=False, kinds=("CodeBlockStart", "VirtualSpaces", "Code"))
     block = F.sum((F.col("kind") == "CodeBlockStart").cast("int")).over(Window.partitionBy(key).orderBy("seq"))
-    lines = F.array_sort(F.collect_list(F.when(F.col("kind") == "Code", F.struct("seq", "text"))))
+    part = F.coalesce("text", F.repeat(F.lit(" "), F.col("spaces")))
+    lines = F.array_sort(F.collect_list(F.when(F.col("kind") != "CodeBlockStart", F.struct("seq", part.alias("part")))))
     whole = found.withColumn("block", block).groupBy(key, "block").agg(F.max("info").alias("info"), lines.alias("_l"))
-    code = F.concat_ws("", F.transform("_l", lambda x: F.concat(x["text"], F.lit("\n"))))
+    code = F.array_join(F.transform("_l", lambda x: x["part"]), "")
     return whole.select(key, "block", native.info_language("info").alias("language"), native.info_meta("info").alias("meta"), code.alias("code"))
 
 
@@ -69,7 +75,7 @@ def link_references(docs: DataFrame, options=None, text: str = "text", key: str
 def note_references(docs: DataFrame, options=None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """References to notes with their numbers."""
     opts = options if options is not None else {"footnotes": True}
-    found = events(docs, opts, text, key).where("kind = 'FootnoteRef'").select(key, "seq", "label")
+    found = events(docs, opts, text, key, kinds=("FootnoteRef",)).select(key, "seq", "label")
     return native.note_ordinals(found, key)
 
 
@@ -94,6 +100,11 @@ def valid_mdx(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     return docs.where(F.size(udf.mdx_diagnostics(F.col(text))) == 0)
 
 
+def mdx_link_references(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Link definitions of MDX documents: def_index, label, url, title."""
+    return docs.select(key, F.posexplode(udf.mdx_link_references(F.col(text))).alias("def_index", "_e")).select(key, "def_index", "_e.*")
+
+
 def mdx_events(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     return _exploded(docs, udf.mdx_events(F.col(text)), key)
 

@@ -173,14 +173,15 @@ def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = relations.events(_outline_source(spark, sf_dir), inline=False)
-    return found.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    found = relations.event_counts(_outline_source(spark, sf_dir), inline=False)
+    return found.select("doc_id", "kind", F.col("n").cast("long").alias("n"))
 
 
 def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of all documents, counted by language and kind."""
     d = _read(spark, sf_dir, "documents")
-    return relations.events(d).groupBy("doc_id").agg(F.count("*").alias("n")).join(d.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_events"))
+    n = F.aggregate(F.map_values(udf.md_event_counts("text")), F.lit(0), lambda a, b: a + b)
+    return d.select("lang", n.alias("n")).where("n > 0").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_events"))
 
 
 def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,6 +228,28 @@ def mdx_event_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.mdx_events(_mdx_source(spark, sf_dir)).groupBy("layer", "kind").agg(F.count("*").alias("n"))
 
 
+def _references_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each part: two definitions, links to them, and code that is indented by two columns more."""
+    p = _read(spark, sf_dir, "part")
+    text = F.concat(F.lit("[z]: /z\n[k]: /"), "p_size", F.lit(" 'T'\n\n[k] ![z] [x](/y)\n\n      "), "p_name", F.lit("\n"))
+    return p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+def reference_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by reference with their definitions' numbers, a link with its target's place, virtual spaces and code."""
+    kinds = ("LinkStartRef", "ImageStartRef", "LinkStart", "VirtualSpaces", "Code")
+    found = relations.events(_references_source(spark, sf_dir), kinds=kinds)
+    return found.select("doc_id", "kind", "def_index", "url", (F.col("url_end") - F.col("url_start")).alias("url_size"), "spaces", F.col("text").alias("code"))
+
+
+def mdx_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of MDX events met with their definitions by number: a join of two relations."""
+    docs = _references_source(spark, sf_dir)
+    refs = relations.mdx_link_references(docs).select("doc_id", "def_index", "label", F.col("title").alias("of_title"))
+    used = relations.mdx_events(docs).where("def_index is not null").select("doc_id", "def_index", "kind")
+    return used.join(refs, ["doc_id", "def_index"])
+
+
 def fenced_renderer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function of our own for fenced code; it leaves every block without a language alone."""
     d = _read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("```x y\n"), "p_name", F.lit("\n```\n\n```\nb\n```")).alias("text"))
@@ -335,7 +358,7 @@ _OUTLINE_SQL = "with n as (select r_regionkey, r_name, n_name, n_nationkey, row_
 _ORDERS_SQL = """with r as (select l_orderkey as doc_id, l_linenumber as k, l_partkey as p, l_returnflag as f from lineitem),
 h as (select doc_id, count(*) as n, min('/p/' || p) as least, string_agg('<tr>' || chr(10) || '<td><em>' || p || '</em></td>' || chr(10) || '<td align="center"><code>' || f || '</code></td>' || chr(10) || '</tr>' || chr(10), '' order by k, p, f) as cells,
 string_agg('<li><a href="/p/' || p || '">' || p || '</a><sup><a href="#user-content-fn-n" id="user-content-fnref-n" data-footnote-ref>1</a></sup></li>' || chr(10), '' order by k, p, f) as items from r group by doc_id)"""
-_FRONT = {f.__name__: f for f in (native_escape, native_slug, native_heading_ids, native_safe_url, native_filter_html, native_front_matter, native_widths, native_note_ordinals, render_documents, parse_documents, outline, links, code_blocks, events_by_kind, document_events, dangling_references, table_cells, mdx_segments, mdx_diagnostics, mdx_render, mdx_component, mdx_event_kinds, fenced_renderer, longest_outlines, native_scalars, mdx_objections, render_orders, order_events, links_in_quotes, documents_by_content, note_definitions, sql_functions)}
+_FRONT = {f.__name__: f for f in (native_escape, native_slug, native_heading_ids, native_safe_url, native_filter_html, native_front_matter, native_widths, native_note_ordinals, render_documents, parse_documents, outline, links, code_blocks, events_by_kind, document_events, dangling_references, table_cells, mdx_segments, mdx_diagnostics, mdx_render, mdx_component, mdx_event_kinds, reference_events, mdx_references, fenced_renderer, longest_outlines, native_scalars, mdx_objections, render_orders, order_events, links_in_quotes, documents_by_content, note_definitions, sql_functions)}
 _ESCAPED = "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _SLUG = r"""regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace({c}, '[*~`\[\]!#]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r]+', '-', 'g'), '[^a-z0-9_\x{{80}}-\x{{10FFFF}}-]', '', 'g'), '^-+|-+$', '', 'g')"""
 _CODES = {"UnclosedJsxTag": "expected a matching closing JSX tag"}
@@ -369,6 +392,9 @@ def oracle_sql() -> dict[str, str]:
         "mdx_diagnostics": f"select p_partkey as doc_id, 'UnclosedJsxTag' as code, '{_CODES['UnclosedJsxTag']}' as message, 8::int as line, 1::int as column from part where p_size % 2 = 0",
         "mdx_render": "select p_partkey as doc_id, '<Card n={' || p_size || '}>' || chr(10) || '<h1 id=\"' || replace(p_name, ' ', '-') || '\">' || p_name || '</h1>' || chr(10) || '</Card>' || chr(10) || case when p_size % 2 = 0 then '<Box>' else '{x}' end || chr(10) as body, 'import A from ''a''' || chr(10) as esm from part",
         "mdx_component": "select p_partkey, 'export function Page() {' || chr(10) || '  return (' || chr(10) || '    <>' || chr(10) || '      <p><em>' || p_name || '</em></p>' || chr(10) || '    </>' || chr(10) || '  );' || chr(10) || '}' || chr(10) as module from part",
+        "mdx_event_kinds": "select layer, kind, sum(n)::bigint as n from (select v.layer, v.kind, case v.k when 0 then 1 when 1 then 1 + (p_size + 1) % 2 else p_size % 2 end as n from part, (values ('mdx', 'Esm', 0), ('mdx', 'FlowJsxOpen', 1), ('mdx', 'FlowJsxClose', 0), ('mdx', 'FlowExpression', 2), ('block', 'HeadingStart', 0), ('block', 'HeadingEnd', 0), ('inline', 'Text', 0)) v(layer, kind, k)) group by layer, kind having sum(n) > 0",
+        "reference_events": "select p_partkey as doc_id, v.kind, v.d::int as def_index, case v.kind when 'LinkStartRef' then '/' || p_size else v.u end as url, v.w::bigint as url_size, v.s::int as spaces, case v.kind when 'Code' then p_name || chr(10) end as code from part, (values ('LinkStartRef', 1, null, null, null), ('ImageStartRef', 0, '/z', null, null), ('LinkStart', null, '/y', 2, null), ('VirtualSpaces', null, null, null, 2), ('Code', null, null, null, null)) v(kind, d, u, w, s)",
+        "mdx_references": "select p_partkey as doc_id, v.d::int as def_index, v.kind, v.label, v.t as of_title from part, (values (1, 'LinkStartRef', 'k', 'T'), (0, 'ImageStartRef', 'z', null)) v(d, kind, label, t)",
         "native_scalars": "select p_partkey, case p_partkey % 3 when 0 then 'note_' || p_size when 2 then 'x-' || p_size end as label, chr(92) || '*' || chr(92) || 'a[' || p_name as plain, p_partkey % 3 = 0 as blank, p_partkey % 3 = 1 as is_break, p_name as stripped, 'sql' as language, p_name as meta from part",
         "mdx_objections": "select p_partkey as doc_id, case p_partkey % 7 " + " ".join(f"when {k} then '{x[1]}'" for k, x in enumerate(OBJECTIONS)) + " end as code, case p_partkey % 7 " + " ".join(f"when {k} then {x[2]}" for k, x in enumerate(OBJECTIONS)) + " end::int as line, case p_partkey % 7 " + " ".join(f"when {k} then {x[3]}" for k, x in enumerate(OBJECTIONS)) + ' end::int as "column" from part',
         "render_orders": _ORDERS_SQL + """ select doc_id, md5('<h1 id="order-' || doc_id || '">Order ' || doc_id || '</h1>' || chr(10) || '<table>' || chr(10) || '<thead>' || chr(10) || '<tr>' || chr(10) || '<th>part</th>' || chr(10) || '<th align="center">flag</th>' || chr(10) || '</tr>' || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10) || cells || '</tbody>' || chr(10) || '</table>' || chr(10) || '<blockquote>' || chr(10) || '<ul>' || chr(10) || items || '</ul>' || chr(10) || '</blockquote>' || chr(10) || '<section data-footnotes class="footnotes">' || chr(10) || '<ol>' || chr(10) || '<li id="user-content-fn-n">' || chr(10) || '<p>see <strong>' || n || '</strong> <a href="#user-content-fnref-n" class="data-footnote-backref" aria-label="Back to reference 1">↩</a></p>' || chr(10) || '</li>' || chr(10) || '</ol>' || chr(10) || '</section>' || chr(10)) as html_md5 from h""",

@@ -295,12 +295,44 @@ def test_mdx_segments_cover_the_text():
 def test_mdx_events():
     found = events.mdx_events("---\na: é\n---\n# é [x]\n\n<A>\n\n[x]: /u\n")
     assert found[0]["kind"] == "FrontMatter" and found[0]["end"] == 14
-    link = next(e for e in found if e["kind"] == "LinkStart")
-    assert link["url"] == "/u" and link["start"] == 19
+    link = next(e for e in found if e["kind"] == "LinkStartRef")  # a reference names its definition
+    assert link["url"] == "/u" and link["start"] == 19 and link["def_index"] == 0
     with pytest.raises(ValueError):
         events.mdx_events("<A>", strict=True)
 
 
+def test_mdx_stream_has_definitions_and_places():
+    s = "[b]: /b\n\n<A />\n\né ![i][a] [b] [w](</w> 't')\n\n[a]: /a\n"
+    found = events.mdx_stream(s)
+    assert found.version == 2
+    refs = [(e["kind"], found.link_reference(e["def_index"])["url"]) for e in found.events if e.get("def_index") is not None]
+    assert refs == [("ImageStartRef", "/a"), ("LinkStartRef", "/b")]
+    assert found.link_reference(2) is None
+    direct = next(e for e in found.events if e["kind"] == "LinkStart")
+    a, b = events.source_range(direct)
+    assert s.encode()[a:b] == b"/w" and direct["title"] == "t"
+    assert [events.source_range(e) is None for e in found.events if e["kind"] in ("ParagraphStart", "LinkEnd", "LinkStartRef")] == [True] * 4
+    jsx = next(e for e in found.events if e["kind"] == "FlowJsxSelfClose")
+    assert s.encode()[slice(*events.source_range(jsx))].strip() == b"<A />"
+
+
+@pytest.mark.parametrize(
+    ("source", "found"),
+    [
+        ("    a\n", [("Code", None, "a\n")]),
+        ("      a\n\n    b", [("VirtualSpaces", 2, None), ("Code", None, "a\n"), ("Code", None, "\n"), ("Code", None, "b")]),
+        ("\t\ta", [("VirtualSpaces", 4, None), ("Code", None, "a")]),
+        ("> \t\tx\n", [("VirtualSpaces", 2, None), ("Code", None, "x\n")]),
+        ("```\n  a\n```\n", [("Code", None, "  a\n")]),
+    ],
+)
+def test_code_events(source, found):
+    """Columns beyond the fourth are virtual spaces; places and texts of lines include their line feeds."""
+    code = [e for e in events.block_events(source) if e["kind"] in ("VirtualSpaces", "Code")]
+    assert [(e["kind"], e.get("spaces"), e.get("text")) for e in code] == found
+    assert all(source.encode()[e["start"] : e["end"]].decode() == e["text"] for e in code if e["kind"] == "Code")
+
+
 def test_mdx_inline_events():
     kinds = lambda s: [(e["kind"], e.get("text")) for e in events.mdx_events(s) if e["kind"].startswith(("Mdx", "Flow"))]
     assert kinds("Hello {user.name}!") == [("MdxExpression", "{user.name}")]
