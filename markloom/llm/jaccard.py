@@ -12,8 +12,9 @@ shingle among the first n - ceil(0.8 n) + 1 of both, so index lists hold those o
 * Then all pairs of a list that still lie in different components are candidates; parity bitmaps (an exact
   bound on the difference) drop most, the others are checked. Within a component nothing is checked again, so
   groups of copies cost a star, not all their pairs, and no link between components is missed.
-* Partners of one set are checked side by side; a partner's answer is derived from the answer for the partner
-  before it by the shingles in which those two differ, where they differ little.
+* Partners of one set are answered together. Among the sets that meet in a piece, those that are highly similar to one
+  before them (this is tested) take its answers: the overlap with that one, less and more what the two differ in,
+  decides most pairs by bounds alone, the others by meeting the few shingles that differ.
 
 Shingles and sets are known by 64-bit hashes. Texts without words have no set and are alone. A null doc_id
 counts as the smallest, and its component is then null. Rows that share a doc_id are documents of their own
@@ -22,6 +23,7 @@ with that id; repeated rows get equal results. Other columns are ignored; an emp
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -248,31 +250,79 @@ def _across(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], ["x", "y"])
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Shingles in both of two sets in order of their hashes."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(b) else 0
+
+
+def likenesses(sets: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray] | None]:
+    """For each set a highly similar one before it, and what only that one and only this one has.
+
+    Sets meet by their least shingle (under a hash of its own), which similar sets mostly share; whether the two are
+    alike is then seen from what they differ in: at most a quarter of the set's size.
+    """
+    first: dict[int, int] = {}
+    out: list[tuple[int, np.ndarray, np.ndarray] | None] = []
+    for k, h in enumerate(sets):
+        lead = first.setdefault(int(mix(h ^ np.uint64(0xA24BAED4963EE407)).min()), k)
+        gone = more = h[:0]
+        if lead != k:
+            gone, more = np.setdiff1d(sets[lead], h, assume_unique=True), np.setdiff1d(h, sets[lead], assume_unique=True)
+        out.append((lead, gone, more) if lead != k and 4 * (len(gone) + len(more)) <= len(h) else None)
+    return out
+
+
+def answers(own: np.ndarray, partners: list[int], sets: list[np.ndarray], like: list) -> tuple[list[bool], int]:
+    """Whether own is linked with each partner, and how many of these answers come from a similar set's.
+
+    The overlap with the similar set is computed once. It bounds the overlap with the partner by what the two differ
+    in; where the bounds leave it open, own is met with the few shingles that differ, never with the whole set.
+    """
+    led = Counter(like[k][0] for k in partners if like[k] is not None)
+    led.update(k for k in partners if k in led)
+    known: dict[int, int] = {}
+    out, derived = [], 0
+    for k in partners:
+        least = int(needed(np.int64(len(own)), np.int64(len(sets[k]))))
+        lead = k if like[k] is None or led[like[k][0]] < 2 else like[k][0]
+        if lead not in known:
+            known[lead] = common(own, sets[lead])
+        n = known[lead]
+        if lead != k:
+            gone, more = like[k][1:]
+            derived += 1
+            if n - len(gone) >= least or n + len(more) < least:
+                out.append(n - len(gone) >= least)
+                continue
+            n += common(own, more) - common(own, gone)
+        out.append(n >= least)
+    return out, derived
+
+
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among pairs; rows with the same x in a row share its set, and neighbours in y their differences."""
+    """Links among pairs. Each text of a piece is cut once; the partners of an x are answered together."""
     z = zstandard.ZstdDecompressor()
-    own, own_set, before = None, np.empty(0, np.uint64), (np.empty(0, np.uint64), 0)
-    for whole in batches:
-        for batch in pieces(iter([whole]), column="zy", limit=1_000_000):
-            xs, keep = batch.column("x").to_pylist(), []
-            starts = [k for k in range(len(xs)) if k == 0 or xs[k] != xs[k - 1]]
-            texts = [z.decompress(batch.column("zx")[k].as_py()).decode() for k in starts] + [z.decompress(t).decode() for t in batch.column("zy").to_pylist()]
-            h, at = ordered_sets(pa.array(texts, pa.large_string()), np.zeros(CELLS, np.uint8))
-            sets = [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            heads, g = dict(zip(starts, sets)), len(starts)
-            for k, x in enumerate(xs):
-                if k in heads and x != own:
-                    own, own_set, before = x, heads[k], (np.empty(0, np.uint64), 0)
-                y = sets[g + k]
-                last, common = before
-                if 2 * abs(len(last) - len(y)) < len(y) and len(last):
-                    gone, more = np.setdiff1d(last, y, assume_unique=True), np.setdiff1d(y, last, assume_unique=True)
-                    common += len(np.intersect1d(own_set, more, assume_unique=True)) - len(np.intersect1d(own_set, gone, assume_unique=True))
-                else:
-                    common = len(np.intersect1d(own_set, y, assume_unique=True))
-                before = (y, common)
-                keep.append(common >= int(needed(len(own_set), len(y))))
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+    for batch in pieces(batches, column="zy", limit=1_000_000):
+        if not batch.num_rows:
+            continue
+        texts: list[str] = []
+        places = []
+        for side in ("x", "y"):
+            first, of = np.unique(batch.column(side).to_numpy(), return_index=True, return_inverse=True)[1:]
+            places.append(of + len(texts))
+            texts += [z.decompress(batch.column(f"z{side}")[k].as_py()).decode() for k in first.tolist()]
+        h, at = ordered_sets(pa.array(texts, pa.large_string()), np.zeros(CELLS, np.uint8))
+        sets = [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        x, y = places
+        n_x = int(y.min())
+        like = likenesses(sets[n_x:])
+        keep = np.zeros(batch.num_rows, bool)
+        order = np.lexsort((y, x))
+        for rows in np.split(order, np.flatnonzero(np.diff(x[order])) + 1):
+            keep[rows] = answers(sets[int(x[rows[0]])], (y[rows] - n_x).tolist(), sets[n_x:], like)[0]
+        yield batch.select(["x", "y"]).filter(pa.array(keep))
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:

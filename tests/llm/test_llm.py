@@ -530,6 +530,25 @@ def brute_components(rows):
     return {r[0]: (len(s), rows[root(k)][0]) for k, (r, s) in enumerate(zip(rows, sets))}
 
 
+def test_jaccard_answers_of_similar_sets():
+    """Answers taken from a similar set's are those of whole overlaps, and among near copies most are taken."""
+    rng = np.random.default_rng(5)
+    many = lambda n: np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+    asked = taken = 0
+    for trial in range(300):
+        base, sets = many(rng.integers(1, 200)), []
+        shares = [0.97, 1.0] if trial % 2 else [0.5, 0.8, 0.95, 1.0]
+        for _ in range(rng.integers(1, 12)):
+            some = np.union1d(base[rng.random(len(base)) < rng.choice(shares)], many(rng.integers(0, 1 + len(base) // 40)))
+            sets.append(some if len(some) else base)
+        partners, like = rng.permutation(len(sets)).tolist(), jaccard.likenesses(sets)
+        found, n = jaccard.answers(base, partners, sets, like)
+        assert found == [len(np.intersect1d(base, sets[p])) * 9 >= 4 * (len(base) + len(sets[p])) for p in partners]
+        if trial % 2:
+            asked, taken = asked + len(partners), taken + n
+    assert taken > asked / 2
+
+
 def test_jaccard_against_brute_force(spark, docs):
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in by_id(jaccard.join(docs)).items()} == brute_components(ROWS)
     rng = random.Random(8)
