@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Collection, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ from ..kernel import events, mdx, render, text
 from ..kernel.options import MDX, Options, options
 
 HEADINGS = "array<struct<level:int,id:string,text:string>>"
-EVENTS = f"array<struct<{','.join(f'`{k}`:{v}' for k, v in events.FIELDS.items())}>>"
 
 
 #: Characters of text whose results are held at once, as an Arrow batch may hold any number of long documents.
@@ -40,6 +41,25 @@ def _each(f: Callable, kind: str):
     return F.pandas_udf(run, kind)
 
 
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _rows(f: Callable, fields: dict[str, str]):
+    """An array of structs from f's lists of dicts, made column by column; a key that a dict has not is null."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
+            for c in _pieces(iter([whole.to_pandas()])):
+                found = [None if x is None else f(x) for x in c]
+                rows = [e for x in found if x for e in x]
+                ends = np.cumsum([0] + [len(x or ()) for x in found])
+                columns = [pa.array([e.get(k) for e in rows], _ARROW[t]) for k, t in fields.items()]
+                items = pa.StructArray.from_arrays(columns, fields=[pa.field(k, _ARROW[t]) for k, t in fields.items()])
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, mask=pa.array([x is None for x in found], pa.bool_()))
+
+    return F.arrow_udf(run, f"array<struct<{','.join(f'`{k}`:{v}' for k, v in fields.items())}>>")
+
+
 def _parts(f: Callable, names: tuple[str, ...], kind: str):
     """A struct of attributes of f's results."""
 
@@ -65,10 +85,6 @@ def md_parse(c: Column | str, given: Options | str | dict | None = None, rendere
     return _parts(f, ("html", "front_matter", "headings"), f"html string, front_matter string, headings {HEADINGS}")(c)
 
 
-def _full(found: list[dict]) -> list[dict]:
-    return [{k: e.get(k) for k in events.FIELDS} for e in found]
-
-
 def md_events(c: Column | str, given: Options | str | dict | None = None, inline: bool = True, kinds: Collection[str] | None = None) -> Column:
     """Events of a document's blocks and their content, places in bytes of UTF-8; of some kinds only, where named."""
     opts = options(given)
@@ -76,9 +92,9 @@ def md_events(c: Column | str, given: Options | str | dict | None = None, inline
 
     def of(s: str) -> list[dict]:
         found = events.block_events(s, opts, inline)
-        return _full(found if keep is None else [e for e in found if e["kind"] in keep])
+        return found if keep is None else [e for e in found if e["kind"] in keep]
 
-    return _each(of, EVENTS)(c)
+    return _rows(of, events.FIELDS)(c)
 
 
 def md_event_counts(c: Column | str, given: Options | str | dict | None = None, inline: bool = True) -> Column:
@@ -89,7 +105,7 @@ def md_event_counts(c: Column | str, given: Options | str | dict | None = None,
 
 def md_inline_events(c: Column | str, given: Options | str | dict | None = None) -> Column:
     opts = options(given) if given is not None else options(None, autolink_literals=True)
-    return _each(lambda s: _full([e | {"seq": k} for k, e in enumerate(events.inline_events(s, opts))]), EVENTS)(c)
+    return _rows(lambda s: [e | {"seq": k} for k, e in enumerate(events.inline_events(s, opts))], events.FIELDS)(c)
 
 
 def md_link_references(c: Column | str, given: Options | str | dict | None = None) -> Column:
@@ -139,7 +155,7 @@ def mdx_link_references(c: Column | str) -> Column:
 
 
 def mdx_events(c: Column | str) -> Column:
-    return _each(lambda s: _full(events.mdx_events(s)), EVENTS)(c)
+    return _rows(events.mdx_events, events.FIELDS)(c)
 
 
 def decode_entities(c: Column | str) -> Column:

@@ -227,11 +227,18 @@ class _Blocks:
         self.add("TableEnd")
 
 
-def _numbered(s: str, found: list[dict], layer: str | None = None) -> list[dict]:
+def _numbered(s: str, found: list[dict]) -> list[dict]:
     """Adds seq and turns places into byte offsets."""
-    at = sorted({e[k] for e in found for k in _PLACES if e.get(k) is not None})
-    to = dict(zip(at, byte_offsets(s, at)))
-    return [e | {"seq": k} | {f: to[e[f]] for f in _PLACES if e.get(f) is not None} for k, e in enumerate(found)]
+    for k, e in enumerate(found):
+        e["seq"] = k
+    if not s.isascii():
+        at = sorted({e[k] for e in found for k in _PLACES if e.get(k) is not None})
+        to = dict(zip(at, byte_offsets(s, at)))
+        for e in found:
+            for f in _PLACES:
+                if e.get(f) is not None:
+                    e[f] = to[e[f]]
+    return found
 
 
 def block_events(s: str | None, opts: Options = DEFAULT, inline: bool = False) -> list[dict]:

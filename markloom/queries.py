@@ -291,7 +291,8 @@ def _orders_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each order: a heading, a table of its lines, a list of them in a quote, and a note."""
     li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))), lambda x: x)
-    d = li.groupBy("l_orderkey").agg(rows.alias("r"))
+    # the number is given, so that small documents are not gathered in a few tasks before they are compiled
+    d = li.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").groupBy("l_orderkey").agg(rows.alias("r"))
     row = lambda x: F.concat(F.lit("| *"), x["l_partkey"], F.lit("* | `"), x["l_returnflag"], F.lit("` |\n"))
     item = lambda x: F.concat(F.lit("> - ["), x["l_partkey"], F.lit("](/p/"), x["l_partkey"], F.lit(")[^n]\n"))
     parts = [F.lit("# Order "), F.col("l_orderkey"), F.lit("\n\n| part | flag |\n|---|:-:|\n"), F.array_join(F.transform("r", row), ""), F.lit("\n"), F.array_join(F.transform("r", item), ""), F.lit("\n[^n]: see **"), F.size("r"), F.lit("**\n")]
@@ -306,15 +307,16 @@ def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of these documents by layer and kind, with subtotals."""
-    found = relations.events(_orders_source(spark, sf_dir), {"footnotes": True})
-    return found.where(F.col("kind").isin("TableRowStart", "TableCellStart", "ListItemStart", "BlockQuoteStart", "HeadingStart", "LinkStart", "Code", "EmphasisStart", "FootnoteRef")).rollup("layer", "kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    kinds = ("TableRowStart", "TableCellStart", "ListItemStart", "BlockQuoteStart", "HeadingStart", "LinkStart", "Code", "EmphasisStart", "FootnoteRef")
+    return relations.events(_orders_source(spark, sf_dir), {"footnotes": True}, kinds=kinds).rollup("layer", "kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def links_in_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range join: links whose places lie between a quote's start and end; a quote's are the events around them."""
-    found = relations.events(_orders_source(spark, sf_dir), {"footnotes": True}).select("doc_id", "seq", "kind", "url")
-    quotes = found.where("kind = 'BlockQuoteStart'").select("doc_id", F.col("seq").alias("first")).join(found.where("kind = 'BlockQuoteEnd'").select("doc_id", F.col("seq").alias("last")), "doc_id")
-    inside = found.where("kind = 'LinkStart'").join(quotes, "doc_id").where("seq > first and seq < last")
+    of = lambda *kinds: relations.events(_orders_source(spark, sf_dir), {"footnotes": True}, kinds=kinds).select("doc_id", "seq", "kind", "url")
+    ends = of("BlockQuoteStart", "BlockQuoteEnd").groupBy("doc_id")  # these documents have one quote each
+    quotes = ends.agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    inside = of("LinkStart").join(quotes, "doc_id").where("seq > first and seq < last")
     return inside.groupBy("doc_id").agg(F.count("*").alias("n_links"), F.min("url").alias("least_url"))
 
 
