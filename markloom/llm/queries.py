@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, hpylm, jaccard, langid, mixing, pieces, quality, spans, store, suffixes
+from . import audit, fingerprints, hpylm, jaccard, langid, mixing, pieces, positives, prefixes, quality, spans, store, suffixes
 
 DOCUMENTS = "documents"
 
@@ -74,9 +74,24 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_documents(spark, sf_dir))
 
 
+def op11_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from trusted positives and unlabelled documents."""
+    return positives.classify(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, by source."""
+    return audit.audit(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of rebuilt conversations."""
+    return prefixes.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_store, op3_spans, op4_hpylm, op5_langid, op6_mixing, op7_fingerprints, op8_pieces, op9_suffixes, op10_jaccard)}
+    return {f.__name__: f for f in (op1_quality, op2_store, op3_spans, op4_hpylm, op5_langid, op6_mixing, op7_fingerprints, op8_pieces, op9_suffixes, op10_jaccard, op11_positives, op12_audit, op13_prefixes)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality": quality.sql(), "op3_spans": spans.sql(), "op6_mixing": mixing.sql()}
+    return {"op1_quality": quality.sql(), "op3_spans": spans.sql(), "op6_mixing": mixing.sql(), "op12_audit": audit.sql(), "op13_prefixes": prefixes.sql()}
