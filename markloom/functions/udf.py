@@ -97,6 +97,34 @@ def md_events(c: Column | str, given: Options | str | dict | None = None, inline
     return _rows(of, events.FIELDS)(c)
 
 
+LANDMARKS = {"seq": "int", "kind": "string", "level": "int", "text": "string", "url": "string", "info": "string"}
+
+
+def md_landmarks(c: Column | str, given: Options | str | dict | None = None) -> Column:
+    """Headings with their plain text, and links, images and code blocks, in a document's order."""
+    opts = options(given)
+    kinds = {"LinkStart", "LinkStartRef", "ImageStart", "ImageStartRef", "Autolink", "AutolinkLiteral", "CodeBlockStart"}
+
+    def of(s: str) -> list[dict]:
+        out, heading, raw = [], None, s.replace("\0", "\ufffd").encode()
+        for e in events.block_events(s, opts, True):
+            kind = e["kind"]
+            if kind == "HeadingStart":
+                heading = e | {"text": ""}
+                out.append(heading)
+            elif kind == "HeadingEnd":
+                heading = None
+            elif kind in kinds:
+                out.append(e | {"text": None})
+            if heading is not None and kind == "Text":
+                heading["text"] += text.decode_entities(raw[e["start"] : e["end"]].decode())
+            elif heading is not None and kind in ("Code", "EscapedChar"):
+                heading["text"] += e["text"]
+        return out
+
+    return _rows(of, LANDMARKS)(c)
+
+
 def md_event_counts(c: Column | str, given: Options | str | dict | None = None, inline: bool = True) -> Column:
     """How many events of each kind a document has; counted where they are made."""
     opts = options(given)

@@ -13,6 +13,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import queries_structure
 from .functions import native, udf
 from .kernel.text import DISALLOWED_TAGS, SAFE_SCHEMES
 from .plans import relations
@@ -367,14 +368,14 @@ _CODES = {"UnclosedJsxTag": "expected a matching closing JSX tag"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f"md_{name}": partial(_template, name) for name in TEMPLATES} | _FRONT
+    return {f"md_{name}": partial(_template, name) for name in TEMPLATES} | _FRONT | queries_structure.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     slug = _SLUG.format(c="coalesce(text, '')")
     brand = _SLUG.format(c="p_brand")
     disallowed = "|".join(DISALLOWED_TAGS)
-    return {f"md_{name}": _template_sql(name) for name in TEMPLATES} | {
+    return {f"md_{name}": _template_sql(name) for name in TEMPLATES} | queries_structure.oracle_sql() | {
         "native_escape": f"""select page_id, md5({_ESCAPED}) as text_md5, md5(replace({_ESCAPED}, '''', '&#39;')) as attr_md5, regexp_matches(html, '[<>&"]') as needs from pages""",
         "native_slug": f"select doc_id, md5(case when {slug} = '' then 'heading' else {slug} end) as slug_md5 from documents",
         "native_heading_ids": f"with s as (select p_type, p_partkey, {brand} as slug from part), n as (select *, row_number() over (partition by p_type, slug order by p_partkey) - 1 as n from s) select p_type, p_partkey, slug, case when n = 0 then slug else slug || '-' || n end as id from n",

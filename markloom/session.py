@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -34,3 +37,27 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
     for key, value in (base | conf).items():
         b = b.config(key, value)
     return ship(b.getOrCreate())
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, in local mode one under the warehouse if that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[SparkSession]:
+    """Settings of the session (dots as two underscores) while the block runs."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield spark
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

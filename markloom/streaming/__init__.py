@@ -1,4 +1,4 @@
-"""Documents as a stream: stateless, a document a row."""
+"""Documents as a stream: stateless, a document a row (state is kept in `sessions`)."""
 
 from __future__ import annotations
 
