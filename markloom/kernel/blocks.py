@@ -40,7 +40,7 @@ _HTML = [
 ]
 
 
-@dataclass
+@dataclass(eq=False)
 class Block:
     kind: str
     start: int = 0
@@ -73,6 +73,13 @@ class Block:
         self.children.append(child)
         return child
 
+    def drop(self, child: Block) -> None:
+        """Takes out a child, most often the last one."""
+        if self.children[-1] is child:
+            self.children.pop()
+        else:
+            self.children.remove(child)
+
 
 CONTAINERS = ("document", "quote", "item", "list", "description", "definitions", "note")
 
@@ -194,6 +201,8 @@ class Parser:
         self.labels: dict[str, str] = {}
         self.comments: list[tuple[int, int]] = []
         self.unended = -1
+        #: A fence or HTML block of the document itself that ends with the text for want of its end.
+        self.left_open: Block | None = None
 
     def raw(self, b: Block) -> str:
         """Lines of code or HTML, each with its line feed; a line that ends with the document has none."""
@@ -209,6 +218,8 @@ class Parser:
                 break
             self.line(part, at)
             at += len(part) + 1
+        if self.tip.parent is self.root and (self.tip.fence or self.tip.kind == "html" and _HTML[self.tip.html][1] is not None):
+            self.left_open = self.tip
         while self.tip is not self.root:
             self.finish(self.tip)
         self.root.end = len(s)
@@ -262,7 +273,7 @@ class Parser:
                 return
         matched = b
         if leaf and leaf.parent is b and leaf.kind in ("code", "html") and self.inside(leaf, line):
-            self.mark(leaf if leaf in b.children else b, line.blank() and not leaf.fence)
+            self.mark(leaf, line.blank() and not leaf.fence)
             return
         if not self.starts(matched, line, leaf):
             self.mark(self.tip, False)
@@ -474,7 +485,7 @@ class Parser:
         if para.lines:
             self.finish(para)
         else:
-            b.children.remove(para)
+            b.drop(para)
             self.tip = b
         t = self.open_block(b, Block("table", row[1]))
         t.aligns = ["center" if c[0] == c[-1] == ":" and len(c) > 1 else "left" if c[0] == ":" else "right" if c[-1] == ":" else "" for c, _ in cells]
@@ -539,7 +550,7 @@ class Parser:
         if terms is not None:
             if terms is self.tip:
                 self.finish(terms)
-            holder.children.remove(terms)
+            holder.drop(terms)
             before = holder.children[-1] if holder.children else None
             list_ = before if before is not None and before.kind == "definitions" else holder.add(Block("definitions", terms.start))
             for text, place in terms.lines:
@@ -576,8 +587,8 @@ class Parser:
             if b.lines:
                 last, place = b.lines[-1]
                 b.lines[-1] = (last.rstrip(" \t\r"), place)
-            elif b in parent.children:
-                parent.children.remove(b)
+            elif b in parent.children[-1:]:
+                parent.children.pop()
         elif b.kind == "code" and not b.fence:
             while b.lines and not b.lines[-1][0].strip(" \t"):
                 b.lines.pop()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators.intervals import contained
 from .operators.scan import asof_join, place
-from .plans import structure
+from .plans import parts, structure
 from .session import scratch
 from .streaming import sessions
 
@@ -134,9 +134,37 @@ from events p asof left join c on p.user_id = c.user_id and p.ts >= c.ts where p
 select event_id, user_id, case when near then click_id end as click_id, case when near then click_value end as click_value from j"""
 
 
+# one document in many tasks
+
+
+def _long_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each status: for each of its orders a heading, a link and a note by reference and code with blank lines; definitions stand at the end."""
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("s"), F.col("o_orderkey").alias("k"))
+    block = F.concat(F.lit("## S "), "s", F.lit("\n\nOrder "), F.col("k").cast("string"), F.lit(" [see][C] and[^n"), (F.col("k") % 7).cast("string"), F.lit("].\n\n```\na\n\nb\n```\n\n"))
+    notes = "".join(f"[^n{k}]: note {k}\n\n" for k in range(7))
+    d = o.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("k", block.alias("b")))).alias("x"))
+    return d.select(F.col("s").alias("doc_id"), F.concat(F.array_join(F.transform("x", lambda x: x["b"]), ""), F.lit("[c]: /first\n\n[C]: /later\n\n" + notes)).alias("text"))
+
+
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three long documents, each compiled in parts by many tasks; their HTML, put together, as digests."""
+    done = parts.compiled(_long_source(spark, sf_dir), {"footnotes": True}, size=20_000)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "html"))), lambda x: x["html"]), "")
+    return done.groupBy("doc_id").agg(whole.alias("html")).select("doc_id", F.length("html").cast("long").alias("n_chars"), F.md5("html").alias("html_md5"))
+
+
+_SPLIT_SQL = """with o as (select o_orderstatus as s, o_orderkey as k, o_orderkey % 7 as n, row_number() over (partition by o_orderstatus order by o_orderkey) - 1 as i from orders),
+f as (select s, n, row_number() over (partition by s order by min(i)) as num from o group by s, n),
+b as (select s, string_agg('<h2 id="s-' || lower(s) || case when i = 0 then '' else '-' || i end || '">S ' || s || '</h2>' || chr(10) || '<p>Order ' || k || ' <a href="/first">see</a> and<sup><a href="#user-content-fn-n' || n || '" id="user-content-fnref-n' || n || '" data-footnote-ref>' || num || '</a></sup>.</p>'
+|| chr(10) || '<pre><code>a' || chr(10) || chr(10) || 'b' || chr(10) || '</code></pre>' || chr(10), '' order by i) as body from o join f using (s, n) group by s),
+e as (select s, string_agg('<li id="user-content-fn-n' || n || '">' || chr(10) || '<p>note ' || n || ' <a href="#user-content-fnref-n' || n || '" class="data-footnote-backref" aria-label="Back to reference ' || num || '">↩</a></p>' || chr(10) || '</li>' || chr(10), '' order by num) as notes from f group by s),
+h as (select s, body || '<section data-footnotes class="footnotes">' || chr(10) || '<ol>' || chr(10) || notes || '</ol>' || chr(10) || '</section>' || chr(10) as html from b join e using (s))
+select s as doc_id, length(html) as n_chars, md5(html) as html_md5 from h"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (streamed_definitions, nested_links, events_after_signup, section_paths, clicks_before)}
+    return {f.__name__: f for f in (streamed_definitions, nested_links, events_after_signup, section_paths, clicks_before, split_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"streamed_definitions": _STREAM_SQL, "nested_links": _NESTED_SQL, "events_after_signup": _SIGNUP_SQL, "section_paths": _SECTIONS_SQL, "clicks_before": _CLICKS_SQL}
+    return {"streamed_definitions": _STREAM_SQL, "nested_links": _NESTED_SQL, "events_after_signup": _SIGNUP_SQL, "section_paths": _SECTIONS_SQL, "clicks_before": _CLICKS_SQL, "split_documents": _SPLIT_SQL}
