@@ -29,7 +29,9 @@ _TICKS = re.compile(r"`+")
 _DOLLARS = re.compile(r"\$+")
 _NOTE = re.compile(r"\[\^([A-Za-z0-9_-]+)\]")
 _LABEL = re.compile(r"\[((?:[^\\\[\]]|\\.){0,999})\]", re.S)
-_LITERAL = re.compile(r"(?:https?|ftp)://(?=[A-Za-z0-9])[^\s<\x00-\x1f]*|www\.(?=[A-Za-z0-9])[^\s<\x00-\x1f]*|[A-Za-z0-9.+_-]+@[A-Za-z0-9.-]+", re.I)
+_LITERAL = re.compile(r"(?:https?|ftp)://(?=[A-Za-z0-9])[^\s<\x00-\x1f]*|www\.(?=[A-Za-z0-9])[^\s<\x00-\x1f]*", re.I)
+_AT = re.compile(r"(?<=[A-Za-z0-9.+_-])@[A-Za-z0-9.-]+")
+_NAME = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.+_-")
 _BEFORE_LITERAL = set(" \t\n\r\f*_~(\"';")
 _PLAIN = re.compile(r"[^\\`*_~^=$\[\]!<\n]+")
 
@@ -74,11 +76,27 @@ def trim_literal(url: str) -> str:
 
 
 def literals(s: str) -> dict[int, tuple[int, str]]:
-    """Bare URLs, www names and e-mail addresses: start to (end, kind)."""
-    out, at = {}, 0
-    while m := _LITERAL.search(s, at):
-        a, url = m.start(), m[0]
-        at = m.end()
+    """Bare URLs, www names and e-mail addresses: start to (end, kind).
+
+    An address is found by its @ and from there backwards, so that long words without one cost nothing.
+    """
+    out, at, none = {}, 0, len(s) + 1
+    link, name, sign, stop = (-1, -1), -1, -1, -1
+    while True:
+        if link[0] < at:
+            m = _LITERAL.search(s, at)
+            link = m.span() if m else (none, none)
+        if sign <= at:
+            m = _AT.search(s, at + 1)
+            sign, stop = m.span() if m else (none, none)
+            name = sign
+            while name > at and m and s[name - 1] in _NAME:
+                name -= 1
+        start = max(name, at)
+        a, at = link if link[0] <= start else (start, stop)
+        if a >= none:
+            return out
+        url = whole = s[a:at]
         kind = "email"
         if re.match(r"(?:https?|ftp)://", url, re.I):
             kind = "url"
@@ -99,11 +117,10 @@ def literals(s: str) -> dict[int, tuple[int, str]]:
         else:
             url = url.rstrip(".-")
             name, _, domain = url.partition("@")
-            if "." not in domain or domain.startswith(".") or m[0][len(url) :][:1] in ("-", "_"):
+            if "." not in domain or domain.startswith(".") or whole[len(url) :][:1] in ("-", "_"):
                 continue
         out[a] = (a + len(url), kind)
         at = a + len(url)
-    return out
 
 
 def destination(s: str, at: int) -> tuple[str, int] | None:
@@ -155,6 +172,7 @@ class Inline:
         self.marks = "*_" + ("~" if opts.strikethrough or opts.subscript else "") + ("^" if opts.superscript else "") + ("=" if opts.highlight else "")
         self.n_marks = 0
         self.missing: set[str] = set()
+        self.closes: dict[int, int] = {}
 
     def text(self, a: int, b: int) -> None:
         if a < b:
@@ -305,22 +323,30 @@ class Inline:
         return m.end()
 
     def balanced(self, i: int) -> int:
-        """Where the bracket at i closes, or 0."""
-        s, depth = self.s, 0
+        """Where the bracket at i closes, or 0; what one look finds for the brackets after it is kept."""
+        s, known, opened = self.s, self.closes, []
         while i < len(s):
             c = s[i]
-            if c == "\\":
-                i += 2
-                continue
-            if c == "`":
+            if c == "[" and i in known:
+                if not opened:
+                    return known[i]
+                if not known[i]:
+                    break
+                i = known[i]
+            elif c == "\\":
+                i += 1
+            elif c == "`":
                 m = _TICKS.match(s, i)
                 other = next((x for x in _TICKS.finditer(s, m.end()) if x.end() - x.start() == m.end() - i), None)
-                i = other.end() if other else m.end()
-                continue
-            depth += (c == "[") - (c == "]")
-            if not depth:
-                return i
+                i = (other or m).end() - 1
+            elif c == "[":
+                opened.append(i)
+            elif c == "]":
+                known[opened.pop()] = i
+                if not opened:
+                    return i
             i += 1
+        known.update(dict.fromkeys(opened, 0))
         return 0
 
     def close(self, i: int) -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from .options import MDX, Options
 from .render import compile_document
@@ -48,29 +49,42 @@ def quoted(s: str, i: int, escapes: bool = True) -> int | None:
     return None
 
 
+@lru_cache(maxsize=2)
+def _ends(s: str) -> dict[int, int | None]:
+    """Where the braces of a text close, as far as they have been looked for; None for those that do not."""
+    return {}
+
+
 def expression_end(s: str, i: int) -> int | None:
-    """Where the braces that open at i close; strings, templates and comments are passed over."""
-    depth = 0
-    while i < len(s):
+    """Where the braces that open at i close; strings, templates and comments are passed over.
+
+    What one look finds for the braces after it is kept, so that openings without an end are passed over once.
+    """
+    known, opened = _ends(s), []
+    while i is not None and i < len(s):
         c = s[i]
         if c in "\"'":
-            end = quoted(s, i)
+            i = quoted(s, i)
         elif c == "`":
-            end = template_end(s, i)
+            i = template_end(s, i)
         elif s.startswith("//", i):
-            end = s.find("\n", i)
-            end = None if end < 0 else end + 1
+            i = s.find("\n", i) + 1 or None
         elif s.startswith("/*", i):
             end = s.find("*/", i + 2)
-            end = None if end < 0 else end + 2
+            i = None if end < 0 else end + 2
+        elif c == "{" and i in known:
+            i = known[i]
+            if not opened:
+                return i
         else:
-            depth += (c == "{") - (c == "}")
-            if not depth:
-                return i + 1
-            end = i + 1
-        if end is None:
-            return None
-        i = end
+            if c == "{":
+                opened.append(i)
+            elif c == "}" and opened:
+                known[opened.pop()] = i + 1
+            i += 1
+            if not opened:
+                return i
+    known.update(dict.fromkeys(opened))
     return None
 
 

@@ -374,3 +374,22 @@ def test_openings_without_an_end_take_linear_time(part):
         to_html("a " + part * (n // len(part)), DEFAULT.with_(render_policy="trusted"))
         took.append(time.process_time() - start)
     assert took[1] < 12 * took[0] + 0.3
+
+
+@pytest.mark.parametrize(
+    ("run", "part"),
+    [
+        (lambda t: to_html(t, DEFAULT.with_(footnotes=True, inline_footnotes=True)), "a^["), (lambda t: to_html(t, DEFAULT.with_(footnotes=True, inline_footnotes=True)), "^[`a"),
+        (mdx.segments, "{a\n\n"), (mdx.segments, "a {b}\n{c\n"), (mdx.render_mdx, "{a\n\n"), (lambda t: to_html(t + "@", DEFAULT.with_(autolink_literals=True)), "abc."), (lambda t: to_html(t + "@", DEFAULT.with_(autolink_literals=True)), "a"),
+        (lambda t: to_html("<script>\n\n" + t, DEFAULT), "A\n\n"), (lambda t: to_html(t, DEFAULT), "# A\n\n```\n\nB\n```\n"),
+    ],
+)
+def test_more_openings_take_linear_time(run, part):
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        start = time.process_time()
+        run(part * (n // len(part)))
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 0.3
