@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import udf
 from .operators.intervals import contained
 from .operators.scan import asof_join, place
 from .plans import parts, structure
 from .session import scratch
+from .sources.tree import DocumentTree
 from .streaming import sessions
 
 GAP_HOURS, DAYS, BATCHES = 6, 5, 7
@@ -162,9 +164,29 @@ h as (select s, body || '<section data-footnotes class="footnotes">' || chr(10)
 select s as doc_id, length(html) as n_chars, md5(html) as html_md5 from h"""
 
 
+# sources
+
+
+def tree_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a tree of Markdown files, read by the data source with a filter on names, compiled, and written and read as a tree of HTML."""
+    spark.dataSource.register(DocumentTree)
+    folder = scratch(spark, "tree")
+    p = _read(spark, sf_dir, "part").where("p_partkey is not null")
+    name = F.concat(F.lower("p_type"), F.lit("/part-"), F.col("p_partkey").cast("string"))
+    p.select(name.alias("doc_id"), F.concat(F.lit("# "), "p_name", F.lit("\n\n*"), F.col("p_size").cast("string"), F.lit("*\n")).alias("text")).write.format("markloom").mode("append").save(f"{folder}/in")
+    docs = spark.read.format("markloom").option("suffixes", ".html").load(f"{folder}/in").where("size > 20")
+    docs.select("doc_id", udf.md_to_html("text").alias("html")).write.format("markloom").option("suffixes", ".html").mode("overwrite").save(f"{folder}/out")
+    found = spark.read.format("markloom").option("suffixes", ".html").load(f"{folder}/out")
+    return found.select(F.regexp_extract("doc_id", r"-(\d+)\.html$", 1).cast("long").alias("p_partkey"), F.split_part("doc_id", F.lit("/"), F.lit(1)).alias("folder"), F.col("text").alias("html"))
+
+
+_TREE_SQL = """select p_partkey, lower(p_type) as folder, '<h1 id="' || replace(p_name, ' ', '-') || '">' || p_name || '</h1>' || chr(10) || '<p><em>' || p_size || '</em></p>' || chr(10) as html from part
+where strlen('# ' || p_name || chr(10) || chr(10) || '*' || p_size || '*' || chr(10)) > 20"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (streamed_definitions, nested_links, events_after_signup, section_paths, clicks_before, split_documents)}
+    return {f.__name__: f for f in (streamed_definitions, nested_links, events_after_signup, section_paths, clicks_before, split_documents, tree_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"streamed_definitions": _STREAM_SQL, "nested_links": _NESTED_SQL, "events_after_signup": _SIGNUP_SQL, "section_paths": _SECTIONS_SQL, "clicks_before": _CLICKS_SQL, "split_documents": _SPLIT_SQL}
+    return {"streamed_definitions": _STREAM_SQL, "nested_links": _NESTED_SQL, "events_after_signup": _SIGNUP_SQL, "section_paths": _SECTIONS_SQL, "clicks_before": _CLICKS_SQL, "split_documents": _SPLIT_SQL, "tree_round_trip": _TREE_SQL}
