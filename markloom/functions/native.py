@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,3 +146,69 @@ def source_column(text: Column | str, at: Column) -> Column:
     """1-based column, in code points, of a byte offset."""
     before = F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), at.cast("int")), "UTF-8")
     return F.length(F.substring_index(before, "\n", -1)) + 1
+
+
+_ENTITY = r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{0,47});"
+#: Placeholder of a byte order mark, which Java's decoder would take as a mark.
+_MARK = 0xFEFF
+
+
+def _pieces(c: Column, pattern: str, each) -> Column:
+    """c cut into what the pattern matches, one after another, and put together from what each makes of them."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), each), "")
+
+
+def _named() -> Column:
+    """Entities' characters by their first two letters and then by name: a map is searched from its start."""
+    by: dict[str, dict[str, str]] = defaultdict(dict)
+    for name, value in html5.items():
+        if name.endswith(";"):
+            by[name[:2]][name] = value
+    return F.from_json(F.lit(json.dumps(by)), "map<string,map<string,string>>")
+
+
+def decode_entities(c: Column | str) -> Column:
+    """Named and numeric entities as characters; what is none stays as it is."""
+    c = F.col(c) if isinstance(c, str) else c
+
+    def one(x: Column) -> Column:
+        digits = F.regexp_extract(x, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+        code = F.when(x.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        number = F.when(bad, F.lit("\ufffd")).when(code == _MARK, F.lit("\ufeff")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        name = F.substring(x, 2, 49)
+        known = F.element_at(F.element_at(_named(), F.substring(name, 1, 2)), name)
+        return F.when(~x.startswith("&") | (F.length(x) < 3), x).when(x.startswith("&#"), number).otherwise(F.coalesce(known, x))
+
+    return F.when(F.contains(c, F.lit("&")), _pieces(c, rf"(?s){_ENTITY}|[^&]+|&", one)).otherwise(c)
+
+
+def _percent(x: Column) -> Column:
+    return F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "%$1")
+
+
+def encode_destination(c: Column | str) -> Column:
+    """A link's destination as an attribute value."""
+    special = r"\x00-\x08\x0b\x0c\x0e-\x20\"\\&<>'\x7f"
+
+    def one(x: Column) -> Column:
+        escaped = F.substring(x, 2, 1)
+        both = F.when(F.length(x) > 1, F.when(escaped == '"', "%22").when(escaped == "\\", "%5C").otherwise(escape_attr(escaped)))
+        return F.when(x.rlike(r"^\\[!-/:-@\[-`{-~]$"), both).when(x.rlike("^[&<>']$"), escape_attr(x)).when(x.rlike(rf"^[{special}\x{{80}}-\x{{10FFFF}}]"), _percent(x)).otherwise(x)
+
+    return _pieces(decode_entities(c), rf"\\[!-/:-@\[-`{{-~]|[{special}]|[\x{{80}}-\x{{10FFFF}}]+|[^{special}\x{{80}}-\x{{10FFFF}}]+", one)
+
+
+def encode_autolink(c: Column | str) -> Column:
+    """An autolink's destination as an attribute value."""
+    c = F.col(c) if isinstance(c, str) else c
+    special = r"\x00-\x08\x0b\x0c\x0e-\x20\\&<>'\"\[\]`"
+    one = lambda x: F.when(x.rlike("^[&<>'\"]$"), escape_attr(x)).when(x.rlike(rf"^[{special}\x{{80}}-\x{{10FFFF}}]"), _percent(x)).otherwise(x)
+    return _pieces(c, rf"[{special}]|[\x{{80}}-\x{{10FFFF}}]+|[^{special}\x{{80}}-\x{{10FFFF}}]+", one)
+
+
+def label_key(c: Column | str) -> Column:
+    """The key of a link reference's label: entities and escaped brackets resolved, white space collapsed, case folded."""
+    s = F.regexp_replace(decode_entities(c), r"\\([\[\]\\])", "$1")
+    s = F.trim(F.regexp_replace(s, r"[ \t\r\n\f\x0b]+", " "))
+    return F.lower(F.replace(F.replace(s, F.lit("\u1e9e"), F.lit("ss")), F.lit("\u00df"), F.lit("ss")))

@@ -156,11 +156,28 @@ def mdx_segments(c: Column | str) -> Column:
 
 
 def mdx_diagnostics(c: Column | str) -> Column:
+    """What strict MDX reading objects to, places in bytes, line and column."""
+
     def of(s: str) -> list[dict]:
-        to = lambda k: None if k is None else len(s[:k].encode())
-        return [{"code": d.code, "message": d.message, "start": to(d.start), "end": to(d.end), "rel_start": to(d.rel_start), "rel_end": to(d.rel_end)} for d in mdx.diagnostics(s)]
+        found = mdx.diagnostics(s)
+        names = ("start", "end", "rel_start", "rel_end")
+        at = sorted({k for d in found for n in names if (k := getattr(d, n)) is not None})
+        to = dict(zip(at, mdx.byte_offsets(s, at)))
+        spots = text.places(s, [to[d.start] for d in found])
+        return [{"code": d.code, "message": d.message} | {n: to.get(getattr(d, n)) for n in names} | {"line": line, "column": column} for d, (line, column) in zip(found, spots)]
+
+    return _each(of, "array<struct<code:string,message:string,start:long,end:long,rel_start:long,rel_end:long,line:int,column:int>>")(c)
+
+
+def md_places(c: Column | str, at: Column | str) -> Column:
+    """Line and column (from 1, in code points) of each of an array of byte offsets; the text is read once for all of them."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spots in batches:
+            found = [None if s is None or a is None else [{"at": k, "line": n, "column": m} for k, (n, m) in zip(a, text.places(s, a))] for s, a in zip((x.as_py() for x in texts), spots.to_pylist())]
+            yield pa.array(found, pa.list_(pa.struct([("at", pa.int64()), ("line", pa.int32()), ("column", pa.int32())])))
 
-    return _each(of, "array<struct<code:string,message:string,start:long,end:long,rel_start:long,rel_end:long>>")(c)
+    return F.arrow_udf(run, "array<struct<at:long,line:int,column:int>>")(c, at)
 
 
 def mdx_render(c: Column | str, given: Options | str | dict | None = None) -> Column:

@@ -91,8 +91,17 @@ def segments(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 def diagnostics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """What strict MDX reading objects to, with line and column."""
-    found = _exploded(docs.withColumn("_t", F.col(text)), udf.mdx_diagnostics(F.col(text)), key, ("_t",))
-    return found.withColumn("line", native.source_line("_t", F.col("start"))).withColumn("column", native.source_column("_t", F.col("start"))).drop("_t")
+    return _exploded(docs, udf.mdx_diagnostics(F.col(text)), key)
+
+
+def located(docs: DataFrame, places: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, at, line, column of the byte offsets in places (key, at), each once; docs must have each key once.
+
+    A document's offsets come to its text in one array, and only numbers leave it.
+    """
+    asked = places.where("at is not null").groupBy(key).agg(F.array_sort(F.collect_set(F.col("at").cast("long"))).alias("_at"))
+    found = docs.select(key, F.col(text).alias("_t")).join(asked, key).select(key, F.explode(udf.md_places("_t", "_at")).alias("_e"))
+    return found.select(key, "_e.*")
 
 
 def valid_mdx(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

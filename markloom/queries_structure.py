@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import udf
+from .functions import native, udf
+from .operators import sketches
 from .operators.intervals import contained
 from .operators.scan import asof_join, place
-from .plans import parts, structure
+from .plans import parts, references, relations, structure
 from .session import scratch
 from .sources.tree import DocumentTree
 from .streaming import sessions
@@ -184,9 +185,69 @@ _TREE_SQL = """select p_partkey, lower(p_type) as folder, '<h1 id="' || replace(
 where strlen('# ' || p_name || chr(10) || chr(10) || '*' || p_size || '*' || chr(10)) > 20"""
 
 
+# labels, codecs, places, cubes
+
+
+def label_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that parts define and order lines use, by flag, written in several ways: used, unused and undefined ones."""
+    k = F.col("l_partkey") % 90
+    uses = _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("site"), F.concat(F.lit(" Stra\u00dfe &amp;  P"), k.cast("string"), F.lit("\\]\t")).alias("label"))
+    part = _read(spark, sf_dir, "part").where("p_partkey % 3 > 0")
+    flags = F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("site")
+    definitions = part.select(flags, F.col("p_partkey").alias("pos"), F.concat(F.lit("STRASSE & p"), (F.col("p_partkey") % 120).cast("string"), F.lit("&rsqb;")).alias("label"), F.concat(F.lit("/p/"), F.col("p_partkey").cast("string")).alias("url"))
+    return references.label_report(uses, definitions, ["site"], "pos", ["url"])
+
+
+_LABELS_SQL = """with u as (select l_returnflag as site, 'strasse & p' || l_partkey % 90 || ']' as key, count(*) as n_uses from lineitem group by all),
+d as (select s.site, 'strasse & p' || p_partkey % 120 || ']' as key, min(p_partkey) as pos, count(*) as n_definitions from part, (values ('A'), ('N'), ('R')) s(site) where p_partkey % 3 > 0 group by all)
+select site, key, case when n_uses is null then 'unused' when n_definitions is null then 'undefined' else 'used' end as status, coalesce(n_uses, 0) as n_uses, coalesce(n_definitions, 0) as n_definitions, '/p/' || pos as url from u full join d using (site, key)"""
+
+
+def native_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities and destinations of strings made from columns, without Python."""
+    p = _read(spark, sf_dir, "part")
+    raw = F.concat(F.lit("&amp;&lt;&nope;&#65;&#x1F600;&#0;&fjlig;& "), "p_name", F.lit("&eacute;"))
+    url = F.concat(F.lit("/a b\\*?q=&quot;&auml;'"), "p_size", F.lit("\\x[\u20ac]"))
+    return p.select("p_partkey", native.decode_entities(raw).alias("plain"), native.encode_destination(url).alias("href"), native.encode_autolink(F.concat(F.lit("x:[<\u00e9"), "p_size", F.lit("`\""))).alias("auto"))
+
+
+_CODECS_SQL = """select p_partkey, '&<&nope;A' || chr(128512) || chr(65533) || 'fj& ' || p_name || 'é' as plain, '/a%20b*?q=%22%C3%A4&#39;' || p_size || '%5Cx[%E2%82%AC]' as href, 'x:%5B&lt;%C3%A9' || p_size || '%60&quot;' as auto from part"""
+
+
+def link_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line and column of every link in a document for each order, with letters of two bytes before them."""
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.repeat(F.lit("\u00e9"), F.col("l_linenumber").cast("int")), F.lit(" [a](/b)\n\n")).alias("t"))
+    d = li.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "t"))).alias("r"))
+    docs = d.select(F.col("l_orderkey").alias("doc_id"), F.array_join(F.transform("r", lambda x: x["t"]), "").alias("text"))
+    found = relations.events(docs, kinds=("LinkStart",)).select("doc_id", F.col("start").alias("at"))
+    return relations.located(docs, found).select("doc_id", "at", "line", "column")
+
+
+_PLACES_SQL = """with l as (select l_orderkey as doc_id, l_linenumber as k, row_number() over (partition by l_orderkey order by l_linenumber) as i from lineitem),
+s as (select *, coalesce(sum(2 * k + 10) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as before from l)
+select doc_id, (before + 2 * k + 1)::bigint as at, (2 * i - 1)::int as line, (k + 2)::int as "column" from s"""
+
+
+def sketch_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and users of each type and week, of each, and of all: sketches of two halves of the table, united and
+    merged over the levels, beside exact counts; close: the estimate is within four standard errors."""
+    e = _read(spark, sf_dir, "events").select("event_type", F.weekofyear("ts").alias("week"), "user_id", "event_id")
+    by = ["event_type", "week"]
+    cells = sketches.daily(e.where("event_id % 2 = 0"), by, "user_id").unionByName(sketches.daily(e.where("event_id % 2 = 1"), by, "user_id"))
+    found = sketches.cubed(cells, by)
+    exact = e.cube(*by).agg(F.countDistinct("user_id").alias("n_users"), F.grouping_id().alias("level"))
+    same = (found["level"] == exact["level"]) & found["event_type"].eqNullSafe(exact["event_type"]) & found["week"].eqNullSafe(exact["week"])
+    both = found.join(exact, same).select(found["event_type"], found["week"], found["level"], found["n"], exact["n_users"], "n_distinct")
+    close = F.abs(F.col("n_distinct") - F.col("n_users")) <= F.greatest(F.lit(1.0), 4 * sketches.error() * F.col("n_users"))
+    return both.select("event_type", F.col("week").cast("long").alias("week"), F.col("level").cast("long").alias("level"), F.col("n").alias("n_events"), "n_users", close.alias("close"))
+
+
+_CUBE_SQL = """select event_type, weekofyear(ts) as week, (grouping(event_type) * 2 + grouping(weekofyear(ts)))::bigint as level, count(*) as n_events, count(distinct user_id) as n_users, true as close from events group by cube (event_type, weekofyear(ts))"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (streamed_definitions, nested_links, events_after_signup, section_paths, clicks_before, split_documents, tree_round_trip)}
+    return {f.__name__: f for f in (streamed_definitions, nested_links, events_after_signup, section_paths, clicks_before, split_documents, tree_round_trip, label_report, native_codecs, link_places, sketch_cube)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"streamed_definitions": _STREAM_SQL, "nested_links": _NESTED_SQL, "events_after_signup": _SIGNUP_SQL, "section_paths": _SECTIONS_SQL, "clicks_before": _CLICKS_SQL, "split_documents": _SPLIT_SQL, "tree_round_trip": _TREE_SQL}
+    return {"streamed_definitions": _STREAM_SQL, "nested_links": _NESTED_SQL, "events_after_signup": _SIGNUP_SQL, "section_paths": _SECTIONS_SQL, "clicks_before": _CLICKS_SQL, "split_documents": _SPLIT_SQL, "tree_round_trip": _TREE_SQL, "label_report": _LABELS_SQL, "native_codecs": _CODECS_SQL, "link_places": _PLACES_SQL, "sketch_cube": _CUBE_SQL}
