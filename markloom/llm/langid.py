@@ -6,6 +6,11 @@ bounded sample: of the rows allowed for it, the `PER_LANG` with the smallest has
 `SAMPLE` in all), and from each a stretch of `STRETCH` characters at a place set by the hash. Prediction reads
 whole texts in windows and averages the windows' probabilities, weighted by their bytes.
 
+Beside the languages the network has a class for what is none of them: random words in scripts that the sample does not
+have (`foreign`). It takes probability away and is never an answer, so a text in a script that nobody taught gets its
+nearest language with a score near 0, and `accepted` turns it away. Languages in a script that the sample has are told apart by nothing of
+this kind.
+
 Null, empty and letterless texts are `und` with score 0, as are all texts where nothing can be learned from.
 Rows are independent; repeated rows get equal results; other columns are ignored. lang, source and doc_id are
 no inputs of a prediction.
@@ -28,6 +33,12 @@ WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 PER_LANG, SAMPLE, STRETCH, LEAST = 400, 20_000, 768, 0.3
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = True
+OTHER = 40
+#: First and last code points of the letters of scripts.
+SCRIPTS = {
+    "Greek": (0x391, 0x3C9), "Cyrillic": (0x410, 0x44F), "Armenian": (0x561, 0x586), "Hebrew": (0x5D0, 0x5EA), "Arabic": (0x621, 0x64A), "Devanagari": (0x905, 0x939), "Bengali": (0x985, 0x9B9),
+    "Tamil": (0xB85, 0xBB9), "Thai": (0xE01, 0xE2E), "Georgian": (0x10D0, 0x10F0), "Hiragana": (0x3041, 0x3096), "Katakana": (0x30A1, 0x30FA), "Han": (0x4E00, 0x9FFF), "Hangul": (0xAC00, 0xD7A3),
+}
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -89,20 +100,43 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 12, rate: float = 0.05, seed: int = 7) -> Network | None:
-    """Adagrad on cross entropy; the gradient of a max-pooled filter goes to the bytes at its maximum."""
-    names = sorted(set(langs))
+def foreign(texts: list[str], each: int = OTHER, seed: int = 3) -> list[str]:
+    """Texts of random words, `each` in every script of which no more than one letter in a hundred of the texts is."""
+    rng = np.random.default_rng(seed)
+    known, out = "".join(texts), []
+    letters = np.fromiter(map(ord, known), np.int64, len(known))
+    total = max(1, int((letters > 64).sum()))
+    for first, last in SCRIPTS.values():
+        if ((letters >= first) & (letters <= last)).sum() * 100 > total:
+            continue
+        usable = [chr(c) for c in range(first, last + 1) if unicodedata.category(chr(c))[0] == "L"]
+        for _ in range(each):
+            some = rng.permutation(len(usable))[:200]  # a text has few letters, and some of them often
+            weights = 1 / np.arange(1, len(some) + 1)
+            picked = rng.choice(some, 260, p=weights / weights.sum())
+            gaps = rng.random(260) < rng.choice([0.02, 0.18])
+            out.append("".join(usable[k] + (" " if g else "") for k, g in zip(picked, gaps)))
+    return out
+
+
+def fit(texts: list[str], langs: list[str | None], epochs: int = 12, rate: float = 0.05, seed: int = 7) -> Network | None:
+    """Adagrad on cross entropy; the gradient of a max-pooled filter goes to the bytes at its maximum.
+
+    Texts whose language is None are the last class, which has no name.
+    """
+    names = sorted({x for x in langs if x is not None})
+    classes = [*names, *([None] if None in langs else [])]
     if not names:
         return None
     rng = np.random.default_rng(seed)
     deep, n_filters = max(WIDTHS), FILTERS * len(WIDTHS)
     width = np.repeat(WIDTHS, FILTERS)
     used = np.arange(deep)[:, None] < width
-    net = Network(names, (rng.normal(0, 0.3, (deep, 256, n_filters)) * used[:, None, :]).astype(np.float32), np.zeros(n_filters, np.float32), rng.normal(0, 0.3, (n_filters, len(names))).astype(np.float32), np.zeros(len(names), np.float32))
+    net = Network(names, (rng.normal(0, 0.3, (deep, 256, n_filters)) * used[:, None, :]).astype(np.float32), np.zeros(n_filters, np.float32), rng.normal(0, 0.3, (n_filters, len(classes))).astype(np.float32), np.zeros(len(classes), np.float32))
     x, row, length = windows_of(*utf8(pa.array(texts, pa.large_string())))
     x, row = x[length >= 16], row[length >= 16]
-    y = np.array([names.index(lang) for lang in langs], np.int64)[row] if len(row) else np.empty(0, np.int64)
-    weight = (1.0 / np.maximum(np.bincount(y, minlength=len(names)), 1))[y] * len(y) / len(names) if len(y) else np.empty(0)
+    y = np.array([classes.index(lang) for lang in langs], np.int64)[row] if len(row) else np.empty(0, np.int64)
+    weight = (1.0 / np.maximum(np.bincount(y, minlength=len(classes)), 1))[y] * len(y) / len(classes) if len(y) else np.empty(0)
     params = [net.tables, net.bias, net.out, net.out_bias]
     squares = [np.full_like(p, 1e-6) for p in params]
     for _ in range(epochs):
@@ -137,24 +171,28 @@ def train(docs: DataFrame) -> Network | None:
     rows = rows.select("lang", "h", F.substring(F.col("text"), at.cast("int"), F.lit(STRETCH)).alias("text"))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= PER_LANG)
     sample = [r for r in first.orderBy("n", "h", "text").limit(SAMPLE).collect() if any(c.isalpha() for c in r.text)]
-    return fit([r.text for r in sample], [r.lang for r in sample])
+    texts = [r.text for r in sample]
+    others = foreign(texts)
+    return fit(texts + others, [*(r.lang for r in sample), *[None] * len(others)])
 
 
-def decide(column: pa.Array, net: Network | None) -> tuple[np.ndarray, np.ndarray]:
-    """Languages and scores of whole texts."""
+def decide(column: pa.Array, net: Network | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Languages and scores of whole texts, and the probability that a text is of any language learned."""
     data, offsets = utf8(column)
     n = len(column)
-    lang, score = np.full(n, "und", object), np.zeros(n)
+    lang, score, known = np.full(n, "und", object), np.zeros(n), np.zeros(n)
     if net is not None and len(data):
         x, row, length = windows_of(data, offsets)
         p = net.probabilities(x) * length[:, None]
         total = np.zeros((n, p.shape[1]))
         some = np.flatnonzero(np.diff(offsets) > 0)
         total[some] = np.add.reduceat(p, np.searchsorted(row, some), axis=0) / np.diff(offsets)[some][:, None]
+        total = total[:, : len(net.langs)]
         good = has_letter(data, offsets)
         lang[good] = np.array(net.langs, object)[total.argmax(axis=1)[good]]
         score[good] = np.clip(total.max(axis=1)[good], 0, 1)
-    return lang, score
+        known[good] = np.clip(total.sum(axis=1)[good], 0, 1)
+    return lang, score, known
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -162,14 +200,14 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=1_000_000):
-            lang, score = decide(batch.column("text"), net)
+            lang, score, _ = decide(batch.column("text"), net)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, RESULT)
 
 
 def accepted(docs: DataFrame, net: Network | None, least: float = LEAST) -> DataFrame:
-    """Rows of docs, with docs' columns, whose text has a language with a score of at least `least`.
+    """Rows of docs, with docs' columns, whose text is of a learned language with a probability of at least `least`.
 
     Where nothing could be learned no language can be told, and every text with a letter passes.
     """
@@ -179,8 +217,7 @@ def accepted(docs: DataFrame, net: Network | None, least: float = LEAST) -> Data
             if net is None:
                 yield batch.filter(pa.array(has_letter(*utf8(batch.column("text"))), pa.bool_()))
                 continue
-            lang, score = decide(batch.column("text"), net)
-            yield batch.filter(pa.array((lang != "und") & (score >= least), pa.bool_()))
+            yield batch.filter(pa.array(decide(batch.column("text"), net)[2] >= least, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
