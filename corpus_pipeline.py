@@ -18,7 +18,7 @@ PIECES = "piece_bpe_32k.model"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or without a language that the network gives `langid.LEAST`."""
+    """Drops documents without letters, and those that are less than `langid.LEAST` likely to be of any learned language."""
     net = langid.train(docs.where(~langid.held_out()))
     return langid.accepted(docs, net)
 
