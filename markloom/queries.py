@@ -343,7 +343,39 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     register(spark)
     _read(spark, sf_dir, "part").createOrReplaceTempView("_part_texts")
-    return spark.sql("select p_partkey, md_html_gfm(concat('**', p_name, '**')) as html, h.id, h.level from _part_texts, lateral md_headings(concat('## ', p_name)) h")
+    try:
+        return spark.sql("select p_partkey, md_html_gfm(concat('**', p_name, '**')) as html, h.id, h.level from _part_texts, lateral md_headings(concat('## ', p_name)) h")
+    finally:
+        spark.catalog.dropTempView("_part_texts")
+
+
+def _table_function(spark: SparkSession, docs: DataFrame, select: str) -> DataFrame:
+    """A table function over all rows of docs, by SQL; the view is dropped once the plan is made."""
+    from .operators import tables
+
+    tables.register(spark)
+    docs.createOrReplaceTempView("_markloom_documents")
+    try:
+        return spark.sql(select.format("table(_markloom_documents) partition by doc_id"))
+    finally:
+        spark.catalog.dropTempView("_markloom_documents")
+
+
+def events_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table_function(spark, _references_source(spark, sf_dir), "select doc_id, kind, def_index, url, url_end - url_start as url_size, spaces, text as code from md_events_of({}) where kind in ('LinkStartRef', 'ImageStartRef', 'LinkStart', 'VirtualSpaces', 'Code')")
+
+
+def headings_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("# "), "p_name", F.lit("\n\n## "), "p_name").alias("text"))
+    return _table_function(spark, p, "select doc_id, seq, level, id, text from md_headings_of({})")
+
+
+def segments_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table_function(spark, _mdx_source(spark, sf_dir), "select doc_id, kind, count(*) as n, sum(length(text)) as chars from mdx_segments_of({}) group by doc_id, kind")
+
+
+def diagnostics_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table_function(spark, _mdx_source(spark, sf_dir), "select doc_id, code, message, line, `column` from mdx_diagnostics_of({})")
 
 
 def _upper(language: str | None, meta: str | None, code: str) -> str | None:
@@ -361,7 +393,7 @@ _OUTLINE_SQL = "with n as (select r_regionkey, r_name, n_name, n_nationkey, row_
 _ORDERS_SQL = """with r as (select l_orderkey as doc_id, l_linenumber as k, l_partkey as p, l_returnflag as f from lineitem),
 h as (select doc_id, count(*) as n, min('/p/' || p) as least, string_agg('<tr>' || chr(10) || '<td><em>' || p || '</em></td>' || chr(10) || '<td align="center"><code>' || f || '</code></td>' || chr(10) || '</tr>' || chr(10), '' order by k, p, f) as cells,
 string_agg('<li><a href="/p/' || p || '">' || p || '</a><sup><a href="#user-content-fn-n" id="user-content-fnref-n" data-footnote-ref>1</a></sup></li>' || chr(10), '' order by k, p, f) as items from r group by doc_id)"""
-_FRONT = {f.__name__: f for f in (native_escape, native_slug, native_heading_ids, native_safe_url, native_filter_html, native_front_matter, native_widths, native_note_ordinals, render_documents, parse_documents, outline, links, code_blocks, events_by_kind, document_events, dangling_references, table_cells, mdx_segments, mdx_diagnostics, mdx_render, mdx_component, mdx_event_kinds, reference_events, mdx_references, fenced_renderer, longest_outlines, native_scalars, mdx_objections, render_orders, order_events, links_in_quotes, documents_by_content, note_definitions, sql_functions)}
+_FRONT = {f.__name__: f for f in (native_escape, native_slug, native_heading_ids, native_safe_url, native_filter_html, native_front_matter, native_widths, native_note_ordinals, render_documents, parse_documents, outline, links, code_blocks, events_by_kind, document_events, dangling_references, table_cells, mdx_segments, mdx_diagnostics, mdx_render, mdx_component, mdx_event_kinds, reference_events, mdx_references, fenced_renderer, longest_outlines, native_scalars, mdx_objections, render_orders, order_events, links_in_quotes, documents_by_content, note_definitions, sql_functions, events_of_table, headings_of_table, segments_of_table, diagnostics_of_table)}
 _ESCAPED = "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _SLUG = r"""regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace({c}, '[*~`\[\]!#]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r]+', '-', 'g'), '[^a-z0-9_\x{{80}}-\x{{10FFFF}}-]', '', 'g'), '^-+|-+$', '', 'g')"""
 _CODES = {"UnclosedJsxTag": "expected a matching closing JSX tag"}
@@ -375,7 +407,7 @@ def oracle_sql() -> dict[str, str]:
     slug = _SLUG.format(c="coalesce(text, '')")
     brand = _SLUG.format(c="p_brand")
     disallowed = "|".join(DISALLOWED_TAGS)
-    return {f"md_{name}": _template_sql(name) for name in TEMPLATES} | queries_structure.oracle_sql() | {
+    out = {f"md_{name}": _template_sql(name) for name in TEMPLATES} | queries_structure.oracle_sql() | {
         "native_escape": f"""select page_id, md5({_ESCAPED}) as text_md5, md5(replace({_ESCAPED}, '''', '&#39;')) as attr_md5, regexp_matches(html, '[<>&"]') as needs from pages""",
         "native_slug": f"select doc_id, md5(case when {slug} = '' then 'heading' else {slug} end) as slug_md5 from documents",
         "native_heading_ids": f"with s as (select p_type, p_partkey, {brand} as slug from part), n as (select *, row_number() over (partition by p_type, slug order by p_partkey) - 1 as n from s) select p_type, p_partkey, slug, case when n = 0 then slug else slug || '-' || n end as id from n",
@@ -406,5 +438,8 @@ def oracle_sql() -> dict[str, str]:
         "documents_by_content": "select p_partkey as doc_id, 'links, no code' as what from part where p_size % 2 = 0 and p_partkey % 3 <> 0 union all select p_partkey, 'heading and link' from part where p_size % 2 = 0 and p_partkey % 5 = 0 union all select p_partkey, 'code under headings' from part where p_partkey % 15 = 0",
         "note_definitions": "select 'n' as label, count(distinct l_orderkey) as n from lineitem",
         "sql_functions": "select p_partkey, '<p><strong>' || p_name || '</strong></p>' || chr(10) as html, replace(p_name, ' ', '-') as id, 2 as level from part",
+        "headings_of_table": "select p_partkey as doc_id, v.k::int as seq, (v.k + 1)::int as level, replace(p_name, ' ', '-') || case when v.k = 1 then '-1' else '' end as id, p_name as text from part, (values (0), (1)) v(k)",
         "fenced_renderer": "select p_partkey, '<x-x y>' || upper(p_name) || '</x-x>' || chr(10) || '<pre><code>b' || chr(10) || '</code></pre>' || chr(10) as html from part",
     }
+    same = {"events_of_table": "reference_events", "segments_of_table": "mdx_segments", "diagnostics_of_table": "mdx_diagnostics"}
+    return out | {name: out[other] for name, other in same.items()}
