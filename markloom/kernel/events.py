@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from .blocks import Block, Parser, split_row
@@ -129,13 +130,13 @@ class _Blocks:
         if self.inline:
             s = "\n".join(x for x, _ in lines)
             starts, at = [], 0
-            for x, place in lines:
-                starts.append((at, place))
+            for x, _ in lines:
+                starts.append(at)
                 at += len(x) + 1
 
             def place(k: int) -> int:
-                a, b = next(p for p in reversed(starts) if p[0] <= k)
-                return b + k - a
+                n = bisect_right(starts, k) - 1
+                return lines[n][1] + k - starts[n]
 
             found = inline_events(s, self.o, self.p.refs, self.p.notes if self.o.footnotes else None, self.index)
             for e in split_mdx(s, found) if self.mdx else found:

@@ -349,6 +349,14 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.catalog.dropTempView("_part_texts")
 
 
+def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compiler's counters over documents made from orders, by the last digit of the order."""
+    from .plans.profile import profile
+
+    docs = _orders_source(spark, sf_dir).withColumn("digit", F.col("doc_id") % 10)
+    return profile(docs, "digit", {"footnotes": True}).select("digit", "documents", "block_events", "container_events", "table_events", "inline_parses", "inline_fast_paths", "inline_links", "inline_marks")
+
+
 def _table_function(spark: SparkSession, docs: DataFrame, select: str) -> DataFrame:
     """A table function over all rows of docs, by SQL; the view is dropped once the plan is made."""
     from .operators import tables
@@ -393,7 +401,7 @@ _OUTLINE_SQL = "with n as (select r_regionkey, r_name, n_name, n_nationkey, row_
 _ORDERS_SQL = """with r as (select l_orderkey as doc_id, l_linenumber as k, l_partkey as p, l_returnflag as f from lineitem),
 h as (select doc_id, count(*) as n, min('/p/' || p) as least, string_agg('<tr>' || chr(10) || '<td><em>' || p || '</em></td>' || chr(10) || '<td align="center"><code>' || f || '</code></td>' || chr(10) || '</tr>' || chr(10), '' order by k, p, f) as cells,
 string_agg('<li><a href="/p/' || p || '">' || p || '</a><sup><a href="#user-content-fn-n" id="user-content-fnref-n" data-footnote-ref>1</a></sup></li>' || chr(10), '' order by k, p, f) as items from r group by doc_id)"""
-_FRONT = {f.__name__: f for f in (native_escape, native_slug, native_heading_ids, native_safe_url, native_filter_html, native_front_matter, native_widths, native_note_ordinals, render_documents, parse_documents, outline, links, code_blocks, events_by_kind, document_events, dangling_references, table_cells, mdx_segments, mdx_diagnostics, mdx_render, mdx_component, mdx_event_kinds, reference_events, mdx_references, fenced_renderer, longest_outlines, native_scalars, mdx_objections, render_orders, order_events, links_in_quotes, documents_by_content, note_definitions, sql_functions, events_of_table, headings_of_table, segments_of_table, diagnostics_of_table)}
+_FRONT = {f.__name__: f for f in (native_escape, native_slug, native_heading_ids, native_safe_url, native_filter_html, native_front_matter, native_widths, native_note_ordinals, render_documents, parse_documents, outline, links, code_blocks, events_by_kind, document_events, dangling_references, table_cells, mdx_segments, mdx_diagnostics, mdx_render, mdx_component, mdx_event_kinds, reference_events, mdx_references, fenced_renderer, longest_outlines, native_scalars, mdx_objections, render_orders, order_events, links_in_quotes, documents_by_content, note_definitions, sql_functions, order_profile, events_of_table, headings_of_table, segments_of_table, diagnostics_of_table)}
 _ESCAPED = "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _SLUG = r"""regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace({c}, '[*~`\[\]!#]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r]+', '-', 'g'), '[^a-z0-9_\x{{80}}-\x{{10FFFF}}-]', '', 'g'), '^-+|-+$', '', 'g')"""
 _CODES = {"UnclosedJsxTag": "expected a matching closing JSX tag"}
@@ -438,6 +446,7 @@ def oracle_sql() -> dict[str, str]:
         "documents_by_content": "select p_partkey as doc_id, 'links, no code' as what from part where p_size % 2 = 0 and p_partkey % 3 <> 0 union all select p_partkey, 'heading and link' from part where p_size % 2 = 0 and p_partkey % 5 = 0 union all select p_partkey, 'code under headings' from part where p_partkey % 15 = 0",
         "note_definitions": "select 'n' as label, count(distinct l_orderkey) as n from lineitem",
         "sql_functions": "select p_partkey, '<p><strong>' || p_name || '</strong></p>' || chr(10) as html, replace(p_name, ' ', '-') as id, 2 as level from part",
+        "order_profile": _ORDERS_SQL + " select doc_id % 10 as digit, count(*) as documents, sum(18 + 10 * n)::bigint as block_events, sum(4 + 2 * n)::bigint as container_events, sum(12 + 6 * n)::bigint as table_events, sum(3 + 3 * n)::bigint as inline_parses, sum(3)::bigint as inline_fast_paths, sum(2 * n)::bigint as inline_links, sum(2 * n)::bigint as inline_marks from h group by all",
         "headings_of_table": "select p_partkey as doc_id, v.k::int as seq, (v.k + 1)::int as level, replace(p_name, ' ', '-') || case when v.k = 1 then '-1' else '' end as id, p_name as text from part, (values (0), (1)) v(k)",
         "fenced_renderer": "select p_partkey, '<x-x y>' || upper(p_name) || '</x-x>' || chr(10) || '<pre><code>b' || chr(10) || '</code></pre>' || chr(10) as html from part",
     }

@@ -11,7 +11,7 @@ from .functions import native, udf
 from .operators import sketches
 from .operators.intervals import contained
 from .operators.scan import asof_join, place
-from .plans import parts, references, relations, structure
+from .plans import flat, parts, references, relations, structure
 from .session import scratch
 from .sources.tree import DocumentTree
 from .streaming import sessions
@@ -185,6 +185,22 @@ _TREE_SQL = """select p_partkey, lower(p_type) as folder, '<h1 id="' || replace(
 where strlen('# ' || p_name || chr(10) || chr(10) || '*' || p_size || '*' || chr(10)) > 20"""
 
 
+# flat documents
+
+
+def render_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of headings, lists, breaks, code and text without Python, but for each fourth, which has emphasis."""
+    p = _read(spark, sf_dir, "part")
+    text = F.concat(
+        F.lit("# "), "p_name", F.lit("\n## Same\n\n- Size "), "p_size", F.lit("\n- "), "p_type", F.lit("\n\n***\n\n```sql\nselect *\n\n# < "), "p_size", F.lit("\n```\n## Same\nIt's "), "p_name", F.lit("\nend"),
+        F.when(F.col("p_partkey") % 4 == 0, "\n\n*e*").otherwise(""),
+    )
+    return flat.rendered(p.select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+
+
+_FLAT_SQL = """select p_partkey as doc_id, p_partkey % 4 <> 0 as native, '<h1 id="' || replace(p_name, ' ', '-') || '">' || p_name || '</h1>' || chr(10) || '<h2 id="same">Same</h2>' || chr(10) || '<ul>' || chr(10) || '<li>Size ' || p_size || '</li>' || chr(10) || '<li>' || p_type || '</li>' || chr(10) || '</ul>' || chr(10)
+|| '<hr />' || chr(10) || '<pre><code class="language-sql">select *' || chr(10) || chr(10) || '# &lt; ' || p_size || chr(10) || '</code></pre>' || chr(10) || '<h2 id="same-1">Same</h2>' || chr(10) || '<p>It''s ' || p_name || chr(10) || 'end</p>' || chr(10) || case when p_partkey % 4 = 0 then '<p><em>e</em></p>' || chr(10) else '' end as html from part"""
+
 # labels, codecs, places, cubes
 
 
@@ -246,8 +262,8 @@ _CUBE_SQL = """select event_type, weekofyear(ts) as week, (grouping(event_type)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (streamed_definitions, nested_links, events_after_signup, section_paths, clicks_before, split_documents, tree_round_trip, label_report, native_codecs, link_places, sketch_cube)}
+    return {f.__name__: f for f in (streamed_definitions, nested_links, events_after_signup, section_paths, clicks_before, split_documents, tree_round_trip, render_flat, label_report, native_codecs, link_places, sketch_cube)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"streamed_definitions": _STREAM_SQL, "nested_links": _NESTED_SQL, "events_after_signup": _SIGNUP_SQL, "section_paths": _SECTIONS_SQL, "clicks_before": _CLICKS_SQL, "split_documents": _SPLIT_SQL, "tree_round_trip": _TREE_SQL, "label_report": _LABELS_SQL, "native_codecs": _CODECS_SQL, "link_places": _PLACES_SQL, "sketch_cube": _CUBE_SQL}
+    return {"streamed_definitions": _STREAM_SQL, "nested_links": _NESTED_SQL, "events_after_signup": _SIGNUP_SQL, "section_paths": _SECTIONS_SQL, "clicks_before": _CLICKS_SQL, "split_documents": _SPLIT_SQL, "tree_round_trip": _TREE_SQL, "render_flat": _FLAT_SQL, "label_report": _LABELS_SQL, "native_codecs": _CODECS_SQL, "link_places": _PLACES_SQL, "sketch_cube": _CUBE_SQL}

@@ -57,3 +57,25 @@ def test_sketches_merge(spark):
     for k, (n, d) in exact.items():
         assert found[k][0] == n and abs(found[k][1] - d) <= 4 * sketches.error() * d
     assert sketches.merged(cells, ["a"]).where("n = 20000").count() == 3
+
+
+def test_counters_add_up(spark):
+    from pyspark.sql import Observation
+
+    from markloom.kernel.counters import SUMS, Counts, counts
+    from markloom.kernel.options import options
+    from markloom.plans.profile import profile
+
+    texts = ["# *a* b\n\n- x\n- [y](z)\n\n> <b>q</b> ~~d~~", "plain", "", None, "a|b\n-|-\n`c`|d\n", "    code\n\n```\nx\n```"] * 5
+    rows = [("de" if k % 3 else None, t) for k, t in enumerate(texts)]
+    seen = Observation()
+    found = {r["lang"]: r for r in profile(spark.createDataFrame(rows, "lang string, text string").repartition(4), "lang", "gfm", seen=seen).collect()}
+    total = Counts()
+    for lang in ("de", None):
+        one = Counts()
+        for g, t in rows:
+            if g == lang:
+                one.add(counts(t, options("gfm")))
+        assert all(found[lang][n] == getattr(one, n) for n in (*SUMS, "longest_inline"))
+        total.add(one)
+    assert all(seen.get[n] == getattr(total, n) for n in (*SUMS, "longest_inline")) and total.documents == len(rows) and total.inline_html == 10
