@@ -5,16 +5,17 @@ shingles first: by a counting sketch of fixed size, then by hash. Two sets that
 shingle among the first n - ceil(0.8 n) + 1 of both, so index lists hold those only. Then:
 
 * Equal sets are one node. Their answers are the same.
-* Each list, sorted by size, is a row of blocks; a pair is skipped, a block at a time, where sizes or the two
-  positions of the shared shingle leave no room for enough common shingles.
+* Each list, sorted by size, is a row of blocks of `BLOCK` sets with their least size and greatest room (size less position);
+  a block is skipped as a whole where these leave no room for enough common shingles, then a set in it for its own.
 * First each list's sets are checked against the list's leader only (the one with the fewest rarer shingles, so
   most like the original of a group of near copies, and of these the least hash, so that a group has few leaders). Sets found similar to the leader take over its component.
 * Then all pairs of a list that still lie in different components are candidates; parity bitmaps (an exact
   bound on the difference) drop most, the others are checked. Within a component nothing is checked again, so
   groups of copies cost a star, not all their pairs, and no link between components is missed.
-* Partners of one set are answered together. Among the sets that meet in a piece, those that are highly similar to one
-  before them (this is tested) take its answers: the overlap with that one, less and more what the two differ in,
-  decides most pairs by bounds alone, the others by meeting the few shingles that differ.
+* Partners of one set are answered together, up to some `PARTNERS` of them (a set with more is asked in several groups, and
+  its text goes once to each). Among the partners, those that are highly similar to one before them (this is tested) take
+  its answers: the overlap with that one, less and more what the two differ in, decides most pairs by bounds alone,
+  the others by meeting the few shingles that differ. Links say whether they were derived so.
 
 Shingles and sets are known by 64-bit hashes. Texts without words have no set and are alone. A null doc_id
 counts as the smallest, and its component is then null. Rows that share a doc_id are documents of their own
@@ -39,6 +40,7 @@ from .suffixes import _packed
 
 CELLS, SLICES = 1 << 20, 256
 LEAST_BITS, MOST_BITS, LONG_LIST = 64, 8192, 32
+BLOCK, PARTNERS = 32, 256
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -167,7 +169,7 @@ def _meet(group: pa.Table) -> pa.Table:
     head = np.flatnonzero(new)[group_of]
     sizes = np.bincount(group_of)[group_of]
     star = ~new & room(n, pos, n[head], pos[head])
-    x, y = np.minimum(node[head][star], node[star]), np.maximum(node[head][star], node[star])
+    x, y = node[head][star], node[star]
     pairs = np.unique(np.stack([x, y]), axis=1) if len(x) else np.empty((2, 0), np.int64)
     m, rest = pairs.shape[1], sizes > 2
     k = int(rest.sum())
@@ -214,11 +216,31 @@ class Bitmaps:
         return out
 
 
+class Blocks:
+    """A list's sets by size, in blocks with summaries."""
+
+    def __init__(self, n: np.ndarray, pos: np.ndarray):
+        self.n, self.pos, self.reach = n, pos, np.searchsorted(n, (5 * n) // 4, "right")
+        starts = np.arange(0, len(n), BLOCK)
+        self.least, self.room = n[starts], np.maximum.reduceat(n - pos, starts)
+        self.skipped = self.seen = 0
+
+    def after(self, i: int) -> np.ndarray:
+        """The sets behind set i that are not skipped with their block, nor too large."""
+        stop = int(self.reach[i])
+        blocks = np.arange((i + 1) // BLOCK, -(-stop // BLOCK))
+        bound = needed(self.n[i], self.least[blocks])
+        go = (self.room[blocks] >= bound) & (self.n[i] - self.pos[i] >= bound)
+        self.seen, self.skipped = self.seen + len(blocks), self.skipped + int((~go).sum())
+        j = (blocks[go, None] * BLOCK + np.arange(BLOCK)).ravel()
+        return j[(j > i) & (j < stop)]
+
+
 def _across(group: pa.Table) -> pa.Table:
     """Pairs of a list's sets in different components that nothing rules out.
 
-    Sets too large and, in numpy, all with too little room or too many different bits are skipped as blocks. In
-    long lists a pair is left to the list of its first common shingle: what stands before in both is compared.
+    Blocks without room are skipped whole, then sets with too little room or too many different bits. In long
+    lists a pair is left to the list of its first common shingle: what stands before in both is compared.
     """
     token, node, label = (group.column(c).to_numpy() for c in ("token", "x", "label"))
     n, pos = group.column("n").to_numpy().astype(np.int64), group.column("pos").to_numpy().astype(np.int64)
@@ -232,9 +254,9 @@ def _across(group: pa.Table) -> pa.Table:
         ln, lp, ll, lx = n[own], pos[own], label[own], node[own]
         maps = Bitmaps([bits[k] for k in own])
         before = [np.frombuffer(earlier[k].as_py(), np.uint64) for k in own] if b - a > LONG_LIST else None
-        reach = np.searchsorted(ln, (5 * ln) // 4, "right")
+        blocks = Blocks(ln, lp)
         for i in range(len(own) - 1):
-            j = np.arange(i + 1, int(reach[i]))
+            j = blocks.after(i)
             j = j[(ll[j] != ll[i]) & room(ln[j], lp[j], ln[i], lp[i])]
             if len(j):
                 j = j[maps.differ(i, j) <= ln[i] + ln[j] - 2 * needed(ln[i], ln[j])]
@@ -275,7 +297,13 @@ def likenesses(sets: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray
 
 
 def answers(own: np.ndarray, partners: list[int], sets: list[np.ndarray], like: list) -> tuple[list[bool], int]:
-    """Whether own is linked with each partner, and how many of these answers come from a similar set's.
+    """Whether own is linked with each partner, and how many of these answers come from a similar set's."""
+    found = answered(own, partners, sets, like)
+    return [linked for linked, _ in found], sum(derived for _, derived in found)
+
+
+def answered(own: np.ndarray, partners: list[int], sets: list[np.ndarray], like: list) -> list[tuple[bool, bool]]:
+    """For each partner whether own is linked with it, and whether that comes from a similar set's answer.
 
     The overlap with the similar set is computed once. It bounds the overlap with the partner by what the two differ
     in; where the bounds leave it open, own is met with the few shingles that differ, never with the whole set.
@@ -283,7 +311,7 @@ def answers(own: np.ndarray, partners: list[int], sets: list[np.ndarray], like:
     led = Counter(like[k][0] for k in partners if like[k] is not None)
     led.update(k for k in partners if k in led)
     known: dict[int, int] = {}
-    out, derived = [], 0
+    out: list[tuple[bool, bool]] = []
     for k in partners:
         least = int(needed(np.int64(len(own)), np.int64(len(sets[k]))))
         lead = k if like[k] is None or led[like[k][0]] < 2 else like[k][0]
@@ -292,43 +320,50 @@ def answers(own: np.ndarray, partners: list[int], sets: list[np.ndarray], like:
         n = known[lead]
         if lead != k:
             gone, more = like[k][1:]
-            derived += 1
             if n - len(gone) >= least or n + len(more) < least:
-                out.append(n - len(gone) >= least)
+                out.append((n - len(gone) >= least, True))
                 continue
             n += common(own, more) - common(own, gone)
-        out.append(n >= least)
-    return out, derived
+        out.append((n >= least, lead != k))
+    return out
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among pairs. Each text of a piece is cut once; the partners of an x are answered together."""
+    """Links among groups in order: a set (y null), then its partners. Each text of a piece is cut once."""
     z = zstandard.ZstdDecompressor()
-    for batch in pieces(batches, column="zy", limit=1_000_000):
-        if not batch.num_rows:
-            continue
-        texts: list[str] = []
-        places = []
-        for side in ("x", "y"):
-            first, of = np.unique(batch.column(side).to_numpy(), return_index=True, return_inverse=True)[1:]
-            places.append(of + len(texts))
-            texts += [z.decompress(batch.column(f"z{side}")[k].as_py()).decode() for k in first.tolist()]
+    group, own = None, None
+    for batch in pieces(batches, column="z", limit=1_000_000):
+        texts = [z.decompress(body).decode() for body in batch.column("z").to_pylist()]
         h, at = ordered_sets(pa.array(texts, pa.large_string()), np.zeros(CELLS, np.uint8))
         sets = [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        x, y = places
-        n_x = int(y.min())
-        like = likenesses(sets[n_x:])
-        keep = np.zeros(batch.num_rows, bool)
-        order = np.lexsort((y, x))
-        for rows in np.split(order, np.flatnonzero(np.diff(x[order])) + 1):
-            keep[rows] = answers(sets[int(x[rows[0]])], (y[rows] - n_x).tolist(), sets[n_x:], like)[0]
-        yield batch.select(["x", "y"]).filter(pa.array(keep))
+        x, y, g = (batch.column(c) for c in ("x", "y", "g"))
+        keys = list(zip(x.to_pylist(), g.to_pylist()))
+        first = y.is_null().to_pylist()
+        keep, derived = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        starts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+        for a, b in zip(starts, [*starts[1:], len(keys)]):
+            if first[a]:
+                group, own, a = keys[a], sets[a], a + 1
+            if a < b:
+                assert group == keys[a], "a set stands before its partners"
+                some = sets[a:b]
+                keep[a:b], derived[a:b] = zip(*answered(own, list(range(b - a)), some, likenesses(some)))
+        out = pa.RecordBatch.from_arrays([x, y, pa.array(derived)], ["x", "y", "derived"])
+        yield out.filter(pa.array(keep))
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("z").alias(f"z{c}"))
-    met = pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "zx", "zy")
-    return met.mapInArrow(_check, "x long, y long")
+    """x, y, derived: the pairs that are links. A set's partners come to it, not it to each of them."""
+    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a pair that two lists lead in both ways is asked once
+    low, high = F.least("x", "y"), F.greatest("x", "y")
+    once = pairs.groupBy(low.alias("a"), high.alias("b")).agg(F.min("x").alias("x")).select("x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y"))
+    groups = once.groupBy("x").agg(F.ceil(F.count("*") / PARTNERS).alias("groups"))
+    side = once.join(groups, "x").select("x", "y", F.pmod(F.xxhash64("y"), "groups").alias("g"))
+    partners = side.join(texts.select(F.col("node").alias("y"), "z"), "y").select("x", "g", "y", "z")
+    own = groups.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g")).join(texts.select(F.col("node").alias("x"), "z"), "x").select("x", "g", F.lit(None).cast("long").alias("y"), "z")
+    dealt = own.unionByName(partners).repartition(spread, "x", "g").sortWithinPartitions("x", "g", F.col("y").asc_nulls_first())
+    return dealt.mapInArrow(_check, "x long, y long, derived boolean")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -353,14 +388,14 @@ def join(docs: DataFrame) -> DataFrame:
     named = lists.select(F.explode(F.array("x", "y")).alias("node")).where("node is not null").distinct()
     wanted = first.join(named, "node").select(F.col("least").alias("d"), "c", "node")
     texts = table(given.mapInArrow(_packed, "d long, c long, z binary").join(wanted, ["d", "c"]).select("node", "z").dropDuplicates(["node"]), "texts")
-    near = table(_links(star, texts), "near")
+    near = table(_links(star, texts), "near").select("x", "y")
     labels = components(near)
     maps = some.select(F.col("node").alias("x"), "bits", "prefix").dropDuplicates(["x"])
     placed = entries.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
     earlier = F.when(F.col("size") > LONG_LIST, F.substring(F.col("prefix"), F.lit(1), F.col("pos") * 8)).otherwise(F.lit(b""))
     placed = placed.drop("y", "kind").join(maps, "x").withColumn("earlier", earlier).drop("prefix")
     close = placed.groupBy("bucket").applyInArrow(_across, "x long, y long").distinct()
-    more = table(_links(close, texts), "more")
+    more = table(_links(close, texts), "more").select("x", "y")
     labels = components(more, labels)
     least = first.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = least.groupBy("label").agg(F.min("least").alias("component"))
