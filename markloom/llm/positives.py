@@ -7,7 +7,7 @@ are read once, in Arrow batches, and the vectors are written as a table; all tha
 Only rows whose crc32(doc_id as text) mod 3 is not 1 are learned from: trusted positives are documents with labels
 of which all have quality 1, the unlabelled are any documents; labels of bad documents are not used. Of both a
 bounded sample goes to the driver, the `POSITIVES` and `UNLABELLED` rows with the smallest hash of doc_id and
-vector; a positive may be among the unlabelled too. The share of positives among the unlabelled (the class prior)
+vector (rows that are the same count once there); a positive may be among the unlabelled too. The share of positives among the unlabelled (the class prior)
 is estimated first: a network tells positives from unlabelled, and over the rows that it has not learned from,
 the least ratio of the shares above a threshold, with a confidence bound on both shares, is the prior. Then the
 network is fitted to the risk prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]) with logistic loss; where
@@ -202,16 +202,26 @@ def prior_of(p: np.ndarray, u: np.ndarray) -> float:
     return sum(found) / 2
 
 
+def sample(rows: DataFrame, n: int) -> np.ndarray:
+    """Vectors of the n rows with the smallest hash of doc_id and vector, rows that are the same once.
+
+    Rows whose hash is too large to be among them are left out where they are, so about 2n rows leave the tasks however
+    many there are.
+    """
+    total = rows.count()
+    h = F.xxhash64("doc_id", "vector")
+    bound = 2**63 - 1 if total <= 2 * n else (2 * n << 64) // total - 2**63
+    few = rows.select(h.alias("h"), "vector").where(F.col("h") <= bound).dropDuplicates(["h"]).orderBy("h").limit(n).select("vector")
+    return np.array([r[0] for r in few.collect()], np.float64).reshape(-1, WIDTH)
+
+
 def train(found: DataFrame, labels: DataFrame) -> Network | None:
     """A network from a table of vectors and labels (doc_id, quality)."""
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce((F.col("quality") == 1).cast("int"), F.lit(0))).alias("good"))
     rows = found.where(~held_out())
-    order = lambda d, n: d.orderBy(F.xxhash64("doc_id", "vector"), "doc_id").limit(n).select("vector")
-    p = order(rows.join(good.where("good = 1"), "doc_id", "left_semi"), POSITIVES).collect()
-    u = order(rows, UNLABELLED).collect()
-    if not p or not u:
+    p, u = sample(rows.join(good.where("good = 1"), "doc_id", "left_semi"), POSITIVES), sample(rows, UNLABELLED)
+    if not len(p) or not len(u):
         return None
-    p, u = (np.array([r[0] for r in x], np.float64) for x in (p, u))
     return fit(p, u, prior_of(p, u))
 
 

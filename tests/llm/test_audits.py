@@ -250,3 +250,16 @@ def test_prior_of_a_mixture():
         p = rng.normal(2, 1, 4000)
         u = np.where(rng.random(6000) < share, rng.normal(2, 1, 6000), rng.normal(-3, 1, 6000))
         assert abs(positives.share_of_positives(p, u) - share) < 0.06
+
+
+def test_sample_is_the_rows_of_smallest_hash(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    rows = [(k, rng.random(positives.WIDTH).astype(np.float32).tolist()) for k in range(400)]
+    df = spark.createDataFrame(rows + [rows[0]] * 300, "doc_id long, vector array<float>").repartition(6)
+    for n in (40, 300, 1000):
+        want = df.select(F.xxhash64("doc_id", "vector").alias("h"), "vector").distinct().orderBy("h").limit(n).collect()
+        found = positives.sample(df, n)
+        assert found.shape[1] == positives.WIDTH and min(n, 400) * 0.9 <= len(found) <= n
+        assert found.tolist() == [list(map(float, r["vector"])) for r in want][: len(found)]
