@@ -73,6 +73,8 @@ TEMPLATES: dict[str, tuple[str, str, str, object, str]] = {
     "inline_footnote": ("part", "p_partkey", "'t^[' || P || ']'", {"inline_footnotes": True}, "'<p>t<sup><a href=\"#user-content-inline-fn-1\" id=\"user-content-inline-fnref-1\" data-footnote-ref>1</a></sup></p>' || N || '<section data-footnotes class=\"footnotes\">' || N || '<ol>' || N || '<li id=\"user-content-inline-fn-1\">' || N || '<p>' || P || ' <a href=\"#user-content-inline-fnref-1\" class=\"data-footnote-backref\" aria-label=\"Back to reference 1\">↩</a></p>' || N || '</li>' || N || '</ol>' || N || '</section>' || N"),
     "front_matter_skipped": ("part", "p_partkey", "'---' || N || 'a: ' || S || N || '---' || N || P", {"front_matter": True}, "'<p>' || P || '</p>' || N"),
     "minimal_preset": ("part", "p_partkey", "'a | b' || N || ':-- | --:' || N || '~~' || P || '~~ <i>'", "minimal", "'<p>a | b' || N || ':-- | --:' || N || '~~' || P || '~~ &lt;i&gt;</p>' || N"),
+    "mark_limit": ("part", "p_partkey", "repeat('*a* ', 2100) || P", None, "'<p>' || repeat('<em>a</em> ', 2048) || repeat('*a* ', 52) || P || '</p>' || N"),
+    "paren_limit": ("part", "p_partkey", "'[x](' || repeat('(', 32) || S || repeat(')', 32) || ') [y](' || repeat('(', 33) || S || repeat(')', 33) || ')'", None, "'<p><a href=\"' || repeat('(', 32) || S || repeat(')', 32) || '\">x</a> [y](' || repeat('(', 33) || S || repeat(')', 33) || ')</p>' || N"),
 }
 
 
@@ -349,6 +351,30 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.catalog.dropTempView("_part_texts")
 
 
+def inline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of inline content alone: places, emphasis, code, a bare address and a hard break."""
+    p = _read(spark, sf_dir, "part")
+    text = F.concat(F.lit("\u00e9 **"), "p_name", F.lit("** `"), "p_size", F.lit("`  \nhttp://a.b/"), "p_size")
+    found = p.select("p_partkey", F.explode(udf.md_inline_events(text)).alias("e"))
+    return found.select("p_partkey", "e.seq", "e.kind", "e.url", F.when(F.col("e.kind") == "Code", F.col("e.text")).alias("code"))
+
+
+def mdx_inline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions and tags within text, and alone in a quote, where they are flow."""
+    p = _read(spark, sf_dir, "part")
+    text = F.concat(F.lit("a {"), "p_size", F.lit("} *b* <B n={1}>"), "p_name", F.lit("</B> <C />\n\n> {"), "p_size", F.lit("}\n\n- <D />\n"))
+    found = relations.mdx_events(p.select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+    return found.where("kind like '%Mdx%' or kind like 'Flow%'").select("doc_id", "layer", "kind", "start", "end", F.col("text").alias("source"))
+
+
+def mdx_segment_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with their places in bytes: they follow each other without gaps and end where the text ends."""
+    docs = _mdx_source(spark, sf_dir).withColumn("text", F.concat(F.lit("\u00e9\u20ac\n\n"), "text"))
+    found = relations.segments(docs)
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    return found.select("doc_id", "seq", (F.col("start") == F.coalesce(F.lag("end").over(order), F.lit(0))).alias("follows"), (F.octet_length("text") == F.col("end") - F.col("start")).alias("fits"), F.max("end").over(Window.partitionBy("doc_id")).alias("size"))
+
+
 def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The compiler's counters over documents made from orders, by the last digit of the order."""
     from .plans.profile import profile
@@ -401,7 +427,7 @@ _OUTLINE_SQL = "with n as (select r_regionkey, r_name, n_name, n_nationkey, row_
 _ORDERS_SQL = """with r as (select l_orderkey as doc_id, l_linenumber as k, l_partkey as p, l_returnflag as f from lineitem),
 h as (select doc_id, count(*) as n, min('/p/' || p) as least, string_agg('<tr>' || chr(10) || '<td><em>' || p || '</em></td>' || chr(10) || '<td align="center"><code>' || f || '</code></td>' || chr(10) || '</tr>' || chr(10), '' order by k, p, f) as cells,
 string_agg('<li><a href="/p/' || p || '">' || p || '</a><sup><a href="#user-content-fn-n" id="user-content-fnref-n" data-footnote-ref>1</a></sup></li>' || chr(10), '' order by k, p, f) as items from r group by doc_id)"""
-_FRONT = {f.__name__: f for f in (native_escape, native_slug, native_heading_ids, native_safe_url, native_filter_html, native_front_matter, native_widths, native_note_ordinals, render_documents, parse_documents, outline, links, code_blocks, events_by_kind, document_events, dangling_references, table_cells, mdx_segments, mdx_diagnostics, mdx_render, mdx_component, mdx_event_kinds, reference_events, mdx_references, fenced_renderer, longest_outlines, native_scalars, mdx_objections, render_orders, order_events, links_in_quotes, documents_by_content, note_definitions, sql_functions, order_profile, events_of_table, headings_of_table, segments_of_table, diagnostics_of_table)}
+_FRONT = {f.__name__: f for f in (native_escape, native_slug, native_heading_ids, native_safe_url, native_filter_html, native_front_matter, native_widths, native_note_ordinals, render_documents, parse_documents, outline, links, code_blocks, events_by_kind, document_events, dangling_references, table_cells, mdx_segments, mdx_diagnostics, mdx_render, mdx_component, mdx_event_kinds, reference_events, mdx_references, fenced_renderer, longest_outlines, native_scalars, mdx_objections, render_orders, order_events, links_in_quotes, documents_by_content, note_definitions, sql_functions, inline_events, mdx_inline_events, mdx_segment_ranges, order_profile, events_of_table, headings_of_table, segments_of_table, diagnostics_of_table)}
 _ESCAPED = "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _SLUG = r"""regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace({c}, '[*~`\[\]!#]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r]+', '-', 'g'), '[^a-z0-9_\x{{80}}-\x{{10FFFF}}-]', '', 'g'), '^-+|-+$', '', 'g')"""
 _CODES = {"UnclosedJsxTag": "expected a matching closing JSX tag"}
@@ -447,6 +473,9 @@ def oracle_sql() -> dict[str, str]:
         "note_definitions": "select 'n' as label, count(distinct l_orderkey) as n from lineitem",
         "sql_functions": "select p_partkey, '<p><strong>' || p_name || '</strong></p>' || chr(10) as html, replace(p_name, ' ', '-') as id, 2 as level from part",
         "order_profile": _ORDERS_SQL + " select doc_id % 10 as digit, count(*) as documents, sum(18 + 10 * n)::bigint as block_events, sum(4 + 2 * n)::bigint as container_events, sum(12 + 6 * n)::bigint as table_events, sum(3 + 3 * n)::bigint as inline_parses, sum(3)::bigint as inline_fast_paths, sum(2 * n)::bigint as inline_links, sum(2 * n)::bigint as inline_marks from h group by all",
+        "inline_events": "select p_partkey, v.s::int as seq, v.k as kind, case v.k when 'AutolinkLiteral' then 'http://a.b/' || p_size end as url, case v.k when 'Code' then p_size::varchar end as code from part, (values (0, 'Text'), (1, 'StrongStart'), (2, 'Text'), (3, 'StrongEnd'), (4, 'Text'), (5, 'Code'), (6, 'HardBreak'), (7, 'AutolinkLiteral')) v(s, k)",
+        "mdx_inline_events": "with k as (select p_partkey as doc_id, p_size::varchar as n, p_name as p, length(p_size::varchar) as w, length(p_name) as q from part), e as (select doc_id, 'inline' as layer, 'MdxExpression' as kind, 2 as a, '{' || n || '}' as source from k union all select doc_id, 'inline', 'MdxJsxOpen', 9 + w, '<B n={1}>' from k union all select doc_id, 'inline', 'MdxJsxClose', 18 + w + q, '</B>' from k union all select doc_id, 'inline', 'MdxJsxSelfClose', 23 + w + q, '<C />' from k union all select doc_id, 'mdx', 'FlowExpression', 32 + w + q, '{' || n || '}' from k union all select doc_id, 'mdx', 'FlowJsxSelfClose', 38 + 2 * w + q, '<D />' from k) select doc_id, layer, kind, a::bigint as start, (a + length(source))::bigint as \"end\", source from e",
+        "mdx_segment_ranges": "select p_partkey as doc_id, unnest(range(0, 7))::int as seq, true as follows, true as fits, (7 + 19 + 9 + length(p_size::varchar) + 4 + 2 + length(p_name) + 10 + case when p_size % 2 = 0 then 6 else 4 end)::bigint as size from part",
         "headings_of_table": "select p_partkey as doc_id, v.k::int as seq, (v.k + 1)::int as level, replace(p_name, ' ', '-') || case when v.k = 1 then '-1' else '' end as id, p_name as text from part, (values (0), (1)) v(k)",
         "fenced_renderer": "select p_partkey, '<x-x y>' || upper(p_name) || '</x-x>' || chr(10) || '<pre><code>b' || chr(10) || '</code></pre>' || chr(10) as html from part",
     }
