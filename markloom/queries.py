@@ -73,7 +73,7 @@ TEMPLATES: dict[str, tuple[str, str, str, object, str]] = {
     "inline_footnote": ("part", "p_partkey", "'t^[' || P || ']'", {"inline_footnotes": True}, "'<p>t<sup><a href=\"#user-content-inline-fn-1\" id=\"user-content-inline-fnref-1\" data-footnote-ref>1</a></sup></p>' || N || '<section data-footnotes class=\"footnotes\">' || N || '<ol>' || N || '<li id=\"user-content-inline-fn-1\">' || N || '<p>' || P || ' <a href=\"#user-content-inline-fnref-1\" class=\"data-footnote-backref\" aria-label=\"Back to reference 1\">↩</a></p>' || N || '</li>' || N || '</ol>' || N || '</section>' || N"),
     "front_matter_skipped": ("part", "p_partkey", "'---' || N || 'a: ' || S || N || '---' || N || P", {"front_matter": True}, "'<p>' || P || '</p>' || N"),
     "minimal_preset": ("part", "p_partkey", "'a | b' || N || ':-- | --:' || N || '~~' || P || '~~ <i>'", "minimal", "'<p>a | b' || N || ':-- | --:' || N || '~~' || P || '~~ &lt;i&gt;</p>' || N"),
-    "mark_limit": ("part", "p_partkey", "repeat('*a* ', 2100) || P", None, "'<p>' || repeat('<em>a</em> ', 2048) || repeat('*a* ', 52) || P || '</p>' || N"),
+    "mark_limit": ("nation", "n_nationkey", "repeat('*a* ', 2100) || n_name", None, "'<p>' || repeat('<em>a</em> ', 2048) || repeat('*a* ', 52) || n_name || '</p>' || N"),
     "paren_limit": ("part", "p_partkey", "'[x](' || repeat('(', 32) || S || repeat(')', 32) || ') [y](' || repeat('(', 33) || S || repeat(')', 33) || ')'", None, "'<p><a href=\"' || repeat('(', 32) || S || repeat(')', 32) || '\">x</a> [y](' || repeat('(', 33) || S || repeat(')', 33) || ')</p>' || N"),
 }
 
