@@ -358,6 +358,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     # a pair that two lists lead in both ways is asked once
     low, high = F.least("x", "y"), F.greatest("x", "y")
     once = pairs.groupBy(low.alias("a"), high.alias("b")).agg(F.min("x").alias("x")).select("x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y"))
+    once = table(once, "pairs")  # read three times below
     groups = once.groupBy("x").agg(F.ceil(F.count("*") / PARTNERS).alias("groups"))
     side = once.join(groups, "x").select("x", "y", F.pmod(F.xxhash64("y"), "groups").alias("g"))
     partners = side.join(texts.select(F.col("node").alias("y"), "z"), "y").select("x", "g", "y", "z")

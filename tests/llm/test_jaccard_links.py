@@ -46,7 +46,13 @@ def near_copies(seed=3, n=120):
 def test_groups_of_partners_lose_nothing(spark, monkeypatch, partners):
     monkeypatch.setattr(jaccard, "PARTNERS", partners)
     tables, honest = {}, jaccard.table
-    monkeypatch.setattr(jaccard, "table", lambda df, name, *a: tables.setdefault(name, honest(df, name, *a)))
+
+    def written(df, name, *a):
+        out = honest(df, name, *a)
+        tables.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(jaccard, "table", written)
     rows = near_copies()
     found = jaccard.join(spark.createDataFrame(rows, SCHEMA).repartition(4))
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in by_id(found).items()} == brute_components(rows)
