@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..kernel.counters import SUMS, Counts, counts
+from ..kernel.counters import SUMS, Counts, ShapedCounts
 from ..kernel.options import options as of
 
 #: Groups whose counts a task holds before it writes them.
@@ -17,7 +17,7 @@ HELD = 10_000
 
 def partial(docs: DataFrame, by: str, options=None, text: str = "text") -> DataFrame:
     """by and counts, a row (or a few) for each value of by in each task."""
-    opts = of(options)
+    counts = ShapedCounts(of(options))
     names = [*SUMS, "longest_inline"]
 
     def out(held: dict, kind: pa.DataType) -> pa.RecordBatch:
@@ -26,8 +26,8 @@ def partial(docs: DataFrame, by: str, options=None, text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
-            for k in range(batch.num_rows):
-                held.setdefault(batch.column(0)[k].as_py(), Counts()).add(counts(batch.column(1)[k].as_py(), opts))
+            for group, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(group, Counts()).add(Counts(documents=1) if s is None else counts(s))
             if len(held) > HELD:
                 yield out(held, batch.column(0).type)
                 held = {}

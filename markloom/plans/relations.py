@@ -7,19 +7,62 @@ that needs it.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import native, udf
+from ..kernel.events import block_events
+from ..kernel.options import options as of
+from ..kernel.shapes import Shapes
 
 
 def _exploded(docs: DataFrame, array, key: str, more: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(key, *more, F.explode(array).alias("_e")).select(key, *more, "_e.*")
 
 
-def events(docs: DataFrame, options=None, text: str = "text", key: str = "doc_id", inline: bool = True, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """One row for each event (of some kinds) of blocks and inline content; seq restores a document's order."""
-    return _exploded(docs, udf.md_events(F.col(text), options, inline, kinds), key)
+def events(docs: DataFrame, options=None, text: str = "text", key: str = "doc_id", inline: bool = True, kinds: tuple[str, ...] | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """One row for each event (of some kinds, with some fields) of blocks and inline content; seq restores a document's order."""
+    return _exploded(docs, udf.md_events(F.col(text), options, inline, kinds, fields), key)
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt out by key, so that those of a small file, which Spark reads in one task, come to all cores for the compiler."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+
+
+def event_totals(docs: DataFrame, kinds: tuple[str, ...], options=None, text: str = "text", inline: bool = True) -> DataFrame:
+    """layer, kind, n, n_docs of events of some kinds, with subtotals by layer and of all (null); rows of docs are counted as documents.
+
+    A task adds up its documents, so a row for each layer and kind leaves it.
+    """
+    opts, keep = of(options), frozenset(kinds)
+
+    def counted(s: str) -> list[tuple]:
+        n = Counter((e["layer"], e["kind"]) for e in block_events(s, opts, inline) if e["kind"] in keep)
+        for (layer, _), k in list(n.items()):
+            n[layer, None] += k
+            n[None, None] += k
+        return list(n.items())
+
+    once = Shapes(counted, ("totals", opts, keep, inline))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, n_docs = Counter(), Counter()
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                for what, k in once(s) if s is not None else ():
+                    n[what] += k
+                    n_docs[what] += 1
+        if n:
+            names, kind = zip(*n)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kind, pa.string()), pa.array(n.values(), pa.int64()), pa.array([n_docs[x] for x in n], pa.int64())], ["layer", "kind", "n", "n_docs"])
+
+    return docs.select(text).mapInArrow(run, "layer string, kind string, n long, n_docs long").groupBy("layer", "kind").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def event_counts(docs: DataFrame, options=None, text: str = "text", key: str = "doc_id", inline: bool = True) -> DataFrame:
@@ -53,7 +96,8 @@ def code_blocks(docs: DataFrame, options=None, text: str = "text", key: str = "d
 def table_cells(docs: DataFrame, options=None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Table cells: table_no, row_no (0 is the head), col_no, align, colspan, and their source."""
     kinds = ["TableStart", "TableRowStart", "TableCellStart", "Text"]
-    parts = events(docs, options, text, key, inline=False)
+    found = ("TableStart", "TableEnd", "TableRowStart", "TableCellStart", "Text")
+    parts = events(docs, options, text, key, inline=False, kinds=found, fields=("seq", "kind", "align", "colspan", "start", "end"))
     inside = Window.partitionBy(key).orderBy("seq")
     count = lambda k: F.sum((F.col("kind") == k).cast("int"))
     depth = count("TableStart").over(inside) - F.coalesce(count("TableEnd").over(inside), F.lit(0))
@@ -124,8 +168,6 @@ def rendered(docs: DataFrame, options=None, text: str = "text", key: str = "doc_
     Documents of plain paragraphs (no character that starts a construct) become HTML in built-in expressions;
     the two kinds are split by a filter, as Spark runs a Python function for all rows of a projection.
     """
-    from ..kernel.options import options as of
-
     opts = of(options)
     source = F.coalesce(F.col(text), F.lit(""))
     special = r"[\\`*_~^=$\[\]<&#>|\r\t\x00:+-]|(?m)^ |\d[.)]|@|www\.|//| \n| \z"

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import udf
-from ..operators.intervals import contained
 from ..operators.scan import last_values, running_sums
-from .relations import events
 
 CONTAINERS = ("BlockQuote", "Callout", "List", "ListItem", "FootnoteDefinition", "DefinitionList", "DefinitionDescription")
-LEVELS = 6
 
 
 def containers(found: DataFrame, key: str = "doc_id", kinds: tuple[str, ...] = CONTAINERS) -> DataFrame:
@@ -32,27 +27,19 @@ def containers(found: DataFrame, key: str = "doc_id", kinds: tuple[str, ...] = C
 def inside(docs: DataFrame, kinds: tuple[str, ...], options=None, text: str = "text", key: str = "doc_id", around: tuple[str, ...] = CONTAINERS) -> DataFrame:
     """Pairs of containers and the events of some kinds in them: key, container and seq, the kinds of both, and depth.
 
-    The containers of an event are numbered from the outermost; the compiler runs once for each document.
+    The containers of an event are numbered from the outermost. They are found where a document's events are, in order.
     """
-    wanted = (*kinds, *[k + e for k in around for e in ("Start", "End")])
-    found = events(docs, options, text, key, kinds=wanted).select(key, "seq", "kind")
-    boxes = containers(found, key, around)
-    spots = found.where(F.col("kind").isin(*kinds))
-    pairs = contained(boxes.select(key, F.col("start").alias("container"), "start", "end"), spots.select(key, F.col("seq").alias("point"), F.col("seq").alias("at")), [key])
-    out = pairs.join(boxes.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("kind").alias("container_kind")), F.col(key).eqNullSafe(F.col("_k")) & (F.col("container") == F.col("_s")))
-    out = out.join(spots.select(F.col(key).alias("_p"), F.col("seq").alias("_q"), "kind"), F.col(key).eqNullSafe(F.col("_p")) & (F.col("point") == F.col("_q")))
-    return out.select(key, "container", "container_kind", "depth", F.col("point").cast("int").alias("seq"), "kind")
+    return docs.select(key, F.explode(udf.md_containers(F.col(text), kinds, around, options)).alias("_e")).select(key, "_e.*")
+
+
+def nesting(docs: DataFrame, kinds: tuple[str, ...], options=None, text: str = "text", key: str = "doc_id", around: tuple[str, ...] = CONTAINERS) -> DataFrame:
+    """key, container_kind, depth, n_events, n_containers: the pairs of `inside` counted by kind and depth, for each row of docs."""
+    return docs.select(key, F.explode(udf.md_nesting(F.col(text), kinds, around, options)).alias("_e")).select(key, "_e.*")
 
 
 def sections(docs: DataFrame, options=None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Links, images and code blocks under their headings: key, seq, kind, url, info, path (heading texts, outermost first).
 
-    For each level the last heading is carried on to what follows it; it still counts where no heading of a lower
-    level has come since.
+    The headings above are carried on where a document's events are, in order.
     """
-    found = docs.select(key, F.explode(udf.md_landmarks(F.col(text), options)).alias("_e")).select(key, "_e.*")
-    heading = F.col("kind") == "HeadingStart"
-    last = last_values(found, [key], "seq", {f"_h{k}": F.when(heading & (F.col("level") == k), F.struct("seq", "text")) for k in range(1, LEVELS + 1)})
-    above = lambda k: reduce(F.greatest, [F.coalesce(F.col(f"_h{j}.seq"), F.lit(-1)) for j in range(1, k)], F.lit(-1))
-    path = F.array_compact(F.array(*[F.when(F.col(f"_h{k}.seq") > above(k), F.col(f"_h{k}.text")) for k in range(1, LEVELS + 1)]))
-    return last.where(~heading).select(key, "seq", "kind", "url", "info", path.alias("path"))
+    return docs.select(key, F.explode(udf.md_sections(F.col(text), options)).alias("_e")).select(key, "_e.*")

@@ -89,7 +89,7 @@ def _sql(text: str, spark: bool) -> str:
 
 def _template(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     table, key, source, options, _ = TEMPLATES[name]
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = relations.dealt(_read(spark, sf_dir, table), key)
     return rows.select(key, udf.md_to_html(F.expr(_sql(source, True)), options).alias("html"))
 
 
@@ -102,6 +102,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts, dealt out for the compiler."""
+    return relations.dealt(_read(spark, sf_dir, "part"), "p_partkey")
+
+
 def native_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Escapes of whole pages."""
     p = _read(spark, sf_dir, "pages")
@@ -189,7 +194,7 @@ def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels that parts refer to and that no definition has: an anti join of two relations."""
-    p = _read(spark, sf_dir, "part")
+    p = _parts(spark, sf_dir)
     text = F.concat(F.lit("[a][b"), (F.col("p_partkey") % 3).cast("string"), F.lit("] x\n\n[b"), (F.col("p_size") % 3).cast("string"), F.lit("]: /u"))
     docs = p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
     wanted = docs.select("doc_id", F.regexp_extract("text", r"\]\[(b\d)\]", 1).alias("label"))
@@ -197,14 +202,14 @@ def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("a|b\n-|:-:\n"), "p_name", F.lit("|"), F.col("p_size").cast("string")).alias("text"))
+    p = _parts(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("a|b\n-|:-:\n"), "p_name", F.lit("|"), F.col("p_size").cast("string")).alias("text"))
     cells = relations.table_cells(p).join(p, "doc_id")
     cut = F.decode(F.substring(F.encode("text", "UTF-8"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), "UTF-8")
     return cells.select("doc_id", F.col("row_no").cast("int").alias("row_no"), F.col("col_no").cast("int").alias("col_no"), "align", cut.alias("cell"))
 
 
 def _mdx_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read(spark, sf_dir, "part")
+    p = _parts(spark, sf_dir)
     text = F.concat(F.lit("import A from 'a'\n\n<Card n={"), F.col("p_size").cast("string"), F.lit("}>\n\n# "), "p_name", F.lit("\n\n</Card>\n"), F.when(F.col("p_size") % 2 == 0, "<Box>\n").otherwise("{x}\n"))
     return p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
 
@@ -223,7 +228,7 @@ def mdx_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mdx_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("*"), "p_name", F.lit("*")).alias("text"))
+    d = _parts(spark, sf_dir).select("p_partkey", F.concat(F.lit("*"), "p_name", F.lit("*")).alias("text"))
     return d.select("p_partkey", udf.mdx_component("text", "Page").alias("module"))
 
 
@@ -233,7 +238,7 @@ def mdx_event_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _references_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each part: two definitions, links to them, and code that is indented by two columns more."""
-    p = _read(spark, sf_dir, "part")
+    p = _parts(spark, sf_dir)
     text = F.concat(F.lit("[z]: /z\n[k]: /"), "p_size", F.lit(" 'T'\n\n[k] ![z] [x](/y)\n\n      "), "p_name", F.lit("\n"))
     return p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
 
@@ -255,7 +260,7 @@ def mdx_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fenced_renderer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function of our own for fenced code; it leaves every block without a language alone."""
-    d = _read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("```x y\n"), "p_name", F.lit("\n```\n\n```\nb\n```")).alias("text"))
+    d = _parts(spark, sf_dir).select("p_partkey", F.concat(F.lit("```x y\n"), "p_name", F.lit("\n```\n\n```\nb\n```")).alias("text"))
     return d.select("p_partkey", udf.md_to_html("text", None, _upper).alias("html"))
 
 
@@ -286,7 +291,7 @@ OBJECTIONS = [
 def mdx_objections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each code that strict reading gives, where it stands, over parts."""
     cases = F.coalesce(*[F.when(F.col("p_partkey") % len(OBJECTIONS) == k, F.expr(_sql(x[0], True))) for k, x in enumerate(OBJECTIONS)])
-    docs = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), cases.alias("text"))
+    docs = _parts(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), cases.alias("text"))
     return relations.diagnostics(docs).select("doc_id", "code", "line", "column")
 
 
@@ -311,23 +316,23 @@ def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of these documents by layer and kind, with subtotals."""
     kinds = ("TableRowStart", "TableCellStart", "ListItemStart", "BlockQuoteStart", "HeadingStart", "LinkStart", "Code", "EmphasisStart", "FootnoteRef")
-    return relations.events(_orders_source(spark, sf_dir), {"footnotes": True}, kinds=kinds).rollup("layer", "kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return relations.event_totals(_orders_source(spark, sf_dir), kinds, {"footnotes": True}).select("layer", "kind", "n", "n_docs")
 
 
 def links_in_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range join: links whose places lie between a quote's start and end; a quote's are the events around them."""
-    of = lambda *kinds: relations.events(_orders_source(spark, sf_dir), {"footnotes": True}, kinds=kinds).select("doc_id", "seq", "kind", "url")
-    ends = of("BlockQuoteStart", "BlockQuoteEnd").groupBy("doc_id")  # these documents have one quote each
-    quotes = ends.agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
-    inside = of("LinkStart").join(quotes, "doc_id").where("seq > first and seq < last")
-    return inside.groupBy("doc_id").agg(F.count("*").alias("n_links"), F.min("url").alias("least_url"))
+    """Links whose places lie between a quote's start and end; a quote's are the events around them. A document's events are one array."""
+    found = udf.md_events("text", {"footnotes": True}, kinds=("BlockQuoteStart", "BlockQuoteEnd", "LinkStart"), fields=("seq", "kind", "url"))
+    docs = _orders_source(spark, sf_dir).select("doc_id", found.alias("e"))
+    ends = F.transform(F.filter("e", lambda x: x["kind"] != "LinkStart"), lambda x: x["seq"])  # these documents have one quote each
+    inside = docs.select("doc_id", F.filter("e", lambda x: (x["kind"] == "LinkStart") & (x["seq"] > F.array_min(ends)) & (x["seq"] < F.array_max(ends))).alias("e"))
+    return inside.where(F.size("e") > 0).select("doc_id", F.size("e").cast("long").alias("n_links"), F.array_min(F.transform("e", lambda x: x["url"])).alias("least_url"))
 
 
 def documents_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of documents: with links but no code (except), with a heading and a table (intersect), and a semi join."""
-    p = _read(spark, sf_dir, "part")
+    p = _parts(spark, sf_dir)
     text = F.concat(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("[a](/"), "p_size", F.lit(")\n\n"))).otherwise(""), F.when(F.col("p_partkey") % 3 == 0, F.lit("~~~\nc\n~~~\n\n")).otherwise(""), F.when(F.col("p_partkey") % 5 == 0, F.lit("# h\n\n")).otherwise(""), F.lit("end"))
-    found = relations.events(p.select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+    found = relations.events(p.select(F.col("p_partkey").alias("doc_id"), text.alias("text")), kinds=("LinkStart", "CodeBlockStart", "HeadingStart"), fields=("kind",))
     having = lambda kind: found.where(F.col("kind") == kind).select("doc_id")
     out = having("LinkStart").exceptAll(having("CodeBlockStart")).withColumn("what", F.lit("links, no code"))
     both = having("HeadingStart").intersect(having("LinkStart")).withColumn("what", F.lit("heading and link"))
@@ -344,7 +349,7 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators import register
 
     register(spark)
-    _read(spark, sf_dir, "part").createOrReplaceTempView("_part_texts")
+    _parts(spark, sf_dir).createOrReplaceTempView("_part_texts")
     try:
         return spark.sql("select p_partkey, md_html_gfm(concat('**', p_name, '**')) as html, h.id, h.level from _part_texts, lateral md_headings(concat('## ', p_name)) h")
     finally:
@@ -353,7 +358,7 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of inline content alone: places, emphasis, code, a bare address and a hard break."""
-    p = _read(spark, sf_dir, "part")
+    p = _parts(spark, sf_dir)
     text = F.concat(F.lit("\u00e9 **"), "p_name", F.lit("** `"), "p_size", F.lit("`  \nhttp://a.b/"), "p_size")
     found = p.select("p_partkey", F.explode(udf.md_inline_events(text)).alias("e"))
     return found.select("p_partkey", "e.seq", "e.kind", "e.url", F.when(F.col("e.kind") == "Code", F.col("e.text")).alias("code"))
@@ -361,7 +366,7 @@ def inline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mdx_inline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expressions and tags within text, and alone in a quote, where they are flow."""
-    p = _read(spark, sf_dir, "part")
+    p = _parts(spark, sf_dir)
     text = F.concat(F.lit("a {"), "p_size", F.lit("} *b* <B n={1}>"), "p_name", F.lit("</B> <C />\n\n> {"), "p_size", F.lit("}\n\n- <D />\n"))
     found = relations.mdx_events(p.select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
     return found.where("kind like '%Mdx%' or kind like 'Flow%'").select("doc_id", "layer", "kind", "start", "end", F.col("text").alias("source"))
@@ -400,7 +405,7 @@ def events_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headings_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("# "), "p_name", F.lit("\n\n## "), "p_name").alias("text"))
+    p = _parts(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("# "), "p_name", F.lit("\n\n## "), "p_name").alias("text"))
     return _table_function(spark, p, "select doc_id, seq, level, id, text from md_headings_of({})")
 
 
