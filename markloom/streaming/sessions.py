@@ -38,10 +38,10 @@ class FirstDefinitions(StatefulProcessor):
         self.sessions = handle.getMapState("sessions", "start long", "end long")
         self.definitions = handle.getMapState("definitions", "start long, label string", "ts long, id long, url string, n long")
 
-    def _reach(self, ends: dict[int, int], at: int) -> int:
-        """The start of the session that a message at this time belongs to; sessions that it joins become one."""
-        near = sorted(s for s, e in ends.items() if s - self.gap <= at <= e + self.gap)
-        start, end = min([at, *near]), max([at, *(ends[s] for s in near)])
+    def _reach(self, ends: dict[int, int], first: int, last: int) -> int:
+        """The start of the session that a run of messages from first to last belongs to; sessions that it joins become one."""
+        near = sorted(s for s, e in ends.items() if s - self.gap <= last and first <= e + self.gap)
+        start, end = min([first, *near]), max([last, *(ends[s] for s in near)])
         for s in near:
             if s != start:
                 del ends[s]
@@ -64,20 +64,35 @@ class FirstDefinitions(StatefulProcessor):
         self.definitions.updateValue(key, tuple(value))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        """Messages of a piece that are not more than a gap apart meet the state as one run, with the first of each label."""
         ends = {k[0]: v[0] for k, v in self.sessions.iterator()}
         touched = set()
         for part in rows:
-            part = part.sort_values(["at", "message_id"])
-            for at, ident, label, url in zip(part["at"], part["message_id"], part["label"], part["url"]):
-                start = self._reach(ends, int(at))
+            for first, last, found in self._runs(part):
+                start = self._reach(ends, first, last)
                 touched.add(start)
-                if label is not None and label == label:
-                    self._define(start, label, (int(at), int(ident), url, 1))
+                for label, value in found.items():
+                    self._define(start, label, value)
         for start in touched & set(ends):
             self.sessions.updateValue((start,), (ends[start],))
             self.handle.registerTimer((ends[start] + self.gap) // 1000 + 1)
         return iter(())
 
+    def _runs(self, part: pd.DataFrame) -> Iterator[tuple[int, int, dict[str, tuple]]]:
+        """First and last time, and the first definition of each label (with their number), of messages that belong together."""
+        first, last, found = None, None, {}
+        rows = sorted(zip(part["at"].tolist(), part["message_id"].tolist(), part["label"].tolist(), part["url"].tolist()), key=lambda x: (x[0], x[1], x[3] or ""))
+        for at, ident, label, url in rows:
+            if first is not None and at - last > self.gap:
+                yield first, last, found
+                first, found = None, {}
+            first, last = at if first is None else first, at
+            if label is not None and label == label:
+                known = found.get(label)
+                found[label] = (at, ident, url, 1) if known is None else (*known[:3], known[3] + 1)
+        if first is not None:
+            yield first, last, found
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         """Writes the sessions that nothing can reach any more; a timer of a session that has grown since finds none."""
         now = timerValues.getCurrentWatermarkInMs() * 1000
@@ -123,13 +138,20 @@ def run(stream: DataFrame, path: str, checkpoint: str, partitions: int | None =
         return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def replay(rows: DataFrame, batch: str, n: int, folder: str) -> DataFrame:
-    """rows as a stream that brings those of batch 0, 1, ... n-1 in turn, one file and one batch each."""
+def replay(rows: DataFrame, batch: str, n: int, folder: str, files: int | None = None) -> DataFrame:
+    """rows as a stream that brings those of batch 0, 1, ... n-1 in turn, each in as many files (None: one a core).
+
+    A file has a row that only marks it, so that none is empty and each batch has all its files.
+    """
     spark = rows.sparkSession
+    files = files or spark.sparkContext.defaultParallelism
     kept = rows.drop(batch)
+    marks = spark.range(files).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kept.schema.fields], F.lit(True).alias("_mark"), F.col("id").cast("int").alias("_file"))
     for k in range(n):
-        rows.where(F.col(batch) == k).drop(batch).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        some = rows.where(F.col(batch) == k).drop(batch).select("*", F.lit(False).alias("_mark"), F.pmod(F.xxhash64(*kept.columns), F.lit(files)).cast("int").alias("_file"))
+        some.unionByName(marks).repartitionById(files, "_file").drop("_file").write.mode("append").parquet(folder)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return spark.readStream.schema(f"{kinds}, _mark boolean").option("maxFilesPerTrigger", files).parquet(folder).where("not _mark").drop("_mark")
 
 
 def message_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
