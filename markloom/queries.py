@@ -19,6 +19,8 @@ from .kernel.text import DISALLOWED_TAGS, SAFE_SCHEMES
 from .plans import relations
 
 NL = "chr(10)"
+#: Groups of documents that a table function gets.
+PARTS = 1024
 _FN = "'<sup><a href=\"#user-content-fn-a' || p_partkey || '\" id=\"user-content-fnref-a' || p_partkey || '\" data-footnote-ref>1</a></sup>'"
 
 #: name: (table, key, Markdown in SQL, options, HTML in SQL). P, S, N stand for the part's name, its size and a line feed.
@@ -389,13 +391,16 @@ def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _table_function(spark: SparkSession, docs: DataFrame, select: str) -> DataFrame:
-    """A table function over all rows of docs, by SQL; the view is dropped once the plan is made."""
+    """A table function over all rows of docs, by SQL; the view is dropped once the plan is made.
+
+    Documents are dealt out in PARTS groups: a group of one document would be a call and an Arrow table of its own.
+    """
     from .operators import tables
 
     tables.register(spark)
-    docs.createOrReplaceTempView("_markloom_documents")
+    docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).createOrReplaceTempView("_markloom_documents")
     try:
-        return spark.sql(select.format("table(_markloom_documents) partition by doc_id"))
+        return spark.sql(select.format("table(_markloom_documents) partition by part"))
     finally:
         spark.catalog.dropTempView("_markloom_documents")
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from markloom.functions import udf
 from markloom.kernel import events, render, shapes, within
 from markloom.kernel.counters import ShapedCounts, counts
 from markloom.kernel.options import options
+from markloom.operators import tables
 from markloom.plans import relations
 
 ATOMS = ["1", "22", "3", "007", " ", "\n", "\n\n", "# ", "> ", "- ", "a", "b ", "*", "**", "`", "[", "]", "(", ")", "|", "1. ", "2) ", "[^1]", "[^n]", "[^n]: ", "[^1]: ", "[1]: /u1", "/", "-", "\n===\n", "|-|-|\n", "    ", "```\n", "[a](/b 2)", ": ", "x1:", "&#4", "<b1>", "\\", "`A`", "`a`", "[`A`]", "[`a`]: /x", "\n\n[c](/c1)\n\n"]
@@ -90,3 +92,12 @@ def test_equal_texts_of_a_batch_share_rows(spark):
     docs = spark.createDataFrame([(k, None if k % 5 == 0 else f"*{k % 3}* [a](/b)") for k in range(60)], "doc_id long, text string").coalesce(1)
     got = {r["doc_id"]: r["e"] for r in docs.select("doc_id", udf.md_events("text").alias("e")).collect()}
     assert all((got[k] is None) == (k % 5 == 0) for k in got) and got[1] == got[4] and [e["kind"] for e in got[1]] == ["ParagraphStart", "EmphasisStart", "Text", "EmphasisEnd", "Text", "LinkStart", "Text", "LinkEnd", "ParagraphEnd"]
+
+
+def test_a_table_function_compiles_equal_texts_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(tables, "arrow_udtf", lambda handler, returnType: handler)  # noqa: N803
+    f = tables._function({"seq": "int", "text": "string"}, lambda s: calls.append(s) or [{"seq": 0, "text": s}, {"seq": 1}], "bigint", ("once",))
+    texts = ["a", None, "b", "a", "b", "a"]
+    out = [r for t in f().eval(pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": texts})) for r in t.to_pylist()]
+    assert calls == ["a", "b"] and out == [x for k, s in enumerate(texts) if s for x in ({"doc_id": k, "seq": 0, "text": s}, {"doc_id": k, "seq": 1, "text": None})]
