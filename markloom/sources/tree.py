@@ -14,7 +14,12 @@ Writing: doc_id and html (or text) to a file each, `.md` and the like replaced b
 below the target; when all have ended their files are moved to their places and `_SUCCESS` is written, and when
 the job fails the folder is removed, so failed or repeated tasks leave nothing. In `overwrite` mode what was there goes
 after all tasks have succeeded. Two rows with one name fail the job. The file system is the one that pyarrow finds
-for the path (local, HDFS, S3, ...); names of files, not their content, are held by the driver, as for Spark's own file sources.
+for the path (local, HDFS, S3, ...).
+
+The driver holds the names of LISTED files at most. A batch over a larger tree has partitions that are shares of folders: the driver
+goes through the names once and keeps sizes by folder, and a task lists its folder and takes the names that fall to its share
+(files that come or go meanwhile may be read or not). Writing tasks keep names in files of the job's folder, by GROUPS hashes; the driver
+takes one group at a time, first to find names that are there twice, then to move. Names of folders, and those of a stream's files, are held whole.
 
 Options: `suffixes` (.md,.mdx,.markdown), `partitionBytes` (16m of text), `maxFilesPerTrigger`, `settleSeconds` (a stream leaves files
 that changed so recently for later, since another of the same instant may still come).
@@ -23,10 +28,13 @@ that changed so recently for later, since another of the same instant may still
 from __future__ import annotations
 
 import heapq
+import json
+import os
 import posixpath
 import time
 import uuid
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -38,6 +46,10 @@ from pyspark.sql.types import StructType
 SCHEMA = "doc_id string, text string, size long, is_mdx boolean"
 #: Bytes of text in a batch, and files that are moved at once.
 HELD, MOVERS = 4_000_000, 16
+#: Files whose names a batch's driver holds, files of a share, and the most shares that a folder has for their number alone.
+LISTED, SHARE, SHARES = 20_000, 2000, 64
+#: Groups of names of written files, and names that a task holds.
+GROUPS, NAMES = 64, 100_000
 
 
 @dataclass(frozen=True)
@@ -64,15 +76,46 @@ class Tree:
     def open(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{posixpath.abspath(self.path)}")
 
-    def files(self) -> list[File]:
-        """Documents of the tree; folders whose names start with _ or . are not read."""
+    def folders(self) -> Iterator[str]:
+        """The tree's folders, its own as ''; those whose names start with _ or . are not read."""
+        where, base = self.open()
+        left = [""]
+        while left:
+            here = left.pop()
+            yield here
+            left += [posixpath.join(here, name) for name, is_file, _ in _listed(where, posixpath.join(base, here), False) if not is_file and name[0] not in "_."]
+
+    def within(self, folder: str, share: tuple[int, int] = (0, 1)) -> Iterator[File]:
+        """Documents of a folder, or of one of its shares by name."""
         where, base = self.open()
-        out = []
-        for x in where.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)):
-            name = posixpath.relpath(x.path, base)
-            if x.is_file and name.endswith(self.suffixes) and not any(p[0] in "_." for p in name.split("/")):
-                out.append(File(x.path, name, x.size, x.mtime_ns or 0))
-        return out
+        k, n = share
+        for name, is_file, facts in _listed(where, posixpath.join(base, folder), True):
+            if is_file and name[0] not in "_." and name.endswith(self.suffixes) and (n == 1 or zlib.crc32(name.encode("utf-8", "surrogateescape")) % n == k):
+                yield File(posixpath.join(base, folder, name), posixpath.join(folder, name), *facts())
+
+    def found(self) -> Iterator[File]:
+        for folder in self.folders():
+            yield from self.within(folder)
+
+    def files(self) -> list[File]:
+        """Documents of the tree."""
+        return list(self.found())
+
+
+def _listed(where: fs.FileSystem, folder: str, files: bool) -> Iterator[tuple[str, bool, Callable[[], tuple[int, int]]]]:
+    """Name, whether a file, and what gives size and time of what is in a folder; of local folders one name at a time."""
+    if isinstance(where, fs.LocalFileSystem):
+        if not os.path.isdir(folder):
+            return
+        with os.scandir(folder) as found:
+            for x in found:
+                is_folder = x.is_dir()
+                if is_folder or (files and x.is_file()):
+                    yield x.name, not is_folder, lambda x=x: (x.stat().st_size, x.stat().st_mtime_ns)
+        return
+    for x in where.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if x.is_file or x.type == fs.FileType.Directory:
+            yield x.base_name, x.is_file, lambda x=x: (x.size, x.mtime_ns or 0)
 
 
 class Bin(InputPartition):
@@ -80,8 +123,26 @@ class Bin(InputPartition):
         super().__init__(files)
         self.files = files
 
+    def found(self, tree: Tree) -> Iterable[File]:
+        return self.files
 
-def bins(files: list[File], limit: int) -> list[Bin]:
+
+@dataclass(frozen=True)
+class Share:
+    """One of the shares of a folder, by hashes of names."""
+
+    path: str
+    share: tuple[int, int]
+    size: int
+
+
+class Shares(Bin):
+    def found(self, tree: Tree) -> Iterator[File]:
+        for x in self.files:
+            yield from tree.within(x.path, x.share)
+
+
+def bins(files: list[File] | list[Share], limit: int) -> list[Bin]:
     """Files in as many bins as their bytes need, the largest first and each to the emptiest bin."""
     if not files:
         return []
@@ -124,12 +185,31 @@ class TreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.tree, self.filters = Tree(options), []
 
+    def _keep(self, x: File) -> bool:
+        return all(_TESTS[type(f)](x.value(f.attribute[0]), f.value) for f in self.filters)
+
     def partitions(self) -> list[InputPartition]:
-        keep = lambda x: all(_TESTS[type(f)](x.value(f.attribute[0]), f.value) for f in self.filters)
-        return bins([f for f in self.tree.files() if keep(f)], self.tree.limit) or [Bin([])]
+        files: list[File] | None = []
+        sizes: dict[str, list[int]] = {}
+        for f in filter(self._keep, self.tree.found()):
+            of = sizes.setdefault(posixpath.dirname(f.doc_id), [0, 0])
+            of[0] += 1
+            of[1] += f.size
+            if files is not None:
+                files.append(f)
+                if len(files) > LISTED:
+                    files = None
+        if files is not None:
+            return bins(files, self.tree.limit) or [Bin([])]
+        weight = self.tree.limit // SHARE  # so that a task has SHARE small files or so
+        parts = []
+        for folder, (n, size) in sizes.items():
+            shares = max(-(-size // self.tree.limit), min(SHARES, -(-n // SHARE)), 1)
+            parts += [Share(folder, (k, shares), (size + weight * n) // shares) for k in range(shares)]
+        return [Shares(b.files) for b in bins(parts, self.tree.limit)]
 
     def read(self, partition: Bin) -> Iterator[pa.RecordBatch]:
-        return _batches(self.tree, partition.files)
+        return _batches(self.tree, filter(self._keep, partition.found(self.tree)))
 
 
 class ChoosingReader(TreeReader):
@@ -180,8 +260,28 @@ class TreeStream(DataSourceStreamReader):
 
 @dataclass
 class Written(WriterCommitMessage):
+    """A task's folder, and where in its file of names each group of each run begins and ends."""
+
     folder: str
-    names: list[str]
+    runs: list[list[int]]
+
+    def names(self, where: fs.FileSystem, group: int) -> Iterator[str]:
+        with where.open_input_file(f"{self.folder}.names") as f:
+            for ends in self.runs:
+                f.seek(ends[group])
+                yield from map(json.loads, f.read(ends[group + 1] - ends[group]).splitlines())
+
+
+def _put_names(out, names: list[str]) -> list[int]:
+    """Writes names by group, one a line; where each group begins, and the end."""
+    groups: list[list[str]] = [[] for _ in range(GROUPS)]
+    for n in names:
+        groups[zlib.crc32(n.encode("utf-8", "surrogateescape")) % GROUPS].append(json.dumps(n) + "\n")
+    ends = [out.tell()]
+    for g in groups:
+        out.write("".join(g).encode())
+        ends.append(out.tell())
+    return ends
 
 
 def target(doc_id: str, suffixes: tuple[str, ...]) -> str:
@@ -215,37 +315,47 @@ class TreeWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         where, base = self.tree.open()
         folder = f"{base}/{self.job}/{uuid.uuid4().hex}"
-        names, made = [], set()
-        for batch in iterator:
-            for doc_id, html in zip(batch.column("doc_id"), batch.column(self.column)):
-                if doc_id.as_py() is None:
-                    raise ValueError("a document without doc_id has no file name")
-                name = target(str(doc_id.as_py()), self.tree.suffixes)
-                self._folders(where, folder, name, made)
-                with where.open_output_stream(f"{folder}/{name}") as out:
-                    out.write((html.as_py() or "").encode())
-                names.append(name)
-        return Written(folder, names)
+        names, made, runs = [], set(), []
+        with where.open_output_stream(f"{folder}.names") as listed:
+            for batch in iterator:
+                for doc_id, html in zip(batch.column("doc_id"), batch.column(self.column)):
+                    if doc_id.as_py() is None:
+                        raise ValueError("a document without doc_id has no file name")
+                    name = target(str(doc_id.as_py()), self.tree.suffixes)
+                    self._folders(where, folder, name, made)
+                    with where.open_output_stream(f"{folder}/{name}") as out:
+                        out.write((html.as_py() or "").encode())
+                    names.append(name)
+                    if len(names) >= NAMES:
+                        runs.append(_put_names(listed, names))
+                        names = []
+            if names:
+                runs.append(_put_names(listed, names))
+        return Written(folder, runs)
 
     def commit(self, messages: list[Written | None]) -> None:
         where, base = self.tree.open()
-        done = [m for m in messages if m is not None]
-        moves = {}
-        for m in done:
-            for n in m.names:
-                if n in moves:
+        done = [m for m in messages if m is not None and m.runs]
+        for group in range(GROUPS):
+            seen = set()
+            for n in (n for m in done for n in m.names(where, group)):
+                if n in seen:
                     self.abort(messages)
                     raise ValueError(f"two documents have the file {n}")
-                moves[n] = f"{m.folder}/{n}"
+                seen.add(n)
         where.create_dir(base, recursive=True)
         if self.overwrite:
-            for x in where.get_file_info(fs.FileSelector(base)):
-                if posixpath.basename(x.path) != self.job:
-                    where.delete_file(x.path) if x.is_file else where.delete_dir(x.path)
-        for d in {posixpath.dirname(n) for n in moves} - {""}:
-            where.create_dir(f"{base}/{d}", recursive=True)
+            for name, is_file, _ in _listed(where, base, True):
+                if name != self.job:
+                    where.delete_file(f"{base}/{name}") if is_file else where.delete_dir(f"{base}/{name}")
+        made = {""}
         with ThreadPoolExecutor(MOVERS) as pool:
-            list(pool.map(lambda x: where.move(x[1], f"{base}/{x[0]}"), moves.items()))
+            for group in range(GROUPS):
+                moves = {n: f"{m.folder}/{n}" for m in done for n in m.names(where, group)}
+                for d in {posixpath.dirname(n) for n in moves} - made:
+                    where.create_dir(f"{base}/{d}", recursive=True)
+                    made.add(d)
+                list(pool.map(lambda x: where.move(x[1], f"{base}/{x[0]}"), moves.items()))
         with where.open_output_stream(f"{base}/_SUCCESS"):
             pass
         self._clear(where, base)

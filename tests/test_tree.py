@@ -2,12 +2,15 @@
 
 import os
 import time
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from markloom.functions import udf
-from markloom.sources.tree import DocumentTree, File, bins, target
+from markloom.sources import tree as sources
+from markloom.sources.tree import DocumentTree, File, TreeReader, TreeWriter, bins, target
 
 
 def put(folder, files):
@@ -90,3 +93,24 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     put(tmp_path / "in", {"0/new.md": "new"})
     assert first == [(f"{k}.md", f"<p>t{k}</p>\n") for k in range(5)]
     assert run() == sorted([*first, ("0/new.md", "<p>new</p>\n")])
+
+
+def test_the_driver_holds_no_names_of_a_large_tree(tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "LISTED", 50)
+    monkeypatch.setattr(sources, "SHARE", 10)
+    put(tmp_path, {f"f{k % 3}/sub/{k}.md": f"t{k}" for k in range(300)} | {"top.md": "t", "_no/x.md": "no", ".x.md": "no"})
+    reader = TreeReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted([("top.md", "t"), *((f"f{k % 3}/sub/{k}.md", f"t{k}") for k in range(300))])
+    assert len(parts) > 10 and ".md" not in repr([p.files for p in parts])
+
+
+def test_what_tasks_tell_the_driver_has_no_names(tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "NAMES", 7)
+    w = TreeWriter({"path": str(tmp_path)}, SimpleNamespace(names=["doc_id", "html"]), False)
+    batch = lambda ids: iter([pa.RecordBatch.from_pydict({"doc_id": [f"d{k % 2}/\u00e9\n{k}.md" for k in ids], "html": [str(k) for k in ids]})])
+    told = [w.write(batch(range(k, k + 50))) for k in (0, 50)] + [w.write(iter(()))]
+    assert ".html" not in repr(told) and len(told[0].runs) == 8
+    w.commit(told)
+    assert tree(tmp_path) == {f"d{k % 2}/\u00e9\n{k}.html": str(k) for k in range(100)} | {"_SUCCESS": ""}
