@@ -203,8 +203,11 @@ def md_places(c: Column | str, at: Column | str) -> Column:
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spots in batches:
-            found = [None if s is None or a is None else [{"at": k, "line": n, "column": m} for k, (n, m) in zip(a, text.places(s, a))] for s, a in zip((x.as_py() for x in texts), spots.to_pylist())]
-            yield pa.array(found, pa.list_(pa.struct([("at", pa.int64()), ("line", pa.int32()), ("column", pa.int32())])))
+            asked: dict = {}  # equal texts with equal places have equal rows
+            at = [asked.setdefault((s.as_py(), None if a is None else tuple(a)), len(asked)) for s, a in zip(texts, spots.to_pylist())]
+            found = [None if s is None or a is None else [{"at": k, "line": n, "column": m} for k, (n, m) in zip(a, text.places(s, list(a)))] for s, a in asked]
+            out = pa.array(found, pa.list_(pa.struct([("at", pa.int64()), ("line", pa.int32()), ("column", pa.int32())])))
+            yield out if len(found) == len(at) else out.take(pa.array(at, pa.int32()))
 
     return F.arrow_udf(run, "array<struct<at:long,line:int,column:int>>")(c, at)
 

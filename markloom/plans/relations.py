@@ -148,6 +148,13 @@ def located(docs: DataFrame, places: DataFrame, text: str = "text", key: str = "
     return found.select(key, "_e.*")
 
 
+def event_places(docs: DataFrame, kinds: tuple[str, ...], options=None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, at, line, column of the starts of events of some kinds, each once: found where a document's events are, without a join."""
+    starts = F.transform(udf.md_events(F.col(text), options, kinds=kinds, fields=("start",)), lambda e: e["start"])
+    asked = docs.select(key, F.col(text).alias("_t"), F.array_sort(F.array_distinct(starts)).alias("_at"))
+    return _exploded(asked, udf.md_places("_t", "_at"), key)
+
+
 def valid_mdx(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents that strict reading accepts."""
     return docs.where(F.size(udf.mdx_diagnostics(F.col(text))) == 0)

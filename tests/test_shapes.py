@@ -101,3 +101,12 @@ def test_a_table_function_compiles_equal_texts_once(monkeypatch):
     texts = ["a", None, "b", "a", "b", "a"]
     out = [r for t in f().eval(pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": texts})) for r in t.to_pylist()]
     assert calls == ["a", "b"] and out == [x for k, s in enumerate(texts) if s for x in ({"doc_id": k, "seq": 0, "text": s}, {"doc_id": k, "seq": 1, "text": None})]
+
+
+def test_places_of_events_need_no_join(spark):
+    texts = ["\u00e9 [a](/b)\n\n[c](/d) [e](/f)", None, "plain", "> [a](/b)"]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string")
+    found = relations.event_places(docs, ("LinkStart",))
+    at = relations.events(docs.distinct(), kinds=("LinkStart",)).select("doc_id", F.col("start").alias("at"))
+    want = [tuple(r) for r in relations.located(docs.distinct(), at).collect()]
+    assert "Join" not in found._jdf.queryExecution().toString() and sorted(map(tuple, found.collect())) == sorted([*want, *[r for r in want if r[0] == 3]])
