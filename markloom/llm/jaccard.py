@@ -9,7 +9,8 @@ shingle among the first n - ceil(0.8 n) + 1 of both, so index lists hold those o
   a block is skipped as a whole where these leave no room for enough common shingles, then a set in it for its own.
 * First each list's sets are checked against the list's leader only (the one with the fewest rarer shingles, so
   most like the original of a group of near copies, and of these the least hash, so that a group has few leaders). Sets found similar to the leader take over its component.
-* Then all pairs of a list that still lie in different components are candidates; parity bitmaps (an exact
+* Then all pairs of a list that still lie in different components are candidates, those with its leader apart, which are
+  answered; a set that has room with none of its list but the leader is not asked again. Parity bitmaps (an exact
   bound on the difference) drop most, the others are checked. Within a component nothing is checked again, so
   groups of copies cost a star, not all their pairs, and no link between components is missed.
 * Partners of one set are answered together, up to some `PARTNERS` of them (a set with more is asked in several groups, and
@@ -155,8 +156,31 @@ def room(na: np.ndarray, i: np.ndarray, nb: np.ndarray, j: np.ndarray) -> np.nda
 FOUND = "kind int, bucket int, token long, x long, y long, n int, pos int, size int"
 
 
+def paired(token: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which entries have room with another of their list; in lists of over LONG_LIST + 1 entries all count as such."""
+    order = np.lexsort((n, token))
+    t, a, p = token[order], n[order], pos[order]
+    keep = np.zeros(len(t), bool)
+    i = np.arange(len(t))
+    for k in range(1, LONG_LIST + 2):
+        i = i[i + k < len(t)]
+        i = i[t[i + k] == t[i]]
+        if not len(i):
+            break
+        go = i if k > LONG_LIST else i[room(a[i], p[i], a[i + k], p[i + k])]
+        keep[go] = keep[go + k] = True
+        if k > LONG_LIST:
+            keep |= np.isin(t, t[go])
+    out = np.empty(len(t), bool)
+    out[order] = keep
+    return out
+
+
 def _meet(group: pa.Table) -> pa.Table:
-    """kind 0: pairs of a list's leader and another set; kind 1: entries of lists of three sets or more."""
+    """kind 0: pairs of a list's leader and another set; kind 1: the other sets that can be linked with each other.
+
+    What has room with the leader alone is decided by kind 0.
+    """
     bucket = group.column("bucket")[0].as_py()
     parts = [unpack(b) for b in group.column("body").to_pylist()]
     token, pos = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int64)
@@ -167,12 +191,12 @@ def _meet(group: pa.Table) -> pa.Table:
     new[1:] = token[1:] != token[:-1]
     group_of = np.cumsum(new) - 1
     head = np.flatnonzero(new)[group_of]
-    sizes = np.bincount(group_of)[group_of]
     star = ~new & room(n, pos, n[head], pos[head])
     x, y = node[head][star], node[star]
     pairs = np.unique(np.stack([x, y]), axis=1) if len(x) else np.empty((2, 0), np.int64)
-    m, rest = pairs.shape[1], sizes > 2
-    k = int(rest.sum())
+    m, rest = pairs.shape[1], np.flatnonzero(~new)
+    rest = rest[paired(token[rest], n[rest], pos[rest])]
+    k, sizes = len(rest), np.bincount(group_of[rest], minlength=1)[group_of[rest]]
     none = np.arange(m + k) < m
     token = np.concatenate([np.zeros(m, np.int64), token[rest].view(np.int64)])
     return pa.table(
@@ -184,7 +208,7 @@ def _meet(group: pa.Table) -> pa.Table:
             pa.array(np.concatenate([pairs[1], np.zeros(k, np.int64)]), mask=~none),
             pa.array(np.concatenate([np.zeros(m, np.int64), n[rest]]).astype(np.int32), mask=none),
             pa.array(np.concatenate([np.zeros(m, np.int64), pos[rest]]).astype(np.int32), mask=none),
-            pa.array(np.concatenate([np.zeros(m, np.int64), sizes[rest]]).astype(np.int32), mask=none),
+            pa.array(np.concatenate([np.zeros(m, np.int64), sizes]).astype(np.int32), mask=none),
         ],
         [c.split()[0] for c in FOUND.split(", ")],
     )
@@ -361,9 +385,10 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     once = table(once, "pairs")  # read three times below
     groups = once.groupBy("x").agg(F.ceil(F.count("*") / PARTNERS).alias("groups"))
     side = once.join(groups, "x").select("x", "y", F.pmod(F.xxhash64("y"), "groups").alias("g"))
-    partners = side.join(texts.select(F.col("node").alias("y"), "z"), "y").select("x", "g", "y", "z")
-    own = groups.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g")).join(texts.select(F.col("node").alias("x"), "z"), "x").select("x", "g", F.lit(None).cast("long").alias("y"), "z")
-    dealt = own.unionByName(partners).repartition(spread, "x", "g").sortWithinPartitions("x", "g", F.col("y").asc_nulls_first())
+    own = groups.select("x", F.lit(None).cast("long").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"))
+    # sets and partners meet the texts in one join, so that texts are dealt once
+    asked = own.unionByName(side).withColumn("node", F.coalesce("y", "x")).join(texts, "node").select("x", "g", "y", "z")
+    dealt = asked.repartition(spread, "x", "g").sortWithinPartitions("x", "g", F.col("y").asc_nulls_first())
     return dealt.mapInArrow(_check, "x long, y long, derived boolean")
 
 

@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from test_llm import brute_components, by_id
 
 from markloom.llm import jaccard
@@ -59,3 +61,38 @@ def test_groups_of_partners_lose_nothing(spark, monkeypatch, partners):
     links = tables["near"].collect()
     assert links and len({(min(r["x"], r["y"]), max(r["x"], r["y"])) for r in links}) == len(links)
     assert sum(r["derived"] for r in links) > (len(links) / 2 if partners > 3 else 0)
+
+
+def test_index_entries_that_cannot_be_linked_go():
+    """Entries are kept for pairs without the list's leader alone, and no pair with room is lost."""
+    rng = np.random.default_rng(6)
+    dropped = 0
+    for _ in range(30):
+        size = int(rng.integers(1, 120))
+        n = rng.integers(5, rng.choice([9, 60, 400]), size)
+        pos = (rng.random(size) * jaccard.prefix_size(n)).astype(np.int64)
+        node, token = rng.permutation(size).astype(np.int64), np.sort(rng.integers(0, rng.choice([2, 9, 40]), size)).astype(np.uint64)
+        body = jaccard.pack(token, np.arange(size, dtype=np.uint32), pos.astype(np.uint32), node, n.astype(np.uint32))
+        found = jaccard._meet(pa.table([pa.array([0], pa.int32()), pa.array([body], pa.binary())], ["bucket", "body"])).to_pylist()
+        kept = {(r["token"], r["x"]): r["size"] for r in found if r["kind"] == 1}
+        star = {(r["x"], r["y"]) for r in found if r["kind"] == 0}
+        for t in np.unique(token):
+            own = np.flatnonzero(token == t)
+            own = own[np.lexsort((jaccard.mix(node[own].view(np.uint64)), pos[own]))]
+            far = {int(a): {int(b) for b in own if b != a and jaccard.room(n[a], pos[a], n[b], pos[b])} for a in own}
+            lead, name = int(own[0]), int(t.view(np.int64))
+            assert (name, int(node[lead])) not in kept
+            assert all((int(node[lead]), int(node[b])) in star for b in far[lead])
+            there = {int(a) for a in own[1:] if (name, int(node[a])) in kept}
+            need = {int(a) for a in own[1:] if far[int(a)] - {lead}}
+            assert need <= there and (there == need or len(own) > jaccard.LONG_LIST)
+            assert {kept[name, int(node[a])] for a in there} <= {len(there)}
+            dropped += len(own) - len(there)
+    assert dropped
+
+
+def test_texts_are_dealt_once_to_be_compared(spark):
+    z = zstandard.ZstdCompressor()
+    texts = spark.createDataFrame([(k, z.compress(r[1].encode())) for k, r in enumerate(near_copies(n=20))], "node long, z binary")
+    links = jaccard._links(spark.createDataFrame([(0, 1), (0, 2)], "x long, y long"), texts)
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
