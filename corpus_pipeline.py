@@ -26,10 +26,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near duplicates; of repeated rows one."""
     groups = jaccard.join(docs)
-    keep = table(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count(), "keep")
+    n_kept = F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # the ids of what goes are few beside those of what stays, so that texts need not be dealt out to meet them
+    odd = table(groups.groupBy("doc_id").agg(n_kept.alias("n_kept")).where("n_kept <> 1"), "odd")
     rows = docs.select(F.struct(*[docs[f"`{n}`"] for n in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    out = rows.join(keep.select("doc_id"), F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
-    return out if keep.where("count > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    out = rows.join(odd.where("n_kept = 0").select("doc_id"), F.col("id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")
+    return out if odd.where("n_kept > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,24 @@ def test_stages(spark, tmp_path):
     assert five.count() == four.count() and five.where("not agreed").count() == 0
 
 
+def test_only_ids_that_go_are_written(spark, monkeypatch):
+    """Texts meet the ids of what goes, not of what stays; a doc_id stays with all its rows if one of them does."""
+    given = rows()[:90]
+    want = {k for k, (_, c) in brute_components(given).items() if c == k}
+    written, honest = [], corpus_pipeline.table
+
+    def table(df, name, *a):
+        written.append(honest(df, name, *a))
+        return written[-1]
+
+    monkeypatch.setattr(corpus_pipeline, "table", table)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(given, SCHEMA), "").collect()} == want
+    assert sum(t.count() for t in written) == 90 - len(want)
+    shared = [(1, given[0][1], *given[0][2:]), (2, given[0][1], *given[0][2:]), (2, given[5][1], *given[5][2:])]
+    found = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(shared, SCHEMA), "")
+    assert sorted(r["doc_id"] for r in found.collect()) == [1, 2, 2]
+
+
 def test_run(spark, tmp_path):
     spark.createDataFrame(rows(), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
