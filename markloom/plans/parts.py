@@ -12,6 +12,7 @@ compiled whole. A null text is one row with null; an empty one a row with ''. Ke
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +57,36 @@ def cut(docs: DataFrame, options=None, size: int = SIZE, text: str = "text", key
     return docs.select(key, text).mapInArrow(run, f"{_typed(docs, key)}, part long, text string")
 
 
+def gathered(rows: DataFrame, size: int = SIZE, text: str = "text", key: str = "doc_id", order: str = "seq") -> DataFrame:
+    """key, part, text: the same for documents that stand in rows, in order of a column of longs from 0 to below NOTES; none is held whole.
+
+    Parts begin where rows do, so a row must begin at a safe place, after a blank line. A part's number is its first row's place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, now, start, last, held, some = None, None, 0, None, 0, []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([start], pa.int64()), pa.array(["".join(some)], pa.string())], [key, "part", "text"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for k, at, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if some and (k != now or (held >= size and at != last)):
+                    yield out()
+                    held, some = 0, []
+                if not some:
+                    now, start = k, at
+                some.append(s or "")
+                held, last = held + len(some[-1]), at
+        if some:
+            yield out()
+
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(key, F.col(order).cast("long").alias("part"), text).repartitionByRange(spread, key, "part").sortWithinPartitions(key, "part")
+    return dealt.mapInArrow(run, f"{_typed(rows, key)}, part long, text string")
+
+
 FACTS = "open string, refs array<struct<label:string,url:string,title:string>>, notes array<struct<label:string,info:string>>, slugs map<string,int>, labels array<string>, note_labels array<string>"
 
 
@@ -98,11 +129,11 @@ def _whole(parts: DataFrame, opts: Options, key: str) -> DataFrame:
     return moved.groupBy(key, "part").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("text"))
 
 
-def split(docs: DataFrame, options=None, size: int = SIZE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, part, text, and what each part has and may want, with no block over a cut."""
+def split(docs: DataFrame, options=None, size: int = SIZE, text: str = "text", key: str = "doc_id", order: str | None = None) -> DataFrame:
+    """key, part, text, and what each part has and may want, with no block over a cut. With order, documents stand in rows as for `gathered`."""
     opts, spark = of(options), docs.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(docs, opts, size, text, key).repartition(spread, key, "part")
+    dealt = (cut(docs, opts, size, text, key) if order is None else gathered(docs, size, text, key, order)).repartition(spread, key, "part")
     found = _kept(_facts(dealt, opts, key), "parts")
     last = found.groupBy(key).agg(F.max("part").alias("last"))
     running = found.join(last, key).where("open is not null and part < last").select(key).distinct()
@@ -127,12 +158,14 @@ def _wanted(found: DataFrame, key: str) -> DataFrame:
     return out
 
 
-def compiled(docs: DataFrame, options=None, size: int = SIZE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, part, html: in order of part they are the HTML of the document."""
+def compiled(docs: DataFrame, options=None, size: int = SIZE, text: str = "text", key: str = "doc_id", order: str | None = None) -> DataFrame:
+    """key, part, html: in order of part they are the HTML of the document. With order, documents stand in rows as for `gathered`."""
     opts = of(options)
+    if order is not None and (opts.inline_footnotes or opts.front_matter):
+        raise ValueError("documents in rows are compiled without inline notes and front matter")
     if opts.inline_footnotes:
         return docs.select(key, F.lit(0).cast("long").alias("part"), udf.md_to_html(text, opts).alias("html"))
-    found = _wanted(split(docs, opts, size, text, key), key)
+    found = _wanted(split(docs, opts, size, text, key, order), key)
     schema = f"{_typed(docs, key)}, part long, html string, order array<string>, notes array<struct<label:string,html:string>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,3 +199,30 @@ def compiled(docs: DataFrame, options=None, size: int = SIZE, text: str = "text"
     item = F.regexp_replace("html", f"{K.HOLE}[^{K.HOLE}]*{K.HOLE}", F.col("n").cast("string"))
     section = F.concat(F.when(F.col("n") == 1, '<section data-footnotes class="footnotes">\n<ol>\n').otherwise(""), item, F.when(F.col("n") == F.col("most"), "</ol>\n</section>\n").otherwise(""))
     return body.unionByName(notes.withColumn("most", most).select(key, (F.lit(NOTES) + F.col("n")).alias("part"), section.alias("html")))
+
+
+def digests(parts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, n_chars, html_md5 of `compiled` documents: a task takes a document's parts in order, as MD5 must, and holds one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, md5, kind = None, 0, None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([n], pa.int64()), pa.array([md5.hexdigest()])], [key, "n_chars", "html_md5"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for k, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if md5 is None or k != now:
+                    if md5 is not None:
+                        yield out()
+                    now, n, md5 = k, 0, hashlib.md5()
+                s = html.as_py() or ""
+                n += len(s)
+                md5.update(s.encode())
+        if md5 is not None:
+            yield out()
+
+    spread = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.select(key, "part", "html").repartition(spread, key).sortWithinPartitions(key, "part")
+    return dealt.select(key, "html").mapInArrow(run, f"{_typed(parts, key)}, n_chars long, html_md5 string")

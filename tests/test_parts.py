@@ -1,5 +1,6 @@
 """Documents compiled in parts against the same compiled whole."""
 
+import hashlib
 import random
 
 import pytest
@@ -62,3 +63,16 @@ def test_a_long_document(spark):
     docs = spark.createDataFrame([(7, text)], "doc_id long, text string")
     rows = parts.compiled(docs, {"footnotes": True}, size=100_000).orderBy("part").collect()
     assert len(rows) > 30 and "".join(r["html"] for r in rows) == to_html(text, options({"footnotes": True}))
+
+
+def test_documents_in_rows(spark):
+    """Documents that stand in rows are never one string; parts and digests are those of the whole."""
+    rows = [(d, k, f"# Head\n\nText {k} é [l][r] and[^n{k % 3}].\n\n") for d in (1, 2) for k in range(200 * d)]
+    rows += [(d, 1000, "[r]: /r\n\n" + "".join(f"[^n{k}]: note {k}\n\n" for k in range(3))) for d in (1, 2)]
+    docs = spark.createDataFrame(rows[::-1], "doc_id long, seq long, text string")
+    done = parts.compiled(docs, {"footnotes": True}, size=500, order="seq")
+    found = {r["doc_id"]: (r["n_chars"], r["html_md5"]) for r in parts.digests(done).collect()}
+    for d in (1, 2):
+        html = to_html("".join(x[2] for x in rows if x[0] == d), options({"footnotes": True}))
+        assert found[d] == (len(html), hashlib.md5(html.encode()).hexdigest())
+    assert done.count() > 20
