@@ -4,17 +4,21 @@ A message is a row with a group, a time, an id and Markdown. The messages of a g
 gap apart are a session, and a session's definitions are those of one document: of each label the first counts,
 by time and id, in whatever order messages arrive. A message that comes late may bring a definition before the one
 that is kept, or join two sessions; then their definitions are merged, again the first of each label. When the watermark
-has passed a session's end by the gap nothing can reach it any more: a timer fires, its definitions are written, and its
-state is dropped. So state holds the open sessions only, a row a label; messages later than the watermark allows are dropped and counted by Spark (numRowsDroppedByWatermark).
+has passed a session's end by the gap nothing can reach it any more: its definitions are written and its state is dropped, by
+the batch that brings its share messages or else by a timer. So state holds the open sessions only, the first of each label; messages later than the
+watermark allows are dropped and counted by Spark (numRowsDroppedByWatermark).
 
-A group's rows of a batch are read in the pieces in which Arrow brings them. A null group is a group; null times are
-dropped by the watermark.
+Groups are dealt out in shares. Each read and write of state is a question of the Python worker to the JVM, whatever its size, so a share's open
+sessions are one value, which a batch reads and writes once, and it has one timer, at the first end of a session. A task holds the open
+sessions of one share, whose rows of a batch are read in the pieces in which Arrow brings them. A null group is a group; null times are dropped by the watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,16 +31,37 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 RESULT = "grp string, session_start timestamp, session_end timestamp, label string, url string, first_ts timestamp, message_id long, n_definitions long"
 
 
+#: Shares of groups: so many that the open sessions of one are few. They stay as they are for as long as a checkpoint is used.
+SHARES = 1024
+
+Groups = dict[str | None, tuple[dict[int, int], dict[int, dict[str, tuple]]]]
+
+
+def _by_group(part: pd.DataFrame) -> Iterator[tuple[str | None, dict[str, np.ndarray]]]:
+    """The rows of each group of a piece, in columns."""
+    codes, groups = pd.factorize(part["grp"], use_na_sentinel=False)
+    order, ends = np.argsort(codes, kind="stable"), np.cumsum(np.bincount(codes)).tolist()
+    columns = {c: part[c].to_numpy()[order] for c in ("at", "message_id", "label", "url")}
+    for grp, first, end in zip(groups, [0, *ends], ends):
+        yield None if pd.isna(grp) else grp, {c: x[first:end] for c, x in columns.items()}
+
+
 class FirstDefinitions(StatefulProcessor):
-    """Sessions of one group (start -> end) and their definitions (start, label -> time, id, url, number)."""
+    """Of each group of a share its sessions (start -> end) and their definitions (start -> label -> time, id, url, number).
+
+    State is the time of the share's timer and JSON: [[group, [[start, end, {label: [time, id, url, number]}]]]].
+    """
 
     def __init__(self, gap: int):
         self.gap = gap  # microseconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sessions = handle.getMapState("sessions", "start long", "end long")
-        self.definitions = handle.getMapState("definitions", "start long, label string", "ts long, id long, url string, n long")
+        self.open = handle.getValueState("open", "timer long, sessions string")
+
+    def _read(self) -> tuple[int | None, Groups]:
+        timer, known = self.open.get() or (None, "[]")
+        return timer, {grp: ({s: e for s, e, _ in found}, {s: d for s, _, d in found}) for grp, found in json.loads(known)}
 
     def _reach(self, ends: dict[int, int], first: int, last: int) -> int:
         """The start of the session that a run of messages from first to last belongs to; sessions that it joins become one."""
@@ -45,40 +70,33 @@ class FirstDefinitions(StatefulProcessor):
         for s in near:
             if s != start:
                 del ends[s]
-                self.sessions.removeKey((s,))
                 self._move(s, start)
         ends[start] = end
         return start
 
     def _move(self, old: int, new: int) -> None:
-        for key, value in [(k, v) for k, v in self.definitions.iterator() if k[0] == old]:
-            self.definitions.removeKey(key)
-            self._define(new, key[1], value)
+        for label, value in self.definitions.pop(old, {}).items():
+            self._define(new, label, value)
 
     def _define(self, start: int, label: str, value: tuple) -> None:
-        """Keeps the earlier of a definition and the one that is known, and counts both."""
-        key = (start, label)
-        if self.definitions.containsKey(key):
-            known = self.definitions.getValue(key)
-            value = (*min(tuple(known[:3]), tuple(value[:3])), known[3] + value[3])
-        self.definitions.updateValue(key, tuple(value))
+        """Keeps the earlier of a definition of the group at hand and the one that is known, and counts both."""
+        mine = self.definitions.setdefault(start, {})
+        known = mine.get(label)
+        mine[label] = value if known is None else (*min(tuple(known[:3]), tuple(value[:3])), known[3] + value[3])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        """Messages of a piece that are not more than a gap apart meet the state as one run, with the first of each label."""
-        ends = {k[0]: v[0] for k, v in self.sessions.iterator()}
-        touched = set()
+        """Messages of a group and piece that are not more than a gap apart meet its sessions as one run, with the first of each label."""
+        timer, groups = self._read()
         for part in rows:
-            for first, last, found in self._runs(part):
-                start = self._reach(ends, first, last)
-                touched.add(start)
-                for label, value in found.items():
-                    self._define(start, label, value)
-        for start in touched & set(ends):
-            self.sessions.updateValue((start,), (ends[start],))
-            self.handle.registerTimer((ends[start] + self.gap) // 1000 + 1)
-        return iter(())
-
-    def _runs(self, part: pd.DataFrame) -> Iterator[tuple[int, int, dict[str, tuple]]]:
+            for grp, mine in _by_group(part):
+                ends, self.definitions = groups.setdefault(grp, ({}, {}))
+                for first, last, found in self._runs(mine):
+                    start = self._reach(ends, first, last)
+                    for label, value in found.items():
+                        self._define(start, label, value)
+        yield from self._closed(timer, groups, timerValues)
+
+    def _runs(self, part: Mapping[str, pd.Series | np.ndarray]) -> Iterator[tuple[int, int, dict[str, tuple]]]:
         """First and last time, and the first definition of each label (with their number), of messages that belong together."""
         first, last, found = None, None, {}
         rows = sorted(zip(part["at"].tolist(), part["message_id"].tolist(), part["label"].tolist(), part["url"].tolist()), key=lambda x: (x[0], x[1], x[3] or ""))
@@ -94,40 +112,48 @@ class FirstDefinitions(StatefulProcessor):
             yield first, last, found
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        """Writes the sessions that nothing can reach any more; a timer of a session that has grown since finds none."""
+        timer, groups = self._read()  # Spark removes the timer that has fired
+        yield from self._closed(None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer, groups, timerValues)
+
+    def _closed(self, timer: int | None, groups: Groups, timerValues) -> Iterator[pd.DataFrame]:
+        """Writes the sessions that nothing can reach any more; keeps the others, with a timer at the first end of one."""
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        done = {k[0]: v[0] for k, v in self.sessions.iterator() if v[0] + self.gap < now}
-        if not done:
-            return
-        found = [(k, v) for k, v in self.definitions.iterator() if k[0] in done]
-        for start in done:
-            self.sessions.removeKey((start,))
-        for k, _ in found:
-            self.definitions.removeKey(k)
+        found, left = [], []
+        for grp, (ends, definitions) in groups.items():
+            for start in [s for s, e in ends.items() if e + self.gap < now]:
+                end = ends.pop(start)
+                found += [(grp, start, end, label, url, at, ident, n) for label, (at, ident, url, n) in definitions.pop(start, {}).items()]
+            if ends:
+                left.append((grp, [(s, e, definitions.get(s, {})) for s, e in ends.items()]))
+        due = (min(e for _, some in left for _, e, _ in some) + self.gap) // 1000 + 1 if left else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+        if left:
+            self.open.update((due, json.dumps(left, ensure_ascii=False, separators=(",", ":"))))
+        else:
+            self.open.clear()
         if found:
-            time = lambda us: pd.to_datetime(us, unit="us")
-            yield pd.DataFrame(
-                {
-                    "grp": [key[0]] * len(found), "session_start": time([k[0] for k, _ in found]), "session_end": time([done[k[0]] for k, _ in found]), "label": [k[1] for k, _ in found],
-                    "url": [v[2] for _, v in found], "first_ts": time([v[0] for _, v in found]), "message_id": [v[1] for _, v in found], "n_definitions": [v[3] for _, v in found],
-                }
-            )
+            out = pd.DataFrame(found, columns=["grp", "session_start", "session_end", "label", "url", "first_ts", "message_id", "n_definitions"])
+            yield out.assign(**{c: pd.to_datetime(out[c], unit="us", utc=True) for c in ("session_start", "session_end", "first_ts")})
 
     def close(self) -> None:
         pass
 
 
-def first_definitions(messages: DataFrame, gap: str, delay: str, options=None) -> DataFrame:
+def first_definitions(messages: DataFrame, gap: str, delay: str, options=None, shares: int = SHARES) -> DataFrame:
     """The definitions of closed sessions, see RESULT; messages: grp, ts, message_id, text, a stream.
 
-    gap: the longest pause in a session; delay: how late messages may come. Both are intervals, as in '30 minutes'.
+    gap: the longest pause in a session; delay: how late messages may come. Both are intervals, as in '30 minutes'. shares: see SHARES.
     """
     spark = messages.sparkSession
     micros = spark.sql(f"select cast((timestamp '2000-01-01' + interval {gap} - timestamp '2000-01-01') as interval second) as g").first()["g"]
     pause = int(micros.total_seconds() * 1_000_000)
     defined = messages.withWatermark("ts", delay).select(F.col("grp").cast("string").alias("grp"), "ts", F.col("message_id").cast("long").alias("message_id"), F.explode_outer(udf.md_link_references("text", options)).alias("d"))
-    rows = defined.select("grp", "ts", F.unix_micros("ts").alias("at"), "message_id", "d.label", "d.url")
-    return rows.groupBy("grp").transformWithStateInPandas(FirstDefinitions(pause), RESULT, "Append", "EventTime")
+    share = F.pmod(F.xxhash64("grp"), F.lit(shares)).cast("int").alias("share")
+    rows = defined.select(share, "grp", "ts", F.unix_micros("ts").alias("at"), "message_id", "d.label", "d.url")
+    return rows.groupBy("share").transformWithStateInPandas(FirstDefinitions(pause), RESULT, "Append", "EventTime")
 
 
 def run(stream: DataFrame, path: str, checkpoint: str, partitions: int | None = None) -> StreamingQuery:
