@@ -167,7 +167,7 @@ def md_inline_events(c: Column | str, given: Options | str | dict | None = None)
 
 def md_link_references(c: Column | str, given: Options | str | dict | None = None) -> Column:
     opts = options(given)
-    return _each(lambda s: events.link_references(s, opts), "array<struct<label:string,url:string,title:string>>")(c)
+    return _rows(Shapes(lambda s: events.link_references(s, opts), ("references", opts)), {"label": "string", "url": "string", "title": "string"})(c)
 
 
 def md_note_definitions(c: Column | str, given: Options | str | dict | None = None) -> Column:

@@ -68,6 +68,32 @@ def test_texts_of_one_shape_are_compiled_once():
     assert len(calls) == 1 and 'id="order-2499"' in out[-1] and '"/p/3499"' in out[-1] and "<code>A</code>" in out[-1]
 
 
+DEFINED = ["1", "22", " ", "\n", "\n\n", "> ", "- ", "B ", "`", "[", "]", "(", "[1]: /u1", "[1]: ", "[a 1]: ", "[A 22]:\n", "<1>", " '1'", ' "t 2"', "\t", ": ", "\\", "`A`", "[`A`]: /x", "[`a`]: /`B`", "\n[c 1]: /c1 'x 1'\n", "%20", "&amp;1", "```\n", "1:", "# "]
+
+
+@pytest.mark.parametrize("given", [None, *OPTIONS], ids=str)
+def test_link_references_of_shapes(given):
+    r, o = random.Random(9), options(given)
+    f = _safe(lambda s: events.link_references(s, o))
+    g = shapes.Shapes(f, object())
+    for _ in range(1500):
+        s = "".join(r.choice(DEFINED) for _ in range(r.randint(1, 9)))
+        for _ in range(3):
+            t = re.sub(r"[0-9]+", lambda m: str(r.choice([m[0], 0, 7, 123456])), s)
+            assert g(t) == f(t), t
+
+
+def test_link_references_of_one_shape_are_found_once(spark, monkeypatch):
+    texts = [(k, None if k == 3 else f"[Click  {k % 3}]: /e/{k} 't'\n\n[click {k % 3}]: /no\n" if k % 4 else "none") for k in range(400)]
+    made, calls = [], []
+    monkeypatch.setattr(udf, "Shapes", lambda f, name: made.append(shapes.Shapes(f, name)) or made[-1])
+    column = udf.md_link_references("s").alias("d")
+    found = {r["k"]: r["d"] for r in spark.createDataFrame(texts, "k int, s string").select("k", column).collect()}
+    assert found == {k: None if s is None else [(f"click {k % 3}", f"/e/{k}", "t")] if k % 4 else [] for k, s in texts}
+    g = shapes.Shapes(lambda s: calls.append(s) or made[0].f(s), object())
+    assert [g(s) for _, s in texts if s][-1][0]["url"] == "/e/399" and len(calls) == 3  # in two of them the numbers differ or are equal
+
+
 def test_a_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(shapes, "LIMIT", 5000)
     g = shapes.Once(lambda s: s * 2, "bounded")
